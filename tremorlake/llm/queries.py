@@ -17,6 +17,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.load(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import edited_fingerprints
+
+    return edited_fingerprints(common.load(spark, sf_dir, "documents"))
+
+
+def op8_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_parse import identify
+
+    common.workers_import(spark)
+    docs = common.load(spark, sf_dir, "documents")
+    held = common.crc_mod(F.col("doc_id"), 4) == 2
+    return identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -34,7 +49,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
+    return {"op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
 
 
 def oracle_sql() -> dict[str, str]:
