@@ -141,3 +141,33 @@ def workers_import(spark: SparkSession) -> None:
     packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tremorlake-"), "tremorlake"), "zip", root, "tremorlake")
     spark.sparkContext.addPyFile(packed)
     spark.sparkContext._tremorlake_sent = True
+
+
+def keep_rows(df: DataFrame, good: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns untouched, for whose text (null: '') good() says true. One Arrow pass, no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(good([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def rewrite_texts(df: DataFrame, new: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """The rows of df with new(texts) in place of the texts; nulls stay null. One Arrow pass, no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                column = part.column(at)
+                held = [t for t in column.to_pylist() if t is not None]
+                made = iter(new(held))
+                texts = [next(made) if ok else None for ok in column.is_valid().to_pylist()]
+                arrays = list(part.columns)
+                arrays[at] = pa.array(texts, column.type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)

@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    common.workers_import(spark)
+    docs, labels = common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels")
+    held = common.crc_mod(F.col("doc_id"), 5) == 0
+    out = toxicity(docs, train(docs, labels.where(~held)))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    common.workers_import(spark)
+    return find(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -49,7 +66,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
 
 
 def oracle_sql() -> dict[str, str]:
