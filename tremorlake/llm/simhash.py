@@ -5,11 +5,13 @@ space (fewer words: the whole sequence; no word: fingerprint zero), XXH64 with s
 b is 1 if it is set in more than half of the hashes.
 
 Links. Two fingerprints link at 4 differing bits or fewer. The 64 bits are cut into segments of 23, 23 and 18 bits
-(the last padded with zeros). Of 4 errors at most, some two segments hold 2 each at most, and 2 together (else the
-two worst of three would hold over 4). The perfect binary Golay code (23, 12, 7) has covering radius 3, so take as keys of a
-segment all codewords within distance 4: one (if the nearest is within 2) or six. If x and y differ in 2 bits at most,
-the codeword nearest to a word between them is within 3 + 1 of both, so they share a key. A pair of keys of two
-segments, 24 bits, is thus shared by every linked pair; the distance check follows inside the joins.
+(the last padded with zeros). The perfect binary Golay code (23, 12, 7) has covering radius 3, so take as Golay keys of a
+segment the indices of all codewords within distance 4: one (if the nearest is within 2) or six. If x and y differ in 2
+bits at most, the codeword nearest to a word between them is within 3 + 1 of both, so they share a key. Now count the
+errors of the three segments, 4 together at most. If a segment has none, one of the others has 2 at most: the key is the
+first segment as it stands and a Golay key of the other. Else one segment has 2 at most and the others 1 each: the key
+is a Golay key of the one and an error-free half of each of the others. So linked pairs always share a key of 30 to 35
+bits, and unrelated ones hardly ever. The distance check follows inside the joins.
 
 Groups. All rows of equal fingerprints collapse to one vertex first. In each bucket every member is compared with the
 bucket's smallest fingerprint alone; the stars give first components, and a second join then compares only members of
@@ -123,17 +125,20 @@ def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All bucket keys of fingerprints: (row, key), key = 2 bits of segment pair and 24 bits of codeword indices."""
+    """All bucket keys of fingerprints: (row, key); a key's high bits tell how it was made."""
     u = fps.view(np.uint64)
-    parts = [segment_keys(((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    words = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    golay = [segment_keys(w) for w in words]
+    halves = [((w >> (n // 2)), (w & ((1 << n // 2) - 1))) for w, (_, n) in zip(words, SEGMENTS, strict=True)]
     rows, keys = [], []
-    for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (a, na), (b, nb) = parts[i], parts[j]
+    for j, (indices, counts) in enumerate(golay):
+        a, b = (i for i in range(3) if i != j)
+        rests = [words[a], words[b]] + [(x << 12) | y for x in halves[a] for y in halves[b]]
         for x in range(6):
-            for y in range(6):
-                r = np.flatnonzero((na > x) & (nb > y))
+            r = np.flatnonzero(counts > x)
+            for kind, rest in enumerate(rests):
                 rows.append(r)
-                keys.append((p << 24) | (a[r, x] << 12) | b[r, y])
+                keys.append(((6 * j + kind) << 36) | (rest[r] << 12) | indices[r, x])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -145,9 +150,9 @@ def _buckets(fps: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 fp = batch.column(0).slice(at, 2000).to_numpy(zero_copy_only=False)
                 rows, keys = bucket_keys(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[rows])], ["k", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["k", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "k int, fp long")
+    return fps.select("fp").mapInArrow(run, "k long, fp long")
 
 
 def close(a: str, b: str) -> F.Column:
