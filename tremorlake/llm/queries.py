@@ -27,6 +27,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import digests
+
+    common.workers_import(spark)
+    return digests(common.load(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -66,7 +73,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_sentencepiece": op3_sentencepiece, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
 
 
 def oracle_sql() -> dict[str, str]:
