@@ -34,6 +34,23 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.load(spark, sf_dir, "documents"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import round_trip
+
+    common.workers_import(spark)
+    return round_trip(common.load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+top AS (SELECT html, max(page_id) AS target FROM p WHERE strlen(html) >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN p.page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < target THEN target END AS refers_to
+FROM p LEFT JOIN top ON p.html = top.html
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -73,8 +90,8 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_sentencepiece": op3_sentencepiece, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_sentencepiece": op3_sentencepiece, "op5_warc_zip": op5_warc_zip, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_zip": OP5_SQL}

@@ -21,6 +21,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from itertools import filterfalse
 
 import numpy as np
@@ -140,7 +141,7 @@ class Codec:
         parts = list(new)
         for at in range(0, len(parts), 10_000):
             some = parts[at : at + 10_000]
-            known.update(zip(some, (np.array(e.ids, "<i4").tobytes() for e in self.parts.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            known.update(zip(some, (array("i", e.ids).tobytes() for e in self.parts.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), "<i4") for s in split]
 
