@@ -34,6 +34,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.load(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data, trained
+
+    common.workers_import(spark)
+    return personal_data(common.load(spark, sf_dir, "documents"), trained())
+
+
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zip import round_trip
 
@@ -90,7 +97,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_sentencepiece": op3_sentencepiece, "op5_warc_zip": op5_warc_zip, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_warc_zip": op5_warc_zip, "op6_simhash": op6_simhash, "op7_spotsigs": op7_spotsigs, "op8_cross_parse": op8_cross_parse, "op9_token_counts": op9_token_counts, "op10_ppm": op10_ppm}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -188,3 +188,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay when one document of each group is kept: that with the smallest id.
+
+    Ids name documents: of rows with one id the one with the smallest text stays. Rows with a null id cannot be the
+    smallest of a group; all of them stay, but for repeated texts among them."""
+    from pyspark.sql import Window
+
+    groups = near_duplicates(docs, width, id_col, text_col)
+    gone = common.table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    rest = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
+    w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(text_col)
+    return rest.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
