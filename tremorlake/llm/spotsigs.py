@@ -1,10 +1,8 @@
 """SpotSigs document fingerprints with DataFrame functions alone.
 
-A text in lower case is cut at its anchors, common words of the languages at hand. What follows an anchor up to the
-next is a run of content words. A signature is the anchor and the chain of the CHAIN content words that follow it, taken
-across later anchors where a run is shorter. A text's signatures form a set of 64-bit hashes. A text whose first run has
-content gets one more signature that starts at the beginning, so that texts without anchors have one too. Words
-are runs of letters and digits. The fingerprint is the XXH64 of the sorted set in 16 hex digits, the likeness of
+Words are runs of letters and digits in lower case; anchors are common words of the languages at hand, all others are
+content words. A signature is an anchor and the chain of the CHAIN content words that follow it, later anchors skipped. A text's signatures form a set of 64-bit hashes. A text with
+content gets one more signature that starts at its beginning, so that texts without anchors have one too. The fingerprint is the XXH64 of the sorted set in 16 hex digits, the likeness of
 two texts the Jaccard similarity of their sets; of two empty sets it is 1 (no content word in either).
 
 Pairs: `near_pairs` gives pairs of distinct sets whose Jaccard similarity reaches a threshold t, with the members of each set in
@@ -33,23 +31,22 @@ ANCHORS = (
     "el los las en por con una su se no es para y del"
 ).split()
 CHAIN = 2
-REACH = 4  # runs after an anchor that a chain may take words from
 BLOCK_BITS = 10  # 1024 ids are looked at together for a row's successor
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The text's set of signature hashes: array<bigint>, distinct and sorted."""
-    clean = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    anchor = f" (?:{'|'.join(ANCHORS)}) "
-    runs = F.split(clean, anchor)
-    starts = F.concat(F.array(F.lit("")), F.regexp_extract_all(clean, F.lit(f"({anchor})"), 1))
-
-    def one(run: Column, i: Column, all_runs: Column, all_starts: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(F.array_join(F.slice(all_runs, i + 1, F.lit(REACH)), " "), " +", " ")), " ", chain + 1)
-        return F.xxhash64(F.element_at(all_starts, i + 1), F.array_join(F.slice(words, 1, chain), " "), F.size(words) > chain - 1)
-
-    packed = F.struct(runs.alias("r"), starts.alias("s"))
-    hashes = F.transform(F.array(packed), lambda p: F.filter(F.transform(p["r"], lambda run, i: F.when((i > 0) | (F.trim(run) != ""), one(run, i, p["r"], p["s"]))), lambda h: h.isNotNull()))
+    """The text's set of signature hashes: array<bigint>, distinct and sorted.
+
+    The k-th anchor at word p is followed by the content word number p - k, so chains need no search."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    anchors = lambda w: F.filter(F.transform(w, lambda x, i: F.when(x.isin(ANCHORS), i)), lambda i: i.isNotNull())
+    content = lambda w: F.filter(w, lambda x: ~x.isin(ANCHORS))
+    follow = lambda c, at: [F.get(c, at + j) for j in range(chain)]
+    start = lambda c: F.when(F.size(c) > 0, F.array(F.xxhash64(F.lit(""), *follow(c, F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
+    chains = lambda w, a, c: F.transform(a, lambda p, k: F.xxhash64(F.get(w, p), *follow(c, p - k)))
+    # Arrays of one element give the parts names, so that each is made once.
+    split = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), anchors(w).alias("a"), content(w).alias("c")))
+    hashes = F.transform(split, lambda s: F.concat(start(s["c"]), chains(s["w"], s["a"], s["c"])))
     return F.array_sort(F.array_distinct(hashes[0]))
 
 
@@ -63,34 +60,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(common_ / whole)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, text, next): the text of the next row by id, after the last that of the first.
+def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
+    """docs (id, text) with columns made of each row, and all of these (next_<name>, next_text) from the next row by id.
 
     Rows are dealt by blocks of ids and ordered inside their block; a block's last row takes the first of the next block
-    that has rows. Block heads are ranked on their ids alone, in blocks of blocks, so no task sees all rows."""
+    that has rows (after the last, the first). Block heads are ranked on their ids alone, in blocks of blocks, so no
+    task sees all rows; `extra` is made once for each row, and again for the heads."""
     block = F.coalesce(F.shiftright("id", BLOCK_BITS), F.lit(-(2**62)))
-    rows = docs.select("id", "text", block.alias("b"))
-    w = Window.partitionBy("b").orderBy(F.col("id").asc_nulls_first(), "text")
-    led = rows.select("*", F.lead("text").over(w).alias("lead"), F.row_number().over(w).alias("r"))
-    heads = common.table(led.where("r = 1").select("b", F.col("text").alias("head")), "heads")
+    order = (F.col("id").asc_nulls_first(), F.col("text"))
+    names = ["text", *extra]
+    w = Window.partitionBy("b").orderBy(*order)
+    led = docs.withColumns(extra | {"b": block}).withColumns({f"lead_{c}": F.lead(c).over(w) for c in names} | {"last": F.lead(F.lit(1)).over(w).isNull()})
+    tops = docs.withColumn("b", block).withColumn("r", F.row_number().over(w)).where("r = 1").select("b", "id", "text")
+    heads = common.table(tops.withColumns(extra).select("b", *[F.col(c).alias(f"head_{c}") for c in names]), "heads")
     b = heads.select("b")
     sup = b.select("b", F.shiftright("b", 14).alias("s"))
     ws = Window.partitionBy("s").orderBy("b")
     ranked = sup.select("b", "s", F.lead("b").over(ws).alias("n"))
     firsts = sup.groupBy("s").agg(F.min("b").alias("f"))  # one row for 16 million ids
-    order = firsts.select("s", F.coalesce(F.lead("f").over(Window.orderBy("s")), F.first("f").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
-    following = ranked.join(order, "s").select("b", F.coalesce("n", "f").alias("nb"))
-    tails = following.join(heads.select(F.col("b").alias("nb"), "head"), "nb").select("b", "head")
-    return led.join(tails, "b").select("id", "text", F.coalesce("lead", "head").alias("next"))
+    wrap = firsts.select("s", F.coalesce(F.lead("f").over(Window.orderBy("s")), F.first("f").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
+    following = ranked.join(wrap, "s").select("b", F.coalesce("n", "f").alias("nb"))
+    tails = following.join(heads.withColumnRenamed("b", "nb"), "nb").drop("nb")
+    both = led.join(tails, "b")
+    return both.select("id", *names, *[F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in names])
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    x = with_next(source).withColumn("n_chars", F.length("text").cast("long"))
-    x = x.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half)))
-    x = x.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), signatures(F.col("next")).alias("c"))
+    x = with_next(source, {"sigs": signatures(F.col("text"))}).withColumn("n_chars", F.length("text").cast("long"))
+    x = x.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
+    x = x.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
     return x.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
