@@ -74,10 +74,10 @@ def usable(design: DataFrame, before: float = TEST_START) -> DataFrame:
     return design.join(s.where((F.col("k") == 1) & (F.col("n") > 1) & (F.col("case_day") < before)).select("stratum"), "stratum", "left_semi")
 
 
-def with_split(design: DataFrame) -> DataFrame:
+def with_split(design: DataFrame, train_end: float = TRAIN_END, test_start: float = TEST_START) -> DataFrame:
     """Adds split (train, validate, test) by the case's day, never by the row's own."""
     case_day = F.max(F.when(F.col("is_case"), F.col("day"))).over(Window.partitionBy("stratum"))
-    return design.withColumn("case_day", case_day).withColumn("split", F.when(F.col("case_day") < TRAIN_END, "train").when(F.col("case_day") < TEST_START, "validate").when(F.col("case_day").isNotNull(), "test"))
+    return design.withColumn("case_day", case_day).withColumn("split", F.when(F.col("case_day") < train_end, "train").when(F.col("case_day") < test_start, "validate").when(F.col("case_day").isNotNull(), "test"))
 
 
 def first_controls(design: DataFrame, k: int) -> DataFrame:
