@@ -16,11 +16,12 @@ def as_of_both(events: DataFrame, marks: DataFrame, by: list[str], bucket_days:
     e = events.withColumn("__b", bucket)
     edges = m.groupBy(*by, "__b").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     all_buckets = edges.select(*by, "__b", "lo", "hi").unionByName(e.select(*by, "__b").distinct(), allowMissingColumns=True).groupBy(*by, "__b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    wb = Window.partitionBy(*by).orderBy("__b")
-    around = all_buckets.select(*by, "__b", F.last("hi", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("lo", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    wb, back_b = Window.partitionBy(*by).orderBy("__b"), Window.partitionBy(*by).orderBy(F.desc("__b"))
+    around = all_buckets.select(*by, "__b", F.last("hi", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.last("lo", True).over(back_b.rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
     both = e.withColumns({"mark": F.lit(None).cast("double"), "__t": F.col("day"), "__k": F.lit(1)}).unionByName(m.withColumns({"__t": F.col("mark"), "__k": F.lit(0)}), allowMissingColumns=True)
-    w = Window.partitionBy(*by, "__b").orderBy("__t", "__k")
-    both = both.withColumns({"prev": F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first("mark", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("__k = 1")
+    # A frame that grows from its start costs one step a row; what follows is therefore read in reverse order.
+    w, back = Window.partitionBy(*by, "__b").orderBy("__t", "__k"), Window.partitionBy(*by, "__b").orderBy(F.desc("__t"), F.desc("__k"))
+    both = both.withColumns({"prev": F.last("mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.last("mark", True).over(back.rowsBetween(Window.unboundedPreceding, 0))}).where("__k = 1")
     out = both.join(around, [*by, "__b"], "left")
     return out.withColumns({"prev": F.coalesce("prev", "__before"), "next": F.coalesce("next", "__after")}).drop("mark", "__t", "__k", "__b", "__before", "__after")
 

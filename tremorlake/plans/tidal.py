@@ -261,13 +261,13 @@ def moonquake_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT event_idx, day, body FROM quake, range(0, 3) b(body)),
 p AS (SELECT e.*, m.mark AS prev FROM e ASOF LEFT JOIN marks m ON e.body = m.body AND e.day >= m.mark),
 n AS (SELECT p.*, m.mark AS next FROM p ASOF LEFT JOIN marks m ON p.body = m.body AND p.day < m.mark)
-SELECT event_idx, body::INTEGER AS body, round(day - coalesce(prev, -2191), 6) AS since, round(coalesce(next, 731) - day, 6) AS until, round(least(day - coalesce(prev, -2191), coalesce(next, 731) - day), 6) AS nearest FROM n""")
+SELECT event_idx, body::INTEGER AS body, round(day - coalesce(prev, -2191), 8) AS since, round(coalesce(next, 731) - day, 8) AS until, round(least(day - coalesce(prev, -2191), coalesce(next, 731) - day), 8) AS nearest FROM n""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time since and until marks of three bodies."""
     marks = spark.range(600).select((F.col("id") % 3).cast("int").alias("body"), F.floor(F.col("id") / 3).alias("k")).select("body", (F.col("k") * (20.0 + 13 * F.col("body")) - 2000).alias("day"))
     e = quake(spark, sf_dir).select("event_idx", "day", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("body"))
     x = joins.mark_timing(joins.as_of_both(e, marks, ["body"]), (-2191.0, 731.0))
-    return _r(x, 6, "since", "until", "nearest").select("event_idx", "body", "since", "until", "nearest")
+    return _r(x, 8, "since", "until", "nearest").select("event_idx", "body", "since", "until", "nearest")
 
 
 @query("j8_interpolation", f"WITH {QUAKE_SQL}, {_FORCING}, e AS (SELECT event_idx, day, least(greatest(floor((day + 300) / 0.05::DOUBLE), 0), 19998)::BIGINT AS k FROM quake WHERE day BETWEEN -299 AND 690) SELECT event_idx, round(a.value * (1 - ((e.day + 300) / 0.05::DOUBLE - e.k)) + b.value * ((e.day + 300) / 0.05::DOUBLE - e.k), 6) + 0.0 AS value FROM e JOIN series a ON a.k = e.k JOIN series b ON b.k = e.k + 1")
