@@ -26,6 +26,7 @@ component id is null). Repeated ids keep a row each. An empty table gives an emp
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -201,4 +202,5 @@ def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_co
     gone = common.table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     rest = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(text_col)
-    return rest.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    rank = f"rank_{uuid.uuid4().hex}"  # no column of the caller's has this name
+    return rest.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)

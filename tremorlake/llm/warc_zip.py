@@ -86,7 +86,7 @@ class ZipReader:
     def __init__(self, file, size: int) -> None:
         self.file = file
         tail = self.range(max(0, size - 65557), min(size, 65557))
-        at = tail.rfind(END)
+        at = tail.rfind(END, 0, max(0, len(tail) - 18))  # a comment may hold the signature too
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(END, 0, at)
         if at < 0:
