@@ -302,7 +302,8 @@ def test_spotsigs_against_brute_force(spark):
 def test_spotsigs_pairs(spark):
     r = random.Random(6)
     base = words(r, "en", 400)
-    near = " ".join([*base.split()[:200], "other", *base.split()[201:]])
+    near = " ".join([*base.split()[:200], *["other"] * 25, *base.split()[225:]])
+    assert 0.6 <= len(brute_signatures(base) & brute_signatures(near)) / len(brute_signatures(base) | brute_signatures(near)) < 1
     df = spark.createDataFrame([(1, base), (2, near), (3, words(r, "en", 400)), (4, base), (5, None)], "doc_id long, text string")
     pairs, members = spotsigs.near_pairs(df, 0.6)
     m = {x.doc_id: x.fingerprint for x in members.collect()}
