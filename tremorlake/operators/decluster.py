@@ -5,8 +5,8 @@ runs from an event to each later one in its window. In each round an undecided e
 and one without kept or undecided predecessors is kept. The result equals the sequential greedy one exactly.
 
 Edges come from a bucketed range join: time windows differ by orders of magnitude between small and large events, so
-predecessors are split into classes of window length, and each class has its own bucket width; an event looks up its own bucket
-and both neighbours in every class. Latitude is bucketed in the same way.
+predecessors are split into classes of window length, and each class has its own cells in time, latitude and longitude. A
+predecessor looks into the 27 cells around it, and every event stands once in each class.
 """
 
 from __future__ import annotations
@@ -34,12 +34,25 @@ def window_edges(events: DataFrame, days: Column, km: Column, precedes: Column,
         return events.select(F.col("event_idx").alias("src"), F.col("event_idx").alias("dst")).limit(0)
     width = lambda t: F.pow(F.lit(4.0), t) * 4.0
     height = lambda s: F.pow(F.lit(4.0), s) * 32.0 / (KM_PER_DEGREE * 0.999)
-    left = a.withColumns({"__t": F.floor(F.col("day") / width(F.col("__c.t"))), "__s": F.floor(F.col("lat_deg") / height(F.col("__c.s")))}).alias("a")
-    all_classes = F.array(*[F.struct(F.lit(c.t).alias("t"), F.lit(c.s).alias("s")) for c in classes])
-    b = events.withColumn("__c", F.explode(all_classes))
     around = lambda x: F.sequence(x - 1, x + 1)
-    b = b.withColumn("__t", F.explode(around(F.floor(F.col("day") / width(F.col("__c.t")))))).withColumn("__s", F.explode(around(F.floor(F.col("lat_deg") / height(F.col("__c.s")))))).alias("b")
-    same = (F.col("a.__c") == F.col("b.__c")) & (F.col("a.__t") == F.col("b.__t")) & (F.col("a.__s") == F.col("b.__s"))
+
+    def turns(s: Column, band: Column) -> Column:
+        """Longitude buckets of a latitude band: each at least as wide as the reach at the band's far edge; one near the poles."""
+        edge = F.greatest(F.abs(band * height(s)), F.abs((band + 1) * height(s))) + height(s)
+        return F.when(edge < 89, F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(edge, F.lit(89.0)))) / (height(s) * 1.02)))).otherwise(F.lit(1)).cast("long")
+
+    def bucket(lon: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1)
+
+    # The few rows of an event's own class spread over the 27 cells around it; each other event stands once a class.
+    left = a.withColumn("__t", F.explode(around(F.floor(F.col("day") / width(F.col("__c.t"))))))
+    left = left.withColumn("__s", F.explode(around(F.floor(F.col("lat_deg") / height(F.col("__c.s")))))).withColumn("__n", turns(F.col("__c.s"), F.col("__s")))
+    own = bucket(F.col("lon_deg"), F.col("__n"))
+    left = left.withColumn("__l", F.explode(F.array_distinct(F.transform(around(own), lambda x: F.pmod(x, F.col("__n")))))).alias("a")
+    all_classes = F.array(*[F.struct(F.lit(c.t).alias("t"), F.lit(c.s).alias("s")) for c in classes])
+    b = events.withColumn("__c", F.explode(all_classes)).withColumns({"__t": F.floor(F.col("day") / width(F.col("__c.t"))), "__s": F.floor(F.col("lat_deg") / height(F.col("__c.s")))})
+    b = b.withColumn("__l", bucket(F.col("lon_deg"), turns(F.col("__c.s"), F.col("__s")))).alias("b")
+    same = (F.col("a.__c") == F.col("b.__c")) & (F.col("a.__t") == F.col("b.__t")) & (F.col("a.__s") == F.col("b.__s")) & (F.col("a.__l") == F.col("b.__l"))
     return left.join(b, same & (F.col("a.event_idx") != F.col("b.event_idx")) & precedes & near).select(F.col("a.event_idx").alias("src"), F.col("b.event_idx").alias("dst"))
 
 

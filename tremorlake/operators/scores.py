@@ -44,12 +44,14 @@ def conditional_score(long: DataFrame) -> DataFrame:
 def permutations(long: DataFrame, n: int, seed: int = 20260822) -> DataFrame:
     """(perm, feature) -> z of a random row of each stratum in the case's place. Rows of a feature are numbered in their strata by row_idx."""
     scores = conditional_score(long).where("testable").select("feature", "v")
-    keys = long.select("stratum", "row_idx").distinct().groupBy("stratum").agg(F.array_sort(F.collect_list("row_idx")).alias("rows"))  # a stratum's few rows
-    draw = mix2(F.col("stratum") % M, F.col("perm"), seed)
-    picks = keys.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("stratum", "perm", F.get("rows", (draw % F.size("rows")).cast("int")).alias("row_idx"))
     means = strata_moments(long).select("feature", "stratum", "mean")
     centred = long.join(means, ["feature", "stratum"]).select("feature", "stratum", "row_idx", (F.col("x") - F.col("mean")).alias("d"))
-    u = picks.join(centred, ["stratum", "row_idx"]).groupBy("perm", "feature").agg(F.sum("d").alias("u"))
+    # A stratum is small and stays together as one row, so draws need no join and their sums are combined before the shuffle.
+    strata = centred.groupBy("stratum").agg(F.array_sort(F.collect_set("row_idx")).alias("rows"), F.collect_list(F.struct("row_idx", "feature", "d")).alias("entries"))
+    draw = mix2(F.col("stratum") % M, F.col("perm"), seed)
+    picks = strata.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("pick", F.get("rows", (draw % F.size("rows")).cast("int")))
+    drawn = picks.select("perm", F.explode(F.filter("entries", lambda e: e["row_idx"] == F.col("pick"))).alias("e"))
+    u = drawn.groupBy("perm", F.col("e.feature").alias("feature")).agg(F.sum("e.d").alias("u"))
     return u.join(scores, "feature").select("perm", "feature", (F.col("u") / F.sqrt("v")).alias("z"))
 
 
