@@ -191,15 +191,80 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_prints(texts: list[str], seed: int) -> np.ndarray:
+    """SimHashes of the sets of words of several texts: a copy with few words changed differs in few bits."""
+    import xxhash
+
+    return majority([[xxhash.xxh64_intdigest(w, seed) for w in set(t.encode("utf-8", "surrogatepass").lower().split())] for t in texts])
+
+
+def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tuple[int, ...] = (7, 8), reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of ids whose sets of `width`-word shingles have a Jaccard similarity of `least` or more: a search for pairs that
+    connect groups, not for all pairs.
+
+    Candidates come from SimHashes of the texts' word sets, one a seed, through the same Golay keys: in each bucket every
+    member meets the bucket's smallest member if their prints differ in `reach` bits at most. Exact similarity decides. A text
+    with 2 % of its words changed (similarity 0.8) differs in 4 of 64 bits on average, so SimHash makes recall here a matter of
+    probability: see the README for what was measured. Equal word sets are one vertex of a bucket each, by id."""
+    from pyspark.sql import Window
+
+    names = [f"w{i}" for i in range(len(seeds))]
+
+    def work(ids: list, texts: list) -> dict:
+        return {"doc_id": ids} | {n: word_prints(texts, seed).view(np.int64) for n, seed in zip(names, seeds, strict=True)}
+
+    prints = common.table(common.map_texts(docs.where(F.col(id_col).isNotNull()), "doc_id long, " + ", ".join(f"{n} long" for n in names), work, id_col, text_col), "words")
+    w = Window.partitionBy("k")
+    found = []
+    for n in names:
+        same = prints.groupBy(F.col(n).alias("fp")).agg(F.min("doc_id").alias("doc_id"))
+        found.append(prints.join(same.select(F.col("fp").alias(n), F.col("doc_id").alias("b")), n).where("doc_id != b").select(F.col("doc_id").alias("a"), "b"))
+        led = _keyed(same).withColumn("lead", F.min(F.struct("doc_id", "fp")).over(w)).where(F.col("doc_id") != F.col("lead.doc_id"))
+        met = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= reach)
+        found.append(met.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = common.table(pairs.distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+
+    def shingles(held: list, texts: list) -> dict:
+        return {"id": held, "s": [sorted({h & 0xFFFFFFFFFFFF for h in shingle_hashes(t, width)}) for t in texts]}
+
+    sets = common.table(common.map_texts(texts, "id long, s array<long>", shingles, "id"), "shingles")
+    sides = [sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(F.size("sa") > 0).select("a", "b").distinct()
+
+
+def _keyed(same: DataFrame) -> DataFrame:
+    """(fp, doc_id) -> a row (k, fp, doc_id) a bucket key."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                fp, doc = (batch.column(i).slice(at, 2000).to_numpy(zero_copy_only=False) for i in (0, 1))
+                rows, keys = bucket_keys(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows]), pa.array(doc[rows])], ["k", "fp", "doc_id"])
+
+    return same.select("fp", "doc_id").mapInArrow(run, "k long, fp long, doc_id long")
+
+
 def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stay when one document of each group is kept: that with the smallest id.
 
-    Ids name documents: of rows with one id the one with the smallest text stays. Rows with a null id cannot be the
+    Groups are those of near_duplicates(), joined where similar_pairs() finds texts of a similarity of 0.8 or more on five
+    words. Ids name documents: of rows with one id the one with the smallest text stays. Rows with a null id cannot be the
     smallest of a group; all of them stay, but for repeated texts among them."""
     from pyspark.sql import Window
 
     groups = near_duplicates(docs, width, id_col, text_col)
-    gone = common.table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    links = groups.where("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    links = common.table(links.unionByName(similar_pairs(docs, id_col=id_col, text_col=text_col).toDF("u", "v")), "links")
+    gone = common.table(common.components(links).where("u != root").select(F.col("u").alias("doc_id")), "gone")
     rest = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(text_col)
     rank = f"rank_{uuid.uuid4().hex}"  # no column of the caller's has this name
