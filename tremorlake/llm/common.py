@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 4_000_000  # characters of text handled at once inside a Python worker
+SLICE_CHARS = 1_500_000  # characters of text handled at once inside a Python worker
 _made: list[str] = []
 
 
@@ -131,7 +131,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Ships the package to Python workers that would not find it by themselves."""
+    """Ships the package to Python workers that would not find it by themselves, and keeps Arrow batches of long texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows, "10000")) == 10000:  # Spark's default; another value is the caller's choice
+        spark.conf.set(rows, "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p] + [os.getcwd()]
     if root in known or getattr(spark.sparkContext, "_tremorlake_sent", False):

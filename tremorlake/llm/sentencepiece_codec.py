@@ -32,7 +32,7 @@ from . import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: piece types of the format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the format
-KNOWN, THREADS = 400_000, 2
+KNOWN, THREADS = 200_000, 2
 PROBES = ("", " ", "a", "  two  spaces ", "Ünïcode — 你好 \U0001f600", "tab\tand\nnew line", "<s> </s> <unk>", "1234567890", "▁marked", "é ﬁ   x")
 
 

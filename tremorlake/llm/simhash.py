@@ -230,7 +230,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tu
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
 
     def shingles(held: list, texts: list) -> dict:
-        return {"id": held, "s": [sorted({h & 0xFFFFFFFFFFFF for h in shingle_hashes(t, width)}) for t in texts]}
+        return {"id": held, "s": [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in texts]}
 
     sets = common.table(common.map_texts(texts, "id long, s array<long>", shingles, "id"), "shingles")
     sides = [sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b")]

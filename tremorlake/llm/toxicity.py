@@ -27,7 +27,7 @@ from . import common
 
 SAMPLE = (2500, 6000)
 PLACES, FACTORS, TERMS, Z = 1 << 22, 4, 2000, 5.0
-KNOWN = 200_000  # words a worker remembers the places of; beyond that it starts anew
+KNOWN = 120_000  # words a worker remembers the places of; beyond that it starts anew
 
 _words = re.compile(r"[^\W\d_]+").findall
 
