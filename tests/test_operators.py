@@ -170,3 +170,17 @@ def test_readers_take_what_is_missing(spark):
     got = catalogues.ndk(spark.createDataFrame([("f", i, s) for i, s in enumerate(["", *lines, "short tail"])], "source string, line_no long, value string")).collect()
     assert len(got) == 1 and got[0].lat_deg == 37.49 and got[0].lon_deg == 137.16 and got[0].depth_km == 12.0 and abs(got[0].mw - 7.5) < 0.05
     assert [tuple(p) for p in got[0].planes] == [(35, 38, 86), (219, 52, 93)] and abs(got[0].day - (8766 + (7 * 3600 + 10 * 60 + 39) / 86400)) < 1e-9
+
+
+def test_sky_of_known_dates():
+    """Longitudes on 2024-04-08 (a solar eclipse, 18:20 UTC) and at the equinox of 2024."""
+    import numpy as np
+
+    from tremorlake.operators import charts
+
+    lon, lat = charts.places(np.array([8864 + 18.35 / 24, 8845 + 3.1 / 24]))
+    gap = np.degrees(np.angle(np.exp(1j * (lon[0] - lon[1]))))
+    assert abs(gap[0]) < 0.4 and abs(np.degrees(lat[1, 0])) < 0.6
+    assert abs(np.degrees(np.angle(np.exp(1j * lon[0, 1])))) < 0.05
+    jupiter = np.degrees(lon[5, 0]) % 360
+    assert 46 < jupiter < 51
