@@ -203,7 +203,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tu
     connect groups, not for all pairs.
 
     Candidates come from SimHashes of the texts' word sets, one a seed, through the same Golay keys: in each bucket every
-    member meets the bucket's smallest member if their prints differ in `reach` bits at most. Exact similarity decides. A text
+    member meets the bucket's smallest print if the two differ in `reach` bits at most. Exact similarity decides. A text
     with 2 % of its words changed (similarity 0.8) differs in 4 of 64 bits on average, so SimHash makes recall here a matter of
     probability: see the README for what was measured. Equal word sets are one vertex of a bucket each, by id."""
     from pyspark.sql import Window
@@ -219,9 +219,10 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tu
     for n in names:
         same = prints.groupBy(F.col(n).alias("fp")).agg(F.min("doc_id").alias("doc_id"))
         found.append(prints.join(same.select(F.col("fp").alias(n), F.col("doc_id").alias("b")), n).where("doc_id != b").select(F.col("doc_id").alias("a"), "b"))
-        led = _keyed(same).withColumn("lead", F.min(F.struct("doc_id", "fp")).over(w)).where(F.col("doc_id") != F.col("lead.doc_id"))
-        met = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= reach)
-        found.append(met.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")))
+        led = _buckets(same).withColumn("lead", F.min("fp").over(w)).where("fp != lead")
+        met = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= reach).select("fp", "lead").distinct()
+        ends = [same.select(F.col("fp").alias(f), F.col("doc_id").alias(c)) for f, c in (("fp", "a"), ("lead", "b"))]
+        found.append(met.join(ends[0], "fp").join(ends[1], "lead").select("a", "b"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -239,20 +240,6 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tu
     return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(F.size("sa") > 0).select("a", "b").distinct()
 
 
-def _keyed(same: DataFrame) -> DataFrame:
-    """(fp, doc_id) -> a row (k, fp, doc_id) a bucket key."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                fp, doc = (batch.column(i).slice(at, 2000).to_numpy(zero_copy_only=False) for i in (0, 1))
-                rows, keys = bucket_keys(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows]), pa.array(doc[rows])], ["k", "fp", "doc_id"])
-
-    return same.select("fp", "doc_id").mapInArrow(run, "k long, fp long, doc_id long")
-
-
 def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stay when one document of each group is kept: that with the smallest id.
 
