@@ -167,6 +167,18 @@ def test_ppm_against_brute_force(spark, share):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in c for w in tokens), n)
 
 
+def test_ppm_keeps_rare_contexts_of_large_corpora(spark):
+    """Contexts that stand before less than 2^-16 of all training symbols count too."""
+    r = random.Random(11)
+    rows = [(0, "zqxjkv wvbzqj"), (1, "zqxjkv wvbzqj")] + [(i, words(r, "en", 60)) for i in range(2, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in ppm.score(df, F.lit(True)).collect()}
+    learned = [t.encode() for _, t in rows]
+    assert sum(map(len, learned)) > 3 * 2**16 and len(got) == len(rows)
+    for i in (0, 1, 5):
+        assert abs(got[i] - brute_ppm(learned, rows[i][1].encode(), ppm.ORDER, 0.0)) < 1e-3 * (1 + len(rows[i][1]))
+
+
 def test_ppm_probabilities_sum_to_one():
     model = ppm.Model({(): {97: 5, 98: 2, ppm.END: 1}, (97,): {98: 2}, (98,): {ppm.END: 1, 97: 1}}, 1)
     for s in range(model.cost.shape[0]):

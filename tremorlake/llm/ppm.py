@@ -1,20 +1,21 @@
 """Language-model scoring: prediction by partial matching over bytes, with word counts as a base.
 
 Model. A trie of byte contexts up to `order` bytes, with the symbols that followed each context in the training texts
-(257 symbols: the bytes and the end of a text; a text begins with `order` start marks). A context has a node if at
-least a share `share` of all training symbols stands after it: that is a rule of shares, so there are at most 1 / share
-nodes an order whatever the corpus holds, and its counts are whole. Escapes are estimated by method C (as many escapes
-as distinct symbols seen), and a symbol seen in a longer context is excluded in the shorter one. As every symbol of a
-context was also seen in its suffix, one level of exclusion is all that is needed. Below the empty context all unseen
-symbols are equally likely.
-
-Scoring. Suffixes and prefixes of a node are nodes, so "the longest node that ends the history" is a finite automaton:
-cost[state, symbol] and next[state, symbol]. Texts are cut into blocks which start `order` symbols early to find their
-state (exact, as no context is longer), and all blocks of a slice advance together, one symbol a step.
-
-Base. Exact counts of all training words; the log probability is summed for frequent words (share of 2**-17 or more,
-so 131,072 at most) from a broadcast table inside the pass over the texts, and for all others through a join on the
-word's XXH64, one row for each document and word.
+(257 symbols: the bytes and the end of a text; a text begins with `order` start marks). Every context of the training
+texts has a node, however rare, so the model grows with the corpus; `share` above 0 drops contexts before less than that
+share of all training symbols. Escapes are estimated by method C (as many escapes as distinct symbols seen), and a
+symbol seen in a longer context is excluded in the shorter one. As every symbol of a context was also seen in its
+suffix, one level of exclusion is all that is needed. Below the empty context all unseen symbols are equally likely.
+
+Scoring. The model never is in one place. Texts are dealt to blocks of about 2.5 MB; a block's distinct windows (context
+and symbol) with their training counts go, sorted and packed, to buckets of contexts that end in the same two symbols.
+A bucket sums the counts of all blocks, holds the whole of every node of two or more symbols in it, and returns the
+log probability of each block's windows in their order; nodes of no and one symbol are a broadcast table of at most
+257 x 257 counts. A second pass over the blocks' texts looks their windows up. What is shuffled are the distinct windows
+of blocks. `Model` is the same as an automaton for training texts that fit in memory; tests hold the two together.
+
+Base. Exact counts of all training words, found the same way: a block asks once for each of its distinct words, by their
+XXH64.
 
 Nulls, empties: a null text counts as empty (one token, the end). Null ids count as the empty text for the crc32 and
 stay null; repeated ids give a row each. No training text: c = N = V = 0, the base then is log10(0.1 / 0.1) = 0 a token, and
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 END, START = 256, 257
-ORDER, SHARE, HOT_SHARE = 5, 2.0**-16, 2.0**-17
+ORDER, SHARE = 5, 0.0
 BLOCK = 512
+BLOCK_BYTES = 5 << 19  # of text whose distinct windows are asked for together
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +54,90 @@ def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) windows, 9 bits a symbol, and their counts."""
+def windows(texts: list[bytes], order: int) -> np.ndarray:
+    """The (context, symbol) windows of all texts in their order, 9 bits a symbol; a text of n bytes has n + 1."""
     s, _ = symbols(texts, order)
-    s = s.astype(np.int64)
-    key = np.zeros(max(0, len(s) - order), np.int64)
+    size = max(0, len(s) - order)
+    key = np.zeros(size, np.int64)
     for j in range(order + 1):
-        key |= s[j : len(s) - order + j] << (9 * (order - j))
-    return np.unique(key[(key & 511) != START], return_counts=True)
+        key <<= 9
+        key |= s[j : j + size]
+    return key[s[order:] != START]
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each window, by the last two symbols of its context."""
+    with np.errstate(over="ignore"):
+        return (((keys >> 9) & ((1 << 18) - 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def by_bucket(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted distinct keys -> the keys' order by bucket, and where each bucket begins in it."""
+    return np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(buckets + 1))
+
+
+def word_keys(words) -> np.ndarray:
+    """XXH64 of words, as signed numbers."""
+    import xxhash
+
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    return h.view(np.int64)
+
+
+def word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys & ((1 << 24) - 1)) % buckets
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed planes of bytes; of a rising one, its differences."""
+    import pyarrow as pa
+
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else np.ascontiguousarray(x)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
+    import pyarrow as pa
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x) if rising else x
+
+
+def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray, least: float) -> np.ndarray:
+    """log10 probability of each of the sorted distinct windows, n being their training counts.
+
+    All windows whose contexts end in the same two symbols must be here; short[context, symbol] counts all windows by
+    contexts of one symbol (row 0 if the order is 0). Contexts with fewer than `least` counts have no node."""
+    entries, up, counts = [keys] * (order + 1), [keys] * (order + 1), [n.astype(np.float64)] * (order + 1)
+    for j in range(order, 0, -1):
+        entries[j - 1], up[j] = np.unique(entries[j] & ((1 << 9 * j) - 1), return_inverse=True)
+        counts[j - 1] = np.bincount(up[j], counts[j], len(entries[j - 1]))
+    single = short.sum(0).astype(np.float64)
+    counts[0] = single[entries[0]]
+    total, kinds = single.sum(), int((single > 0).sum())
+    escapes = 0 if kinds == 257 else kinds
+    low = np.full(len(entries[0]), 1 / max(1, 257 - kinds))
+    cost = np.where(counts[0] > 0, counts[0] / max(1.0, total + escapes), (escapes / max(1.0, total + escapes) if escapes else 1.0) * low)
+    sums, seen = np.full(len(low), total), np.full(len(low), float(kinds))
+    for j in range(1, order + 1):
+        context, c = entries[j] >> 9, counts[j]
+        if j == 1:
+            c = counts[1] = short[context, entries[1] & 511].astype(np.float64)
+            n_all, n_seen, under = short.sum(1)[context].astype(np.float64), (short > 0).sum(1)[context].astype(np.float64), np.where(short > 0, single, 0.0).sum(1)[context]
+        else:
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(first, len(context)))
+            n_all, n_seen, under = (np.repeat(np.add.reduceat(x, first), sizes) if len(first) else x for x in (c, (c > 0).astype(np.float64), np.where(c > 0, counts[j - 1][up[j]], 0.0)))
+        above = counts[j - 1][up[j]]
+        left_n, left_d = sums[up[j]] - under, seen[up[j]] - n_seen
+        whole = np.maximum(left_n + left_d, 1)
+        low = np.where(left_d == 0, low[up[j]], np.where(above > 0, above / whole, left_d / whole * low[up[j]]))
+        here = np.maximum(n_all + n_seen, 1)
+        cost = np.where((n_all > 0) & (n_all >= least), np.where(c > 0, c / here, n_seen / here * low), cost[up[j]])
+        sums, seen = n_all, n_seen
+    return np.log10(np.maximum(cost, 1e-300)).astype(np.float32)
 
 
 class Model:
@@ -135,113 +213,159 @@ class Model:
         return np.bincount(owner, total, len(texts))
 
 
-def words_of(text: str) -> list[bytes]:
-    """ASCII-lower-cased runs of anything but ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+PASS = "kind int, block long, bucket int, gram long, n long, keys binary, counts binary, texts binary"
 
 
-def _count_pass(docs: DataFrame, order: int) -> DataFrame:
-    """Counts of the training texts, combined within a partition: kind 0 context windows, 1 words."""
+def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(id, text, train) -> rows of four kinds: 0 a block's windows in a bucket, 1 its words, 2 documents of a
+    block, packed, 3 counts by contexts of one symbol."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    schema = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-
-    def emit(keys: np.ndarray, n: np.ndarray, words: Counter):
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(n)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(words), np.int32)), pa.nulls(len(words), pa.int64()), pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], schema=schema)
-
-    def run(batches):
-        keys, n, words = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
-        for batch in batches:
-            for part in common.slices(batch, 0):
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
-                for t in texts:
-                    words.update(t.lower().split())
-                k, c = grams(texts, order)
-                keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                n = np.bincount(where, np.concatenate((n, c)), len(keys)).astype(np.int64)
-                if len(keys) + len(words) > 1_500_000:  # memory: what is counted so far goes out, sums are made later
-                    yield from emit(keys, n, words)
-                    keys, n, words = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
-        yield from emit(keys, n, words)
-
-    return docs.mapInArrow(run, "kind int, gram long, word binary, n long")
-
-
-def fit(grams_: DataFrame, order: int, share: float) -> Model:
-    """grams_ (gram long, n long), summed or not -> model. At most 1 / share contexts an order reach the driver."""
-    total = grams_.agg(F.sum("n")).first()[0] or 0
-    every = grams_.groupBy("gram").agg(F.sum("n").alias("n"))
-    levels = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), (F.col("gram").bitwiseAND(F.lit((1 << 9 * (j + 1)) - 1))).alias("key")) for j in range(order + 1)]))
-    each = every.select(levels.alias("x"), "n").groupBy("x.level", "x.key").agg(F.sum("n").alias("n"))
-    nodes = each.groupBy("level", F.shiftright("key", 9).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(511)).cast("int").alias("x"), "n")).alias("after")).where(F.col("all") >= F.lit(share * total)).where("all > 0")
-    out: dict[tuple, dict[int, int]] = {}
-    t = nodes.select("level", "context", F.col("after.x").alias("x"), F.col("after.n").alias("n")).toArrow()
-    for level, context, x, n in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
-        out[tuple((context >> (9 * j)) & 511 for j in reversed(range(level)))] = dict(zip(x, n, strict=True))
-    return Model(out, order)
-
-
-def score(docs: DataFrame, train: F.Column, order: int = ORDER, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes); train: which rows the model learns from."""
-    import pyarrow as pa
+    schema = to_arrow_schema(StructType.fromDDL(PASS))
 
-    spark = docs.sparkSession
-    counted = common.table(_count_pass(docs.where(train).select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), order), "counts")
-    model = spark.sparkContext.broadcast(fit(counted.where("kind = 0").select("gram", "n"), order, share))
-    n_train = docs.where(train).count()
-    vocabulary = common.table(counted.where("kind = 1").groupBy("word").agg(F.sum("n").alias("c")).select(F.xxhash64("word").alias("h"), "word", "c"), "words")
-    n_words, v_words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = n_words + n_train, v_words + (n_train > 0)
-    scale = n + 0.1 * (v + 1)
-    hot_at = max(1.0, HOT_SHARE * n)
-    is_hot = F.col("c") >= hot_at
-    hot_rows = vocabulary.where(is_hot).select("word", "c").toArrow()
-    hot = spark.sparkContext.broadcast({w: math.log10((c + 0.1) / scale) for w, c in zip(hot_rows.column(0).to_pylist(), hot_rows.column(1).to_pylist(), strict=True)})
-    end = math.log10((n_train + 0.1) / scale)
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())])
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    def rows(kind: int, count: int, **columns):
+        arrays = {"kind": np.full(count, kind, np.int32)} | columns
+        return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], f.type) if f.name in arrays else pa.nulls(count, f.type) for f in schema], schema=schema)
 
     def run(batches):
         import uuid
 
-        import xxhash
+        fresh = lambda: int(uuid.uuid4()) & ((1 << 62) - 1)
+        block, held, other, size = fresh(), [], [], 0
+        short = np.zeros(1 << 18)
+
+        def emit(kind, keys, n, at):
+            by, starts = by_bucket(at, buckets)
+            parts = [(b, keys[x], n[x]) for b in range(buckets) if len(x := by[starts[b] : starts[b + 1]])]
+            return rows(kind, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _, _ in parts], np.int32), n=np.array([len(k) for _, k, _ in parts], np.int64), keys=[pack(k, True) for _, k, _ in parts], counts=[pack(m) for _, _, m in parts])
+
+        def emit_words():
+            words = dict.fromkeys((w for t in other for w in t.lower().split()), 0) | Counter(w for t in held for w in t.lower().split())
+            keys, where = np.unique(word_keys(words), return_inverse=True)
+            n = np.bincount(where, np.fromiter(words.values(), np.float64, len(words)), len(keys)).astype(np.int64)
+            return emit(1, keys, n, word_bucket(keys, buckets))
+
+        def emit_block():
+            nonlocal short
+            keys, n = np.unique(windows(held, order), return_counts=True)
+            more = np.unique(windows(other, order))
+            short += np.bincount(keys & ((1 << 9 * min(2, order + 1)) - 1), n, 1 << 18)
+            keys, where = np.unique(np.concatenate((keys, more)), return_inverse=True)
+            n = np.bincount(where[: len(n)], n, len(keys)).astype(np.int64)
+            return emit(0, keys, n, bucket_of(keys, buckets))
 
-        table, automaton = hot.value, model.value
-        row = int(uuid.uuid4()) & ((1 << 62) - 1)  # rows are told apart even where ids repeat
         for batch in batches:
             for part in common.slices(batch, 1):
-                ids, texts = part.column(0).to_pylist(), [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                scores = automaton.score(texts)
-                out_id, out_row, out_h, out_n = [], [], [], []
-                tokens, known, base = [], [], []
-                for i, t in enumerate(texts):
-                    words = t.lower().split()
-                    s, k = end, int(n_train > 0)
-                    row += 1
-                    for w, m in Counter(words).items():
-                        x = table.get(w)
-                        if x is None:
-                            out_id.append(ids[i])
-                            out_row.append(row)
-                            out_h.append(w)
-                            out_n.append(m)
-                        else:
-                            s += m * x
-                            k += m
-                    tokens.append(len(words) + 1)
-                    known.append(k)
-                    base.append(s)
-                rows = list(range(row - len(texts) + 1, row + 1))
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in out_h), np.uint64, len(out_h)).view(np.int64)
-                m = len(out_h)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_row, pa.int64()), pa.array(hashes), pa.array(out_n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64())], schema=schema)
-
-    passed = common.table(keyed.mapInArrow(run, "doc_id long, row long, h long, n long, known long, base double, score double, bytes long"), "passed")
-    rare = passed.where("h is not null").select("row", "h", "n")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    part = rare.join(vocabulary.where(~is_hot).select("h", "c"), "h", "left").select("row", (F.col("n") * F.log10((c + F.lit(0.1)) / F.lit(scale))).alias("base"), F.when(c > 0, F.col("n")).otherwise(0).alias("known"))
-    sums = part.groupBy("row").agg(F.sum("base").alias("more"), F.sum("known").alias("more_known"))
-    whole = passed.where("h is null").join(sums, "row", "left")
-    return whole.select("doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", F.col("bytes").alias("n_bytes"))
+                texts, train = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], part.column(2).to_pylist()
+                sink = pa.BufferOutputStream()
+                whole = pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "text"])
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(whole)
+                yield rows(2, 1, block=[block], texts=[sink.getvalue().to_pybytes()])
+                for t, learned in zip(texts, train, strict=True):
+                    (held if learned else other).append(t)
+                    size += len(t) + 1
+                if size > BLOCK_BYTES:
+                    yield emit_block()
+                    yield emit_words()
+                    block, held, other, size = fresh(), [], [], 0
+        if size:
+            yield emit_block()
+            yield emit_words()
+        some = np.flatnonzero(short)
+        yield rows(3, len(some), gram=some, n=short[some].astype(np.int64))
+
+    return docs.mapInArrow(run, PASS)
+
+
+def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) -> DataFrame:
+    """What _block_pass made -> (doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counted = passed.where("kind = 3").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    short = np.zeros(1 << 18, np.int64)
+    short[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    least = share * int(short.sum())
+    table = passed.sparkSession.sparkContext.broadcast(short.reshape(512, 512))
+
+    def merged(keys, n):
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return [distinct], [np.bincount(where, np.concatenate(n), len(distinct)).astype(np.int64)]
+
+    def summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+        """A bucket's distinct keys, their counts over all blocks, and how to read each block's keys."""
+        asked = list(zip(part.column("keys").to_pylist(), part.column("n").to_pylist(), strict=True))
+        keys, n, waiting = [], [], 0
+        for (k, size), c in zip(asked, part.column("counts").to_pylist(), strict=True):
+            keys.append(unpack(k, size, np.int64, True))
+            n.append(unpack(c, size, np.int64))
+            waiting += size
+            if waiting > 2_000_000:
+                keys, n = merged(keys, n)
+                waiting = 0
+        (keys,), (n,) = merged(keys, n)
+        return keys, n, asked
+
+    def answers(part: pa.Table, keys: np.ndarray, values: np.ndarray, asked: list) -> list:
+        return [part.column("block"), part.column("bucket"), part.column("n"), pa.array([pack(values[np.searchsorted(keys, unpack(k, size, np.int64, True))]) for k, size in asked], pa.binary())]
+
+    def price(part: pa.Table) -> pa.Table:
+        keys, n, asked = summed(part)
+        return pa.table(answers(part, keys, window_costs(keys, n, order, table.value, least), asked), ["block", "bucket", "n", "found"])
+
+    def count(part: pa.Table) -> pa.Table:
+        keys, n, asked = summed(part)
+        once = np.arange(len(asked)) == 0  # a bucket's sums stand in one of its rows
+        return pa.table([*answers(part, keys, n, asked), pa.array(once * n.sum()), pa.array(once * np.count_nonzero(n))], ["block", "bucket", "n", "found", "total", "kinds"])
+
+    asks = "block", "bucket", "n", "keys", "counts"
+    answer = "block long, bucket int, n long, found binary"
+    words = common.table(passed.where("kind = 1").select(*asks).groupBy("bucket").applyInArrow(count, answer + ", total long, kinds long"), "words")
+    n_words, v_words = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    n_train = int(short[np.arange(len(short)) & 511 == END].sum())
+    n_all = n_words + n_train
+    scale = n_all + 0.1 * (v_words + (n_train > 0) + 1)
+
+    def read(found: pa.Table, at: np.ndarray, kind: type) -> np.ndarray:
+        """The answers to a block's sorted distinct keys, in their order."""
+        by, starts = by_bucket(at, buckets)
+        out = np.zeros(len(at), kind)
+        for b, n, x in zip(*(found.column(c).to_pylist() for c in ("bucket", "n", "found")), strict=True):
+            out[by[starts[b] : starts[b + 1]]] = unpack(x, n, kind)
+        return out
+
+    def look_up(docs: pa.Table, found: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(x).read_all() for x in docs.column("texts").to_pylist()]
+        ids = [i for p in parts for i in p.column("id").to_pylist()]
+        texts = [t for p in parts for t in p.column("text").to_pylist()]
+        owned = {w: 0 for t in texts for w in t.lower().split()}
+        distinct, where = np.unique(word_keys(owned), return_inverse=True)
+        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), word_bucket(distinct, buckets), np.int64)[where].tolist(), strict=True))
+        tokens, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            own = t.lower().split()
+            c = np.fromiter(map(held.__getitem__, own), np.float64, len(own))
+            tokens[i], known[i] = len(own) + 1, np.count_nonzero(c) + (n_train > 0)
+            base[i] = (np.log10(c + 0.1).sum() + math.log10(n_train + 0.1)) - (len(own) + 1) * math.log10(scale)
+        distinct, where = np.unique(windows(texts, order), return_inverse=True)
+        cost = read(found.filter(pc.equal(found.column("kind"), 0)), bucket_of(distinct, buckets), np.float32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        scores = np.add.reduceat(cost[where].astype(np.float64), np.cumsum(sizes + 1) - sizes - 1)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(texts), n_all), "base_score": base, "score": scores, "n_bytes": sizes})
+
+    priced = passed.where("kind = 0").select(*asks).groupBy("bucket").applyInArrow(price, answer).withColumn("kind", F.lit(0))
+    found = priced.unionByName(words.drop("total", "kinds").withColumn("kind", F.lit(1)))
+    texts = passed.where("kind = 2").select("block", "texts")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(look_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+
+
+def score(docs: DataFrame, train: F.Column, order: int = ORDER, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes); train: which rows the model learns from."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    buckets = max(8, min(1 << 14, -(-size // (1 << 23))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return _look_up_pass(common.table(_block_pass(rows, order, buckets), "counts"), order, share, buckets)
