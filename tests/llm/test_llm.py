@@ -618,3 +618,17 @@ def test_similar_pairs_against_brute_force(spark):
         a, b = root[i], root[j]
         root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
     assert sum(root[i] == root[j] for i, j in true) >= 0.97 * len(true) and len(true) > 60
+
+
+def test_similar_pairs_whatever_the_edit(spark):
+    """Copies with a block appended or cut off, at a similarity of 0.80 to 0.85."""
+    r, rows = random.Random(6), []
+    for i in range(150):
+        base = [f"{w}{r.randrange(3)}" for w in words(r, "en", 200).split()]
+        n = len(base)
+        other = base + [f"{w}{r.randrange(3)}" for w in words(r, "de", 200).split()][: n // 5] if i % 2 else base[: n * 83 // 100]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {(max(x.a, x.b), min(x.a, x.b)) for x in simhash.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    true = {(2 * i + 1, 2 * i) for i in range(150) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    assert len(true) > 100 and len(got & true) >= 0.99 * len(true)

@@ -191,53 +191,74 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_prints(texts: list[str], seed: int) -> np.ndarray:
-    """SimHashes of the sets of words of several texts: a copy with few words changed differs in few bits."""
+@functools.cache
+def _mixers(n: int) -> np.ndarray:
+    """Odd multipliers, fixed by a counter hash."""
     import xxhash
 
-    return majority([[xxhash.xxh64_intdigest(w, seed) for w in set(t.encode("utf-8", "surrogatepass").lower().split())] for t in texts])
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(n)], np.uint64)
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, seeds: tuple[int, ...] = (7, 8), reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) of ids whose sets of `width`-word shingles have a Jaccard similarity of `least` or more: a search for pairs that
-    connect groups, not for all pairs.
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """MinHash keys (texts x bands, int64) of non-empty sets of 64-bit hashes: a key joins the least values under `rows` hashes."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+    out = np.zeros((len(sets), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, m in enumerate(_mixers(bands * rows)):
+            h = flat * m
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            least = np.minimum.reduceat(h, starts)
+            b = i // rows
+            out[:, b] = (out[:, b] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)
+    return out.view(np.int64)
 
-    Candidates come from SimHashes of the texts' word sets, one a seed, through the same Golay keys: in each bucket every
-    member meets the bucket's smallest print if the two differ in `reach` bits at most. Exact similarity decides. A text
-    with 2 % of its words changed (similarity 0.8) differs in 4 of 64 bits on average, so SimHash makes recall here a matter of
-    probability: see the README for what was measured. Equal word sets are one vertex of a bucket each, by id."""
-    from pyspark.sql import Window
 
-    names = [f"w{i}" for i in range(len(seeds))]
+def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of ids whose sets of `width`-word shingles have a Jaccard similarity of `least` or more: pairs that
+    connect groups, not all pairs.
 
-    def work(ids: list, texts: list) -> dict:
-        return {"doc_id": ids} | {n: word_prints(texts, seed).view(np.int64) for n, seed in zip(names, seeds, strict=True)}
+    Candidates share a MinHash key of the shingle sets themselves, so what counts is the similarity, whatever the edit:
+    with 32 keys of 6 hashes a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8^6)^32 = 0.99994. Equal sets
+    are one vertex, with no comparison. In each bucket every member meets the bucket's smallest vertex; exact similarity
+    decides."""
 
-    prints = common.table(common.map_texts(docs.where(F.col(id_col).isNotNull()), "doc_id long, " + ", ".join(f"{n} long" for n in names), work, id_col, text_col), "words")
-    w = Window.partitionBy("k")
-    found = []
-    for n in names:
-        same = prints.groupBy(F.col(n).alias("fp")).agg(F.min("doc_id").alias("doc_id"))
-        found.append(prints.join(same.select(F.col("fp").alias(n), F.col("doc_id").alias("b")), n).where("doc_id != b").select(F.col("doc_id").alias("a"), "b"))
-        led = _buckets(same).withColumn("lead", F.min("fp").over(w)).where("fp != lead")
-        met = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= reach).select("fp", "lead").distinct()
-        ends = [same.select(F.col("fp").alias(f), F.col("doc_id").alias(c)) for f, c in (("fp", "a"), ("lead", "b"))]
-        found.append(met.join(ends[0], "fp").join(ends[1], "lead").select("a", "b"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = common.table(pairs.distinct(), "candidates")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    def hashes(t: str) -> np.ndarray:
+        return np.unique(np.array(shingle_hashes(t, width), np.uint64))
+
+    def work(ids: list, texts: list) -> dict:
+        import xxhash
+
+        sets = [hashes(t) for t in texts]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys = dict(zip(full, band_keys([sets[i] for i in full], bands, rows), strict=True)) if full else {}
+        whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return {"doc_id": ids, "whole": whole, "keys": [keys.get(i) for i in range(len(ids))]}
+
+    prints = common.map_texts(docs.where(F.col(id_col).isNotNull()), "doc_id long, whole long, keys array<long>", work, id_col, text_col).where("keys is not null")
+    prints = common.table(prints, "words")
+    same = prints.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    vertices = common.table(same.groupBy("id").agg(F.collect_list("keys").alias("all")).select("id", F.array_distinct(F.flatten("all")).alias("keys")), "vertices")
+    equal = prints.select("doc_id", "whole").join(same.select("whole", "id"), "whole").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    buckets = vertices.select(F.explode("keys").alias("k"), "id")
+    leads = buckets.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("k", "lead")
+    live = common.table(buckets.join(leads, "k"), "buckets")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def shingles(held: list, texts: list) -> dict:
-        return {"id": held, "s": [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in texts]}
+        return {"id": held, "s": [hashes(t).view(np.int64) for t in texts]}
+
+    sets = common.table(common.map_texts(texts.join(live.select("id").distinct(), "id", "left_semi"), "id long, s array<long>", shingles, "id"), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b")]
+        both = pairs.join(sides[0], "a").join(sides[1], "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
-    sets = common.table(common.map_texts(texts, "id long, s array<long>", shingles, "id"), "shingles")
-    sides = [sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).where(F.size("sa") > 0).select("a", "b").distinct()
+    stars = common.table(verified(live.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "stars")
+    return equal.unionByName(stars).distinct()
 
 
 def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
