@@ -222,7 +222,9 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, bands: in
     Candidates share a MinHash key of the shingle sets themselves, so what counts is the similarity, whatever the edit:
     with 32 keys of 6 hashes a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8^6)^32 = 0.99994. Equal sets
     are one vertex, with no comparison. In each bucket every member meets the bucket's smallest vertex; exact similarity
-    decides."""
+    decides, and stars give first components. Then members of buckets that still hold several components are compared:
+    those outside a bucket's largest component against all of other components, so no pair that shares a key and would
+    join two groups is left out."""
 
     def hashes(t: str) -> np.ndarray:
         return np.unique(np.array(shingle_hashes(t, width), np.uint64))
@@ -258,7 +260,15 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, width: int = 5, bands: in
         return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
     stars = common.table(verified(live.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "stars")
-    return equal.unionByName(stars).distinct()
+    first = common.components(stars.toDF("u", "v"))
+    named = live.select("k", "id").join(first, F.col("id") == F.col("u"), "left").select("k", "id", F.coalesce("root", "id").alias("c"))
+    sizes = named.groupBy("k", "c").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("k").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("n_c")).where("n_c > 1").select("k", F.col("top.c").alias("top"))
+    rest = common.table(named.join(open_, "k").select("k", "id", "c", (F.col("c") == F.col("top")).alias("main")), "open")
+    x = rest.where("!main").select("k", F.col("id").alias("a"), F.col("c").alias("ca"))
+    y = rest.select("k", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
+    across = x.join(y, "k").where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    return equal.unionByName(stars).unionByName(verified(across)).distinct()
 
 
 def one_of_each(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
