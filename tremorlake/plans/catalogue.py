@@ -153,7 +153,7 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Grid(100.0).cell_of(quake(spark, sf_dir)).agg(F.countDistinct("cell").alias("occupied"), F.count("*").alias("events"), F.round(F.count("*") / F.countDistinct("cell"), 6).alias("per_cell"))
 
 
-@query("d4_grid_bands", f"WITH {grid_bands_sql(100.0)} SELECT band, n_lon, first_cell AS first, round(2 * pi() * 6371.0 * 6371.0 * (sin(-pi() / 2 + (band + 1) * {Grid(100.0).height!r}::DOUBLE) - sin(-pi() / 2 + band * {Grid(100.0).height!r}::DOUBLE)) / n_lon, 3) AS area_km2 FROM bands")
+@query("d4_grid_bands")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Grid(100.0)
     return g.table(spark).withColumn("area_km2", F.round(g.area_km2(F.col("band"), F.col("n_lon")), 3))

@@ -145,7 +145,11 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _check_drawn(d: DataFrame, k: int) -> DataFrame:
     """A stratum's controls, and whether all lie in the span and none repeats."""
     c = d.where("not is_case")
-    return c.groupBy("stratum").agg(F.count("*").alias("n"), F.countDistinct("day").alias("n_distinct"), F.min(F.col("day").between(*SPAN).cast("int")).alias("inside")).withColumn("full", F.col("n") == k)
+    return c.groupBy("stratum").agg(F.count("*").alias("n"), F.countDistinct("day").alias("n_distinct"), F.min(F.col("day").between(*SPAN).cast("int")).alias("inside"), F.round(F.sum("day"), 3).alias("total")).withColumn("full", F.col("n") == k)
+
+
+def _cases_sql() -> str:
+    return _CASES
 
 
 @query("d9_day_offset")
@@ -292,6 +296,17 @@ def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(spark, sf_dir).groupBy("feature").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"), (F.stddev_pop("x") > 1e-9).alias("active"))
 
 
+def perm_sql(n: int) -> str:
+    """CTEs up to `null_z` and `maxes` over a CTE `long`, whose rows are numbered from 0 in each stratum."""
+    return f"""moments AS (SELECT feature, stratum, avg(x) AS m, var_pop(x) AS v, sum(x) FILTER (is_case) - avg(x) AS u FROM long GROUP BY feature, stratum),
+scored AS (SELECT feature, sum(v) AS v, sum(u) / sqrt(sum(v)) AS z FROM moments GROUP BY feature),
+keys AS (SELECT stratum, count(DISTINCT row_idx) AS k, {mix_sql(f'stratum % {M}', 20260822)} AS h FROM long GROUP BY stratum),
+drawn AS (SELECT stratum, k, p AS perm, (h + p) % {M} AS key FROM keys, range(1, {n + 1}) r(p)),
+picks AS (SELECT stratum, perm, {mix_sql('key', 20260823)} % k AS row_idx FROM drawn),
+null_z AS (SELECT perm, feature, sum(x - m) / sqrt(any_value(s.v)) AS z FROM picks JOIN long USING (stratum, row_idx) JOIN moments USING (feature, stratum) JOIN scored s USING (feature) GROUP BY perm, feature),
+maxes AS (SELECT perm, max(abs(z)) AS m FROM null_z GROUP BY perm)"""
+
+
 _PERM = f"""{_LONG}, keys AS (SELECT stratum, count(DISTINCT row_idx) AS k, {mix_sql(f'stratum % {M}', 20260822)} AS h FROM long GROUP BY stratum),
 drawn AS (SELECT stratum, k, p AS perm, (h + p) % {M} AS key FROM keys, range(1, 41) r(p)),
 picks AS (SELECT stratum, perm, {mix_sql('key', 20260823)} % k AS row_idx FROM drawn),
@@ -319,8 +334,8 @@ def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a24_effective_tests")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent tests for medians of the largest |z|; the normal tail has no SQL function here."""
-    return spark.range(20, 45).select((F.col("id") / 10).alias("median_max"), scores.effective_tests(F.col("id") / 10).alias("tests"))
+    """Independent tests for medians of the largest |z|; the SQL integrates the normal tail."""
+    return spark.range(20, 45).select((F.col("id") / 10).alias("median_max"), F.round(scores.effective_tests(F.col("id") / 10), 1).alias("tests"))
 
 
 @query("d20_calendar_diagnostics", f"""WITH {_INDEXED}, long AS (SELECT stratum, row_idx, is_case, f AS feature, CASE f WHEN 'date' THEN day WHEN 'date2' THEN pow(day / 1000, 2) WHEN 'slow_cos' THEN cos(2 * 3.141592653589793::DOUBLE * day / 181000) WHEN 'slow_sin' THEN sin(2 * 3.141592653589793::DOUBLE * day / 181000) ELSE day - floor(day / 30.44::DOUBLE) * 30.44::DOUBLE END AS x FROM indexed, (VALUES ('date'), ('date2'), ('slow_cos'), ('slow_sin'), ('day_of_month')) v(f)),
@@ -329,15 +344,29 @@ def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.conditional_score(scores.melt(indexed(time_design(spark, sf_dir)), scores.calendar_features())).select("feature", F.round("z", 4).alias("z"))
 
 
+#: Kilometres and days of each setting.
+SWEEP = ((0, 0), (50, 30), (100, 30), (100, 90), (250, 180), (500, 365), (1000, 365))
+
+
+@query("calendar_check")
+def calendar_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five functions of the date alone, which an unbiased design must not respond to: z, and p among 99 permutations."""
+    long = materialize(scores.melt(indexed(time_design(spark, sf_dir)), scores.calendar_features()), "long")
+    seen = scores.conditional_score(long).select("feature", F.col("z").alias("seen"))
+    ge = F.sum((F.abs("z") >= F.abs("seen") * (1 - 1e-9)).cast("int"))
+    out = scores.permutations(long, 99).join(F.broadcast(seen), "feature").groupBy("feature", "seen").agg(F.round((ge + 1) / F.lit(100.0), 6).alias("p"))
+    return out.select("feature", F.round("seen", 4).alias("z"), "p", (F.abs("seen") > 2).alias("suspect"))
+
+
 @query("d19_thinning_sweep")
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z of the date after thinning cases at seven settings; thinning and score have SQL twins of their own."""
     base = materialize(indexed(time_design(spark, sf_dir)), "design")
     cases = base.where("is_case").select(F.col("stratum").alias("event_idx"), "day", "lat_deg", "lon_deg")
     out = None
-    for km, days in ((0, 0), (50, 30), (100, 30), (100, 90), (250, 180), (500, 365), (1000, 365)):
+    for km, days in SWEEP:
         keep = decluster.thin(cases, km, days, flat=True).where("is_main").select(F.col("event_idx").alias("stratum"))
-        part = scores.conditional_score(scores.melt(base.join(keep, "stratum", "left_semi"), {"date": F.col("day")})).select(F.lit(km).alias("km"), F.lit(days).alias("days"), "n_strata", "z")
+        part = scores.conditional_score(scores.melt(base.join(keep, "stratum", "left_semi"), {"date": F.col("day")})).select(F.lit(km).alias("km"), F.lit(days).alias("days"), "n_strata", F.round("z", 4).alias("z"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -369,8 +398,8 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = decluster.thin(part, 500, 365).agg(F.count("*").alias("declustered"), F.sum(F.col("is_main").cast("long")).alias("thinned")).withColumn("stratum", F.lit(name))
         out = row if out is None else out.unionByName(row)
     beta = 0.04 * F.sqrt(10813.0 / F.nullif(F.coalesce("thinned", F.lit(0)).cast("double"), F.lit(0.0)))
-    out = out.withColumn("beta_min", beta)
-    return out.withColumn("verdict", F.when(F.col("beta_min") <= 0.05, "can test few-percent effects").when(F.col("beta_min") <= 0.12, "underpowered for a few percent").otherwise("too small to test anything"))
+    verdict = F.when(beta <= 0.05, "can test few-percent effects").when(beta <= 0.12, "underpowered for a few percent").otherwise("too small to test anything")
+    return out.select("stratum", "declustered", "thinned", F.round(beta, 6).alias("beta_min"), verdict.alias("verdict"))
 
 
 @query("a30_verdict", "SELECT n::INTEGER AS n, round(0.04 * sqrt(10813.0::DOUBLE / n), 6) AS beta_min, CASE WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.05 THEN 'can test few-percent effects' WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.12 THEN 'underpowered for a few percent' ELSE 'too small to test anything' END AS verdict FROM range(500, 12000, 500) t(n)")
@@ -413,6 +442,6 @@ def d21(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for beta in (0.0, 0.25, 0.5, 1.0):
         d = design.plant(base, "hash", beta) if beta else design.shuffle_labels(base)
-        part = scores.conditional_score(scores.melt(d, {"hash": F.col("hash")})).select(F.lit(beta).alias("beta"), "n_strata", "z")
+        part = scores.conditional_score(scores.melt(d, {"hash": F.col("hash")})).select(F.lit(beta).alias("beta"), "n_strata", F.round("z", 4).alias("z"))
         out = part if out is None else out.unionByName(part)
     return out

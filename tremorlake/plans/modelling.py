@@ -161,11 +161,11 @@ def featurise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("stratum", "row_idx", F.round("day", 6).alias("day"), "cell", "is_case", features.alias("features"))
 
 
-@query("s10_matrix_size", f"WITH {_FEATURED} SELECT count(*) AS n_rows, count(*) * 4 AS n_values FROM featured")
+@query("s10_matrix_size")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and values of a feature table written as Parquet and read again."""
-    x = _features(spark, sf_dir).select(F.array(*FEATURES).alias("f"))
-    return x.agg(F.count("*").alias("n_rows"), F.sum(F.size("f")).alias("n_values"))
+    """Rows, values and totals of a feature table written as Parquet and read again."""
+    x = materialize(_features(spark, sf_dir).select(F.array(*FEATURES).alias("f")), "matrix")
+    return x.agg(F.count("*").alias("n_rows"), F.sum(F.size("f")).alias("n_values"), *[F.round(F.sum(F.get("f", F.lit(i))), 3).alias(f"total_{n[2:]}") for i, n in enumerate(FEATURES)])
 
 
 @query("d22_timing_span")
@@ -173,4 +173,4 @@ def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timing without marks: the span's ends stand in."""
     e = quake(spark, sf_dir).select("event_idx", "day", F.lit(1).alias("body"))
     none = e.where("false").select("body", "day")
-    return joins.mark_timing(joins.as_of_both(e, none, ["body"]), SPAN).select("event_idx", "since", "until", "nearest", "fraction")
+    return joins.mark_timing(joins.as_of_both(e, none, ["body"]), SPAN).select("event_idx", *[F.round(c, 8).alias(c) for c in ("since", "until", "nearest", "fraction")])

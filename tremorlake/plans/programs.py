@@ -48,7 +48,8 @@ def score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with at most four controls a stratum, and the number of independent tests that its null amounts to."""
     long = materialize(scores.melt(design.first_controls(design.usable(indexed(time_design(spark, sf_dir))), 4), score_features()), "long")
     out = scores.family_wise(scores.conditional_score(long), scores.permutations(long, 100))
-    return out.withColumn("effective_tests", scores.effective_tests(F.col("perm_median")))
+    rounded = {c: F.round(c, 5) for c in ("max_abs_z", "perm_threshold_95", "perm_median")} | {"family_wise_p": F.round("family_wise_p", 6)}
+    return out.withColumn("effective_tests", F.round(scores.effective_tests(F.col("perm_median")), 2)).withColumns(rounded)
 
 
 @query("train_gbt")
@@ -83,7 +84,7 @@ def synthetic_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.range(3000 * 11).select(F.floor(F.col("id") / 11).alias("stratum"), (F.col("id") % 11).alias("row_idx"))
     u = lambda s: uniform(mix2(F.col("stratum") % M, F.col("row_idx"), s))
     x = base.select(*[(F.sqrt(-2 * F.log(u(200 + 2 * i) + 1e-12)) * F.cos(2 * math.pi * u(201 + 2 * i))).alias(f"x{i}") for i in range(4)])
-    return x.agg(*[f(f"x{i}").alias(f"{n}_{i}") for i in range(4) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    return x.agg(*[F.round(f(f"x{i}"), 6).alias(f"{n}_{i}") for i in range(4) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
 
 
 @query("moonquake_tidal_phase")

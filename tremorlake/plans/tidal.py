@@ -25,7 +25,7 @@ def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in names})
 
 
-@query("c1_constituents", f"WITH {_BANDS} SELECT band, species, round(period, 6) AS period FROM bands")
+@query("c1_constituents")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tides.table(spark, BANDS).select("band", "species", F.round("period", 6).alias("period"))
 
@@ -81,7 +81,7 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phase_lag_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = tides.table(spark, ["M2", "N2", "O1", "Q1", "K1"])
     seen = circular.schuster(circular.band_phases(quake(spark, sf_dir), bands, "lon_deg"), ["band"])
-    return circular.band_spread(circular.phase_lag(seen, circular.harmonic_fit(forcing(spark), bands)))
+    return _r(circular.band_spread(circular.phase_lag(seen, circular.harmonic_fit(forcing(spark), bands))), 3, "semi_mean", "semi_sd", "diurnal_mean", "diurnal_sd", "difference")
 
 
 @query("a33_band_spread", "WITH l(period, lag) AS (VALUES (0.5175::DOUBLE, 10.0::DOUBLE), (0.5274, 14.0), (1.0758, 40.0), (1.1195, 47.0), (0.9973, 36.0)) SELECT round(avg(lag) FILTER (period < 0.75), 6) AS semi_mean, round(stddev_pop(lag) FILTER (period < 0.75), 6) AS semi_sd, round(avg(lag) FILTER (period >= 0.75), 6) AS diurnal_mean, round(stddev_pop(lag) FILTER (period >= 0.75), 6) AS diurnal_sd, round(avg(lag) FILTER (period >= 0.75) - avg(lag) FILTER (period < 0.75), 6) AS difference FROM l")
@@ -149,7 +149,7 @@ def depth_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many bands shallow events are modulated more strongly, and the binomial tail of that."""
     x = depth_stratified(spark, sf_dir).withColumn("eps", circular.modulation(F.col("observed"), F.col("n")))
     pair = x.groupBy("band").agg(F.max(F.when(F.col("depthclass") == "shallow", F.col("eps"))).alias("a"), F.max(F.when(F.col("depthclass") == "deep", F.col("eps"))).alias("b"))
-    return pair.agg(F.sum((F.col("a") > F.col("b")).cast("int")).alias("stronger")).withColumn("tail", binomial_tail(F.col("stronger"), len(BANDS)))
+    return pair.agg(F.sum((F.col("a") > F.col("b")).cast("int")).alias("stronger")).withColumn("tail", F.round(binomial_tail(F.col("stronger"), len(BANDS)), 6))
 
 
 @query("detection_bias_test", f"""WITH {TREMOR_SQL}, ranked AS (SELECT *, row_number() OVER (ORDER BY magnitude, event_idx) AS rn, count(*) OVER () AS total FROM tremor WHERE magnitude IS NOT NULL),
@@ -167,7 +167,7 @@ def band_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = eq.select("band", F.col("p").alias("eq_p"), F.col("eps_limit").alias("eq_limit")).join(tr.select("band", F.col("p").alias("tremor_p"), F.col("eps").alias("tremor_eps")), "band").join(F.broadcast(period), "band")
     counts = x.agg(F.sum(((F.col("eq_p") < 0.05) & (F.col("period") < 2)).cast("int")).alias("short"), F.sum(((F.col("eq_p") < 0.05) & (F.col("period") >= 2)).cast("int")).alias("long"))
     verdict = F.when((F.col("short") == 0) & (F.col("long") == 0), "inconclusive").when(F.col("short") == 0, "consistent").when(F.col("long") == 0, "refuted").otherwise("needs interpretation")
-    return x.crossJoin(F.broadcast(counts.select(verdict.alias("verdict"))))
+    return _r(x, 6, "eq_p", "eq_limit", "tremor_p", "tremor_eps", "period").crossJoin(F.broadcast(counts.select(verdict.alias("verdict"))))
 
 
 @query("parkfield_constituents", f"""WITH {TREMOR_SQL}, b(band, species, start, rate, period) AS (VALUES {tides.values_sql(['S1', 'M2', 'S2', 'O1', 'K1'])}),
@@ -187,7 +187,8 @@ def constituent_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = _null(tremor(spark, sf_dir), BANDS, [])
     amp = circular.harmonic_fit(forcing(spark), tides.table(spark, BANDS)).select("band", "amplitude")
     x = null.join(F.broadcast(amp), "band").withColumn("response", F.col("eps") / F.col("amplitude")).withColumn("ratio", F.col("observed") / F.col("null_median"))
-    return circular.benjamini_hochberg(x, "p", 0.05, "band")
+    out = circular.benjamini_hochberg(x, "p", 0.05, "band").select("band", "n", "blocks", "few_blocks", "p", "eps", "response", "ratio", "rank", "survives")
+    return _r(_r(_r(out, 6, "p", "eps"), 5, "response"), 4, "ratio")
 
 
 @query("a15_benjamini_hochberg", f"WITH {QUAKE_SQL}, {_null_sql('quake', 'lon_deg')}, r AS (SELECT band, p, row_number() OVER (ORDER BY p, band) AS rank, count(*) OVER () AS m FROM nulled) SELECT band, rank::INTEGER AS rank, rank <= coalesce((SELECT max(rank) FROM r WHERE p <= 0.5 * rank / m), 0) AS survives FROM r")
@@ -243,18 +244,23 @@ def periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("moonquake_periodogram")
 def moonquake_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks of 2,000 log-spaced periods, the known period within 1 % of each known one, and whether it is too long for the span."""
-    x = materialize(circular.periodogram(tremor(spark, sf_dir), 0.2, 30, 2000), "spectrum")
-    known = spark.createDataFrame([("day", 1.0), ("half day", 0.5), ("lunar day", 1.03505), ("week", 7.0)], "name string, known_period double")
-    return circular.nearest_known(circular.peaks(x, 1.0), known, 0.01)
+    """Peaks of 20,000 log-spaced periods, the found period within 1 % of each known one, and whether that is too long for the span."""
+    e = tremor(spark, sf_dir)
+    x = materialize(circular.periodogram(e, 0.2, 30, 20000), "spectrum")
+    known = spark.createDataFrame([("day", 1.0), ("half day", 0.5), ("lunar day", 1.03505), ("week", 7.0), ("synodic", 29.531)], "name string, known_period double")
+    half = e.agg(((F.max("day") - F.min("day")) / 2).alias("half"))
+    out = circular.nearest_known(circular.peaks(x, 1.0), known, 0.01).crossJoin(F.broadcast(half))
+    return _r(_r(out.withColumn("too_long", F.col("known_period") > F.col("half")).drop("half"), 6, "period"), 3, "power")
 
 
 @query("moonquake_validation")
 def moonquake_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest peak to each known period and beat, within 10 % on a log scale."""
     x = materialize(circular.periodogram(tremor(spark, sf_dir), 0.2, 30, 1000), "spectrum")
-    known = spark.createDataFrame([("anomalistic", 27.555), ("synodic", 29.531), ("draconic", 27.212), ("half day", 0.5)], "name string, known_period double")
-    return circular.nearest_known(circular.peaks(x, 0.5), known, 0.1, log=True)
+    single = {"anomalistic": 27.555, "synodic": 29.531, "draconic": 27.212, "half day": 0.5}
+    beats = [(f"{a} and {b}", 1 / abs(1 / single[a] - 1 / single[b])) for a, b in (("anomalistic", "synodic"), ("anomalistic", "draconic"), ("synodic", "half day"))]
+    known = spark.createDataFrame([*single.items(), *beats], "name string, known_period double")
+    return _r(_r(circular.nearest_known(circular.peaks(x, 0.5), known, 0.1, log=True), 6, "period"), 3, "power")
 
 
 @query("j6_station_timing", f"""WITH {QUAKE_SQL}, marks AS (SELECT body, k * (20.0::DOUBLE + 13 * body) - 2000 AS mark FROM range(0, 3) b(body), range(0, 200) r(k)),
