@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder spark.checkpoint.dir names: lineage ends there and survives lost executors."""
+    """df as a Parquet table in the folder spark.checkpoint.dir names: lineage ends there and survives lost executors.
+
+    Without that setting a temporary folder serves in local mode; on a cluster executors would not share it, so that is an error."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tremorlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
