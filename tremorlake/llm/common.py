@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests in local mode) is a temporary folder made."""
+    Only where that setting is absent in local mode (tests) is a temporary folder made; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tremorlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -91,21 +94,37 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_CHARS) -> Itera
     yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One Arrow pass: work(ids, texts) -> columns by name, for slices of bounded size. Null texts come as ''."""
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed planes of bytes; of a rising one, its differences."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else np.ascontiguousarray(x)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x) if rising else x
+
+
+def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One Arrow pass: work(ids, texts) -> columns by name, for slices of bounded size. Null texts come as ''.
+
+    keep: long columns that go through to the result unseen (work then gives a row for each text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 out = work(part.column(0).to_pylist(), part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                made = [pa.array(out[f.name], type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*made, *part.columns[2:]], [*arrow.names, *keep])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema + "".join(f", {c} long" for c in keep))
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -113,10 +132,14 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round is two hash aggregations with
     map-side minima and two joins, and ends in a table in the shared folder; a hub's edges are summed before the
-    shuffle, and the join side that holds them can be split by AQE. Vertices without an edge do not appear."""
+    shuffle, and the join side that holds them can be split by AQE. The rounds keep what is connected connected, so they
+    may end as soon as the edges are stars: no vertex has two edges, and none is both a leaf and a centre.
+    Vertices without an edge do not appear."""
     now = table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    seen = None
     while True:
+        ends = now.groupBy(F.col("u").alias("x")).agg(F.count("*").alias("n")).unionByName(now.select(F.col("v").alias("x")).distinct().withColumn("n", F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+            return now.select("u", F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -124,10 +147,35 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = table(small, name)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == seen:
-            return now.select("u", F.col("v").alias("root"))
-        seen = state
+
+
+def open_members(live: DataFrame, roots: DataFrame, member: str) -> DataFrame:
+    """Members of buckets (k, member) that hold several components (roots: u, root) -> the table (k, a, c, main): member, its
+    component, and whether that is the largest in the bucket."""
+    named = live.join(roots, F.col(member) == F.col("u"), "left").select("k", F.col(member).alias("a"), F.coalesce("root", member).alias("c"))
+    sizes = named.groupBy("k", "c").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("k").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("n_c")).where("n_c > 1").select("k", F.col("top.c").alias("top"))
+    return table(named.join(open_, "k").select("k", "a", "c", (F.col("c") == F.col("top")).alias("main")), "open")
+
+
+def across(live: DataFrame, roots: DataFrame, member: str, met: Callable[[str, str], Column]) -> DataFrame:
+    """Members of buckets that stand in different components and meet the condition -> pairs (u, v) of these components.
+
+    Members outside a bucket's largest component are compared with all of other components; so a bucket that is one
+    component, or nearly so, costs little, and no two different components of a bucket stay uncompared."""
+    rest = open_members(live, roots, member)
+    x = rest.where("!main").select("k", "a", F.col("c").alias("u"))
+    y = rest.select(F.col("k").alias("l"), F.col("a").alias("b"), F.col("c").alias("v"), F.col("main").alias("other_main"))
+    apart = (F.col("k") == F.col("l")) & (F.col("u") != F.col("v")) & (F.col("other_main") | (F.col("u") < F.col("v")))
+    return x.join(y, apart & met("a", "b")).select("u", "v").distinct()
+
+
+SMALL = 1_000_000  # rows of two numbers that may be broadcast: 16 MB, and some 64 MB as a hash table
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_anti") -> DataFrame:
+    """rows without those that stand in the table `keys`; broadcast if they are few, else by a shuffle of both sides."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, how)
 
 
 def workers_import(spark: SparkSession) -> None:
