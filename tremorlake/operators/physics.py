@@ -103,9 +103,14 @@ def plane_grid(spark: SparkSession, strike: float = 15, dip: float = 15, rake: f
     return s.crossJoin(d).crossJoin(r).select(((F.col("i") * n_d + F.col("j")) * n_r + F.col("k")).alias("plane"), (F.col("i") * strike).alias("strike"), ((F.col("j") + 1) * dip).alias("dip"), (F.col("k") * rake - 180).alias("rake"))
 
 
-def covariance(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by...) -> the 21 population covariances of nn ... dd."""
+def covariance(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """(by...) -> the 21 population covariances of nn ... dd; weight: a column that says how many rows a row stands for."""
     names = ("nn", "ne", "nd", "ee", "ed", "dd")
+    if weight is not None:
+        w, scale = F.col(weight), 1e13  # components are about 1e-13
+        sums = [F.sum(w * F.col(a) * scale).alias(f"__{a}") for a in names] + [F.sum(w * F.col(a) * scale * F.col(b) * scale).alias(f"__{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+        s = df.groupBy(*by).agg(F.sum(w).alias("n"), *sums)
+        return s.select(*by, "n", *[((F.col(f"__{a}_{b}") / F.col("n") - F.col(f"__{a}") / F.col("n") * F.col(f"__{b}") / F.col("n")) / scale**2).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]])
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]])
 
 

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions import labels
-from tremorlake.functions.random import M, mix_sql
-from tremorlake.operators import circular, joins, physics, tides
+from tremorlake.functions.random import M, mix2, mix_sql
+from tremorlake.operators import circular, joins, physics, shifts, tides
 from tremorlake.operators.tables import equal_count_bins, materialize, numbered
 from tremorlake.plans.catalogue import binomial_tail, select_events
 from tremorlake.plans.fixtures import CMT_SQL, QUAKE_SQL, TREMOR_SQL, cmt, quake, tremor
 from tremorlake.plans.registry import query
 
 BANDS = ["M2", "S2", "N2", "K1", "O1", "Q1", "Mf", "Mm", "Ssa"]
-TRIALS = 50
+TRIALS = 400
 _BANDS = f"bands(band, species, start, rate, period) AS (VALUES {tides.values_sql(BANDS)})"
 
 
@@ -351,51 +351,64 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("moonquake_nest_coulomb")
 def nest_coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each nest the plane and friction whose stress varies least at its events, relative to the reference, against cyclic shifts; Benjamini-Hochberg."""
-    n, step, trials, mu_grid = 4096, 0.25, 20, (0.0, 0.3, 0.6)
-    grid = materialize(physics.to_local(physics.tidal_tensor(physics.series(spark, 8760.0, step, n), F.col("day")).withColumns({"lat": F.lit(10.0), "lon": F.lit(20.0)}), "lat", "lon").select("k", "nn", "ne", "nd", "ee", "ed", "dd"), "grid")
-    events = tremor(spark, sf_dir).select(F.substring("family", 2, 2).cast("int").alias("nest"), "day")
-    idx = events.withColumn("i", F.least(F.greatest(F.round((F.col("day") - 8760.0) / step), F.lit(0)), F.lit(n - 1)).cast("long"))
-    shifts = spark.range(trials + 1).select(F.col("id").cast("int").alias("trial"), F.when(F.col("id") == 0, 0).otherwise(F.pmod(F.col("id") * 977, F.lit(n))).alias("off"))
-    counts = idx.groupBy("nest", "i").agg(F.count("*").alias("c"))
-    at = counts.crossJoin(F.broadcast(shifts)).withColumn("k", F.pmod(F.col("i") + F.col("off"), F.lit(n)))
-    sampled = at.join(F.broadcast(grid), "k").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int"))))
-    cov = materialize(physics.covariance(sampled, ["nest", "trial"]).where("n >= 20"), "cov")
-    planes = physics.plane_grid(spark, 45, 30, 60).crossJoin(spark.createDataFrame([(m,) for m in mu_grid], "mu double"))
+    """For each nest, at its own place, the plane and friction whose stress varies least at its events, relative to all times;
+    against cyclic shifts of the events and against as many uniformly drawn times; Benjamini-Hochberg on the first."""
+    n, step, trials, mu_grid = 4096, 0.25, 200, (0.0, 0.3, 0.6)
+    grid = materialize(physics.tidal_tensor(physics.series(spark, 8760.0, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
+    nest = F.substring("family", 2, 2).cast("int").alias("nest")
+    places = F.broadcast(tremor(spark, sf_dir).groupBy(nest).agg(F.avg("lat_deg").alias("lat"), F.avg("lon_deg").alias("lon"), F.count("*").alias("n_events")).where("n_events >= 20"))  # a nest a row
+    at = F.least(F.greatest(F.round((F.col("day") - 8760.0) / step), F.lit(0)), F.lit(n - 1)).cast("long")
+    counts = materialize(tremor(spark, sf_dir).select(nest, at.alias("i")).groupBy("nest", "i").agg(F.count("*").alias("c")), "counts")
+    trial = spark.range(trials + 1).select(F.col("id").cast("int").alias("trial"))
+    off = F.when(F.col("trial") == 0, 0).otherwise(F.pmod(F.col("trial") * 977, F.lit(n)))
+    cyclic = counts.crossJoin(F.broadcast(trial)).select(F.lit("cyclic").alias("kind"), "nest", "trial", F.pmod(F.col("i") + off, F.lit(n)).alias("k"), "c")
+    each = materialize(counts.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).select("nest", mix2(F.col("i") * 64 + F.col("nest"), F.col("j"), 81).alias("key")), "keys")
+    uniform_ = each.crossJoin(F.broadcast(trial.where("trial > 0"))).select(F.lit("uniform").alias("kind"), "nest", "trial", (mix2(F.col("key"), F.col("trial"), 83) % n).alias("k"), F.lit(1).cast("long").alias("c"))
+    every = places.select(F.lit("all").alias("kind"), "nest", F.lit(0).alias("trial")).crossJoin(grid.select("k")).withColumn("c", F.lit(1).cast("long"))
+    met = cyclic.unionByName(uniform_).unionByName(every).join(F.broadcast(grid), "k").join(places, "nest")  # the grid has n rows
+    cov = materialize(physics.covariance(physics.to_local(met, "lat", "lon"), ["kind", "nest", "trial"], "c"), "cov")
     weights = physics.coulomb_coefficients(F.col("strike"), F.col("dip"), F.col("rake"), F.col("mu"))
-    ref = physics.covariance(grid, []).crossJoin(F.broadcast(planes)).select("plane", "mu", "strike", "dip", "rake", physics.coulomb_sd(weights).alias("ref_sd")).where("ref_sd > 0")
-    best = cov.crossJoin(F.broadcast(ref)).groupBy("nest", "trial").agg(F.min(physics.coulomb_sd(weights) / F.col("ref_sd")).alias("score"))
+    planes = materialize(physics.plane_grid(spark, 45, 30, 60).crossJoin(spark.createDataFrame([(m,) for m in mu_grid], "mu double")).select("plane", "mu", *[w.alias(f"w{i}") for i, w in enumerate(weights)]), "planes")
+    sds = cov.crossJoin(F.broadcast(planes)).select("kind", "nest", "trial", "plane", "mu", physics.coulomb_sd([F.col(f"w{i}") for i in range(6)]).alias("sd"))
+    ref = sds.where("kind = 'all'").select("nest", "plane", "mu", F.col("sd").alias("ref_sd")).where("ref_sd > 0")
+    best = materialize(sds.where("kind != 'all'").join(ref, ["nest", "plane", "mu"]).groupBy("kind", "nest", "trial").agg(F.min(F.col("sd") / F.col("ref_sd")).alias("score")), "best")
     own = best.where("trial = 0").select("nest", F.col("score").alias("observed"))
-    p = best.where("trial > 0").join(own, "nest").groupBy("nest", "observed").agg(circular.empirical_p(F.col("score"), F.col("observed"), trials, smaller=True).alias("p"))
-    return circular.benjamini_hochberg(p, "p", 0.05, "nest")
+    ps = best.where("trial > 0").join(own, "nest").groupBy("nest", "observed", "kind").agg(circular.empirical_p(F.col("score"), F.col("observed"), trials, smaller=True).alias("p"))
+    both = ps.groupBy("nest", "observed").agg(*[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(v) for k, v in (("cyclic", "p"), ("uniform", "p_uniform"))])
+    return circular.benjamini_hochberg(both, "p", 0.05, "nest")
 
 
 @query("gcmt_coulomb_sign")
 def gcmt_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share and mean of tidal stress on events' own planes, against block shifts of the tensors."""
-    e = cmt(spark, sf_dir).where(F.col("magnitude") >= 5.5)
-    trials = 20
-    shifted = joins.block_offsets(e, 30, 1.03505, trials, -2191.0).unionByName(e.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
-    local = physics.to_local(physics.tidal_tensor(shifted, F.col("day") + F.col("offset")), "lat_deg", "lon_deg")
-    x = local.select("trial", F.posexplode("planes").alias("which", "pl"), "nn", "ne", "nd", "ee", "ed", "dd")
-    x = x.withColumn("cfs", physics.stress_pa(physics.coulomb(F.col("pl.strike"), F.col("pl.dip"), F.col("pl.rake"), 0.4)))
-    t = materialize(x.groupBy("which", "trial").agg(F.avg(F.when(F.col("cfs") > 0, 1.0).otherwise(0.0)).alias("fraction"), F.avg("cfs").alias("mean")), "signs")
+    """Share and mean of tidal stress on events' own planes, against 400 block shifts of the tensors."""
+    t = materialize(_shifted_tensors(cmt(spark, sf_dir).where(F.col("magnitude") >= 5.5), 400).select("trial", F.posexplode("planes").alias("which", "pl"), "nn", "ne", "nd", "ee", "ed", "dd").withColumn("cfs", physics.stress_pa(physics.coulomb(F.col("pl.strike"), F.col("pl.dip"), F.col("pl.rake"), 0.4))).groupBy("which", "trial").agg(F.avg(F.when(F.col("cfs") > 0, 1.0).otherwise(0.0)).alias("fraction"), F.avg("cfs").alias("mean")), "signs")
     own = t.where("trial = 0").select("which", F.col("fraction").alias("observed"), F.col("mean").alias("observed_mean"))
-    return t.where("trial > 0").join(own, "which").groupBy("which", "observed", "observed_mean").agg(circular.empirical_p(F.col("fraction"), F.col("observed"), trials).alias("p_fraction"), circular.empirical_p(F.col("mean"), F.col("observed_mean"), trials).alias("p_mean"))
+    return t.where("trial > 0").join(own, "which").groupBy("which", "observed", "observed_mean").agg(circular.empirical_p(F.col("fraction"), F.col("observed"), 400).alias("p_fraction"), circular.empirical_p(F.col("mean"), F.col("observed_mean"), 400).alias("p_mean"))
+
+
+def _shifted_tensors(e: DataFrame, trials: int) -> DataFrame:
+    """Events with their local tidal tensor at their own time (trial 0) and at times that move by blocks of 30 days, 0 to 1.03505 days each."""
+    moved = joins.block_offsets(e, 30, 1.03505, trials, -2191.0).unionByName(e.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
+    return physics.to_local(physics.tidal_tensor(moved, F.col("day") + F.col("offset")), "lat_deg", "lon_deg")
 
 
 @query("metivier_reproduction")
 def metivier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of events at uplift overall and by quartiles of depth and magnitude, from a tensor grid that is interpolated."""
-    step, n = 0.25, 12000
-    grid = physics.tidal_tensor(physics.series(spark, -2195.0, step, n), F.col("day")).select("k", *physics.COMPONENTS)
-    x = joins.interpolated(quake(spark, sf_dir), materialize(grid, "grid"), -2195.0, step, n, F.col("day"), list(physics.COMPONENTS))
-    x = materialize(physics.to_local(x, "lat_deg", "lon_deg").select("event_idx", "depth_km", "magnitude", (F.col("dd") > 0).cast("double").alias("up")), "uplift")
-    out = x.agg(F.lit("all").alias("by"), F.lit(0).alias("bin"), F.count("*").alias("n"), F.avg("up").alias("uplift"))
+    """Share of events at uplift overall and by quartiles of depth and magnitude, from a tensor grid that is interpolated, with
+    the p of each share among 100 block shifts of the tensors."""
+    step, n, trials = 0.25, 12100, 100
+    grid = materialize(physics.tidal_tensor(physics.series(spark, -2195.0, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
+    q = quake(spark, sf_dir)
     for key in ("depth_km", "magnitude"):
-        b = equal_count_bins(x.where(F.col(key).isNotNull()), F.col(key), 4, F.col("event_idx"))
-        out = out.unionByName(b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("up").alias("uplift")).withColumn("by", F.lit(key)))
-    return out
+        q = equal_count_bins(q, F.col(key), 4, F.col("event_idx"), name=f"{key}_bin")
+    moved = joins.block_offsets(materialize(q, "binned"), 30, 1.03505, trials, -2191.0)
+    moved = moved.unionByName(q.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
+    x = joins.interpolated(moved, grid, -2195.0, step, n, F.col("day") + F.col("offset"), list(physics.COMPONENTS))
+    up = (F.col("dd") > 0).cast("double")
+    bins = F.array(F.struct(F.lit("all").alias("by"), F.lit(0).alias("bin")), *[F.struct(F.lit(k).alias("by"), F.col(f"{k}_bin").alias("bin")) for k in ("depth_km", "magnitude")])
+    s = materialize(physics.to_local(x, "lat_deg", "lon_deg").select("trial", up.alias("up"), F.explode(bins).alias("b")).groupBy("b.by", "b.bin", "trial").agg(F.count("*").alias("n"), F.avg("up").alias("up")), "uplift")
+    own = s.where("trial = 0").select("by", "bin", "n", F.col("up").alias("uplift"))
+    return s.where("trial > 0").select("by", "bin", "up").join(own, ["by", "bin"]).groupBy("by", "bin", "n", "uplift").agg(circular.empirical_p(F.col("up"), F.col("uplift"), trials).alias("p"))
 
 
 def _stress(spark: SparkSession, start: float, days: int) -> DataFrame:
@@ -404,31 +417,51 @@ def _stress(spark: SparkSession, start: float, days: int) -> DataFrame:
     return physics.to_local(grid, "lat", "lon").select("k", "day", physics.stress_pa(physics.coulomb(F.lit(320.0), F.lit(90.0), F.lit(180.0), 0.4)).alias("value"))
 
 
+LUNAR = (27.555, 29.531)  # days, of which shifts are no multiples
+
+
+def _site_maxima(spark: SparkSession) -> DataFrame:
+    """Maxima of the site's stress over the events' time and 4,000 days on either side."""
+    return materialize(physics.maxima(_stress(spark, 4600.0, 8400)), "maxima")
+
+
 @query("parkfield_coulomb_phase")
 def coulomb_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schuster power of the twelve largest families on the phase between stress maxima, against whole-day shifts that avoid lunar multiples."""
-    tops = materialize(physics.maxima(_stress(spark, 8650.0, 250)), "maxima").select("day", F.lit(1).alias("site"))
+    """Schuster power of the twelve largest families on the phase between stress maxima, against 400 whole-day shifts of 30 to 3,999
+    days that avoid lunar multiples; Benjamini-Hochberg."""
     families = tremor(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "family").limit(12).select("family")
-    e = tremor(spark, sf_dir).join(F.broadcast(families), "family", "left_semi").select("event_idx", "family", "day", F.lit(1).alias("site"))
-    offs = [d for d in range(3, 60) if all(abs(round(d / p) * p - d) >= 2 for p in (27.555, 29.531))][:19]
-    moved = e.withColumn("shift", F.explode(F.array(F.lit(0), *map(F.lit, offs)))).withColumn("day", F.col("day") + F.col("shift"))
-    ph = physics.forcing_phase(joins.as_of_both(moved, tops, ["site"], 30.0))
-    s = materialize(circular.schuster(ph, ["family", "shift"]), "powers")
-    own = s.where("shift = 0").select("family", F.col("power").alias("observed"), "mean_phase")
-    p = s.where("shift > 0").select("family", "power").join(own, "family").groupBy("family", "observed", "mean_phase").agg(circular.empirical_p(F.col("power"), F.col("observed"), len(offs)).alias("p"))
+    e = tremor(spark, sf_dir).join(F.broadcast(families), "family", "left_semi").select(F.col("family").alias("grp"), F.lit(0).alias("bin"), "day")
+    s = materialize(shifts.shifted_sums(e, _site_maxima(spark), shifts.whole_days(400, avoid=LUNAR)).withColumn("power", circular.power(F.col("c"), F.col("s"), F.col("n"))), "powers")
+    own = s.where("trial = 0").select("grp", F.col("power").alias("observed"), F.degrees(F.atan2("s", "c")).alias("mean_phase"))
+    p = s.where("trial > 0").select("grp", "power").join(own, "grp").groupBy(F.col("grp").alias("family"), "observed", "mean_phase").agg(circular.empirical_p(F.col("power"), F.col("observed"), 400).alias("p"))
     return circular.benjamini_hochberg(p, "p", 0.05, "family")
 
 
 @query("parkfield_amplitude_law")
 def amplitude_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power in six equal-count bins of cycle height, and the slope of its logarithm."""
-    tops = materialize(physics.maxima(_stress(spark, 8650.0, 250)), "maxima")
-    e = tremor(spark, sf_dir).select("event_idx", "day", F.lit(1).alias("site"))
-    x = physics.forcing_phase(joins.as_of_both(e, tops.select("day", F.lit(1).alias("site")), ["site"], 30.0))
+    """Power in six equal-count bins of cycle height with its p, and the slope of its logarithm with a p: against 2,000 whole-day
+    shifts of 30 to 3,999 days, for which the slope's bins keep their edges. A slope needs 100 events in each bin."""
+    return amplitude_law_of(tremor(spark, sf_dir), _site_maxima(spark), 6, 2000, 100)
+
+
+def amplitude_law_of(events: DataFrame, tops: DataFrame, bins: int, trials: int, least: int) -> DataFrame:
+    x = physics.forcing_phase(joins.as_of_both(events.select("event_idx", "day", F.lit(1).alias("site")), tops.select("day", F.lit(1).alias("site")), ["site"], 30.0))
     x = x.join(tops.select(F.col("day").alias("prev"), "height"), "prev")
-    b = equal_count_bins(x, F.col("height"), 6, F.col("event_idx"))
-    s = materialize(circular.schuster(b, ["bin"]).join(b.groupBy("bin").agg(F.avg(F.abs("height")).alias("amplitude")), "bin"), "bins")
-    return s.crossJoin(circular.loglog_slope(s, "amplitude", "power"))
+    b = materialize(equal_count_bins(x, F.col("height"), bins, F.col("event_idx")).select("event_idx", "day", "height", "bin"), "binned")
+    edges = [r.low for r in b.groupBy("bin").agg(F.min("height").alias("low")).orderBy("bin").collect()][1:]  # a row a bin
+    offsets = shifts.whole_days(trials)
+    e = b.select(F.lit("").alias("grp"), "bin", "day")
+    power, height = circular.power(F.col("c"), F.col("s"), F.col("n")), F.abs(F.col("a") / F.col("n"))
+    fixed = materialize(shifts.shifted_sums(e, tops, offsets).select("bin", "trial", "n", power.alias("power"), height.alias("amplitude")), "fixed")
+    binned = shifts.shifted_sums(e, tops, offsets, edges).select("bin", "trial", "n", power.alias("power"), height.alias("amplitude"))
+    slopes = materialize(binned.groupBy("trial").agg(F.min("n").alias("least"), F.count("*").alias("bins"), F.regr_slope(F.log("power"), F.log("amplitude")).alias("slope")).where((F.col("least") >= least) & (F.col("bins") == bins)), "slopes")
+    own = fixed.where("trial = 0").select("bin", "n", "amplitude", F.col("power").alias("observed"))
+    ps = fixed.where("trial > 0").select("bin", "power").join(own, "bin").groupBy("bin", "n", "amplitude", "observed").agg(F.max("power").alias("null_max"), circular.empirical_p(F.col("power"), F.col("observed"), trials).alias("p"))
+    seen = F.max(F.when(F.col("trial") == 0, F.col("slope")))
+    tests = slopes.agg(seen.alias("slope"), F.sum((F.col("trial") > 0).cast("int")).alias("valid"))
+    ge = slopes.where("trial > 0").select(F.col("slope").alias("x")).crossJoin(F.broadcast(tests)).agg(F.sum((F.col("x") >= F.col("slope")).cast("int")).alias("ge"))
+    both = tests.crossJoin(ge).select("slope", F.when(F.col("slope").isNotNull(), (F.coalesce("ge", F.lit(0)) + 1) / (F.coalesce("valid", F.lit(0)) + 1.0)).alias("p_slope"))
+    return ps.crossJoin(F.broadcast(both))
 
 
 @query("lunar_tidal_field")
@@ -474,12 +507,20 @@ def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("site", F.round((F.col("day") - 7305) * 24).cast("long").alias("k"), F.round("strain", 5).alias("strain"))
 
 
-@query("verify_loading_phase")
+# Hourly strain from day 7305 at longitude -120.150, computed outside, and the M2 amplitude and phase it stands for.
+TRUTH = (-2.61715, -2.68867, -2.26031, -1.38144, -0.20627, 1.04126, 2.11910, 2.82257, 3.03018, 2.72902, 2.01411, 1.06245)
+TRUTH_LON, TRUTH_AMPLITUDE, TRUTH_PHASE = -120.150, 2.7008, 130.43
+_M2 = tides.constituent("M2")
+_ARGUMENT = f"{_M2.start!r}::DOUBLE + {_M2.rate!r}::DOUBLE * (7305 + k / 24.0::DOUBLE) + 2 * {TRUTH_LON}::DOUBLE"
+
+
+@query("verify_loading_phase", "WITH truth(k, x) AS (VALUES " + ", ".join(f"({k}, {x}::DOUBLE)" for k, x in enumerate(TRUTH)) + f"), m AS (SELECT x, {TRUTH_AMPLITUDE}::DOUBLE * cos(radians({_ARGUMENT} + {TRUTH_PHASE} + 10.97)) AS plus, {TRUTH_AMPLITUDE}::DOUBLE * cos(radians({_ARGUMENT} - {TRUTH_PHASE} + 10.97)) AS minus FROM truth) SELECT round(corr(plus, x), 6) AS r_plus, round(corr(minus, x), 6) AS r_minus, round(max(abs(plus - x)), 5) AS worst FROM m")
 def verify_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of two sign conventions of the loading phase with a reference series of the first."""
-    c = s17(spark, sf_dir).where("site = 'Parkfield' and band = 'M2'").join(F.broadcast(tides.table(spark, ["M2"])), "band")
-    days = physics.series(spark, 7305.0, 1 / 24, 12).select("day")
-    a = physics.loading_strain(c, days).withColumnRenamed("strain", "plus")
-    b = physics.loading_strain(c.withColumn("phase_deg", -F.col("phase_deg")), days).withColumnRenamed("strain", "minus")
-    truth = physics.loading_strain(c, days, 9.0).withColumnRenamed("strain", "truth")
-    return a.join(b, ["site", "day"]).join(truth, ["site", "day"]).agg(F.corr("plus", "truth").alias("r_plus"), F.corr("minus", "truth").alias("r_minus"))
+    """Two sign conventions of the loading phase against twelve hours of strain that another program computed."""
+    c = spark.createDataFrame([("truth", TRUTH_LON, "M2", TRUTH_AMPLITUDE, TRUTH_PHASE)], "site string, lon double, band string, amplitude double, phase_deg double").join(F.broadcast(tides.table(spark, ["M2"])), "band")
+    days = physics.series(spark, 7305.0, 1 / 24, 12)
+    a = physics.loading_strain(c, days.select("day")).withColumnRenamed("strain", "plus")
+    b = physics.loading_strain(c.withColumn("phase_deg", -F.col("phase_deg")), days.select("day")).withColumnRenamed("strain", "minus")
+    truth = days.join(spark.createDataFrame(list(enumerate(TRUTH)), "k long, truth double"), "k").select("day", "truth")
+    x = a.join(b, ["site", "day"]).join(truth, "day")
+    return x.agg(F.round(F.corr("plus", "truth"), 6).alias("r_plus"), F.round(F.corr("minus", "truth"), 6).alias("r_minus"), F.round(F.max(F.abs(F.col("plus") - F.col("truth"))), 5).alias("worst"))
