@@ -110,6 +110,32 @@ def test_chains_of_links(spark):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(want.values()))
 
 
+def test_buckets_larger_than_a_run(spark, monkeypatch):
+    """Buckets of more than RUN members, and ranges that cut buckets, lose no link: exact components of a dense ball and chains."""
+    monkeypatch.setattr(simhash, "by_range", lambda rows, key, member, n: rows.repartitionByRange(23, key, member).sortWithinPartitions(key, member))
+    r = random.Random(12)
+    ball = r.getrandbits(64)
+    prints = {ball ^ sum(1 << b for b in r.sample(range(64), r.choice([3, 4, 5, 6]))) for _ in range(700)}
+    prints |= {r.getrandbits(64) for _ in range(100)}
+    prints = sorted(prints)
+    want = brute_components(prints, prints)
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
+    for most in (simhash.RUN, 5):
+        got = {x.fp % 2**64: x.root for x in simhash.linked(df, most).collect()}
+        same = {}
+        for p in prints:
+            same.setdefault(got[p], set()).add(want[p])
+        assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(want.values())) < len(prints) - 100
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    r = random.Random(3)
+    a, b, c = (words(r, "en", 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (None, c), (None, c), (3, c), (4, None), (5, " ")]
+    kept = {(x.doc_id, x.text) for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {(1, a), (1, b), (3, c), (4, None)}
+
+
 def test_one_of_each(spark):
     r = random.Random(2)
     a, b = words(r, "en", 50), words(r, "en", 50)
@@ -197,14 +223,22 @@ def test_ppm_without_training(spark):
 TEXTS = ["", " ", "Hello  world", "it's we're I'M", "a\n\n b\t\tc  ", "<|endoftext|>x<|endoftext|>", "ünïcode 東京 \U0001f600\U0001f1e9", "12345 67,890.12", "x" * 500, "  leading", "trailing  ", " nbsp line", "٣٤ ½ Ⅷ", "<s> </s> ▁ ▁▁x"]
 
 
-def test_token_counts_parity(spark):
+def test_token_counts_parity(spark, monkeypatch):
+    """Equal to the library on whole texts, over several blocks and partitions; each distinct pre-token is encoded once."""
     from tokenizers import Tokenizer
 
     path = token_counts.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     r = random.Random(3)
-    texts = TEXTS + ["".join(r.choice("abc '\n\t.,;0159éß東́‍") for _ in range(80)) for _ in range(300)]
-    assert token_counts.counter(path).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    texts = TEXTS + ["".join(r.choice("abc '\n\t.,;0159éß東́‍") for _ in range(80)) for _ in range(300)] + [words(r, "en", 3000), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in token_counts.token_counts(df).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 512), t
+    tokens = [x.token for x in token_counts.frequencies(df, "byte_bpe_50k.json").where("token is not null").select("token").distinct().collect()]
+    split = token_counts.pre_tokens(path).split
+    assert sorted(tokens) == sorted({w for t in texts for w in split(t or "")[0]})
 
 
 def test_sentencepiece_parity():
@@ -240,6 +274,38 @@ def test_unigram_models_are_read(tmp_path):
         assert codec.encode([t])[0].tolist() == theirs.encode(t)
 
 
+def test_unigram_of_a_whole_vocabulary(tmp_path):
+    """The 32,000 pieces of the public model as a unigram model with byte fallback, on whole documents: sentencepiece's own ids
+    and texts. No tokenizer is trained: the scores are a rule."""
+    import glob
+    import struct
+
+    import pyarrow.parquet as pq
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def field(n, v):
+        if isinstance(v, bytes):
+            return varint(n << 3 | 2) + varint(len(v)) + v
+        return varint(n << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else varint(n << 3) + varint(v)
+
+    with open(sentencepiece_codec.model_path("piece_bpe_32k.model"), "rb") as f:
+        spec = sentencepiece_codec.Spec(f.read())
+    pieces = [(p, 0.0 if kind != 1 else round((-4.0 - 1.7 * math.log(i + 1)) * 256) / 256, kind) for i, (p, _, kind) in enumerate(spec.pieces)]  # sums are exact
+    data = b"".join(field(1, field(1, p.encode()) + field(2, float(np.float32(x))) + field(3, kind)) for p, x, kind in pieces)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path = tmp_path / "u.model"
+    path.write_bytes(data)
+    codec = sentencepiece_codec.Codec(str(path))
+    r = random.Random(2)
+    texts = TEXTS + [words(r, "en", 400)]
+    for at in sorted(glob.glob("/root/testdata/sf0.001/documents.parquet")):
+        texts += [t for t in pq.read_table(at).column("text").to_pylist() if t]
+    wrong = codec.verify(str(path), texts)
+    assert wrong == [] and len(texts) > 14, [texts[i][:80] for i in wrong[:3]]
+
+
 # 5 WARC
 
 
@@ -329,7 +395,7 @@ def test_spotsigs_pairs(spark):
 
 
 def brute_phrases(train, text):
-    """Longest matches from left to right; blocks end matches as the operator has it."""
+    """Longest matches from left to right."""
     n = at = 0
     while at < len(text):
         k = at + 1
@@ -340,16 +406,49 @@ def brute_phrases(train, text):
     return n
 
 
-def test_cross_parsing_against_brute_force():
-    r = random.Random(8)
-    samples = {k: words(r, k, 200) for k in SYLLABLES}
+def same_phrases(samples, texts):
     p = cross_parse.Parser(samples)
     norm = lambda t: "".join(map(chr, cross_parse.normalised(t)))
-    texts = [words(r, r.choice(["en", "de"]), 60)[:900] for _ in range(30)] + ["zzz", "A!!b", "ß Ä qqq"]
     n, sizes = p.phrases(texts)
     for i, t in enumerate(texts):
-        assert [brute_phrases(norm(samples[k]), norm(t)) for k in p.langs] == n[i].tolist()
-    assert sizes[0] == len(norm(texts[0]))
+        assert n[i].tolist() == [brute_phrases(norm(samples[k]), norm(t)) if sizes[i] else 0 for k in p.langs]
+    return p
+
+
+@pytest.mark.parametrize("dense", [1, cross_parse.DENSE])
+def test_cross_parsing_against_brute_force(monkeypatch, dense):
+    """Short and long texts, copies of the training text, unknown letters; with tables and without."""
+    monkeypatch.setattr(cross_parse, "DENSE", dense)
+    r = random.Random(8)
+    samples = {"en": words(r, "en", 300), "de": words(r, "de", 200)}
+    texts = [words(r, r.choice(["en", "de"]), r.choice([3, 60, 1500])) for _ in range(20)] + ["zzz", "A!!b", "ß Ä qqq", "", "12", "x" * 3000, samples["en"] * 3, samples["de"] + samples["en"]]
+    assert max(map(len, texts)) > 5000
+    same_phrases(samples, texts)
+
+
+@pytest.mark.parametrize("block", [3, 7, 50])
+def test_cross_parsing_in_short_blocks(monkeypatch, block):
+    monkeypatch.setattr(cross_parse, "BLOCK", block)
+    r = random.Random(block)
+    for _ in range(25):
+        samples = {"a": "".join(r.choice("ab ") for _ in range(r.randint(1, 60))), "b": "".join(r.choice("abc") for _ in range(r.randint(1, 80)))}
+        same_phrases(samples, ["".join(r.choice("abcd ") if r.random() < 0.1 else r.choice("ab") for _ in range(r.randint(0, 200))) for _ in range(6)] + [samples["a"] * 4, samples["b"] * 3 + "zz" + samples["a"]])
+
+
+def test_three_large_alphabets():
+    r = random.Random(4)
+    samples = {f"l{j}": "".join(chr(0x4E00 + 6500 * j + r.randrange(6000)) for _ in range(24_000)) for j in range(3)}
+    texts = [samples["l1"][5000:9000] + "".join(chr(0x4E00 + 6500 + r.randrange(6000)) for _ in range(2000)), samples["l2"][:50]]
+    assert same_phrases(samples, texts).predict(texts)[0] == ["l1", "l2"]
+
+
+def test_little_training_text_is_no_disadvantage():
+    """Of two languages of one kind, that with a tenth of the other's training text still wins its own texts."""
+    r = random.Random(3)
+    p = cross_parse.Parser({"en": words(r, "en", 3000), "de": words(r, "de", 300)})
+    texts = [words(r, "de", 40) for _ in range(100)] + [words(r, "en", 40) for _ in range(100)]
+    got = p.predict(texts)[0]
+    assert got[:100].count("de") >= 97 and got[100:].count("en") >= 97
 
 
 def test_language_held_out(spark):
@@ -428,12 +527,54 @@ def test_span_model():
     assert pii.redacted("a b@c.de f", pii.find("a b@c.de f", model)[1]) == "a [EMAIL] f"
 
 
-def test_gradient_is_that_of_the_likelihood():
-    model = pii.Model()
-    (text, gold), *_ = [x for x in pii.sentences(30, 5) if len(x[1]) == 2]
+def log_likelihood(model, text, gold):
+    """Over all segmentations, by brute force."""
     lattice = pii.Lattice(text, 0, len(text))
+    n = len(lattice.places) - 1
+    weights = {}
+
+    def walk(i, before, score, spans):
+        if i == n:
+            weights[frozenset(spans)] = score
+            return
+        walk(i + 1, False, score, spans)
+        for j in range(i + 1, n + 1):
+            for at, f, kinds in lattice.ends[j]:
+                if at == i:
+                    for k in kinds:
+                        walk(j, True, score + model.score(f, k) + (model.weights.get(("after", k), 0.0) if before else 0.0), [*spans, (lattice.places[i], k, lattice.places[j])])
+
+    walk(0, False, 0.0, [])
+    return weights[frozenset(gold)] - math.log(sum(map(math.exp, weights.values())))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    r = random.Random(3)
+    text, gold = "a 10.0.0.1+4915112345678 b", {(2, 1, 10), (10, 3, 24)}
+    model, lattice = pii.Model(), pii.Lattice(text, 0, len(text))
+    for x in {y for ends in lattice.ends for _, f, kinds in ends for k in kinds for y in [*((z, k) for z in f), ("bias", k), ("after", k)]}:
+        model.weights[x] = r.uniform(-0.3, 0.3)
     g = model.gradient(lattice, gold)
-    assert abs(sum(v for (f, _), v in g.items() if f == "bias")) < 5 and all(math.isfinite(v) for v in g.values())
+    for key in sorted(model.weights, key=str)[::7] + [("after", 3), ("bias", 1), ("after", 1)]:
+        at, step = model.weights[key], 1e-5
+        model.weights[key] = at + step
+        high = log_likelihood(model, text, gold)
+        model.weights[key] = at - step
+        low = log_likelihood(model, text, gold)
+        model.weights[key] = at
+        assert abs((high - low) / (2 * step) - g.get(key, 0.0)) < 1e-5, key
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    model, r = pii.trained(), random.Random(3)
+    data = pii.sentences(200, seed=5)
+    for _ in range(60):
+        t = (" " + words(r, "en", 40) + " ").join(r.choice(data)[0] for _ in range(5))
+        assert [e for a, b in pii.windows(t) for e in model.decode(t, a, b)] == model.decode(t, 0, len(t))
+    t = "x" * 70 + " [at] example [dot] com"
+    assert pii.find(t, model)[1] == [(0, 0, len(t))]
+    for t in ("567.89 12345678901", "order 1234567890 shipped", "1234567812345678 units"):
+        assert pii.find(t, model)[1] == []
 
 
 # 1 toxicity
@@ -462,19 +603,34 @@ def test_toxicity_held_out(spark):
     assert sum((got[i] >= 0.5) == y for i, y in held) >= 0.97 * len(held) and 0 <= got[900] < 0.5 and got[900] == got[901]
 
 
-def test_factors_learn_what_single_terms_cannot():
-    """Only the pair of two terms is toxic; each alone is not."""
+def fitted(labels, held):
+    return toxicity.fit(np.array(labels), np.array([len(h) for h in held]), np.array([p for h in held for p in h]), (labels.count(0), labels.count(1)))
+
+
+@pytest.mark.parametrize("rule", ["both", "both or neither"])
+def test_factors_learn_what_single_terms_cannot(rule):
+    """Only the pair of two terms tells; under the second rule neither term goes with the label at all by itself."""
     r = random.Random(1)
     labels, held = [], []
-    for _ in range(1500):
+    for _ in range(3000):
         a, b = r.random() < 0.5, r.random() < 0.5
-        labels.append(int(a and b))
+        labels.append(int(a and b if rule == "both" else a == b))
         held.append(sorted([*([10] if a else []), *([20] if b else []), 1000 + r.randrange(50)]))
-    m = toxicity.fit(labels, held, (labels.count(0), labels.count(1)))
+    m = fitted(labels, held)
     at = lambda *p: m.logit(sorted(m.index[x] for x in p))
-    assert at(10, 20) > 0 > max(at(10), at(20))
-    v = m.v[[m.index[10], m.index[20]]]
-    assert abs(0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()) - v[0] @ v[1]) < 1e-9
+    assert at(10, 20) > 0 > max(at(10), at(20)) and (at() > 0) == (rule != "both")
+
+
+def test_score_is_the_sum_over_all_pairs():
+    r = random.Random(2)
+    n = 12
+    places = np.array(sorted({p for w in ("alpha", "bravo", "charlie", "delta") for p in toxicity.places(w)}))
+    m = toxicity.Machine(-0.4, places, np.array([r.uniform(-1, 1) for _ in places]), np.array([[r.uniform(-1, 1) for _ in range(4)] for _ in places]))
+    for _ in range(n):
+        text = " ".join(r.sample(["alpha", "Bravo", "charlie", "delta", "unknown"], 3))
+        held = [list(places).index(p) for p in toxicity.terms(text) if p in places]
+        x = -0.4 + sum(m.w[i] for i in held) + sum(float(m.v[i] @ m.v[j]) for i in held for j in held if i < j)
+        assert abs(m.score(text) - 1 / (1 + math.exp(-x))) < 1e-12
 
 
 # 2 decontamination
@@ -520,6 +676,25 @@ def test_hamming_blocks_find_all_within_the_radius():
         assert index.within(p, 30) == {j for j in range(40) if (int(index.prints[j]) ^ p).bit_count() <= decontaminate.RADIUS}
 
 
+def test_index_alone_finds_similar_windows():
+    """Without the gate of shared shingles: items and windows at a similarity of 0.8 or more meet in the index."""
+    r = random.Random(9)
+    items = [(i, words(r, "en", r.choice([20, 40, 60, 90]))) for i in range(400)]
+    index = decontaminate.Index(items)
+    tried = met = other = 0
+    for i, text in items:
+        w = decontaminate.words_of(text)
+        for edits in (0, 1, 2, 3):
+            x = list(w)
+            for _ in range(edits):
+                x[r.choice([0, len(x) - 1, r.randrange(len(x))])] = f"edit{r.random()}"
+            if decontaminate.similarity(decontaminate.weights(x), index.weights[i]) >= 0.8:
+                print_ = int(decontaminate.simhash(decontaminate.signs(decontaminate.shingles_of(decontaminate.codes_of(x), 5)).sum(0, keepdims=True))[0])
+                found = index.within(print_, len(x))
+                tried, met, other = tried + 1, met + (i in found), other + len(found - {i})
+    assert tried > 600 and met >= 0.999 * tried and other < 0.05 * tried * len(items) / 4
+
+
 # Odd tables, for every operator
 
 
@@ -553,6 +728,23 @@ def test_odd_tables(spark, odd, none, name):
     assert every(spark, none)[name]().count() == 0
 
 
+def test_values_on_odd_tables(spark, odd):
+    """What null, empty, very long and repeated texts give, for the operators whose own tests do not say so."""
+    run = {k: [x.asDict() for x in v().collect()] for k, v in every(spark, odd).items() if k in ("sentencepiece", "digests", "pii", "simhash", "tokens", "decontaminate", "ppm", "language")}
+    at = lambda name, i: [x for x in run[name] if x["doc_id"] == i]
+    assert [(list(x["ids"]), x["decoded"]) for i in (3, 4) for x in at("sentencepiece", i)] == [([], ""), ([], "")]
+    assert len(at("sentencepiece", 1)) == 2 and at("sentencepiece", 1)[0] == at("sentencepiece", 1)[1] and at("sentencepiece", 6)[0]["decoded"].count("word") == 60_000
+    assert all(x["n_ids"] == 0 and x["round_trip"] for i in (3, 4) for x in at("digests", i))
+    assert [x["spans"] for i in (3, 4, 5, 8) for x in at("pii", i)] == [""] * 4 and sum(x["n_ip"] for x in run["pii"]) == 1 and len(at("pii", None)) == 2
+    same = {x["component_id"] for i in (1, 2) for x in at("simhash", i)} | {x["fp"] for i in (3, 4, 5) for x in at("simhash", i)}
+    assert 1 in same and {x["component_id"] for i in (3, 4, 5) for x in at("simhash", i)} == {3} and {x["fp"] for i in (3, 4, 5) for x in at("simhash", i)} == {0}
+    assert [(x["n_tokens"], x["n_bytes"], x["over_limit"]) for i in (3, 4) for x in at("tokens", i)] == [(0, 0, False)] * 2 and at("tokens", 6)[0]["n_tokens"] > 180_000
+    assert len({(x["n_tokens"], x["n_bytes"]) for x in at("tokens", 1)}) == 1 and sorted(x["n_tokens"] for x in at("tokens", None))[0] == 0
+    assert sorted((x["doc_id"], x["item_id"]) for x in run["decontaminate"]) == [(1, 1), (1, 1), (2, 1)] and len({x["similarity"] for x in run["decontaminate"]}) == 1
+    assert [x["n_tokens"] for i in (3, 4, 5) for x in at("ppm", i)] == [1, 1, 1] and at("ppm", 6)[0]["n_tokens"] == 180_001
+    assert [x["lang_pred"] for i in (3, 4, 5, 9) for x in at("language", i)] == ["und"] * 4
+
+
 def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
     import corpus_pipeline as p
 

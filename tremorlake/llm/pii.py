@@ -3,8 +3,8 @@
 Base. Kinds email, ip, card and phone, leftmost non-overlapping matches of each kind's pattern; matches that fail the kind's
 test (address parts up to 255; 12 to 19 digits with a Luhn checksum; 9 to 15 digits) are dropped and not retried.
 
-Method. A text's windows around digits, @ and bracketed "at" are cut into tokens (letters, digits, white space, single
-other characters). A segmentation gives each token to an outside segment of one token or to an entity segment of at most
+Method. A text is cut into tokens (letters, digits, white space, single other characters), and stretches of them around
+digits, @ and bracketed "at", in which every possible entity lies whole, are segmented; this gives the same as segmenting the whole text. A segmentation gives each token to an outside segment of one token or to an entity segment of at most
 MOST_TOKENS tokens; an entity segment scores by features of the whole span (its groups of digits and separators, checks such as
 Luhn, address parts and domain form, what stands on either side) and by whether an entity stands right before it. Dynamic
 programming over all segmentations chooses boundaries and kinds together. The weights are fitted once on the driver by
@@ -21,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, MARGIN = 28, 48
+MOST_TOKENS = 28
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _ip = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").finditer
@@ -107,14 +108,20 @@ def features(text: str, start: int, end: int) -> tuple[list[str], tuple[int, ...
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around cues, as wide as an entity may reach, ending between tokens."""
+    """Stretches of whole tokens around cues, so wide that every segment of MOST_TOKENS tokens with a cue in it lies in one."""
+    cues = [m.start() for m in _cue.finditer(text)]
+    if not cues:
+        return []
+    places = [m.start() for m in _token(text)] + [len(text)]
     out: list[list[int]] = []
-    for m in _cue.finditer(text):
-        if out and m.start() - MARGIN <= out[-1][1]:
-            out[-1][1] = min(len(text), m.end() + MARGIN)
+    for c in cues:
+        i = bisect_right(places, c) - 1
+        low, high = max(0, i - MOST_TOKENS + 1), min(len(places) - 1, i + MOST_TOKENS)
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
         else:
-            out.append([max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)])
-    return [(a, b) for a, b in out]
+            out.append([low, high])
+    return [(places[a], places[b]) for a, b in out]
 
 
 class Lattice:
@@ -234,8 +241,12 @@ def sentences(n: int, seed: int = 11) -> list[tuple[str, set[tuple[int, int, int
             return name + pick((" [at] ", "(at)", " (at) ", "[at]")) + host.replace(".", pick((".", " [dot] ", "(dot)")))
         return f"{name}@{host}"
 
+    def checked(d: str) -> str:
+        """The digits with a last one that makes the Luhn sum right."""
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
     def card() -> str:
-        d = pick("3456") + digits(pick((14, 15, 15, 15)))
+        d = checked(pick("3456") + digits(pick((13, 14, 14, 14))))
         sep = pick(("", "", "", " ", "-"))
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep and len(d) == 16 else d
 
@@ -246,10 +257,17 @@ def sentences(n: int, seed: int = 11) -> list[tuple[str, set[tuple[int, int, int
     def ip() -> str:
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
 
+    def unchecked(d: str, sep: str = "") -> str:
+        """The digits in fours, with a wrong Luhn sum."""
+        if luhn(d):
+            d = d[:-1] + str((int(d[-1]) + 1) % 10)
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep else d
+
     def misleading() -> str:
         return pick((
             f"version {r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1900, 2099)}-{digits(2)}-{digits(2)}", f"{r.randint(1900, 2099)}", digits(r.randint(5, 11)), digits(r.randint(20, 30)),
             "".join(pick("0123456789abcdef") for _ in range(40)), "AKIA" + "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), f"password={''.join(pick('0123456789abcdef') for _ in range(18))}",
+            unchecked(pick("123456789") + digits(pick((11, 14, 15, 15, 15, 17)))), unchecked(pick("3456") + digits(15), " "), digits(10), f"order {digits(10)}", f"{digits(3)}.{digits(2)} {digits(11)}", f"no. {digits(12)}",
             f"{digits(2)}.{digits(2)}", f"{r.randint(256, 999)}.{digits(2)}.{r.randint(300, 999)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"@{word()}", f"{word()} @ {word()}", f"${digits(3)},{digits(3)}.{digits(2)}", f"{digits(4)} {digits(4)}", f"page={digits(1)}&ref={digits(5)}", f"{digits(3)}-{digits(2)}", f"{word()}{digits(9)}", f"0x{digits(12)}", f"{digits(3)} {digits(3)}", f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(2)}:{digits(2)}:{digits(2)}",
         ))
 
@@ -271,7 +289,7 @@ def sentences(n: int, seed: int = 11) -> list[tuple[str, set[tuple[int, int, int
 
 
 @functools.cache
-def trained(n: int = 700, rounds: int = 6) -> Model:
+def trained(n: int = 1000, rounds: int = 6) -> Model:
     """The model of the synthetic sentences: AdaGrad on the likelihood, sentence by sentence."""
     model, seen = Model(), defaultdict(float)
     data = []

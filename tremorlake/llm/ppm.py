@@ -14,8 +14,8 @@ log probability of each block's windows in their order; nodes of no and one symb
 257 x 257 counts. A second pass over the blocks' texts looks their windows up. What is shuffled are the distinct windows
 of blocks. `Model` is the same as an automaton for training texts that fit in memory; tests hold the two together.
 
-Base. Exact counts of all training words, found the same way: a block asks once for each of its distinct words, by their
-XXH64.
+Base. Exact counts of all training words, found the same way: a block asks once for each of its distinct words. Their
+XXH64 only says which bucket they go to and in which order; words are compared as they stand.
 
 Nulls, empties: a null text counts as empty (one token, the end). Null ids count as the empty text for the crc32 and
 stay null; repeated ids give a row each. No training text: c = N = V = 0, the base then is log10(0.1 / 0.1) = 0 a token, and
@@ -36,7 +36,7 @@ from . import common
 END, START = 256, 257
 ORDER, SHARE = 5, 0.0
 BLOCK = 512
-BLOCK_BYTES = 5 << 19  # of text whose distinct windows are asked for together
+BLOCK_BYTES = 7 << 19  # of text whose distinct windows are asked for together
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,33 +76,27 @@ def by_bucket(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(buckets + 1))
 
 
-def word_keys(words) -> np.ndarray:
-    """XXH64 of words, as signed numbers."""
+def by_word(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words -> their order by bucket, hash and word, and where each bucket begins in it."""
     import xxhash
 
     h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    return h.view(np.int64)
+    at = ((h & np.uint64((1 << 24) - 1)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, at))
+    if len(h) and (h[order][1:] == h[order][:-1]).any():
+        order = np.array(sorted(range(len(words)), key=lambda i: (at[i], h[i], words[i])), np.int64)
+    return order, np.searchsorted(at[order], np.arange(buckets + 1))
 
 
-def word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys & ((1 << 24) - 1)) % buckets
-
-
-def pack(x: np.ndarray, rising: bool = False) -> bytes:
-    """An array as compressed planes of bytes; of a rising one, its differences."""
+def streamed(*columns) -> bytes:
+    """Columns of equal length as a compressed Arrow stream."""
     import pyarrow as pa
 
-    x = np.diff(x, prepend=x.dtype.type(0)) if rising else np.ascontiguousarray(x)
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
-    import pyarrow as pa
-
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    x = np.ascontiguousarray(planes.T).view(kind).ravel()
-    return np.cumsum(x) if rising else x
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray, least: float) -> np.ndarray:
@@ -239,13 +233,14 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         def emit(kind, keys, n, at):
             by, starts = by_bucket(at, buckets)
             parts = [(b, keys[x], n[x]) for b in range(buckets) if len(x := by[starts[b] : starts[b + 1]])]
-            return rows(kind, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _, _ in parts], np.int32), n=np.array([len(k) for _, k, _ in parts], np.int64), keys=[pack(k, True) for _, k, _ in parts], counts=[pack(m) for _, _, m in parts])
+            return rows(kind, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _, _ in parts], np.int32), n=np.array([len(k) for _, k, _ in parts], np.int64), keys=[common.pack(k, True) for _, k, _ in parts], counts=[common.pack(m) for _, _, m in parts])
 
         def emit_words():
-            words = dict.fromkeys((w for t in other for w in t.lower().split()), 0) | Counter(w for t in held for w in t.lower().split())
-            keys, where = np.unique(word_keys(words), return_inverse=True)
-            n = np.bincount(where, np.fromiter(words.values(), np.float64, len(words)), len(keys)).astype(np.int64)
-            return emit(1, keys, n, word_bucket(keys, buckets))
+            counts = dict.fromkeys((w for t in other for w in t.lower().split()), 0) | Counter(w for t in held for w in t.lower().split())
+            words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            by, starts = by_word(words, buckets)
+            parts = [(b, x) for b in range(buckets) if len(x := by[starts[b] : starts[b + 1]])]
+            return rows(1, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _ in parts], np.int32), n=np.array([len(x) for _, x in parts], np.int64), keys=[streamed(pa.array([words[i] for i in x], pa.binary())) for _, x in parts], counts=[common.pack(n[x]) for _, x in parts])
 
         def emit_block():
             nonlocal short
@@ -259,11 +254,7 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, 1):
                 texts, train = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], part.column(2).to_pylist()
-                sink = pa.BufferOutputStream()
-                whole = pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "text"])
-                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(whole)
-                yield rows(2, 1, block=[block], texts=[sink.getvalue().to_pybytes()])
+                yield rows(2, 1, block=[block], texts=[streamed(part.column(0), pa.array(texts, pa.binary()))])
                 for t, learned in zip(texts, train, strict=True):
                     (held if learned else other).append(t)
                     size += len(t) + 1
@@ -300,8 +291,8 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         asked = list(zip(part.column("keys").to_pylist(), part.column("n").to_pylist(), strict=True))
         keys, n, waiting = [], [], 0
         for (k, size), c in zip(asked, part.column("counts").to_pylist(), strict=True):
-            keys.append(unpack(k, size, np.int64, True))
-            n.append(unpack(c, size, np.int64))
+            keys.append(common.unpack(k, size, np.int64, True))
+            n.append(common.unpack(c, size, np.int64))
             waiting += size
             if waiting > 2_000_000:
                 keys, n = merged(keys, n)
@@ -310,16 +301,20 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         return keys, n, asked
 
     def answers(part: pa.Table, keys: np.ndarray, values: np.ndarray, asked: list) -> list:
-        return [part.column("block"), part.column("bucket"), part.column("n"), pa.array([pack(values[np.searchsorted(keys, unpack(k, size, np.int64, True))]) for k, size in asked], pa.binary())]
+        return [part.column("block"), part.column("bucket"), part.column("n"), pa.array([common.pack(values[np.searchsorted(keys, common.unpack(k, size, np.int64, True))]) for k, size in asked], pa.binary())]
 
     def price(part: pa.Table) -> pa.Table:
         keys, n, asked = summed(part)
         return pa.table(answers(part, keys, window_costs(keys, n, order, table.value, least), asked), ["block", "bucket", "n", "found"])
 
     def count(part: pa.Table) -> pa.Table:
-        keys, n, asked = summed(part)
-        once = np.arange(len(asked)) == 0  # a bucket's sums stand in one of its rows
-        return pa.table([*answers(part, keys, n, asked), pa.array(once * n.sum()), pa.array(once * np.count_nonzero(n))], ["block", "bucket", "n", "found", "total", "kinds"])
+        words = pa.chunked_array([c for x in part.column("keys").to_pylist() for c in pa.ipc.open_stream(x).read_all().column(0).chunks], pa.binary())
+        which = words.combine_chunks().dictionary_encode().indices.to_numpy()
+        sizes = part.column("n").to_pylist()
+        n = np.bincount(which, np.concatenate([common.unpack(c, size, np.int64) for c, size in zip(part.column("counts").to_pylist(), sizes, strict=True)])).astype(np.int64)
+        found = [common.pack(x) for x in np.split(n[which], np.cumsum(sizes)[:-1])]
+        once = np.arange(len(sizes)) == 0  # a bucket's sums stand in one of its rows
+        return pa.table([part.column("block"), part.column("bucket"), part.column("n"), pa.array(found, pa.binary()), pa.array(once * n.sum()), pa.array(once * np.count_nonzero(n))], ["block", "bucket", "n", "found", "total", "kinds"])
 
     asks = "block", "bucket", "n", "keys", "counts"
     answer = "block long, bucket int, n long, found binary"
@@ -329,21 +324,19 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
     n_all = n_words + n_train
     scale = n_all + 0.1 * (v_words + (n_train > 0) + 1)
 
-    def read(found: pa.Table, at: np.ndarray, kind: type) -> np.ndarray:
-        """The answers to a block's sorted distinct keys, in their order."""
-        by, starts = by_bucket(at, buckets)
-        out = np.zeros(len(at), kind)
+    def read(found: pa.Table, by: np.ndarray, starts: np.ndarray, kind: type) -> np.ndarray:
+        """The answers to a block's keys, which stand in the buckets in the order `by`."""
+        out = np.zeros(len(by), kind)
         for b, n, x in zip(*(found.column(c).to_pylist() for c in ("bucket", "n", "found")), strict=True):
-            out[by[starts[b] : starts[b + 1]]] = unpack(x, n, kind)
+            out[by[starts[b] : starts[b + 1]]] = common.unpack(x, n, kind)
         return out
 
     def look_up(docs: pa.Table, found: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(x).read_all() for x in docs.column("texts").to_pylist()]
-        ids = [i for p in parts for i in p.column("id").to_pylist()]
-        texts = [t for p in parts for t in p.column("text").to_pylist()]
-        owned = {w: 0 for t in texts for w in t.lower().split()}
-        distinct, where = np.unique(word_keys(owned), return_inverse=True)
-        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), word_bucket(distinct, buckets), np.int64)[where].tolist(), strict=True))
+        ids = [i for p in parts for i in p.column(0).to_pylist()]
+        texts = [t for p in parts for t in p.column(1).to_pylist()]
+        owned = list({w: 0 for t in texts for w in t.lower().split()})
+        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), *by_word(owned, buckets), np.int64).tolist(), strict=True))
         tokens, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, t in enumerate(texts):
             own = t.lower().split()
@@ -351,7 +344,7 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
             tokens[i], known[i] = len(own) + 1, np.count_nonzero(c) + (n_train > 0)
             base[i] = (np.log10(c + 0.1).sum() + math.log10(n_train + 0.1)) - (len(own) + 1) * math.log10(scale)
         distinct, where = np.unique(windows(texts, order), return_inverse=True)
-        cost = read(found.filter(pc.equal(found.column("kind"), 0)), bucket_of(distinct, buckets), np.float32)
+        cost = read(found.filter(pc.equal(found.column("kind"), 0)), *by_bucket(bucket_of(distinct, buckets), buckets), np.float32)
         sizes = np.array([len(t) for t in texts], np.int64)
         scores = np.add.reduceat(cost[where].astype(np.float64), np.cumsum(sizes + 1) - sizes - 1)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(texts), n_all), "base_score": base, "score": scores, "n_bytes": sizes})

@@ -10,6 +10,9 @@ Otherwise whole texts are encoded. The table of known parts is bounded; past KNO
 `verify` compares with the sentencepiece library on given texts; `build` does so on PROBES before a model is used,
 and raises if any id differs.
 
+Segmentations of a unigram model whose scores are equal but for the rounding of their sums (the libraries add in single and
+in double precision) are the one case in which ids may differ.
+
 Nulls, empties: a null text counts as empty and has no ids; null and repeated ids keep a row each. Control symbols inside
 a text are ordinary characters, as SentencePiece has it.
 """
@@ -106,7 +109,10 @@ class Codec:
             raise ValueError(f"{path}: only unigram and BPE models with a leading metaspace marker are read")
         unknown = spec.pieces[spec.unknown][0]
         if spec.model_type == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unknown, spec.byte_fallback)
+            # Only normal pieces stand in texts. Bytes keep their names, which the fallback asks for, at a score that never wins.
+            never = min((s for _, s, kind in spec.pieces if kind == NORMAL), default=0.0) - 1e4
+            named = {NORMAL: lambda p, s: (p, s), USER: lambda p, s: (p, s), BYTE: lambda p, s: (p, never)}
+            model = models.Unigram([named.get(kind, lambda p, s: (f"\U0010ffff{p}", never))(p, s) for p, s, kind in spec.pieces], spec.unknown, spec.byte_fallback)
         else:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec), unk_token=unknown, fuse_unk=True, byte_fallback=spec.byte_fallback)
         self.tokenizer = Tokenizer(model)

@@ -1,29 +1,35 @@
 """Token counts of a byte-level BPE without making ids of the texts.
 
 Pieces never cross a pre-token, so a text's count is the sum over its distinct pre-tokens of frequency times pieces.
-Each pass over a slice of texts splits them by the tokenizer's own pattern, encodes every distinct pre-token that the
-worker has not met yet once, and joins the counts to the per-document frequencies by lookup. No row leaves its task.
-The table of known pre-tokens is bounded: it starts anew past MOST entries, which costs time but no result.
+
+1. One pass over the texts splits them by the tokenizer's own pattern, in blocks of about BLOCK_BYTES. A block gives its
+   documents' frequencies of pre-tokens, packed, and a row for each distinct pre-token in it: what is frequent is
+   combined here, before any shuffle, so the most frequent pre-token of all has one row a block.
+2. The distinct pre-tokens of all blocks are a table in which the tokenizer encodes each exactly once.
+3. The table is joined to the blocks' rows, and a block's documents sum frequency times pieces.
 
 Special strings inside texts are found first, as the library does by default, and count as one token each.
-Nulls, empties: a null text counts as empty (0 tokens); null or repeated ids keep a row each.
+Nulls, empties: a null text counts as empty (0 tokens); null or repeated ids keep a row each; a text of any length is in
+one block. An empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-MOST = 300_000
+BLOCK_BYTES = 8_000_000  # of text whose distinct pre-tokens are asked for together
 
 
-class Counter:
-    """Counts as `tokenizers` would for a file of a byte-level BPE with the usual pattern and plain special tokens."""
+class PreTokens:
+    """Splits and encodes as `tokenizers` would for a file of a byte-level BPE with the usual pattern and plain special tokens."""
 
     def __init__(self, path: str) -> None:
         import regex
@@ -43,41 +49,123 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, int] = {}
-
-    def count(self, texts: list[str]) -> list[int]:
-        split, extra = [], []
-        for t in texts:
-            parts = self.special.split(t) if self.special else [t]
-            extra.append(len(parts) - 1)
-            split.append(self.find(parts[0]) if len(parts) == 1 else [w for p in parts for w in self.find(p)])
-        known = self.pieces
-        if len(known) > MOST:
-            known.clear()
-        new = list(set().union(*split).difference(known)) if split else []
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            known.update(zip(some, (len(e) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        get = known.__getitem__
-        return [sum(map(get, s)) + x for s, x in zip(split, extra, strict=True)]
+
+    def split(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text and how many special strings stand in it."""
+        parts = self.special.split(text) if self.special else [text]
+        return self.find(text) if len(parts) == 1 else [w for p in parts for w in self.find(p)], len(parts) - 1
+
+    def pieces(self, tokens: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 @functools.lru_cache(2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def pre_tokens(path: str) -> PreTokens:
+    return PreTokens(path)
 
 
 def tokenizer_path(name: str) -> str:
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (doc_id, n_bytes, n_tokens, over_limit). tokenizer: a path, or the name of a file in public_tokenizers."""
+PASS = "block long, at int, token string, ids array<long>, n_bytes array<long>, special array<int>, kinds array<int>, which binary, times binary"
+
+
+def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of two sorts. With a token: pre-token number `at` of a block. Without: a block's documents, each with its bytes,
+    special strings and number of distinct pre-tokens (kinds), and for all of them in turn which these are and how often."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PASS))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def batch_of(count: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        import uuid
+
+        split = pre_tokens(tokenizer_path(tokenizer)).split
 
-    def work(ids: list, texts: list) -> dict:
-        n = counter(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)).count(texts)
-        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        def fresh():
+            number: dict[str, int] = defaultdict()
+            number.default_factory = number.__len__  # a new pre-token gets the next number
+            return int(uuid.uuid4()) & ((1 << 62) - 1), number, {"ids": [], "n_bytes": [], "special": [], "kinds": []}, [], [], 0
 
-    return common.map_texts(docs, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", work, id_col, text_col)
+        def block_rows():
+            tokens = list(number)
+            for at in range(0, len(tokens), 20_000):
+                some = tokens[at : at + 20_000]
+                yield batch_of(len(some), block=np.full(len(some), block), at=np.arange(at, at + len(some), dtype=np.int32), token=some)
+            yield batch_of(1, block=[block], which=[common.pack(np.concatenate(which))], times=[common.pack(np.concatenate(times))], **{k: [v] for k, v in held.items()})
+
+        block, number, held, which, times, size = fresh()
+        for batch in batches:
+            for part in common.slices(batch, 1):
+                found, lengths = [], []
+                for t in part.column(1).to_pylist():
+                    words, special = split(t)
+                    found.extend(map(number.__getitem__, words))
+                    lengths.append(len(words))
+                    held["n_bytes"].append(len(t.encode()))
+                    held["special"].append(special)
+                    size += held["n_bytes"][-1] + 1
+                held["ids"] += part.column(0).to_pylist()
+                row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+                pairs, n = np.unique(row << 32 | np.array(found, np.int64), return_counts=True)
+                held["kinds"] += np.bincount(pairs >> 32, minlength=len(lengths)).tolist()
+                which.append((pairs & 0xFFFFFFFF).astype(np.int32))
+                times.append(n.astype(np.int32))
+                if size > BLOCK_BYTES:
+                    yield from block_rows()
+                    block, number, held, which, times, size = fresh()
+        if held["ids"]:
+            yield from block_rows()
+
+    return source.mapInArrow(run, PASS)
+
+
+def pieces(tokens: DataFrame, tokenizer: str) -> DataFrame:
+    """Distinct pre-tokens (token) -> (token, n): how many pieces each has."""
+    import pyarrow as pa
+
+    def run(batches):
+        count = pre_tokens(tokenizer_path(tokenizer)).pieces
+        for batch in batches:
+            for part in common.slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(0).to_pylist()), pa.int32())], ["token", "n"])
+
+    return tokens.mapInArrow(run, "token string, n int")
+
+
+def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (doc_id, n_bytes, n_tokens, over_limit). tokenizer: a path, or the name of a file in public_tokenizers."""
+    import pyarrow as pa
+
+    made = common.table(frequencies(docs, tokenizer, id_col, text_col), "frequencies")
+    asked = made.where("token is not null").select("block", "at", "token")
+    known = common.table(pieces(asked.select("token").distinct(), tokenizer), "pieces")
+    answers = asked.join(known, "token").select(F.col("block").alias("of_block"), "at", "n")
+    blocks = made.where("token is null").drop("at", "token")
+
+    def total(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        n = np.zeros(answers.num_rows, np.int64)
+        n[answers.column("at").to_numpy()] = answers.column("n").to_numpy()
+        out = {"doc_id": [], "n_bytes": [], "n_tokens": []}
+        for r in rows.to_pylist():
+            kinds = np.array(r["kinds"], np.int64)
+            size = int(kinds.sum())
+            sums = np.concatenate(([0], np.cumsum(n[common.unpack(r["which"], size, np.int32)] * common.unpack(r["times"], size, np.int32))))
+            ends = np.cumsum(kinds)
+            out["doc_id"] += r["ids"]
+            out["n_bytes"] += r["n_bytes"]
+            out["n_tokens"] += (sums[ends] - sums[ends - kinds] + np.array(r["special"], np.int64)).tolist()
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "over_limit": pa.array([x > limit for x in out["n_tokens"]], pa.bool_())})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

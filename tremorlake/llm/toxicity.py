@@ -5,13 +5,16 @@ Terms of a text: its words (runs of letters, lower case) and their first four an
 factors of (sum of v)**2 - sum of v**2, so that pairs of terms (an insult with a group's name) count beyond their single weights.
 
 Learning takes a bounded, documented sample of the labelled rows: of each class the rows with the least hash of their
-id, at most SAMPLE[0] toxic and SAMPLE[1] others, weighted back to the classes' shares among all labelled rows. Terms that
-go with a class by a z value of at least Z in the sample are kept (at most TERMS), and weights and factors of these are
-fitted by Adam on the whole sample, without any random choice.
+id, at most SAMPLE[0] toxic and SAMPLE[1] others, and of these, in that order, as many as have MOST_TERMS terms together;
+they are weighted back to the classes' shares among all labelled rows. Every place that a sampled text has gets a weight and factors: nothing is
+screened by what it does alone, so pairs whose members say nothing by themselves are learned too. Adam, on batches of the
+sample in a fixed order, first fits all weights, then all weights and factors together, under an L1 penalty as large as
+chance makes their gradients, which keeps most at zero; those that have left zero are then fitted once more without it.
 
 Nulls, empties: a null text counts as empty and scores as a text without known terms. Labels that are null, or whose id
-is null or matches no text, teach nothing; of several labels of an id the larger counts. Without labels of both classes the
-score is the share of toxic ones (0 if there is none). Null ids and repeated ids keep a row each.
+is null or matches no text, teach nothing; of several labels of an id the larger counts; of several texts of an id each is
+a row. Without labels of both classes the score is the share of toxic ones (0 if there is none). Null ids and repeated ids
+keep a row each; a text of any length counts each of its terms once. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = (2500, 6000)
-PLACES, FACTORS, TERMS, Z = 1 << 22, 4, 2000, 5.0
+SAMPLE, MOST_TERMS = (2500, 6000), 12_000_000
+PLACES, FACTORS = 1 << 22, 4
+STEPS, BATCH, RATE = 200, 1024, 0.05
+DECAY = 1e-5, 1e-4  # L2 penalties of weights and of factors
+SIGMAS = 3.0  # a weight or factor leaves zero where its gradient passes so many standard deviations of chance
 KNOWN = 120_000  # words a worker remembers the places of; beyond that it starts anew
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -49,12 +55,19 @@ def terms(text: str) -> list[int]:
 
 class Machine:
     def __init__(self, bias: float, places_: np.ndarray, w: np.ndarray, v: np.ndarray) -> None:
-        self.bias, self.w, self.v = bias, w, v
-        self.index = {int(p): i for i, p in enumerate(places_)}
+        self.bias, self.places, self.w, self.v = bias, places_, w, v
+        self._index: dict[int, int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @property
+    def index(self) -> dict[int, int]:
+        """Made once in each worker from the array that was sent."""
+        if not self._index:
+            self._index = dict(zip(self.places.tolist(), range(len(self.places)), strict=True))
+        return self._index
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "_index": {}}
 
     def logit(self, held: list[int]) -> float:
         v = self.v[held]
@@ -75,58 +88,81 @@ class Machine:
         return 1 / (1 + np.exp(-max(-40.0, min(40.0, x))))
 
 
-def fit(labels: list[int], held: list[list[int]], totals: tuple[int, int]) -> Machine:
-    """labels and terms of the sample; totals: how many rows of class 0 and 1 there are beyond the sample."""
-    y = np.array(labels, float)
-    none = np.zeros(0, int)
+def fit(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, totals: tuple[int, int]) -> Machine:
+    """labels of the sample, how many terms each has, all their terms in turn; totals: how many rows of class 0 and 1 there
+    are beyond the sample."""
+    y = np.asarray(labels, float)
     share = totals[1] / max(1, sum(totals))
     if y.sum() in (0, len(y)):
         bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        return Machine(bias, none, np.zeros(0), np.zeros((0, FACTORS)))
-    rows = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    flat = np.fromiter((p for h in held for p in h), np.int32, len(rows))
-    place, col = np.unique(flat, return_inverse=True)
-    n, pos = np.bincount(col), np.bincount(col, y[rows])
-    q = y.mean()
-    z = (pos - n * q) / np.sqrt(np.maximum(n * q * (1 - q) * (1 - n / (len(y) + 1)), 1e-9))
-    chosen = np.flatnonzero((np.abs(z) >= Z) & (n >= 3))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:TERMS]])
-    new = np.full(len(place), -1)
-    new[chosen] = np.arange(len(chosen))
-    use = new[col] >= 0
-    rows, col = rows[use], new[col[use]]
+        return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    place, col = np.unique(np.asarray(flat, np.int32), return_inverse=True)
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
-    weight /= weight.sum()
-    m = len(chosen)
-    grid = np.random.default_rng(7).normal(0, 0.02, (m, FACTORS)) if m else np.zeros((0, FACTORS))  # a fixed start
-    p = np.concatenate(([np.log(share / (1 - share))], np.zeros(m), grid.ravel()))
-    decay = np.concatenate(([0], np.full(m, 1e-5), np.full(m * FACTORS, 1e-3)))
-    m1, m2 = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, 401):
-        w, v = p[1 : m + 1], p[m + 1 :].reshape(m, FACTORS)
-        s = np.stack([np.bincount(rows, v[col, f], len(y)) for f in range(FACTORS)], 1)
-        x = p[0] + np.bincount(rows, w[col] - 0.5 * (v[col] ** 2).sum(1), len(y)) + 0.5 * (s**2).sum(1)
-        g = weight * (1 / (1 + np.exp(-np.clip(x, -40, 40))) - y)
-        gv = [np.bincount(col, g[rows] * (s[rows, f] - v[col, f]), m) for f in range(FACTORS)]
-        grad = np.concatenate(([g.sum()], np.bincount(col, g[rows], m), np.stack(gv, 1).ravel() if m else np.zeros(0))) + decay * p
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        p -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
-    return Machine(float(p[0]), place[chosen], p[1 : m + 1], p[m + 1 :].reshape(m, FACTORS))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Machine:
+    weight /= weight.mean()
+    chance = SIGMAS * np.sqrt(np.bincount(col) / len(y) * np.mean((weight * (y - share)) ** 2) / min(BATCH, len(y)))  # of a batch's mean gradient
+    random = np.random.default_rng(7)  # a fixed start and order
+    col = col.astype(np.int32)
+    alone = _descend(np.concatenate(([np.log(share / (1 - share))], np.zeros(len(place)))), y, weight, sizes, col, chance, random)
+    p = _descend(np.concatenate((alone, random.normal(0, 0.2 / np.sqrt(sizes.mean() + 1), FACTORS * len(place)))), y, weight, sizes, col, chance, random)
+    w, v = p[1 : len(place) + 1], p[len(place) + 1 :].reshape(FACTORS, -1)
+    used = np.flatnonzero((w != 0) | v.any(0))
+    # The penalties have chosen places; weights and factors of these are now fitted without them.
+    number = np.full(len(place), -1, np.int32)
+    number[used] = np.arange(len(used))
+    held = number[col] >= 0
+    sizes = np.bincount(np.repeat(np.arange(len(y)), sizes)[held], minlength=len(y))
+    p = _descend(np.concatenate((p[:1], w[used], v[:, used].ravel())), y, weight, sizes, number[col[held]], np.zeros(len(used)), random)
+    return Machine(float(p[0]), place[used].astype(np.int64), p[1 : len(used) + 1], p[len(used) + 1 :].reshape(FACTORS, -1).T)
+
+
+def _descend(p: np.ndarray, y: np.ndarray, weight: np.ndarray, sizes: np.ndarray, col: np.ndarray, chance: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """STEPS steps of Adam on batches; p: bias, weights of the places, and maybe their factors. chance: the L1 penalty of
+    each weight, and of each factor as a multiple of what its gradient is made of, the usual sum of the factors of a row."""
+    m = len(chance)
+    factors = (len(p) - 1) // max(1, m) - 1 if m else 0
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    m1, m2, order = np.zeros_like(p), np.zeros_like(p), np.zeros(0, np.int64)
+    decay = np.concatenate(([0], np.full(m, DECAY[0]), np.full(factors * m, DECAY[1])))
+    for t in range(1, STEPS + 1):
+        if not len(order):
+            order = random.permutation(len(y))
+        batch, order = np.sort(order[:BATCH]), order[BATCH:]
+        n = sizes[batch]
+        rows = np.repeat(np.arange(len(batch)), n)
+        c = col[np.repeat(starts[batch] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        w, v = p[1 : m + 1], p[m + 1 :].reshape(factors, m)
+        x = p[0] + np.bincount(rows, w[c], len(batch))
+        own = [f[c] for f in v]
+        sums = [np.bincount(rows, f, len(batch)) for f in own]
+        for f, s in zip(own, sums, strict=True):
+            x += 0.5 * (s * s - np.bincount(rows, f * f, len(batch)))
+        g = weight[batch] * (1 / (1 + np.exp(-np.clip(x, -40, 40))) - y[batch]) / len(batch)
+        far = g[rows]
+        grad = np.concatenate(([g.sum()], np.bincount(c, far, m), *(np.bincount(c, far * (s[rows] - f), m) for f, s in zip(own, sums, strict=True)))) + decay * p
+        pull = np.concatenate(([0], chance, *(2 * chance * max(0.1, np.sqrt(np.mean(s * s))) for s in sums)))
+        m1 += 0.1 * (grad - m1)
+        m2 += 0.001 * (grad * grad - m2)
+        step = RATE * (1 - (t - 1) / STEPS) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-7)
+        p = p - step * (m1 / (1 - 0.9**t))
+        p = np.sign(p) * np.maximum(np.abs(p) - step * pull, 0)
+    return p
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE, most_terms: int = MOST_TERMS) -> Machine:
     """docs and the labels that may be learned from -> machine. Texts stay on the executors; terms of the sample come here."""
     each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     each = common.table(each, "labels")
     counts = {r.y: r.n for r in each.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    w = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    some = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.when(F.col("y") == 1, sample[0]).otherwise(sample[1])).select("id", "y")
-    label = {r.id: r.y for r in some.collect()}
+    least = [each.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, sample[0]), (0, sample[1]))]  # each task sends its own least rows
+    some = common.table(least[0].unionByName(least[1]), "sample")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = text.join(F.broadcast(some.select(F.col("id").alias("doc_id"))), "doc_id")  # sum(sample) rows at most
-    got = common.map_texts(joined, "doc_id long, terms array<int>", lambda ids, texts: {"doc_id": ids, "terms": [terms(t) for t in texts]}).toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    return fit([label[i] for i, _ in rows], [t for _, t in rows], (counts.get(0, 0), counts.get(1, 0)))
+    joined = text.join(F.broadcast(some.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")  # sum(sample) rows at most
+    held = common.map_texts(joined, "id long, n int, terms array<int>", lambda ids, texts: {"id": ids, "terms": (t := [terms(x) for x in texts]), "n": [len(x) for x in t]})
+    held = common.table(held.join(F.broadcast(some), "id"), "terms")
+    order = (F.xxhash64("id"), "id", F.xxhash64("terms"))
+    sizes = np.cumsum([r.n for r in held.orderBy(*order).limit(2 * sum(sample)).select("n").collect()])
+    got = held.orderBy(*order).limit(int(np.searchsorted(sizes, most_terms, side="right"))).select("y", "n", "terms").toArrow()
+    return fit(got.column("y").to_numpy(), got.column("n").to_numpy(), got.column("terms").combine_chunks().flatten().to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged web archives: a writer and a reader that never extracts.
 
 A package is a ZIP file with stored (uncompressed) members: `archive/data.warc.gz`, one gzip member for each record,
-and `indexes/index.cdx`, a line for each record with its offset and length in that archive. The reader parses the end of
+and `indexes/index.cdx`, a line of LINE bytes for each record with its offset and length in that archive, so that a line is found by its number. The reader parses the end of
 central directory record (ZIP64 too), the central directory and its ZIP64 extra fields, finds a stored member's bytes through its local
 header, and reads each record by its range.
 
@@ -37,6 +37,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 LOCAL_FORM, CENTRAL_FORM, END_FORM, END64_FORM, LOCATOR_FORM = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH", "<4sQ2H2I4Q", "<4sIQI"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+LINE = 32  # bytes of an index line: offset in 18 digits, length in 12, a space and a line feed
 
 
 class ZipWriter:
@@ -231,7 +232,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                         z = ZipWriter(out, zip64)
                         z.begin(DATA)
                     data = gzip.compress(record(page_id, url, html.encode(), digest, target, target is not None), 1, mtime=0)
-                    lines.append(f"{n} {z.size} {len(data)}\n")
+                    lines.append(f"{z.size:018d} {len(data):012d}\n")
                     z.write(data)
                     n += 1
         if out is not None:
@@ -249,7 +250,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 def read(packages: DataFrame, payloads: bool = False, step: int = 2000) -> DataFrame:
     """packages (path, n) -> (page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]).
 
-    A task reads `step` records of a package by the ranges its index gives."""
+    A task reads `step` records of a package by the ranges that their lines of its index give, and no other lines."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
@@ -264,10 +265,11 @@ def read(packages: DataFrame, payloads: bool = False, step: int = 2000) -> DataF
                 with file:
                     z = ZipReader(file, size)
                     start, _ = z.locate(DATA)
-                    lines = z.range(*z.locate(INDEX)).decode().splitlines()[first : first + step]
+                    index, length = z.locate(INDEX)
+                    lines = z.range(index + first * LINE, min(step * LINE, length - first * LINE)).decode().splitlines()
                     rows, held = [], 0
                     for line in lines:
-                        _, at, n = map(int, line.split())
+                        at, n = map(int, line.split())
                         rows.append(parse(gzip.decompress(z.range(start + at, n))))
                         held += rows[-1]["payload_bytes"]
                         if held > common.SLICE_CHARS:

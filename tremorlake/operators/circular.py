@@ -40,7 +40,7 @@ def band_phases(events: DataFrame, bands: DataFrame, longitude: str | None = Non
 def block_sums(events: DataFrame, bands: DataFrame, by: list[str], longitude: str | None = None) -> DataFrame:
     """(by..., band, block): sums of cosines and sines. Blocks count from the first event of each group."""
     start = events.groupBy(*by).agg(F.min("day").alias("t0")) if by else events.agg(F.min("day").alias("t0"))
-    timed = events.join(F.broadcast(start), by) if by else events.crossJoin(F.broadcast(start))
+    timed = events.join(start, by) if by else events.crossJoin(F.broadcast(start))
     x = band_phases(timed, bands, longitude)
     block = F.floor((F.col("day") - F.col("t0")) / F.greatest(4 * F.col("period"), F.lit(30.0)))
     return x.groupBy(*by, "band", "period", "rate", block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.cos("phase")).alias("c"), F.sum(F.sin("phase")).alias("s"))
@@ -53,7 +53,7 @@ def block_shift_null(sums: DataFrame, by: list[str], trials: int, seed: int = 11
     turn = F.radians(F.col("rate") * F.col("period") * uniform(mix2(F.col("trial"), F.col("block") % M, seed)))
     moved = sums.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumns({"cos": F.cos(turn), "sin": F.sin(turn)})
     null = moved.groupBy(*keys, "trial").agg(power(F.sum(F.col("c") * F.col("cos") - F.col("s") * F.col("sin")), F.sum(F.col("s") * F.col("cos") + F.col("c") * F.col("sin")), F.sum("n")).alias("null"))
-    joined = null.join(F.broadcast(observed), keys)  # a row for each group and constituent
+    joined = null.join(observed, keys)  # a row for each group and constituent: Spark knows its size and picks the join
     ge = F.sum(F.when(F.col("null") >= F.col("observed") * (1 - 1e-9), 1).otherwise(0))  # a single block turns as a whole: a tie but for rounding
     middle = F.element_at(F.array_sort(F.collect_list("null")), F.lit(trials // 2 + 1))  # `trials` numbers
     out = joined.groupBy(*keys, "n", "observed", "blocks").agg(middle.alias("null_median"), F.max("null").alias("null_max"), ((ge + 1) / F.lit(trials + 1.0)).alias("p"))
