@@ -76,29 +76,6 @@ def by_bucket(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(buckets + 1))
 
 
-def by_word(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words -> their order by bucket, hash and word, and where each bucket begins in it."""
-    import xxhash
-
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    at = ((h & np.uint64((1 << 24) - 1)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((h, at))
-    if len(h) and (h[order][1:] == h[order][:-1]).any():
-        order = np.array(sorted(range(len(words)), key=lambda i: (at[i], h[i], words[i])), np.int64)
-    return order, np.searchsorted(at[order], np.arange(buckets + 1))
-
-
-def streamed(*columns) -> bytes:
-    """Columns of equal length as a compressed Arrow stream."""
-    import pyarrow as pa
-
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
 def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray, least: float) -> np.ndarray:
     """log10 probability of each of the sorted distinct windows, n being their training counts.
 
@@ -238,9 +215,9 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         def emit_words():
             counts = dict.fromkeys((w for t in other for w in t.lower().split()), 0) | Counter(w for t in held for w in t.lower().split())
             words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            by, starts = by_word(words, buckets)
+            by, starts = common.by_word(words, buckets)
             parts = [(b, x) for b in range(buckets) if len(x := by[starts[b] : starts[b + 1]])]
-            return rows(1, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _ in parts], np.int32), n=np.array([len(x) for _, x in parts], np.int64), keys=[streamed(pa.array([words[i] for i in x], pa.binary())) for _, x in parts], counts=[common.pack(n[x]) for _, x in parts])
+            return rows(1, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _ in parts], np.int32), n=np.array([len(x) for _, x in parts], np.int64), keys=[common.streamed(pa.array([words[i] for i in x], pa.binary())) for _, x in parts], counts=[common.pack(n[x]) for _, x in parts])
 
         def emit_block():
             nonlocal short
@@ -254,7 +231,7 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, 1):
                 texts, train = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], part.column(2).to_pylist()
-                yield rows(2, 1, block=[block], texts=[streamed(part.column(0), pa.array(texts, pa.binary()))])
+                yield rows(2, 1, block=[block], texts=[common.streamed(part.column(0), pa.array(texts, pa.binary()))])
                 for t, learned in zip(texts, train, strict=True):
                     (held if learned else other).append(t)
                     size += len(t) + 1
@@ -336,7 +313,7 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         ids = [i for p in parts for i in p.column(0).to_pylist()]
         texts = [t for p in parts for t in p.column(1).to_pylist()]
         owned = list({w: 0 for t in texts for w in t.lower().split()})
-        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), *by_word(owned, buckets), np.int64).tolist(), strict=True))
+        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), *common.by_word(owned, buckets), np.int64).tolist(), strict=True))
         tokens, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, t in enumerate(texts):
             own = t.lower().split()

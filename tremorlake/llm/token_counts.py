@@ -3,10 +3,11 @@
 Pieces never cross a pre-token, so a text's count is the sum over its distinct pre-tokens of frequency times pieces.
 
 1. One pass over the texts splits them by the tokenizer's own pattern, in blocks of about BLOCK_BYTES. A block gives its
-   documents' frequencies of pre-tokens, packed, and a row for each distinct pre-token in it: what is frequent is
-   combined here, before any shuffle, so the most frequent pre-token of all has one row a block.
-2. The distinct pre-tokens of all blocks are a table in which the tokenizer encodes each exactly once.
-3. The table is joined to the blocks' rows, and a block's documents sum frequency times pieces.
+   documents' frequencies of pre-tokens, packed, and its distinct pre-tokens, packed by buckets of their hashes: what is
+   frequent is combined here, before any shuffle, so the most frequent pre-token of all stands once in a block.
+2. A bucket has all blocks' pre-tokens of its hashes. There each distinct one is encoded exactly once, and the pieces are
+   joined to the blocks that asked. Buckets grow in number with the text, up to MOST_BUCKETS; beyond that in size.
+3. The answers are joined to the blocks, and a block's documents sum frequency times pieces.
 
 Special strings inside texts are found first, as the library does by default, and count as one token each.
 Nulls, empties: a null text counts as empty (0 tokens); null or repeated ids keep a row each; a text of any length is in
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES = 8_000_000  # of text whose distinct pre-tokens are asked for together
+BUCKET_BYTES, MOST_BUCKETS = 1 << 24, 1 << 14  # text for each bucket of distinct pre-tokens
 
 
 class PreTokens:
@@ -72,12 +74,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-PASS = "block long, at int, token string, ids array<long>, n_bytes array<long>, special array<int>, kinds array<int>, which binary, times binary"
+PASS = "block long, bucket int, n long, tokens binary, ids array<long>, n_bytes array<long>, special array<int>, kinds array<int>, which binary, times binary, buckets binary"
 
 
-def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of two sorts. With a token: pre-token number `at` of a block. Without: a block's documents, each with its bytes,
-    special strings and number of distinct pre-tokens (kinds), and for all of them in turn which these are and how often."""
+def frequencies(docs: DataFrame, tokenizer: str, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of two sorts. With tokens: the n distinct pre-tokens of a block that belong to a bucket, in the order of their numbers.
+    Without: a block's documents, each with its bytes, special strings and number of distinct pre-tokens (kinds), for all
+    of them in turn which these are and how often, and the bucket of each of the block's n pre-tokens."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -91,6 +94,8 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def run(batches):
         import uuid
 
+        import xxhash
+
         split = pre_tokens(tokenizer_path(tokenizer)).split
 
         def fresh():
@@ -99,11 +104,15 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             return int(uuid.uuid4()) & ((1 << 62) - 1), number, {"ids": [], "n_bytes": [], "special": [], "kinds": []}, [], [], 0
 
         def block_rows():
-            tokens = list(number)
-            for at in range(0, len(tokens), 20_000):
-                some = tokens[at : at + 20_000]
-                yield batch_of(len(some), block=np.full(len(some), block), at=np.arange(at, at + len(some), dtype=np.int32), token=some)
-            yield batch_of(1, block=[block], which=[common.pack(np.concatenate(which))], times=[common.pack(np.concatenate(times))], **{k: [v] for k, v in held.items()})
+            tokens = np.array(list(number), object)
+            at = np.fromiter((xxhash.xxh64_intdigest(t, 42) % buckets for t in number), np.int32, len(number))
+            order = np.argsort(at, kind="stable")
+            ends = np.flatnonzero(np.diff(at[order])) + 1
+            all_parts = [(int(at[x[0]]), x) for x in np.split(order, ends) if len(x)]
+            for b in range(0, len(all_parts), 64):
+                parts = all_parts[b : b + 64]
+                yield batch_of(len(parts), block=np.full(len(parts), block), bucket=[i for i, _ in parts], n=[len(x) for _, x in parts], tokens=[common.streamed(pa.array(tokens[x], pa.large_string())) for _, x in parts])
+            yield batch_of(1, block=[block], n=[len(at)], buckets=[common.pack(at)], which=[common.pack(np.concatenate(which), True)], times=[common.pack(np.concatenate(times))], **{k: [v] for k, v in held.items()})
 
         block, number, held, which, times, size = fresh()
         for batch in batches:
@@ -131,37 +140,38 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     return source.mapInArrow(run, PASS)
 
 
-def pieces(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct pre-tokens (token) -> (token, n): how many pieces each has."""
-    import pyarrow as pa
-
-    def run(batches):
-        count = pre_tokens(tokenizer_path(tokenizer)).pieces
-        for batch in batches:
-            for part in common.slices(batch, 0):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(0).to_pylist()), pa.int32())], ["token", "n"])
-
-    return tokens.mapInArrow(run, "token string, n int")
-
-
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, n_bytes, n_tokens, over_limit). tokenizer: a path, or the name of a file in public_tokenizers."""
     import pyarrow as pa
 
-    made = common.table(frequencies(docs, tokenizer, id_col, text_col), "frequencies")
-    asked = made.where("token is not null").select("block", "at", "token")
-    known = common.table(pieces(asked.select("token").distinct(), tokenizer), "pieces")
-    answers = asked.join(known, "token").select(F.col("block").alias("of_block"), "at", "n")
-    blocks = made.where("token is null").drop("at", "token")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(8, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+    made = common.table(frequencies(docs, tokenizer, buckets, id_col, text_col), "frequencies")
+
+    def count(part: pa.Table) -> pa.Table:
+        """A bucket's pre-tokens: each distinct one is encoded once, and every block is told the pieces of its own."""
+        asked = pa.chunked_array([c for x in part.column("tokens").to_pylist() for c in pa.ipc.open_stream(x).read_all().column(0).chunks], pa.large_string())
+        coded = asked.combine_chunks().dictionary_encode()
+        of_distinct, encode = [], pre_tokens(tokenizer_path(tokenizer)).pieces
+        for at in range(0, len(coded.dictionary), 20_000):
+            of_distinct += encode(coded.dictionary[at : at + 20_000].to_pylist())
+        n = np.array(of_distinct, np.int32)[coded.indices.to_numpy()]
+        sizes = np.cumsum(part.column("n").to_numpy())
+        return pa.table([part.column("block"), part.column("bucket"), part.column("n"), pa.array([common.pack(x) for x in np.split(n, sizes[:-1])], pa.binary())], ["of_block", "bucket", "n", "found"])
+
+    answers = made.where("tokens is not null").select("block", "bucket", "n", "tokens").groupBy("bucket").applyInArrow(count, "of_block long, bucket int, n long, found binary")
+    blocks = made.where("tokens is null").drop("bucket", "tokens")
 
     def total(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        n = np.zeros(answers.num_rows, np.int64)
-        n[answers.column("at").to_numpy()] = answers.column("n").to_numpy()
         out = {"doc_id": [], "n_bytes": [], "n_tokens": []}
         for r in rows.to_pylist():
+            at = common.unpack(r["buckets"], r["n"], np.int32)
+            found = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "found")), strict=True))
+            n = np.zeros(r["n"], np.int64)
+            n[np.argsort(at, kind="stable")] = np.concatenate([np.zeros(0, np.int64), *(common.unpack(x, k, np.int32) for _, k, x in found)])
             kinds = np.array(r["kinds"], np.int64)
             size = int(kinds.sum())
-            sums = np.concatenate(([0], np.cumsum(n[common.unpack(r["which"], size, np.int32)] * common.unpack(r["times"], size, np.int32))))
+            sums = np.concatenate(([0], np.cumsum(n[common.unpack(r["which"], size, np.int32, True)] * common.unpack(r["times"], size, np.int32))))
             ends = np.cumsum(kinds)
             out["doc_id"] += r["ids"]
             out["n_bytes"] += r["n_bytes"]
