@@ -33,6 +33,7 @@ PLACES, FACTORS = 1 << 22, 4
 STEPS, BATCH, RATE = 200, 1024, 0.05
 DECAY = 1e-5, 1e-4  # L2 penalties of weights and of factors
 SIGMAS = 3.0  # a weight or factor leaves zero where its gradient passes so many standard deviations of chance
+PART = 1 << 20  # terms of the sample that are renumbered at once
 KNOWN = 120_000  # words a worker remembers the places of; beyond that it starts anew
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -96,12 +97,17 @@ def fit(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, totals: tuple[i
     if y.sum() in (0, len(y)):
         bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    place, col = np.unique(np.asarray(flat, np.int32), return_inverse=True)
+    present = np.zeros(PLACES, bool)
+    present[flat] = True
+    place, col = np.flatnonzero(present), np.empty(len(flat), np.int32)
+    number, rows_of = np.cumsum(present, dtype=np.int32) - 1, np.zeros(len(place), np.int64)
+    for i in range(0, len(flat), PART):  # in parts: an index is widened to eight bytes a term while it is used
+        col[i : i + PART] = number[flat[i : i + PART]]
+        rows_of += np.bincount(col[i : i + PART], minlength=len(place))
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
     weight /= weight.mean()
-    chance = SIGMAS * np.sqrt(np.bincount(col) / len(y) * np.mean((weight * (y - share)) ** 2) / min(BATCH, len(y)))  # of a batch's mean gradient
+    chance = SIGMAS * np.sqrt(rows_of / len(y) * np.mean((weight * (y - share)) ** 2) / min(BATCH, len(y)))  # of a batch's mean gradient
     random = np.random.default_rng(7)  # a fixed start and order
-    col = col.astype(np.int32)
     alone = _descend(np.concatenate(([np.log(share / (1 - share))], np.zeros(len(place)))), y, weight, sizes, col, chance, random)
     p = _descend(np.concatenate((alone, random.normal(0, 0.2 / np.sqrt(sizes.mean() + 1), FACTORS * len(place)))), y, weight, sizes, col, chance, random)
     w, v = p[1 : len(place) + 1], p[len(place) + 1 :].reshape(FACTORS, -1)
@@ -109,20 +115,23 @@ def fit(labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, totals: tuple[i
     # The penalties have chosen places; weights and factors of these are now fitted without them.
     number = np.full(len(place), -1, np.int32)
     number[used] = np.arange(len(used))
-    held = number[col] >= 0
-    sizes = np.bincount(np.repeat(np.arange(len(y)), sizes)[held], minlength=len(y))
-    p = _descend(np.concatenate((p[:1], w[used], v[:, used].ravel())), y, weight, sizes, number[col[held]], np.zeros(len(used)), random)
+    for i in range(0, len(col), PART):
+        col[i : i + PART] = number[col[i : i + PART]]
+    before = np.concatenate(([0], np.cumsum(col >= 0, dtype=np.int32)))  # held terms before each term
+    ends = np.cumsum(sizes)
+    sizes = before[ends] - before[ends - sizes]
+    p = _descend(np.concatenate((p[:1], w[used], v[:, used].ravel())), y, weight, sizes, col[col >= 0], np.zeros(len(used)), random)
     return Machine(float(p[0]), place[used].astype(np.int64), p[1 : len(used) + 1], p[len(used) + 1 :].reshape(FACTORS, -1).T)
 
 
 def _descend(p: np.ndarray, y: np.ndarray, weight: np.ndarray, sizes: np.ndarray, col: np.ndarray, chance: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """STEPS steps of Adam on batches; p: bias, weights of the places, and maybe their factors. chance: the L1 penalty of
+    """STEPS steps of Adam on batches; p, which is changed: bias, weights of the places, and maybe their factors. chance: the L1 penalty of
     each weight, and of each factor as a multiple of what its gradient is made of, the usual sum of the factors of a row."""
     m = len(chance)
     factors = (len(p) - 1) // max(1, m) - 1 if m else 0
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    m1, m2, order = np.zeros_like(p), np.zeros_like(p), np.zeros(0, np.int64)
-    decay = np.concatenate(([0], np.full(m, DECAY[0]), np.full(factors * m, DECAY[1])))
+    m1, m2, grad, spare, order = np.zeros_like(p), np.zeros_like(p), np.empty_like(p), np.empty_like(p), np.zeros(0, np.int64)
+    w, v = p[1 : m + 1], p[m + 1 :].reshape(factors, m)
     for t in range(1, STEPS + 1):
         if not len(order):
             order = random.permutation(len(y))
@@ -130,21 +139,41 @@ def _descend(p: np.ndarray, y: np.ndarray, weight: np.ndarray, sizes: np.ndarray
         n = sizes[batch]
         rows = np.repeat(np.arange(len(batch)), n)
         c = col[np.repeat(starts[batch] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        w, v = p[1 : m + 1], p[m + 1 :].reshape(factors, m)
         x = p[0] + np.bincount(rows, w[c], len(batch))
-        own = [f[c] for f in v]
-        sums = [np.bincount(rows, f, len(batch)) for f in own]
-        for f, s in zip(own, sums, strict=True):
-            x += 0.5 * (s * s - np.bincount(rows, f * f, len(batch)))
+        sums = [np.bincount(rows, f[c], len(batch)) for f in v]
+        for f, s in zip(v, sums, strict=True):
+            x += 0.5 * (s * s - np.bincount(rows, f[c] ** 2, len(batch)))
         g = weight[batch] * (1 / (1 + np.exp(-np.clip(x, -40, 40))) - y[batch]) / len(batch)
         far = g[rows]
-        grad = np.concatenate(([g.sum()], np.bincount(c, far, m), *(np.bincount(c, far * (s[rows] - f), m) for f, s in zip(own, sums, strict=True)))) + decay * p
-        pull = np.concatenate(([0], chance, *(2 * chance * max(0.1, np.sqrt(np.mean(s * s))) for s in sums)))
-        m1 += 0.1 * (grad - m1)
-        m2 += 0.001 * (grad * grad - m2)
-        step = RATE * (1 - (t - 1) / STEPS) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-7)
-        p = p - step * (m1 / (1 - 0.9**t))
-        p = np.sign(p) * np.maximum(np.abs(p) - step * pull, 0)
+        grad[0], grad[1 : m + 1] = g.sum(), np.bincount(c, far, m)
+        grad[1 : m + 1] += DECAY[0] * w
+        for f, s, to in zip(v, sums, grad[m + 1 :].reshape(factors, m), strict=True):
+            to[:] = np.bincount(c, far * (s[rows] - f[c]), m)
+            to += DECAY[1] * f
+        # In place: there are five arrays of the length of p, however the steps are made.
+        np.subtract(grad, m1, out=spare)
+        spare *= 0.1
+        m1 += spare
+        np.multiply(grad, grad, out=spare)
+        spare -= m2
+        spare *= 0.001
+        m2 += spare
+        step = np.divide(m2, 1 - 0.999**t, out=grad)  # the gradient is not needed any more
+        np.sqrt(step, out=step)
+        step += 1e-7
+        np.divide(RATE * (1 - (t - 1) / STEPS), step, out=step)
+        np.divide(m1, 1 - 0.9**t, out=spare)
+        spare *= step
+        p -= spare
+        step[0] = 0
+        step[1 : m + 1] *= chance
+        for s, pull in zip(sums, step[m + 1 :].reshape(factors, m), strict=True):
+            pull *= 2 * chance * max(0.1, np.sqrt(np.mean(s * s)))
+        np.abs(p, out=spare)
+        spare -= step
+        np.maximum(spare, 0, out=spare)
+        np.sign(p, out=p)
+        p *= spare
     return p
 
 
@@ -158,9 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = text.join(F.broadcast(some.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")  # sum(sample) rows at most
     held = common.map_texts(joined, "id long, n int, terms array<int>", lambda ids, texts: {"id": ids, "terms": (t := [terms(x) for x in texts]), "n": [len(x) for x in t]})
-    held = common.table(held.join(F.broadcast(some), "id"), "terms")
-    order = (F.xxhash64("id"), "id", F.xxhash64("terms"))
-    sizes = np.cumsum([r.n for r in held.orderBy(*order).limit(2 * sum(sample)).select("n").collect()])
+    held = common.table(held.join(F.broadcast(some), "id").withColumn("h", F.xxhash64("terms")), "terms")
+    order = (F.xxhash64("id"), "id", "h")
+    sizes = np.cumsum([r.n for r in held.select("id", "h", "n").orderBy(*order).limit(2 * sum(sample)).select("n").collect()])
     got = held.orderBy(*order).limit(int(np.searchsorted(sizes, most_terms, side="right"))).select("y", "n", "terms").toArrow()
     return fit(got.column("y").to_numpy(), got.column("n").to_numpy(), got.column("terms").combine_chunks().flatten().to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
 
