@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_design(rows: DataFrame, path: str) -> None:
-    """Design and features (an array of floats) as Parquet, ordered by stratum within files."""
-    rows.sortWithinPartitions("stratum").write.parquet(path)
+def write_design(rows: DataFrame, path: str, *by: str) -> None:
+    """Design and features as Parquet, ordered by stratum within files, in place of what stood there; by: columns of partitions."""
+    rows.sortWithinPartitions(*by, "stratum").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def design_csv(rows: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def scan_report(summary: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def write_json(report: DataFrame, path: str) -> None:
-    report.coalesce(1).write.json(path)
+    """A report of a few rows as one JSON file, in place of what stood there."""
+    report.coalesce(1).write.mode("overwrite").json(path)
 
 
 def year_counts_text(counts: DataFrame) -> DataFrame:
