@@ -212,5 +212,4 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
 
 def digests(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """-> (doc_id, n_lines, n_dropped, kept_sha256)."""
-    bitmaps = common.table(keep_bitmaps(df, min_chars, min_docs), "bitmaps")
-    return apply_bitmaps(df, bitmaps).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return apply_bitmaps(df, keep_bitmaps(df, min_chars, min_docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
