@@ -69,6 +69,9 @@ def test_declustering_equals_greedy(spark, seed):
         days = 10 ** (0.032 * e[5] + 2.7389) if e[5] >= 6.5 else 10 ** (0.5409 * e[5] - 0.547)
         reach = 10 ** (0.1238 * e[5] + 0.983)
         claimed |= {o[0] for o in rows if abs(o[1] - e[1]) <= days and km(e[2:4], o[2:4]) <= reach}
+    size = F.col("magnitude")
+    pieces = decluster.greedy(df, decluster.window_days(size), decluster.window_km(size), -size, F.col("day"), two_sided=True, few=10)
+    assert {x.event_idx for x in pieces.where("is_main").collect()} == main and pieces.count() == 400
     got = decluster.gardner_knopoff(df)
     assert {x.event_idx for x in got.where("is_main").collect()} == main and got.count() == 400
 
@@ -86,6 +89,48 @@ def test_thinning_equals_greedy(spark):
     assert decluster.thin(df.where("false"), 500, 365).count() == 0
 
 
+def _greedy(rows, days, reach, flat):
+    """Ids that stay, by a loop over (id, day, lat, lon) in order of time."""
+    kept = []
+    for e in sorted(rows, key=lambda e: (e[1], e[0])):
+        far = lambda k: math.hypot((e[2] - k[2]) * 111.19, (e[3] - k[3]) * 111.19 * math.cos(math.radians(e[2]))) >= reach if flat else km(e[2:], k[2:]) > reach
+        if all(e[1] - k[1] > days or far(k) for k in kept):
+            kept.append(e)
+    return {k[0] for k in kept}
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_thinning_in_pieces(spark, flat):
+    """Cells, dense places, the date line and the poles: the same as one event after the other."""
+    r = random.Random(11)
+    rows = [(i, float(r.randint(0, 4000)), r.uniform(-88, 88), r.choice([r.uniform(-180, 180), r.uniform(175, 185) - 360 * (r.random() < 0.5)])) for i in range(500)]
+    rows += [(1000 + i, float(r.randint(0, 900)), r.gauss(10, 0.3), r.gauss(20, 0.3)) for i in range(400)]
+    rows += [(2000 + i, float(r.randint(0, 900)), r.uniform(87, 90), r.uniform(-180, 180)) for i in range(60)]
+    rows = [(i, d, lat, (lon + 180) % 360 - 180) for i, d, lat, lon in rows]
+    df = spark.createDataFrame([*rows, (5000, None, 1.0, 1.0), (5001, 3.0, float("nan"), 1.0)], "event_idx long, day double, lat_deg double, lon_deg double")
+    got = decluster.greedy(df, F.lit(40.0), F.lit(120.0), F.col("day"), F.lit(0.0), two_sided=False, flat=flat, few=5)
+    assert {x.event_idx for x in got.where("is_main").collect()} == _greedy(rows, 40, 120, flat) | {5000, 5001}
+    assert got.count() == len(rows) + 2
+
+
+def test_declustering_writes_no_more_in_dense_places(spark, monkeypatch):
+    """Rows written by all rounds: at most a few for each event, whatever their number in one place."""
+    written = []
+    keep = decluster.materialize
+    monkeypatch.setattr(decluster, "materialize", lambda df, name: (out := keep(df, name), written.append(out.count()))[0])
+    sums = []
+    for n in (400, 800, 1600):
+        r = random.Random(5)
+        rows = [(i, r.uniform(0, 300), r.gauss(0, 0.2), r.gauss(0, 0.2), 4 + min(3.0, r.expovariate(2))) for i in range(n)]
+        df = spark.createDataFrame(rows, "event_idx long, day double, lat_deg double, lon_deg double, magnitude double")
+        written.clear()
+        size = F.col("magnitude")
+        got = decluster.greedy(df, decluster.window_days(size), decluster.window_km(size), -size, F.col("day"), two_sided=True, few=0)
+        assert got.count() == n
+        sums.append(sum(written) / n)
+    assert max(sums) < 5 and sums[2] < 1.3 * sums[0]
+
+
 def test_designs(spark):
     cases = spark.createDataFrame([(1, -8700.5, 1, 0.0, 0.0, True, 6.0), (2, -8000.25, 1, 0.0, 0.0, True, 6.0), (3, 0.5, 1, 0.0, 0.0, True, 6.0)], "stratum long, day double, cell long, lat_deg double, lon_deg double, is_case boolean, magnitude double")
     n = {r.stratum: r["count"] for r in design.year_stratified(cases, (-8766.0, 9132.0), 6).groupBy("stratum").count().collect()}

@@ -1,20 +1,30 @@
-"""Declustering and thinning: greedy choices as a fixpoint over an edge table.
+"""Declustering and thinning: "the first event in order of precedence claims its window", exactly as if done one event after the other.
 
-"The largest event first claims its window" is the first independent set, in order of precedence, of a directed graph: an edge
-runs from an event to each later one in its window. In each round an undecided event with a kept predecessor is dropped,
-and one without kept or undecided predecessors is kept. The result equals the sequential greedy one exactly.
+Cells in time, latitude and longitude are settled by themselves, in order of precedence and with a halo of the events that
+reach into them. A cell's event is a sure main if no sure main and no undecided event of the cell or its halo claims it. Then sure mains
+drop what they claim, by a join on cells, and the next round has what is still undecided; the first undecided event of
+all is always settled, mostly nearly all are. No table of pairs is written: each round writes each event once at most.
 
-Edges come from a bucketed range join: time windows differ by orders of magnitude between small and large events, so
-predecessors are split into classes of window length, and each class has its own cells in time, latitude and longitude. A
-predecessor looks into the 27 cells around it, and every event stands once in each class.
+Dense places cost no more rows: of the events in a fine cell (a quarter of the smallest window a side) only the first one takes part,
+found by an aggregation, and stands for the others with a window that covers theirs. So the rows that meet in a task are bounded by the
+volume of a cell, whatever the number of events in it, and sure mains are few because none claims another.
+
+`window_edges` gives the claims themselves, as a bucketed range join: time windows differ by orders of magnitude between small and
+large events, so predecessors are split into classes of window length, and each class has its own cells. A predecessor
+looks into the 27 cells around it, and every event stands once in each class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.functions.geo import KM_PER_DEGREE, distance_km, flat_distance2, window_days, window_km
+from tremorlake.functions.geo import KM_PER_DEGREE, RADIUS_KM, distance_km, flat_distance2, window_days, window_km
 from tremorlake.operators.tables import materialize
 
 
@@ -56,23 +66,186 @@ def window_edges(events: DataFrame, days: Column, km: Column, precedes: Column,
     return left.join(b, same & (F.col("a.event_idx") != F.col("b.event_idx")) & precedes & near).select(F.col("a.event_idx").alias("src"), F.col("b.event_idx").alias("dst"))
 
 
-def first_independent(events: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """events (event_idx), edges (src, dst) by precedence -> (event_idx, is_main). Fails loudly if it does not settle."""
-    edges = materialize(edges, "edges")
-    open_ = materialize(events.select("event_idx"), "open")
-    decided = None
+@dataclass(frozen=True)
+class Cells:
+    """Cells of a number of days and kilometres a side: columns t, s (latitude row) and l (place in the row)."""
+
+    days: float
+    km: float
+
+    @property
+    def height(self) -> float:
+        return self.km / (KM_PER_DEGREE * 0.999)
+
+    def turns(self, s: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(F.least(F.abs((s + 0.5) * self.height), F.lit(89.0)))) * 360 / self.height)).cast("long")
+
+    def own(self, df: DataFrame, names: tuple[str, str, str] = ("t", "s", "l")) -> DataFrame:
+        """Adds the cell that each event stands in."""
+        s = F.floor(F.col("lat") / self.height)
+        n = self.turns(s)
+        at = F.least(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * n), n - 1)
+        return df.withColumns({names[0]: F.floor(F.col("day") / self.days), names[1]: s, names[2]: at})
+
+    def _places(self, km: Column) -> Column:
+        """Array of (s, l): what lies within km of an event."""
+        h = km / (KM_PER_DEGREE * 0.999)
+        edge = F.abs("lat") + h
+        w = F.when(edge < 89, h / F.cos(F.radians(F.least(edge, F.lit(89.0)))) * 1.02).otherwise(360.0)  # degrees of longitude at the window's far edge
+        lon = F.pmod(F.col("lon") + 180, F.lit(360.0))
+
+        def places(s: Column) -> Column:
+            n = self.turns(s)
+            a, b = F.floor((lon - w) / 360 * n), F.floor((lon + w) / 360 * n)
+            return F.when(b - a + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(a, b), lambda x: F.pmod(x, n)))
+
+        rows = F.sequence(F.floor(F.greatest(F.col("lat") - h, F.lit(-90.0)) / self.height), F.floor(F.least(F.col("lat") + h, F.lit(90.0)) / self.height))
+        return F.flatten(F.transform(rows, lambda s: F.transform(places(s), lambda x: F.struct(s.alias("s"), x.alias("l")))))
+
+    def reached(self, df: DataFrame, back: Column, ahead: Column, km: Column, inner: tuple[float, float] | None = None) -> DataFrame:
+        """A row for each cell that an event's window meets: back and ahead days around its time, km around its place.
+
+        inner: days and kilometres; adds whether the event is within these of the cell."""
+        times = F.sequence(F.floor((F.col("day") - back) / self.days), F.floor((F.col("day") + ahead) / self.days))
+        if inner:
+            df = df.withColumn("__in", self._places(F.lit(inner[1])))
+        out = df.withColumn("t", F.explode(times)).withColumn("__c", F.explode(self._places(km))).withColumns({"s": F.col("__c.s"), "l": F.col("__c.l")})
+        if inner:
+            close = F.col("t").between(F.floor((F.col("day") - inner[0]) / self.days), F.floor((F.col("day") + inner[0]) / self.days))
+            out = out.withColumn("inner", close & F.array_contains("__in", F.col("__c"))).drop("__in")
+        return out.drop("__c")
+
+
+def kilometres(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, flat: bool) -> np.ndarray:
+    """Distances of pairs; flat: planar at the second's latitude, as flat_distance2."""
+    if flat:
+        return np.sqrt(((lat2 - lat1) * KM_PER_DEGREE) ** 2 + ((lon2 - lon1) * KM_PER_DEGREE * np.cos(np.radians(lat2))) ** 2)
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * RADIUS_KM * np.arcsin(np.minimum(np.sqrt(np.maximum(a, 0)), 1))
+
+
+FEW = 50_000  # undecided events that are settled in one task, to save rounds
+BATCH = 512  # events of a cell that are held against those before them at once
+
+
+def sure_mains(day: np.ndarray, lat: np.ndarray, lon: np.ndarray, inner: np.ndarray, reach: np.ndarray, wide: np.ndarray, many: np.ndarray, flat: bool) -> np.ndarray:
+    """One cell in order of precedence, its halo included -> which of the inner events are main whatever stands outside.
+
+    inner: all events that may claim this one are there. reach and wide: (days, km) of each event, and of all that it stands for (many: there are others). An event that a sure main claims is
+    gone, though those it stands for may still be main; one that an undecided event may claim, or one of the outer halo, is undecided."""
+
+    def claims(rows: np.ndarray, window: np.ndarray, on: np.ndarray) -> np.ndarray:
+        near = np.abs(day[on][None, :] - day[rows, None]) <= window[rows, 0, None]
+        near &= np.abs(lat[on][None, :] - lat[rows, None]) <= window[rows, 1, None] / (KM_PER_DEGREE * 0.999)
+        r, c = np.nonzero(near)  # few pairs are left for the distance
+        far, most = kilometres(lat[rows[r]], lon[rows[r]], lat[on[c]], lon[on[c]], flat), window[rows[r], 1]
+        near[r, c] = far < most if flat else far <= most
+        return near
+
+    mains, undecided = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(day), BATCH):
+        on = np.arange(start, min(start + BATCH, len(day)))
+        gone, blocked = claims(mains, reach, on).any(axis=0), claims(undecided, wide, on).any(axis=0)
+        look = np.flatnonzero(~gone | many[on])
+        hits, reaches = claims(on[look], reach, on), claims(on[look], wide, on)
+        new_mains, new_undecided = [], []
+        for i, at in enumerate(look):
+            if not gone[at] and inner[on[at]] and not blocked[at]:
+                new_mains.append(on[at])
+                gone[at + 1 :] |= hits[i, at + 1 :]
+            elif not gone[at] or many[on[at]]:
+                new_undecided.append(on[at])
+                blocked[at + 1 :] |= reaches[i, at + 1 :]
+        mains, undecided = np.append(mains, new_mains).astype(np.int64), np.append(undecided, new_undecided).astype(np.int64)
+    out = np.zeros(len(day), bool)
+    out[mains] = True
+    return out
+
+
+EVENT = "event_idx long, p0 double, p1 double, day double, lat double, lon double, days double, km double"
+
+
+def _settle(t: pa.Table, flat: bool) -> Iterator[pa.RecordBatch]:
+    """Whole cells in order -> their sure mains."""
+    col = {c: t.column(c).to_numpy() for c in t.column_names}
+    cells = np.stack([col["t"], col["s"], col["l"]], axis=1)
+    cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1), t.num_rows]
+    reach, wide = np.stack([col["days"], col["km"]], axis=1), np.stack([col["wide_days"], col["wide_km"]], axis=1)
+    keep = np.zeros(t.num_rows, bool)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = col["own"][a:b]
+        keep[a:b] = own if b - a == 1 or not own.any() else own & sure_mains(col["day"][a:b], col["lat"][a:b], col["lon"][a:b], col["inner"][a:b], reach[a:b], wide[a:b], col["many"][a:b], flat)
+    yield from t.filter(pa.array(keep)).select([c.split()[0] for c in EVENT.split(", ")]).to_batches()
+
+
+def _local(rows: DataFrame, flat: bool) -> DataFrame:
+    """rows of cells (t, s, l) with own, inner, many, wide_days, wide_km -> the events that are sure mains of their own cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last cell so far: their number is bounded by the volume of a cell
+        name = lambda batch, i: tuple(batch.column(c)[i].as_py() for c in ("t", "s", "l"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = name(batch, batch.num_rows - 1)
+            if held and name(held[-1], 0) != last or name(batch, 0) != last:  # a cell ends before the batch's last row
+                same = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(("t", "s", "l"), last, strict=True)])
+                at = batch.num_rows - int(same.sum())
+                yield from _settle(pa.Table.from_batches([*held, batch.slice(0, at)]), flat)
+                held, batch = [], batch.slice(at)
+            held.append(batch)
+        if held:
+            yield from _settle(pa.Table.from_batches(held), flat)
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "t", "s", "l").sortWithinPartitions("t", "s", "l", "p0", "p1", "event_idx").mapInArrow(run, EVENT)
+
+
+def greedy(events: DataFrame, days: Column, km: Column, p0: Column, p1: Column, two_sided: bool, flat: bool = False, few: int = FEW, most_rounds: int = 1000) -> DataFrame:
+    """events (event_idx, day, lat_deg, lon_deg, ...) -> (event_idx, is_main) of the greedy choice in order of p0, p1, event_idx.
+
+    An event claims the later ones in its window: `days` after it (two_sided: before it, too) and `km` around it. Those without a finite
+    time or place claim nothing and are main. few: that many undecided events are settled in one task. Fails loudly if it does not settle."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    placed = F.coalesce(finite("day") & finite("lat_deg") & finite("lon_deg"), F.lit(False))
+    decided = events.where(~placed).select("event_idx", F.lit(True).alias("is_main"))
+    rows = events.where(placed).select(F.col("event_idx").cast("long"), p0.cast("double").alias("p0"), p1.cast("double").alias("p1"), "day", F.col("lat_deg").alias("lat"), F.col("lon_deg").alias("lon"), days.cast("double").alias("days"), km.cast("double").alias("km"))
+    rows = materialize(rows, "events")
+    bound = rows.agg(F.max("days").alias("days"), F.max("km").alias("km"), F.min("days").alias("least_days"), F.min("km").alias("least_km")).first()
+    if bound.days is None:
+        return decided
+    cells, fine = Cells(8 * bound.days, 8 * bound.km), Cells(bound.least_days / 4, bound.least_km / 4)
+    margin = bound.least_km * (1.75 if flat else 0.75)  # no two events of a fine cell are farther apart, below 80 degrees if flat
+    open_ = materialize(fine.own(cells.own(rows), ("ft", "fs", "fl")), "open")
     for _ in range(most_rounds):
-        blocked = edges.select(F.col("dst").alias("event_idx")).distinct()
-        main = open_.join(blocked, "event_idx", "left_anti").withColumn("is_main", F.lit(True))
-        hit = edges.join(main.select(F.col("event_idx").alias("src")), "src", "left_semi").select(F.col("dst").alias("event_idx")).distinct().withColumn("is_main", F.lit(False))
-        done = materialize(main.unionByName(hit), "decided")
-        decided = done if decided is None else decided.unionByName(done)
-        keys = done.select("event_idx")
-        open_ = materialize(open_.join(keys, "event_idx", "left_anti"), "open")
+        if open_.count() <= few:
+            alone = {c: F.lit(0).cast("long") for c in ("t", "s", "l")} | {"own": F.lit(True), "inner": F.lit(True), "many": F.lit(False), "wide_days": F.col("days"), "wide_km": F.col("km")}
+            spread = open_.drop("ft", "fs", "fl").withColumns(alone)
+        else:
+            # The first of each fine cell stands for the others there, whatever their number; maxima meet before the shuffle.
+            whole = F.struct("p0", "p1", "event_idx", "day", "lat", "lon", "days", "km", F.col("t").alias("own_t"), F.col("s").alias("own_s"), F.col("l").alias("own_l"))
+            tops = open_.groupBy("ft", "fs", "fl").agg(F.min(whole).alias("e"), (F.count("*") > 1).alias("many"), F.max("days").alias("most_days"), F.max("km").alias("most_km"))
+            over = F.when((F.abs("e.lat") + F.col("most_km") / 111 > 80) & F.lit(flat), 1e9).otherwise(F.col("most_km") + margin)
+            tops = tops.select("e.*", "many", F.when(F.col("many"), F.col("most_days") + bound.least_days / 4).otherwise(F.col("e.days")).alias("wide_days"), F.when(F.col("many"), over).otherwise(F.col("e.km")).alias("wide_km"))
+            # Events that come as near as the largest window are settled with the cell, so all that may claim them must be there.
+            back = (F.col("wide_days") if two_sided else F.lit(0.0)) + bound.days
+            spread = cells.reached(tops, back, F.col("wide_days") + bound.days, F.col("wide_km") + bound.km, (bound.days, bound.km))
+            own = (F.col("t") == F.col("own_t")) & (F.col("s") == F.col("own_s")) & (F.col("l") == F.col("own_l"))
+            spread = spread.withColumn("own", own).drop("own_t", "own_s", "own_l")
+        mains = materialize(_local(spread, flat), "mains")
+        m = cells.reached(mains, F.col("days") if two_sided else F.lit(0.0), F.col("days"), F.col("km")).alias("m")
+        rest = open_.join(mains.select("event_idx"), "event_idx", "left_anti")
+        before = F.struct("m.p0", "m.p1", "m.event_idx") < F.struct("o.p0", "o.p1", "o.event_idx")
+        to, at = (F.col("o.lat"), F.col("o.lon")), (F.col("m.lat"), F.col("m.lon"))
+        near = flat_distance2(*to, *at) < F.col("m.km") * F.col("m.km") if flat else distance_km(*at, *to) <= F.col("m.km")
+        met = (F.col("m.t") == F.col("o.t")) & (F.col("m.s") == F.col("o.s")) & (F.col("m.l") == F.col("o.l"))
+        near = met & before & (F.abs(F.col("o.day") - F.col("m.day")) <= F.col("m.days")) & near
+        claimed = materialize(rest.alias("o").join(m, near, "left_semi").select("event_idx"), "claimed")
+        decided = decided.unionByName(mains.select("event_idx", F.lit(True).alias("is_main"))).unionByName(claimed.select("event_idx", F.lit(False).alias("is_main")))
+        open_ = materialize(rest.join(claimed, "event_idx", "left_anti"), "open")
         if open_.isEmpty():
             return decided
-        edges = materialize(edges.join(keys.withColumnRenamed("event_idx", "dst"), "dst", "left_anti").join(keys.withColumnRenamed("event_idx", "src"), "src", "left_anti"), "edges")
-    raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
+    raise RuntimeError(f"not settled after {most_rounds} rounds")
 
 
 def gardner_knopoff_edges(quakes: DataFrame) -> DataFrame:
@@ -85,8 +258,8 @@ def gardner_knopoff_edges(quakes: DataFrame) -> DataFrame:
 
 def gardner_knopoff(quakes: DataFrame) -> DataFrame:
     """quakes with is_main: false for events in the window of a larger main event."""
-    known = quakes.where("magnitude is not null")
-    return quakes.join(first_independent(known, gardner_knopoff_edges(known)), "event_idx")
+    known, size = quakes.where("magnitude is not null"), F.col("magnitude")
+    return quakes.join(greedy(known, window_days(size), window_km(size), -size, F.col("day"), two_sided=True), "event_idx")
 
 
 def thin(events: DataFrame, km: float, days: float, flat: bool = False) -> DataFrame:
@@ -96,11 +269,4 @@ def thin(events: DataFrame, km: float, days: float, flat: bool = False) -> DataF
     great circle, km included. Ties in time go by event_idx. km or days of 0 keeps all."""
     if km <= 0 or days <= 0:
         return events.withColumn("is_main", F.lit(True))
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    order = (a("day") < b("day")) | ((a("day") == b("day")) & (a("event_idx") < b("event_idx")))
-    if flat:
-        space = flat_distance2(b("lat_deg"), b("lon_deg"), a("lat_deg"), a("lon_deg")) < km * km
-    else:
-        space = distance_km(a("lat_deg"), a("lon_deg"), b("lat_deg"), b("lon_deg")) <= km
-    edges = window_edges(events, F.lit(float(days)), F.lit(float(km)), order, (b("day") - a("day") <= days) & space)
-    return events.join(first_independent(events, edges), "event_idx")
+    return events.join(greedy(events, F.lit(float(days)), F.lit(float(km)), F.col("day"), F.lit(0.0), two_sided=False, flat=flat), "event_idx")
