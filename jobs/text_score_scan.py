@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.common import arguments, session
-from tremorlake.operators import circular, scores
+from tremorlake.operators import circular, matrix, scores
 from tremorlake.operators.tables import materialize, numbered
 from tremorlake.sources.sinks import scan_report, write_design, write_json
 
@@ -79,9 +79,9 @@ def scan(spark: SparkSession, documents: str, labels: str, output: str, config:
     rows = spark.read.schema(schema).parquet(f"{output}/features").fillna("", config["match"])
     write_design(matched(rows, config), f"{output}/design", *by)
     design = spark.read.schema(f"stratum long, row_idx int, {schema}").parquet(f"{output}/design").fillna("", config["match"])
-    long = materialize(scores.melt(design, {c: F.col(f"`{c}`") for c in config["features"]}), "long")
-    observed = materialize(scores.conditional_score(long), "observed")
-    null = materialize(scores.permutations(long, int(config["permutations"]), int(config["seed"])), "null")
+    m = matrix.of(design, {c: F.col(f"`{c}`") for c in config["features"]})
+    sums = matrix.scan_sums(m, int(config["permutations"]), int(config["seed"]))
+    observed, null = matrix.observed(m, sums), matrix.null(m, sums)
     family = F.create_map(*[F.lit(x) for name, f in config["features"].items() for x in (name, f["family"])])
     tested = circular.benjamini_hochberg(empirical_p(observed.where("testable"), null), "p", float(config["rate"]), "feature")
     tested.withColumn("family", family[F.col("feature")]).write.mode("overwrite").partitionBy("family").parquet(f"{output}/scan")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import labels
 from tremorlake.functions.random import M, mix_sql
-from tremorlake.operators import decluster, design, scores
+from tremorlake.operators import decluster, design, matrix, scores
 from tremorlake.operators.tables import materialize
 from tremorlake.plans.catalogue import annual_counts, cell_sql, dispersion, select_events
 from tremorlake.plans.fixtures import CMT_SQL, QUAKE_SQL, SPAN, cmt, quake
@@ -271,6 +271,10 @@ def score_features() -> dict[str, F.Column]:
     return {"date": d, "date2": d * d / 1e6, "day_of_month": d - F.floor(d / 30.44) * 30.44, "hash": (F.col("stratum") * 7 + F.col("row_idx") * 13) % 11}
 
 
+def score_matrix(spark: SparkSession, sf_dir: str) -> matrix.Matrix:
+    return matrix.of(indexed(time_design(spark, sf_dir)), score_features())
+
+
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.melt(indexed(time_design(spark, sf_dir)), score_features())
 
@@ -316,14 +320,15 @@ maxes AS (SELECT perm, max(abs(z)) AS m FROM null_z GROUP BY perm)"""
 
 @query("n8_permutations", f"WITH {_PERM} SELECT perm::INTEGER AS perm, feature, round(z, 5) AS z FROM null_z")
 def n8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = materialize(score_table(spark, sf_dir), "long")
-    return scores.permutations(long, 40).select("perm", "feature", F.round("z", 5).alias("z"))
+    m = score_matrix(spark, sf_dir)
+    return matrix.null(m, matrix.scan_sums(m, 40)).select("perm", "feature", F.round("z", 5).alias("z"))
 
 
 @query("a25_family_wise", f"WITH {_PERM}, o AS (SELECT max(abs(z)) AS obs FROM scored) SELECT round(obs, 5) AS max_abs_z, (count(*) FILTER (m >= obs - 1e-12) + 1)::DOUBLE / (count(*) + 1) AS family_wise_p, round(quantile_cont(m, 0.95), 5) AS perm_threshold_95, round(median(m), 5) AS perm_median, count(*) AS perms FROM maxes, o GROUP BY obs")
 def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = materialize(score_table(spark, sf_dir), "long")
-    out = scores.family_wise(scores.conditional_score(long), scores.permutations(long, 40))
+    m = score_matrix(spark, sf_dir)
+    sums = matrix.scan_sums(m, 40)
+    out = scores.family_wise(matrix.observed(m, sums), matrix.null(m, sums))
     return out.withColumns({c: F.round(c, 5) for c in ("max_abs_z", "perm_threshold_95", "perm_median")})
 
 
@@ -429,9 +434,10 @@ def score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = materialize(design.usable(indexed(time_design(spark, sf_dir))), "design")
     cases = base.where("is_case").select(F.col("stratum").alias("event_idx"), "day", "lat_deg", "lon_deg")
     keep = decluster.thin(cases, 100, 90, flat=True).where("is_main").select(F.col("event_idx").alias("stratum"))
-    long = materialize(scores.melt(base.join(keep, "stratum", "left_semi"), score_features()), "long")
-    seen = materialize(scores.conditional_score(long), "scores")
-    summary = scores.family_wise(seen, scores.permutations(long, 200)).crossJoin(scores.z_spread(seen))
+    m = matrix.of(base.join(keep, "stratum", "left_semi"), score_features())
+    sums = matrix.scan_sums(m, 200)
+    seen = matrix.observed(m, sums)
+    summary = scores.family_wise(seen, matrix.null(m, sums)).crossJoin(scores.z_spread(seen))
     return scan_report(summary, seen.where("testable").orderBy(F.desc(F.abs("z"))).limit(200))
 
 

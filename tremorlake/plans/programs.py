@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions.random import M, mix2, uniform
-from tremorlake.operators import charts, circular, design, joins, models, physics, scores, tides
+from tremorlake.operators import charts, circular, design, joins, matrix, models, physics, scores, tides
 from tremorlake.operators.tables import materialize
 from tremorlake.plans.fixtures import QUAKE_SQL, quake, tremor
 from tremorlake.plans.matched import indexed, score_features, time_design
@@ -36,18 +36,18 @@ def chart_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chart_score_scan")
 def chart_score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional scores of all chart features over the matched design: features stay an array until they are summed by stratum."""
+    """Conditional scores of all chart features over the matched design: features stay in arrays until they are summed by block."""
     rows, names = charts.chart_features(indexed(time_design(spark, sf_dir)), "day", None, None, 2)
-    long = rows.select("stratum", "row_idx", "is_case", F.posexplode("features").alias("i", "x")).select("stratum", "row_idx", "is_case", F.col("i").cast("string").alias("feature"), F.col("x").cast("double").alias("x"))
-    label = F.get(F.array(*map(F.lit, names)), F.col("feature").cast("int"))
-    return scores.conditional_score(long).withColumn("feature", label)
+    m = matrix.of_arrays(rows, names)
+    return matrix.observed(m, matrix.scan_sums(m))
 
 
 @query("score_scan")
 def score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with at most four controls a stratum, and the number of independent tests that its null amounts to."""
-    long = materialize(scores.melt(design.first_controls(design.usable(indexed(time_design(spark, sf_dir))), 4), score_features()), "long")
-    out = scores.family_wise(scores.conditional_score(long), scores.permutations(long, 100))
+    m = matrix.of(design.first_controls(design.usable(indexed(time_design(spark, sf_dir))), 4), score_features())
+    sums = matrix.scan_sums(m, 100)
+    out = scores.family_wise(matrix.observed(m, sums), matrix.null(m, sums))
     rounded = {c: F.round(c, 5) for c in ("max_abs_z", "perm_threshold_95", "perm_median")} | {"family_wise_p": F.round("family_wise_p", 6)}
     return out.withColumn("effective_tests", F.round(scores.effective_tests(F.col("perm_median")), 2)).withColumns(rounded)
 
