@@ -47,6 +47,15 @@ def test_scan_equals_that_of_the_long_table(spark, monkeypatch, rows):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
 
 
+def test_arrays_are_cut_into_blocks(spark):
+    d = design(spark).withColumn("b", F.when(F.col("b") > 1, F.col("b")))
+    x = d.select("*", F.array("a", "b", "c").alias("features"))
+    got, want = matrix.of_arrays(x, ["a", "b", "c"], 2), matrix.of(d, names(), 2)
+    assert got.names == want.names and sorted(map(str, got.blocks.collect())) == sorted(map(str, want.blocks.collect()))
+    with pytest.raises(Exception, match="must have 2 features"):
+        matrix.of_arrays(x, ["a", "b"], 2).blocks.count()
+
+
 def test_missing_values_count_as_the_mean(spark):
     rows = [(1, 0, True, None, 1.0, 0.0), (1, 1, False, 2.0, 2.0, 0.0), (2, 0, True, 5.0, float("nan"), 0.0), (2, 1, False, 1.0, 4.0, 0.0)]
     m = matrix.of(spark.createDataFrame(rows, DESIGN), names(), 3)

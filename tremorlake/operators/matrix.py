@@ -48,10 +48,21 @@ def of(design: DataFrame, features: dict[str, Column], width: int = WIDTH) -> Ma
 
 
 def of_arrays(rows: DataFrame, names: list[str], width: int = WIDTH, column: str = "features") -> Matrix:
-    """rows (stratum, row_idx, is_case, <column>: an array of all features) -> a matrix."""
-    parts = [F.struct(F.lit(i // width).alias("block"), F.transform(F.slice(column, i + 1, min(width, len(names) - i)), lambda v: v.cast("double")).alias("x")) for i in range(0, len(names), width)]
-    rows = rows.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", F.explode(F.array(*parts)).alias("p"))
-    return Matrix(rows.select("p.block", "stratum", "row_idx", "is_case", "p.x"), tuple((n, i // width, i % width) for i, n in enumerate(names)))
+    """rows (stratum, row_idx, is_case, <column>: an array of all features) -> a matrix. Arrays are cut in Arrow batches, evaluated once."""
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                x = values(part.column(3), n)
+                for at in range(0, n, width):
+                    own = np.ascontiguousarray(x[:, at : at + width])
+                    lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel(), from_pandas=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at // width, np.int32)), *part.columns[:3], lists], ["block", "stratum", "row_idx", "is_case", "x"])
+
+    rows = rows.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", F.col(column).cast("array<double>").alias("x"))
+    return Matrix(rows.mapInArrow(run, BLOCKS), tuple((name, i // width, i % width) for i, name in enumerate(names)))
 
 
 def write(matrix: Matrix, path: str) -> None:
@@ -118,9 +129,12 @@ def map_batches(matrix: Matrix, work: Callable[[int, pa.RecordBatch, np.ndarray]
     return matrix.blocks.select("block", "stratum", "row_idx", "is_case", "x").mapInArrow(run, schema)
 
 
-def values(x: pa.Array) -> np.ndarray:
-    flat = x.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(np.float64, copy=False)
+def values(x: pa.Array, width: int | None = None) -> np.ndarray:
+    """Lists of equal length as (row, place), NaN where null. width: the length that they must have."""
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if width is not None and len(flat) != len(x) * width:
+        raise ValueError(f"rows must have {width} features")
+    return flat.reshape(len(x), -1)
 
 
 def concatenated(frames: list[tuple[DataFrame, list[str]]], keys: list[str]) -> tuple[DataFrame, list[str]]:
