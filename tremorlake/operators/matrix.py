@@ -157,7 +157,7 @@ def concatenated(frames: list[tuple[DataFrame, list[str]]], keys: list[str]) ->
 # Score scans
 
 
-def _mix(key: np.ndarray, seed: int) -> np.ndarray:
+def mix_array(key: np.ndarray, seed: int) -> np.ndarray:
     """functions.random.mix of whole arrays."""
     v = (key * 48271 + seed) % M
     for c in ROUNDS:
@@ -167,8 +167,8 @@ def _mix(key: np.ndarray, seed: int) -> np.ndarray:
 
 def picks(strata: np.ndarray, sizes: np.ndarray, n: int, seed: int) -> np.ndarray:
     """(permutation, stratum) -> which of the stratum's rows stands in the case's place; the draw of scores.permutations."""
-    keys = (_mix(strata % M, seed)[None, :] + np.arange(1, n + 1)[:, None]) % M
-    return _mix(keys, seed + 1) % sizes[None, :]
+    keys = (mix_array(strata % M, seed)[None, :] + np.arange(1, n + 1)[:, None]) % M
+    return mix_array(keys, seed + 1) % sizes[None, :]
 
 
 class _Sums:

@@ -1,15 +1,21 @@
-"""Stratum-wise models: ridge conditional logit, and boosted trees with the stratum softmax as their objective.
+"""Stratum-wise models: ridge conditional logits, and boosted trees with the stratum softmax as their objective.
 
-Both keep rows distributed. A step sends the weights (or a tree's splits) out, and brings back sums: a gradient of one
-number a feature, or histograms of one row a (node, feature, bin)."""
+A stratum's rows are packed into one row, so that a scan needs no shuffle and no window: a task takes Arrow batches of whole strata and
+adds up gradients or histograms, of which one row a task leaves it. Scans are the cost; they are counted in `scans`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.operators.tables import materialize
+from tremorlake.functions.random import M
+from tremorlake.operators.matrix import mix_array
+from tremorlake.operators.shifts import mix_int
+from tremorlake.operators.tables import materialize, numbered
 
 
 def scales(rows: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
@@ -23,79 +29,355 @@ def standardised(names: list[str], by: dict[str, tuple[float, float]]) -> Column
     return F.array(*[(F.col(c).cast("double") - by[c][0]) / by[c][1] if by[c][1] > 1e-9 else F.lit(0.0) for c in names])
 
 
-class ConditionalLogit:
-    """Softmax likelihood within strata with 0.5 * lambda * |b|^2 over the mean log likelihood, fitted by L-BFGS."""
+def packed(rows: DataFrame, x: Column) -> DataFrame:
+    """rows (stratum, is_case, ...) and their features -> one row a stratum: (stratum, y, x), y an array, x the features row after row.
 
-    def __init__(self, ridge: float, iterations: int = 30) -> None:
-        self.ridge, self.iterations = ridge, iterations
-
-    def _value(self, rows: DataFrame, b: np.ndarray) -> tuple[float, np.ndarray]:
-        score = F.aggregate(F.zip_with("x", F.array(*map(F.lit, b.tolist())), lambda x, w: x * w), F.lit(0.0), lambda a, y: a + y)
-        w = Window.partitionBy("stratum")
-        s = rows.withColumn("s", score).withColumn("top", F.max("s").over(w)).withColumn("e", F.exp(F.col("s") - F.col("top"))).withColumn("p", F.col("e") / F.sum("e").over(w))
-        y = F.col("is_case").cast("double")
-        grads = [F.sum((y - F.col("p")) * F.get("x", F.lit(i))).alias(f"g{i}") for i in range(len(b))]
-        r = s.agg(F.sum(F.when(F.col("is_case"), F.log("p"))).alias("ll"), F.sum(y).alias("n"), *grads).first()
-        n = r["n"] or 1.0
-        return -(r["ll"] or 0.0) / n + 0.5 * self.ridge * float(b @ b), -np.array([r[f"g{i}"] or 0.0 for i in range(len(b))]) / n + self.ridge * b
-
-    def fit(self, rows: DataFrame, names: list[str]) -> ConditionalLogit:
-        """rows (stratum, is_case, <names>). Each iteration is one job over the rows."""
-        self.names, self.scales = names, scales(rows, names)
-        data = materialize(rows.select("stratum", "is_case", standardised(names, self.scales).alias("x")).repartition("stratum"), "logit")
-        b = np.zeros(len(names))
-        f, g = self._value(data, b)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for _ in range(self.iterations):
-            if np.abs(g).max() < 1e-7:
-                break
-            d, back = -g, []
-            for s, y in reversed(pairs):
-                a = (s @ d) / (s @ y)
-                d = d - a * y
-                back.append((a, s, y))
-            if pairs:
-                d = d * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
-            for a, s, y in reversed(back):
-                d = d + (a - (y @ d) / (s @ y)) * s
-            step = 1.0
-            while step > 1e-6:
-                f1, g1 = self._value(data, b + step * d)
-                if f1 <= f + 1e-4 * step * (g @ d):
-                    break
-                step /= 2
-            else:
-                break
-            s, y = step * d, g1 - g
+    The case comes first, the rest in the order of its features; missing features are NaN."""
+    filled = F.transform(x, lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
+    each = F.array_sort(F.collect_list(F.struct((~F.col("is_case")).alias("control"), filled.alias("x"))))
+    strata = rows.groupBy("stratum").agg(each.alias("rows"))
+    return strata.select("stratum", F.transform("rows", lambda r: ~r["control"]).alias("y"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column -> all values, and where each list begins."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(column.offsets.to_numpy())
+    return flat, np.cumsum(sizes) - sizes
+
+
+def softmax(score: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities within strata, and their logarithms; score may have columns."""
+    sizes = np.diff(np.append(starts, len(score)))
+    s = score - np.repeat(np.maximum.reduceat(score, starts, axis=0), sizes, axis=0)
+    total = np.repeat(np.add.reduceat(np.exp(s), starts, axis=0), sizes, axis=0)
+    return np.exp(s) / total, s - np.log(total)
+
+
+SUMS = "key int, sums array<double>"
+
+
+def _summed(data: DataFrame, work: Callable[[pa.RecordBatch, dict[int, np.ndarray]], None]) -> dict[int, np.ndarray]:
+    """work adds a batch to arrays by key -> the arrays' sums over all tasks; they meet on executors, and one row a key comes back."""
+
+    def out(state: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([a.ravel() for a in state.values()], pa.list_(pa.float64()))], ["key", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                work(batch, state)
+        if state:
+            yield out(state)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                add(state, key, sums.values.to_numpy())
+        yield out(state)
+
+    found = data.mapInArrow(run, SUMS).groupBy("key").applyInArrow(merge, SUMS).collect()
+    return {r.key: np.array(r.sums) for r in found}
+
+
+def add(state: dict[int, np.ndarray], key: int, sums: np.ndarray) -> None:
+    state[key] = state[key] + sums if key in state else np.array(sums, np.float64)
+
+
+class _Descent:
+    """L-BFGS for one ridge: proposes points and takes their values, so that many can share a scan."""
+
+    def __init__(self, b: np.ndarray, iterations: int) -> None:
+        self.b, self.left, self.pairs, self.done, self.f = b, iterations, [], False, None
+        self.d, self.step, self.g = np.zeros_like(b), 1.0, None
+
+    def point(self) -> np.ndarray:
+        return self.b + self.step * self.d
+
+    def take(self, f: float, g: np.ndarray) -> None:
+        if self.f is None:
+            self.f, self.g = f, g
+        elif f <= self.f + 1e-4 * self.step * (self.g @ self.d):
+            s, y = self.step * self.d, g - self.g
             if s @ y > 1e-12:
-                pairs = [*pairs, (s, y)][-8:]
-            done = f - f1 < 1e-10
-            b, f, g = b + s, f1, g1
-            if done:
-                break
-        self.beta, self.loss = b, f
+                self.pairs = [*self.pairs, (s, y)][-8:]
+            self.left -= 1
+            self.done = self.f - f < 1e-10 or self.left <= 0
+            self.b, self.f, self.g = self.b + s, f, g
+        else:
+            self.step /= 2
+            self.done = self.step <= 1e-6
+            return
+        self.done |= np.abs(self.g).max(initial=0) < 1e-7
+        d, back = -self.g, []
+        for s, y in reversed(self.pairs):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            back.append((a, s, y))
+        if self.pairs:
+            d = d * (self.pairs[-1][0] @ self.pairs[-1][1]) / (self.pairs[-1][1] @ self.pairs[-1][1])
+        for a, s, y in reversed(back):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        self.d, self.step = d, 1.0
+
+
+class LogitPath:
+    """Conditional logits at several ridges: 0.5 * ridge * |b|^2 over the mean softmax log likelihood within strata.
+
+    Each scan gives likelihoods and gradients of all ridges that are not done, so the path costs as many scans as its slowest ridge.
+    Missing features count as the mean; constant ones are frozen at 0."""
+
+    def __init__(self, ridges: list[float], iterations: int = 30) -> None:
+        self.ridges, self.iterations, self.scans = ridges, iterations, 0
+
+    def _sums(self, data: DataFrame, points: np.ndarray) -> np.ndarray:
+        """points (ridge, feature) -> (ridge, 3 + feature): cases, their log likelihood and that of chance, and its gradient."""
+        width = points.shape[1]
+        self.scans += 1
+
+        def work(batch: pa.RecordBatch, state: dict[int, np.ndarray]) -> None:
+            y, starts = _lists(batch.column(1))
+            x = np.nan_to_num(_lists(batch.column(2))[0].reshape(len(y), width), nan=0.0)
+            p, log_p = softmax(x @ points.T, starts)
+            chance = -np.log(np.repeat(np.diff(np.append(starts, len(y))), np.diff(np.append(starts, len(y)))))
+            case = y.astype(bool)
+            head = np.stack([np.full(len(points), case.sum()), log_p[case].sum(axis=0), np.full(len(points), chance[case].sum())], axis=1)
+            add(state, 0, np.concatenate([head, (case[:, None] - p).T @ x], axis=1))
+
+        got = _summed(data, work)
+        return got[0].reshape(len(points), 3 + width) if got else np.zeros((len(points), 3 + width))
+
+    def fit(self, rows: DataFrame, names: list[str]) -> LogitPath:
+        """rows (stratum, is_case, <names>)."""
+        self.names, self.scales = names, scales(rows, names)
+        data = materialize(packed(rows, standardised(names, self.scales)), "logit")
+        runs = [_Descent(np.zeros(len(names)), self.iterations) for _ in self.ridges]
+        while live := [(r, ridge) for r, ridge in zip(runs, self.ridges, strict=True) if not r.done]:
+            sums = self._sums(data, np.array([r.point() for r, _ in live]))
+            for (r, ridge), s in zip(live, sums, strict=True):
+                n, b = s[0] or 1.0, r.point()
+                r.take(-s[1] / n + 0.5 * ridge * float(b @ b), -s[3:] / n + ridge * b)
+        self.betas, self.losses = np.array([r.b for r in runs]), [r.f for r in runs]
         return self
 
-    def scores(self, rows: DataFrame) -> DataFrame:
-        """Adds score, to be used within strata."""
+    def gains(self, rows: DataFrame) -> list[float]:
+        """Bits an event over chance at each ridge, in one scan."""
+        s = self._sums(packed(rows, standardised(self.names, self.scales)), self.betas)
+        return ((s[:, 1] - s[:, 2]) / np.maximum(s[:, 0], 1) / np.log(2)).tolist()
+
+    def scores(self, rows: DataFrame, i: int = 0) -> DataFrame:
+        """Adds score of the i-th ridge, to be used within strata."""
         x = standardised(self.names, self.scales)
-        return rows.withColumn("score", F.aggregate(F.zip_with(x, F.array(*map(F.lit, self.beta.tolist())), lambda a, w: a * w), F.lit(0.0), lambda a, y: a + y))
+        return rows.withColumn("score", F.aggregate(F.zip_with(x, F.array(*map(F.lit, self.betas[i].tolist())), lambda a, w: F.coalesce(a, F.lit(0.0)) * w), F.lit(0.0), lambda a, y: a + y))
+
+
+class ConditionalLogit(LogitPath):
+    """The path of one ridge."""
+
+    def __init__(self, ridge: float, iterations: int = 30) -> None:
+        super().__init__([ridge], iterations)
+
+    @property
+    def beta(self) -> np.ndarray:
+        return self.betas[0]
+
+    @property
+    def loss(self) -> float:
+        return self.losses[0]
 
 
 def quantile_edges(rows: DataFrame, names: list[str], bins: int = 63) -> dict[str, list[float]]:
-    """Inner edges of equal-count bins, by a mergeable sketch."""
-    got = rows.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in names]).first()
-    return {c: sorted(set(got[c] or [])) for c in names}
+    """Inner edges of equal-count bins, exact: the values at ranks ceil(i n / bins); equal edges are one.
+
+    All values of all features are numbered once over range partitions; only the values at the ranks asked for come back.
+    Null and NaN have no rank."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)])
+    long = materialize(rows.select(F.explode(pairs).alias("p")).select("p.i", "p.x").where("x is not null and not isnan(x)"), "values")
+    counts = {r.i: r.n for r in long.groupBy("i").agg(F.count("*").alias("n")).collect()}  # a row a feature
+    asked, before = [], 0
+    for i in range(len(names)):
+        n = counts.get(i, 0)
+        asked += [(i, before + -(-k * n // bins)) for k in range(1, bins)] if n else []
+        before += n
+    if not asked:
+        return {c: [] for c in names}
+    wanted = rows.sparkSession.createDataFrame(sorted(set(asked)), "f int, rn long")  # features x bins
+    got = numbered(long, F.col("i"), F.col("x")).join(F.broadcast(wanted), "rn").select("i", "x").distinct().collect()
+    edges: dict[str, list[float]] = {c: [] for c in names}
+    for r in got:
+        edges[names[r.i]].append(r.x)
+    return {c: sorted(e) for c, e in edges.items()}
+
+
+def routed(tree: dict[int, tuple], bins: np.ndarray) -> np.ndarray:
+    """The node that each row ends in; node k has the children 2 k and 2 k + 1."""
+    at = np.ones(len(bins), np.int64)
+    for node in sorted(k for k, t in tree.items() if t[0] == "split"):
+        here = np.flatnonzero(at == node)
+        at[here] = 2 * node + (bins[here, tree[node][1]] > tree[node][2])
+    return at
+
+
+def leaf_values(tree: dict[int, tuple], bins: np.ndarray) -> np.ndarray:
+    at = routed(tree, bins)
+    out = np.zeros(len(bins))
+    for node in np.unique(at):
+        out[at == node] = tree[node][1]
+    return out
 
 
 class BoostedTrees:
-    """Trees on binned features; gradient p - y, hessian max(p (1 - p), 1e-6), p the softmax within the stratum."""
+    """Trees on binned features; gradient p - y, hessian max(p (1 - p), 1e-6), p the softmax within the stratum.
+
+    leaves: at most so many a tree, best split first (2 ** depth: all splits with a gain, a level a scan). A split scans the
+    smaller child only; its sibling's histogram is the parent's less that. bagging: the share of strata in each tree's sample, by a
+    counter hash; features: the share of features that a tree may use. With `check` strata, fitting ends after `patience` trees
+    without a better gain there, and the best number of trees is kept. Null and NaN fall into the first bin."""
 
-    def __init__(self, depth: int = 2, rate: float = 0.05, trees: int = 5, min_leaf: int = 20, bins: int = 63) -> None:
+    FOLD = 10  # trees after which scores are written out
+
+    def __init__(self, depth: int = 2, rate: float = 0.05, trees: int = 5, min_leaf: int = 20, bins: int = 63, leaves: int | None = None, bagging: float = 1.0, features: float = 1.0, patience: int | None = None, seed: int = 11) -> None:
+        if not 2 <= bins <= 256:
+            raise ValueError("a bin's number must fit a byte")
         self.depth, self.rate, self.n_trees, self.min_leaf, self.bins = depth, rate, trees, min_leaf, bins
+        self.leaves, self.bagging, self.features, self.patience, self.seed, self.scans = leaves or 2**depth, bagging, features, patience, seed, 0
+
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """(stratum, y, bins: a byte a row and feature, score)."""
+        edges, width = [np.array(self.edges[c]) for c in self.names], len(self.names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, starts = _lists(batch.column(2))
+                x = flat.reshape(-1, width)
+                binned = np.stack([np.where(np.isnan(x[:, j]), 0, np.searchsorted(e, x[:, j], side="left")) for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+                at = np.append(starts, len(flat)) // width
+                made = pa.array([binned[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+                zero = pa.array([np.zeros(b - a) for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, zero], ["stratum", "y", "bins", "score"])
+
+        x = packed(rows.withColumn("stratum", F.col("stratum").cast("long")), F.array(*[F.col(c).cast("double") for c in self.names]))
+        return materialize(x.mapInArrow(run, "stratum long, y array<boolean>, bins binary, score array<double>"), "boost")
+
+    def _opened(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """y, where strata begin, bins and scores, with the trees that are not written out yet."""
+        y, starts = _lists(batch.column(1))
+        bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(y), len(self.names))
+        score = _lists(batch.column(3))[0].copy()
+        for tree in self.trees[self.folded :]:
+            score += leaf_values(tree, bins)
+        return y.astype(np.float64), starts, bins, score
+
+    def _histograms(self, data: DataFrame, tree: dict[int, tuple], nodes: list[int], used: list[int], number: int) -> dict[int, np.ndarray]:
+        """node -> (feature, bin, 3): gradients, hessians, rows of the sample."""
+        self.scans += 1
+        wide, width = self.bins, len(used)
+
+        def work(batch: pa.RecordBatch, state: dict[int, np.ndarray]) -> None:
+            y, starts, bins, score = self._opened(batch)
+            p, _ = softmax(score, starts)
+            g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+            at = routed(tree, bins)
+            if self.bagging < 1:
+                stratum = batch.column(0).to_numpy() % M
+                inside = mix_array((mix_array(stratum, self.seed) + number) % M, self.seed + 1) < self.bagging * M
+                at = np.where(np.repeat(inside, np.diff(np.append(starts, len(y)))), at, 0)
+            place = bins[:, used].astype(np.int64) + wide * np.arange(width)
+            for node in nodes:
+                rows = at == node
+                own = place[rows].ravel()
+                sums = [np.bincount(own, None if w is None else np.repeat(w[rows], width), wide * width) for w in (g, h, None)]
+                add(state, node, np.stack(sums, axis=1))
+
+        got = _summed(data, work)
+        return {n: got[n].reshape(width, wide, 3) if n in got else np.zeros((width, wide, 3)) for n in nodes}
+
+    def _best(self, hist: np.ndarray, used: list[int]) -> tuple[float, int, int]:
+        """(gain, feature, last bin on the left); gain 0 if no split leaves enough rows on both sides."""
+        left = np.cumsum(hist, axis=1)[:, :-1]
+        whole = hist[0].sum(axis=0)
+        right = whole - left
+        gain = left[..., 0] ** 2 / (left[..., 1] + 1e-9) + right[..., 0] ** 2 / (right[..., 1] + 1e-9) - whole[0] ** 2 / (whole[1] + 1e-9)
+        # Where bins between are empty, splits are the same: the first is taken.
+        gain = np.where((left[..., 2] >= self.min_leaf) & (right[..., 2] >= self.min_leaf), gain, 0.0)
+        top = gain.max(initial=0.0)
+        if top <= 1e-9:
+            return 0.0, 0, 0
+        f, b = np.argwhere(gain >= top * (1 - 1e-12))[0]
+        return float(top), used[int(f)], int(b)
+
+    def _grow(self, data: DataFrame, number: int) -> dict[int, tuple]:
+        width = max(1, round(self.features * len(self.names)))
+        used = sorted(sorted(range(len(self.names)), key=lambda j: (mix_int((number * 4093 + j) % M, self.seed + 7), j))[:width])
+        tree: dict[int, tuple] = {}
+        hist = self._histograms(data, tree, [1], used, number)
+        best = {1: self._best(hist[1], used)}
+        while len(hist) < self.leaves:
+            able = sorted((n for n in hist if best[n][0] > 0 and n.bit_length() <= self.depth), key=lambda n: (-best[n][0], n))
+            able = able if self.leaves >= 2**self.depth else able[:1]
+            if not able:
+                break
+            small = []
+            for n in able:
+                _, feature, bin_ = best[n]
+                tree[n] = ("split", feature, bin_)
+                left = hist[n][used.index(feature), : bin_ + 1, 2].sum()
+                small.append(2 * n + int(2 * left > hist[n][0, :, 2].sum()))
+            found = self._histograms(data, tree, small, used, number)
+            for n, child in zip(able, small, strict=True):
+                parent = hist.pop(n)
+                hist[child], hist[child ^ 1] = found[child], parent - found[child]
+                for k in (child, child ^ 1):
+                    best[k] = self._best(hist[k], used)
+        for n, h in hist.items():
+            g, weight, _ = h[0].sum(axis=0)
+            tree[n] = ("leaf", float(-self.rate * g / (weight + 1e-9)))
+        return tree
+
+    def _folded(self, data: DataFrame) -> DataFrame:
+        """data with the scores of all trees so far."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, starts, _, score = self._opened(batch)
+                parts = np.split(score, starts[1:]) if batch.num_rows else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.list_(pa.float64()))], ["stratum", "y", "bins", "score"])
+
+        return materialize(data.mapInArrow(run, "stratum long, y array<boolean>, bins binary, score array<double>"), "boost")
+
+    def _gain(self, data: DataFrame) -> float:
+        """Bits an event over chance."""
+        self.scans += 1
+
+        def work(batch: pa.RecordBatch, state: dict[int, np.ndarray]) -> None:
+            y, starts, _, score = self._opened(batch)
+            _, log_p = softmax(score, starts)
+            sizes = np.diff(np.append(starts, len(y)))
+            add(state, 0, np.array([(log_p + np.log(np.repeat(sizes, sizes)))[y > 0].sum(), y.sum()]))
+
+        bits, n = _summed(data, work).get(0, np.zeros(2))
+        return float(bits / max(n, 1) / np.log(2))
+
+    def fit(self, rows: DataFrame, names: list[str], check: DataFrame | None = None) -> BoostedTrees:
+        self.names, self.edges, self.trees, self.folded, self.gains = names, quantile_edges(rows, names, self.bins), [], 0, []
+        data, held = self._packed(rows), None if check is None else self._packed(check)
+        for number in range(self.n_trees):
+            self.trees.append(self._grow(data, number))
+            if held is not None:
+                self.gains.append(self._gain(held))
+                if self.patience and number - int(np.argmax(self.gains)) >= self.patience:
+                    break
+            if len(self.trees) - self.folded >= self.FOLD:
+                data, held = self._folded(data), None if held is None else self._folded(held)
+                self.folded = len(self.trees)
+        if self.gains and self.patience:
+            self.trees = self.trees[: int(np.argmax(self.gains)) + 1]
+        return self
 
     def _binned(self, rows: DataFrame) -> DataFrame:
-        cut = lambda c: F.size(F.filter(F.array(*map(F.lit, self.edges[c])), lambda e: F.col(c) > e)) if self.edges[c] else F.lit(0)
+        cut = lambda c: F.size(F.filter(F.array(*map(F.lit, self.edges[c])), lambda e: (F.col(c) > e) & ~F.isnan(c))) if self.edges[c] else F.lit(0)
         return rows.withColumn("__bins", F.array(*[cut(c).cast("int") for c in self.names]))
 
     @staticmethod
@@ -106,56 +388,6 @@ class BoostedTrees:
         feature, split = rest
         return F.when(F.get("__bins", F.lit(feature)) <= split, BoostedTrees._leaf(tree, 2 * node)).otherwise(BoostedTrees._leaf(tree, 2 * node + 1))
 
-    @staticmethod
-    def _node(tree: dict[int, tuple], node: int = 1) -> Column:
-        if node not in tree or tree[node][0] == "leaf":
-            return F.lit(node)
-        _, feature, split = tree[node]
-        return F.when(F.get("__bins", F.lit(feature)) <= split, BoostedTrees._node(tree, 2 * node)).otherwise(BoostedTrees._node(tree, 2 * node + 1))
-
-    def fit(self, rows: DataFrame, names: list[str]) -> BoostedTrees:
-        self.names, self.edges, self.trees = names, quantile_edges(rows, names, self.bins), []
-        data = materialize(self._binned(rows).select("stratum", "is_case", "__bins").repartition("stratum").withColumn("score", F.lit(0.0)), "boost")
-        w = Window.partitionBy("stratum")
-        for _ in range(self.n_trees):
-            e = F.exp(F.col("score") - F.max("score").over(w))
-            g = data.withColumn("p", e).withColumn("p", F.col("p") / F.sum("p").over(w))
-            g = materialize(g.select("stratum", "is_case", "__bins", "score", (F.col("p") - F.col("is_case").cast("double")).alias("g"), F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6)).alias("h")), "boost")
-            tree: dict[int, tuple] = {}
-            for level in range(self.depth):
-                nodes = range(2**level, 2 ** (level + 1))
-                at = g.withColumn("node", self._node(tree)).where(F.col("node").isin(*nodes))
-                hist = at.select("node", "g", "h", F.posexplode("__bins").alias("feature", "bin")).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()  # nodes x features x bins
-                for node in nodes:
-                    if node == 1 or tree.get(node // 2, ("leaf",))[0] == "split":
-                        tree[node] = self._best([r for r in hist if r.node == node])
-            frontier = g.withColumn("node", self._node(tree)).groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            for r in frontier:
-                tree[r.node] = ("leaf", -self.rate * r.g / (r.h + 1e-9))
-            for node in [n for n, t in tree.items() if t[0] == "split"]:
-                for child in (2 * node, 2 * node + 1):
-                    tree.setdefault(child, ("leaf", 0.0))
-            self.trees.append(tree)
-            data = g.withColumn("score", F.col("score") + self._leaf(tree)).drop("g", "h")
-        return self
-
-    def _best(self, hist: list) -> tuple:
-        best, found = 1e-9, ("leaf", 0.0)
-        by: dict[int, list] = {}
-        for r in hist:
-            by.setdefault(r.feature, []).append((r.bin, r.g, r.h, r.n))
-        for feature, rows in sorted(by.items()):
-            rows.sort()
-            g, h, n = (sum(r[i] for r in rows) for i in (1, 2, 3))
-            a = b = m = 0.0
-            for bin_, dg, dh, dn in rows[:-1]:
-                a, b, m = a + dg, b + dh, m + dn
-                if min(m, n - m) >= self.min_leaf:
-                    gain = a * a / (b + 1e-9) + (g - a) ** 2 / (h - b + 1e-9) - g * g / (h + 1e-9)
-                    if gain > best:
-                        best, found = gain, ("split", feature, bin_)
-        return found
-
     def scores(self, rows: DataFrame) -> DataFrame:
         total = F.lit(0.0)
         for tree in self.trees:

@@ -58,14 +58,17 @@ def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.information_gain(x).select("n_strata", F.round("bits_per_event", 6).alias("bits_per_event"))
 
 
-@query("m4_quantile_bins", f"WITH {_FEATURED} SELECT count(*) AS n, min(f_day) AS low, max(f_day) AS high FROM featured")
+@query(
+    "m4_quantile_bins",
+    f"""WITH {_FEATURED}, q AS (SELECT f AS feature, unnest(quantile_disc(x, list_transform(range(1, 64), lambda k: k / 64.0::DOUBLE))) AS edge FROM (SELECT 'f_day' AS f, f_day AS x FROM featured UNION ALL SELECT 'f_month', f_month FROM featured UNION ALL SELECT 'f_hash', f_hash FROM featured UNION ALL SELECT 'f_flat', f_flat FROM featured) GROUP BY f),
+e AS (SELECT DISTINCT feature, edge FROM q)
+SELECT feature, round(edge, 8) AS edge, row_number() OVER (PARTITION BY feature ORDER BY edge)::INTEGER AS place FROM e""",
+)
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges come from a sketch, so only what does not depend on them is compared: all rows fall into bins, ends included."""
-    rows = _features(spark, sf_dir)
-    edges = models.quantile_edges(rows, ["f_day"])["f_day"]
-    cut = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col("f_day") > e)) if edges else F.lit(0)
-    b = rows.groupBy(cut.alias("bin")).agg(F.count("*").alias("n"), F.min("f_day").alias("low"), F.max("f_day").alias("high"))
-    return b.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """Inner edges of 64 equal-count bins of each feature; equal edges are one."""
+    edges = models.quantile_edges(_features(spark, sf_dir), FEATURES, 64)
+    rows = [(c, float(e), i) for c, own in edges.items() for i, e in enumerate(own, 1)]
+    return spark.createDataFrame(rows, "feature string, edge double, place int").withColumn("edge", F.round("edge", 8))
 
 
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,15 +79,13 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query("train_conditional_logit")
 def train_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Information gain in validation of a planted effect, by ridge strength; best and median strengths (a grid of four)."""
+    """Information gain in validation of a planted effect at eight ridge strengths, fitted in shared scans; best and median strengths."""
     rows = materialize(with_features(design.plant(with_features(indexed(time_design(spark, sf_dir))), "f_hash", 0.6)), "planted")
     train, check = _halves(rows)
-    out = []
-    for ridge in (1e-3, 1e-2, 1e-1, 1.0):
-        model = models.ConditionalLogit(ridge, 12).fit(train, FEATURES)
-        got = scores.information_gain(model.scores(check)).first()
-        out.append((ridge, float(model.beta[2]), got["bits_per_event"], got["n_strata"]))
-    grid = spark.createDataFrame(out, "ridge double, beta_hash double, bits_per_event double, n_strata long")
+    path = models.LogitPath([1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0], 12).fit(train, FEATURES)
+    n = check.where("is_case").count()
+    out = [(ridge, float(b[2]), gain, n, path.scans) for ridge, b, gain in zip(path.ridges, path.betas, path.gains(check), strict=True)]
+    grid = spark.createDataFrame(out, "ridge double, beta_hash double, bits_per_event double, n_strata long, scans int")
     summary = grid.agg(F.max_by("ridge", "bits_per_event").alias("best_ridge"), F.median("bits_per_event").alias("median_bits"))
     return grid.crossJoin(F.broadcast(summary))
 
@@ -106,27 +107,27 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     train, check = (materialize(thinned(p), "thinned") for p in _halves(rows))
     out = []
-    for depth in (1, 2):
-        model = models.BoostedTrees(depth=depth, rate=0.3, trees=4, min_leaf=10, bins=15).fit(train, FEATURES)
+    for depth in (2, 4):
+        model = models.BoostedTrees(depth=depth, rate=0.3, trees=6, min_leaf=20, bins=127, bagging=0.8, features=0.5, patience=3).fit(train, FEATURES, check)
         got = scores.information_gain(model.scores(check)).first()
-        out.append((depth, got["bits_per_event"], got["n_strata"]))
-    return spark.createDataFrame(out, "depth int, bits_per_event double, n_strata long")
+        out.append((depth, len(model.trees), model.scans, got["bits_per_event"], got["n_strata"]))
+    return spark.createDataFrame(out, "depth int, trees int, scans int, bits_per_event double, n_strata long")
 
 
 @query("power_check")
 def power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A planted effect on one feature against the same spread over four (each beta / 2): the gain that a fit recovers."""
+    """A planted effect of rising strength on one feature, and the same spread over four (each beta / 2): the gain that a fit recovers."""
     base = with_features(indexed(time_design(spark, sf_dir)))
     k = F.col("stratum")
     spread = {f"g{i}": uniform(mix2(k % M, F.col("row_idx"), 71 + i)) for i in range(4)}
     base = materialize(base.withColumns(spread).withColumn("total", sum((F.col(c) for c in spread), F.lit(0.0))), "base")
     out = []
-    for name, feature, beta in (("one", "g0", 0.8), ("spread", "total", 0.8)):
+    for name, feature, beta in (("one", "g0", 0.0), ("one", "g0", 0.2), ("one", "g0", 0.4), ("one", "g0", 0.8), ("spread", "total", 0.8)):
         train, check = _halves(materialize(design.plant(base, feature, beta), "planted"))
         model = models.ConditionalLogit(1e-2, 12).fit(train, list(spread))
         got = scores.information_gain(model.scores(check)).first()
-        out.append((name, got["bits_per_event"], got["bits_per_event"] > 0))
-    return spark.createDataFrame(out, "effect string, bits_per_event double, recovered boolean")
+        out.append((name, beta, got["bits_per_event"], got["bits_per_event"] > 0))
+    return spark.createDataFrame(out, "effect string, strength double, bits_per_event double, recovered boolean")
 
 
 @query("test_pipeline_null")

@@ -57,8 +57,8 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees over depth and rate on a planted effect, and the model of the best as JSON."""
     train, check = (materialize(p, "half") for p in _halves(materialize(with_features(design.plant(with_features(indexed(time_design(spark, sf_dir))), "f_hash", 0.8)), "planted")))
     out = []
-    for depth, rate in ((1, 0.3), (2, 0.3)):
-        m = models.BoostedTrees(depth=depth, rate=rate, trees=3, min_leaf=10, bins=15).fit(train, FEATURES)
+    for depth, rate in ((2, 0.3), (3, 0.1)):
+        m = models.BoostedTrees(depth=depth, rate=rate, trees=5, min_leaf=20, bins=63, bagging=0.8, features=0.5, patience=3).fit(train, FEATURES, check)
         out.append((depth, rate, scores.information_gain(m.scores(check)).first()["bits_per_event"], json.dumps({"features": m.names, "trees": [{str(k): v for k, v in t.items()} for t in m.trees]})))
     return spark.createDataFrame(out, "depth int, rate double, bits_per_event double, model string")
 
