@@ -33,12 +33,18 @@ def mark_timing(events: DataFrame, span: tuple[float, float]) -> DataFrame:
     return events.withColumns({"since": since, "until": until}).withColumns({"nearest": F.least("since", "until"), "fraction": F.when(F.col("since") + F.col("until") > 0, F.col("since") / (F.col("since") + F.col("until"))).otherwise(0.0)})
 
 
+SMALL_GRID = 200_000  # rows of a dozen numbers: 20 MB
+
+
 def interpolated(events: DataFrame, grid: DataFrame, start: float, step: float, n: int, at: Column, values: list[str]) -> DataFrame:
-    """events with the linear interpolation of grid (k, values...) at a time; beyond the grid the last interval goes on."""
+    """events with the linear interpolation of grid (k, values...) at a time; beyond the grid the last interval goes on.
+
+    The grid is sent to the executors if it has SMALL_GRID rows at most, else it is joined by a shuffle."""
     k = F.greatest(F.lit(0), F.least(F.floor((at - start) / step), F.lit(n - 2))).cast("long")
     pairs = grid.withColumns({f"__{v}": F.lead(v).over(Window.partitionBy(F.floor(F.col("k") / 4096)).orderBy("k")) for v in values})
     ends = grid.where(F.col("k") % 4096 == 0).select((F.col("k") - 1).alias("k"), *[F.col(v).alias(f"__e_{v}") for v in values])
     pairs = pairs.join(ends, "k", "left").select("k", *values, *[F.coalesce(f"__{v}", f"__e_{v}").alias(f"__{v}") for v in values])
+    pairs = F.broadcast(pairs) if n <= SMALL_GRID else pairs
     x = events.withColumns({"k": k, "__f": (at - start) / step - k}).join(pairs, "k")
     return x.withColumns({v: F.col(v) * (1 - F.col("__f")) + F.col(f"__{v}") * F.col("__f") for v in values}).drop("k", "__f", *[f"__{v}" for v in values])
 

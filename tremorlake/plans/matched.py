@@ -403,14 +403,14 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = decluster.thin(part, 500, 365).agg(F.count("*").alias("declustered"), F.sum(F.col("is_main").cast("long")).alias("thinned")).withColumn("stratum", F.lit(name))
         out = row if out is None else out.unionByName(row)
     beta = 0.04 * F.sqrt(10813.0 / F.nullif(F.coalesce("thinned", F.lit(0)).cast("double"), F.lit(0.0)))
-    verdict = F.when(beta <= 0.05, "can test few-percent effects").when(beta <= 0.12, "underpowered for a few percent").otherwise("too small to test anything")
+    verdict = F.when(beta <= 0.05, "fit for small effects").when(beta <= 0.12, "weak for small effects").otherwise("unfit for tests")
     return out.select("stratum", "declustered", "thinned", F.round(beta, 6).alias("beta_min"), verdict.alias("verdict"))
 
 
-@query("a30_verdict", "SELECT n::INTEGER AS n, round(0.04 * sqrt(10813.0::DOUBLE / n), 6) AS beta_min, CASE WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.05 THEN 'can test few-percent effects' WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.12 THEN 'underpowered for a few percent' ELSE 'too small to test anything' END AS verdict FROM range(500, 12000, 500) t(n)")
+@query("a30_verdict", "SELECT n::INTEGER AS n, round(0.04 * sqrt(10813.0::DOUBLE / n), 6) AS beta_min, CASE WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.05 THEN 'fit for small effects' WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.12 THEN 'weak for small effects' ELSE 'unfit for tests' END AS verdict FROM range(500, 12000, 500) t(n)")
 def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
     beta = 0.04 * F.sqrt(10813.0 / F.col("id"))
-    return spark.range(500, 12000, 500).select(F.col("id").cast("int").alias("n"), F.round(beta, 6).alias("beta_min"), F.when(beta <= 0.05, "can test few-percent effects").when(beta <= 0.12, "underpowered for a few percent").otherwise("too small to test anything").alias("verdict"))
+    return spark.range(500, 12000, 500).select(F.col("id").cast("int").alias("n"), F.round(beta, 6).alias("beta_min"), F.when(beta <= 0.05, "fit for small effects").when(beta <= 0.12, "weak for small effects").otherwise("unfit for tests").alias("verdict"))
 
 
 @query("inspect")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions.random import M, mix2, uniform
-from tremorlake.operators import charts, circular, design, joins, matrix, models, physics, scores, tides
+from tremorlake.operators import charts, circular, design, joins, matrix, models, physics, scores, shifts, tides
 from tremorlake.operators.tables import materialize
 from tremorlake.plans.fixtures import QUAKE_SQL, quake, tremor
 from tremorlake.plans.matched import indexed, score_features, time_design
@@ -89,14 +89,15 @@ def synthetic_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("moonquake_tidal_phase")
 def moonquake_tidal_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schuster power of orders 1 to 4 on the phase between forcing maxima, against shifts of the whole sequence."""
-    tops = materialize(physics.maxima(_stress(spark, 8650.0, 250)), "maxima").select("day", F.lit(1).alias("site"))
-    shifts = F.array(F.lit(0.0), *[F.lit(3.0 + 2.7 * i) for i in range(19)])
-    e = tremor(spark, sf_dir).select("event_idx", "day", F.lit(1).alias("site"), F.explode(shifts).alias("shift")).withColumn("day", F.col("day") + F.col("shift"))
-    ph = physics.forcing_phase(joins.as_of_both(e, tops, ["site"], 30.0)).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).withColumn("phase", F.col("k") * F.col("phase"))
-    s = materialize(circular.schuster(ph, ["k", "shift"]), "powers")
-    own = s.where("shift = 0").select("k", F.col("power").alias("observed"), "mean_phase")
-    return s.where("shift > 0").select("k", "power").join(own, "k").groupBy("k", "observed", "mean_phase").agg(circular.empirical_p(F.col("power"), F.col("observed"), 19).alias("p"))
+    """Schuster power of orders 1 to 4 on the phase between forcing maxima, against 200 whole-day shifts of the whole sequence of 40 to
+    1,200 days that avoid the month of the Moon's distance and half the period of its node's meeting with the Sun."""
+    tops = materialize(physics.maxima(_stress(spark, 7500.0, 2700)), "maxima")
+    e = tremor(spark, sf_dir).select(F.lit("").alias("grp"), F.lit(0).alias("bin"), "day")
+    offsets = shifts.whole_days(200, 40, 1200, avoid=(27.555, 205.89))
+    power = circular.power(F.col("c"), F.col("s"), F.col("n"))
+    s = materialize(shifts.shifted_sums(e, tops, offsets, orders=4).select("k", "trial", power.alias("power"), F.degrees(F.atan2("s", "c")).alias("mean_phase")), "powers")
+    own = s.where("trial = 0").select("k", F.col("power").alias("observed"), "mean_phase")
+    return s.where("trial > 0").select("k", "power").join(own, "k").groupBy("k", "observed", "mean_phase").agg(circular.empirical_p(F.col("power"), F.col("observed"), 200).alias("p"))
 
 
 @query("parkfield_transfer_function")

@@ -353,7 +353,7 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nest_coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each nest, at its own place, the plane and friction whose stress varies least at its events, relative to all times;
     against cyclic shifts of the events and against as many uniformly drawn times; Benjamini-Hochberg on the first."""
-    n, step, trials, mu_grid = 4096, 0.25, 200, (0.0, 0.3, 0.6)
+    n, step, trials, mu_grid = 4096, 0.02, 200, (0.0, 0.3, 0.6)
     grid = materialize(physics.tidal_tensor(physics.series(spark, 8760.0, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
     nest = F.substring("family", 2, 2).cast("int").alias("nest")
     places = F.broadcast(tremor(spark, sf_dir).groupBy(nest).agg(F.avg("lat_deg").alias("lat"), F.avg("lon_deg").alias("lon"), F.count("*").alias("n_events")).where("n_events >= 20"))  # a nest a row
@@ -387,26 +387,26 @@ def gcmt_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shifted_tensors(e: DataFrame, trials: int) -> DataFrame:
-    """Events with their local tidal tensor at their own time (trial 0) and at times that move by blocks of 30 days, 0 to 1.03505 days each."""
+    """Events of the fixtures' span with their local tidal tensor at their own time (trial 0) and at times that move by blocks of 30
+    days, 0 to 1.03505 days each. The tensor is interpolated in a grid of 0.02 days: within 1 % of its semidiurnal part."""
     moved = joins.block_offsets(e, 30, 1.03505, trials, -2191.0).unionByName(e.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
-    return physics.to_local(physics.tidal_tensor(moved, F.col("day") + F.col("offset")), "lat_deg", "lon_deg")
+    spark, start, step, n = e.sparkSession, -2195.0, 0.02, 151_250
+    grid = materialize(physics.tidal_tensor(physics.series(spark, start, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
+    return physics.to_local(joins.interpolated(moved, grid, start, step, n, F.col("day") + F.col("offset"), list(physics.COMPONENTS)), "lat_deg", "lon_deg")
 
 
 @query("metivier_reproduction")
 def metivier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of events at uplift overall and by quartiles of depth and magnitude, from a tensor grid that is interpolated, with
-    the p of each share among 100 block shifts of the tensors."""
-    step, n, trials = 0.25, 12100, 100
-    grid = materialize(physics.tidal_tensor(physics.series(spark, -2195.0, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
+    the p of each share among 400 block shifts of the tensors."""
+    trials = 400
     q = quake(spark, sf_dir)
     for key in ("depth_km", "magnitude"):
         q = equal_count_bins(q, F.col(key), 4, F.col("event_idx"), name=f"{key}_bin")
-    moved = joins.block_offsets(materialize(q, "binned"), 30, 1.03505, trials, -2191.0)
-    moved = moved.unionByName(q.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
-    x = joins.interpolated(moved, grid, -2195.0, step, n, F.col("day") + F.col("offset"), list(physics.COMPONENTS))
+    x = _shifted_tensors(materialize(q.select("day", "lat_deg", "lon_deg", "depth_km_bin", "magnitude_bin"), "binned"), trials)
     up = (F.col("dd") > 0).cast("double")
     bins = F.array(F.struct(F.lit("all").alias("by"), F.lit(0).alias("bin")), *[F.struct(F.lit(k).alias("by"), F.col(f"{k}_bin").alias("bin")) for k in ("depth_km", "magnitude")])
-    s = materialize(physics.to_local(x, "lat_deg", "lon_deg").select("trial", up.alias("up"), F.explode(bins).alias("b")).groupBy("b.by", "b.bin", "trial").agg(F.count("*").alias("n"), F.avg("up").alias("up")), "uplift")
+    s = materialize(x.select("trial", up.alias("up"), F.explode(bins).alias("b")).groupBy("b.by", "b.bin", "trial").agg(F.count("*").alias("n"), F.avg("up").alias("up")), "uplift")
     own = s.where("trial = 0").select("by", "bin", "n", F.col("up").alias("uplift"))
     return s.where("trial > 0").select("by", "bin", "up").join(own, ["by", "bin"]).groupBy("by", "bin", "n", "uplift").agg(circular.empirical_p(F.col("up"), F.col("uplift"), trials).alias("p"))
 

@@ -121,7 +121,7 @@ def _census_sql() -> str:
     return f"""WITH {CMT_SQL}, kept AS (WITH {fixpoint_sql(claims_sql(), 'SELECT event_idx FROM quake')} SELECT event_idx FROM main),
 ev AS MATERIALIZED (SELECT event_idx, day, lat_deg, lon_deg, {_LABEL} AS mech, {depth} AS depthclass FROM cmt WHERE day BETWEEN -8766 AND 9132 AND magnitude >= 5.5 AND event_idx IN (SELECT event_idx FROM kept)),
 s AS ({' UNION ALL '.join(parts)})
-SELECT stratum, declustered, nullif(thinned, 0) AS thinned, round({beta}, 6) AS beta_min, CASE WHEN {beta} <= 0.05 THEN 'can test few-percent effects' WHEN {beta} <= 0.12 THEN 'underpowered for a few percent' ELSE 'too small to test anything' END AS verdict FROM s"""
+SELECT stratum, declustered, nullif(thinned, 0) AS thinned, round({beta}, 6) AS beta_min, CASE WHEN {beta} <= 0.05 THEN 'fit for small effects' WHEN {beta} <= 0.12 THEN 'weak for small effects' ELSE 'unfit for tests' END AS verdict FROM s"""
 
 
 SQL["strata_census"] = _census_sql()
