@@ -104,3 +104,25 @@ def test_amplitude_law(spark, forcing):
         null = [f[b] for t, f in fixed.items() if t and b in f]
         assert got[b].observed == pytest.approx(fixed[0][b]) and got[b].p == pytest.approx((sum(x >= fixed[0][b] for x in null) + 1) / (trials + 1))
         assert got[b].slope == pytest.approx(seen) and got[b].p_slope == pytest.approx((sum(s >= seen for t, s in slopes if t) + 1) / (len(slopes)))
+
+
+def test_nest_scores(spark):
+    """Both nulls of the nests: tensors rotated one by one, standard deviations taken directly."""
+    r = np.random.default_rng(8)
+    n, series, planes = 64, r.normal(size=(64, 6)), r.normal(size=(9, 6))
+    nests = [(3, 40.0, -120.0, [1, 5, 60], [4, 1, 2]), (70, -10.0, 30.0, [0, 63], [10, 3])]
+    offsets = [7, 19, 64 + 3, 1, 5]
+    df = spark.createDataFrame(nests, "nest int, lat double, lon double, places array<int>, counts array<long>")
+    got = {(x.kind, x.nest, x.trial): x.score for x in shifts.nest_scores(df, series, planes, offsets, chunk=2).collect()}
+    assert len(got) == 2 * (6 + 5)
+    for nest, lat, lon, places, counts in nests:
+        rows = spark.createDataFrame([(*map(float, v), lat, lon) for v in series], ", ".join(f"{c} double" for c in (*physics.COMPONENTS, "lat", "lon")))
+        local = np.array([[x[c] for c in ("nn", "ne", "nd", "ee", "ed", "dd")] for x in physics.to_local(rows, "lat", "lon").collect()])
+        stress = local @ planes.T
+        score = lambda at: (stress[at].std(axis=0) / stress.std(axis=0)).min()  # noqa: B023,E731
+        own = np.repeat(places, counts)
+        for trial, off in enumerate([0, *offsets]):
+            assert got["cyclic", nest, trial] == pytest.approx(score((own + off) % n))
+            if trial:
+                assert got["uniform", nest, trial] == pytest.approx(score(shifts.uniform_draws(nest, trial, len(own), n)))
+    assert not np.array_equal(shifts.uniform_draws(64, 1, 50, 1000), shifts.uniform_draws(0, 2, 50, 1000))

@@ -76,3 +76,66 @@ def shifted_sums(events: DataFrame, tops: DataFrame, offsets: list[float], edges
 
     part = events.select(F.col("grp").cast("string"), F.col("bin").cast("int"), F.col("day").cast("double")).where("grp is not null and bin is not null and day is not null").mapInArrow(run, "grp string, bin int, k int, trial int, n long, c double, s double, a double")
     return part.groupBy("grp", "bin", "k", "trial").agg(*[F.sum(c).alias(c) for c in ("n", "c", "s", "a")])
+
+
+def local_map(lat: float, lon: float) -> np.ndarray:
+    """(local component, component): physics.to_local at a place, as a matrix from xx, xy, xz, yy, yz, zz to nn, ne, nd, ee, ed, dd."""
+    p, q = np.radians(lat), np.radians(lon)
+    axes = np.array([[-np.sin(p) * np.cos(q), -np.sin(p) * np.sin(q), np.cos(p)], [-np.sin(q), np.cos(q), 0.0], [-np.cos(p) * np.cos(q), -np.cos(p) * np.sin(q), -np.sin(p)]])
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
+    return np.array([[axes[a, i] * axes[b, j] + (axes[a, j] * axes[b, i] if i != j else 0.0) for i, j in upper] for a, b in upper])
+
+
+def _moments(sums: np.ndarray) -> np.ndarray:
+    """(..., 28) sums of 1, six components and their 21 products -> (..., 6, 6) population covariances."""
+    mean = sums[..., 1:7] / sums[..., :1]
+    out = np.empty((*sums.shape[:-1], 6, 6))
+    for at, (i, j) in enumerate((i, j) for i in range(6) for j in range(i, 6)):
+        out[..., i, j] = out[..., j, i] = sums[..., 7 + at] / sums[..., 0] - mean[..., i] * mean[..., j]
+    return out
+
+
+def uniform_draws(nest: int, trial: int, n_events: int, n: int, seed: int = 81) -> np.ndarray:
+    """A sample of the grid for each event of a nest in a trial: keyed by nest, then trial, then event."""
+    from tremorlake.operators.matrix import mix_array
+
+    key = mix_int((mix_int(nest % M, seed) + trial) % M, seed + 1)
+    return mix_array((key + np.arange(1, n_events + 1)) % M, seed + 2) % n
+
+
+def nest_scores(nests: DataFrame, series: np.ndarray, weights: np.ndarray, offsets: list[int], chunk: int = 20) -> DataFrame:
+    """nests (nest int, lat, lon, places array<int>, counts array<long>) on a cyclic grid of tensors (sample, 6) -> (kind, nest, trial, score).
+
+    A score is the least standard deviation over the weights' planes (plane, 6 local components), each relative to its own over all
+    samples. `cyclic`: trial 0 as it is, and all events moved by each offset, from one Fourier product for all shifts; `uniform`: as many samples
+    drawn for each trial. The grid and the planes are sent out: both are parameters, not data. Nests with trials dealt in chunks are the tasks."""
+    import pyarrow as pa
+
+    n, trials = len(series), len(offsets)
+    flat = np.concatenate([np.ones((n, 1)), series, *[series[:, i : i + 1] * series[:, i:] for i in range(6)]], axis=1)
+
+    def run(batches):
+        spectrum = np.fft.rfft(flat, axis=0)
+        everything = _moments(flat.sum(axis=0))
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = weights @ local_map(r["lat"], r["lon"])
+                sd = lambda cov: np.sqrt(np.maximum(np.einsum("pi,...ij,pj->...p", w, cov, w), 0))  # noqa: B023,E731
+                ref = sd(everything)
+                ok = ref > 0
+                count = np.bincount(r["places"], weights=r["counts"], minlength=n)
+                if r["first"] == 0:
+                    # sum over i of count[i] * flat[i + shift], for all shifts at once
+                    sums = np.fft.irfft(np.conj(np.fft.rfft(count))[:, None] * spectrum, n, axis=0)[np.array([0, *offsets]) % n]
+                    sums[:, 0] = count.sum()
+                    kind, names = "cyclic", list(range(trials + 1))
+                else:
+                    names = list(range(r["first"], min(r["first"] + chunk, trials + 1)))
+                    total = int(count.sum())
+                    sums = np.stack([np.bincount(uniform_draws(r["nest"], t, total, n), minlength=n) @ flat for t in names])
+                    kind = "uniform"
+                score = (sd(_moments(sums))[:, ok] / ref[ok]).min(axis=1, initial=np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names)), pa.array([r["nest"]] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(score)], ["kind", "nest", "trial", "score"])
+
+    items = nests.withColumn("first", F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(trials), F.lit(chunk)))))
+    return items.repartition("nest", "first").mapInArrow(run, "kind string, nest int, trial int, score double")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions import labels
-from tremorlake.functions.random import M, mix2, mix_sql
+from tremorlake.functions.random import M, mix_sql
 from tremorlake.operators import circular, joins, physics, shifts, tides
 from tremorlake.operators.tables import equal_count_bins, materialize, numbered
 from tremorlake.plans.catalogue import binomial_tail, select_events
@@ -352,26 +353,20 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("moonquake_nest_coulomb")
 def nest_coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each nest, at its own place, the plane and friction whose stress varies least at its events, relative to all times;
-    against cyclic shifts of the events and against as many uniformly drawn times; Benjamini-Hochberg on the first."""
-    n, step, trials, mu_grid = 4096, 0.02, 200, (0.0, 0.3, 0.6)
-    grid = materialize(physics.tidal_tensor(physics.series(spark, 8760.0, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
-    nest = F.substring("family", 2, 2).cast("int").alias("nest")
-    places = F.broadcast(tremor(spark, sf_dir).groupBy(nest).agg(F.avg("lat_deg").alias("lat"), F.avg("lon_deg").alias("lon"), F.count("*").alias("n_events")).where("n_events >= 20"))  # a nest a row
-    at = F.least(F.greatest(F.round((F.col("day") - 8760.0) / step), F.lit(0)), F.lit(n - 1)).cast("long")
-    counts = materialize(tremor(spark, sf_dir).select(nest, at.alias("i")).groupBy("nest", "i").agg(F.count("*").alias("c")), "counts")
-    trial = spark.range(trials + 1).select(F.col("id").cast("int").alias("trial"))
-    off = F.when(F.col("trial") == 0, 0).otherwise(F.pmod(F.col("trial") * 977, F.lit(n)))
-    cyclic = counts.crossJoin(F.broadcast(trial)).select(F.lit("cyclic").alias("kind"), "nest", "trial", F.pmod(F.col("i") + off, F.lit(n)).alias("k"), "c")
-    each = materialize(counts.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).select("nest", mix2(F.col("i") * 64 + F.col("nest"), F.col("j"), 81).alias("key")), "keys")
-    uniform_ = each.crossJoin(F.broadcast(trial.where("trial > 0"))).select(F.lit("uniform").alias("kind"), "nest", "trial", (mix2(F.col("key"), F.col("trial"), 83) % n).alias("k"), F.lit(1).cast("long").alias("c"))
-    every = places.select(F.lit("all").alias("kind"), "nest", F.lit(0).alias("trial")).crossJoin(grid.select("k")).withColumn("c", F.lit(1).cast("long"))
-    met = cyclic.unionByName(uniform_).unionByName(every).join(F.broadcast(grid), "k").join(places, "nest")  # the grid has n rows
-    cov = materialize(physics.covariance(physics.to_local(met, "lat", "lon"), ["kind", "nest", "trial"], "c"), "cov")
+    against 2,000 cyclic shifts of the events and 2,000 draws of as many times; Benjamini-Hochberg on the first."""
+    n, step, trials, mu_grid = 4096, 0.02, 2000, (0.0, 0.3, 0.6)
+    grid = physics.tidal_tensor(physics.series(spark, 8760.0, step, n), F.col("day")).orderBy("k").select(*physics.COMPONENTS)
+    series = np.array([list(r) for r in grid.collect()]) * 1e12  # n samples, of a size that squares well
     weights = physics.coulomb_coefficients(F.col("strike"), F.col("dip"), F.col("rake"), F.col("mu"))
-    planes = materialize(physics.plane_grid(spark, 45, 30, 60).crossJoin(spark.createDataFrame([(m,) for m in mu_grid], "mu double")).select("plane", "mu", *[w.alias(f"w{i}") for i, w in enumerate(weights)]), "planes")
-    sds = cov.crossJoin(F.broadcast(planes)).select("kind", "nest", "trial", "plane", "mu", physics.coulomb_sd([F.col(f"w{i}") for i in range(6)]).alias("sd"))
-    ref = sds.where("kind = 'all'").select("nest", "plane", "mu", F.col("sd").alias("ref_sd")).where("ref_sd > 0")
-    best = materialize(sds.where("kind != 'all'").join(ref, ["nest", "plane", "mu"]).groupBy("kind", "nest", "trial").agg(F.min(F.col("sd") / F.col("ref_sd")).alias("score")), "best")
+    planes = physics.plane_grid(spark, 45, 30, 60).crossJoin(spark.createDataFrame([(m,) for m in mu_grid], "mu double"))
+    planes = np.array([list(r) for r in planes.orderBy("plane", "mu").select(*weights).collect()])  # a few hundred
+    nest = F.substring("family", 2, 2).cast("int").alias("nest")
+    at = F.least(F.greatest(F.round((F.col("day") - 8760.0) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    sums = tremor(spark, sf_dir).groupBy(nest, at.alias("i")).agg(F.count("*").alias("c"), F.sum("lat_deg").alias("lat"), F.sum("lon_deg").alias("lon"))
+    total = F.sum("c")
+    nests = sums.groupBy("nest").agg((F.sum("lat") / total).alias("lat"), (F.sum("lon") / total).alias("lon"), total.alias("n_events"), F.array_sort(F.collect_list(F.struct("i", "c"))).alias("x")).where("n_events >= 20")  # n entries a nest at most
+    nests = materialize(nests.select("nest", "lat", "lon", F.col("x.i").alias("places"), F.col("x.c").alias("counts")), "nests")
+    best = materialize(shifts.nest_scores(nests, series, planes, [t * 977 % n for t in range(1, trials + 1)]), "best")
     own = best.where("trial = 0").select("nest", F.col("score").alias("observed"))
     ps = best.where("trial > 0").join(own, "nest").groupBy("nest", "observed", "kind").agg(circular.empirical_p(F.col("score"), F.col("observed"), trials, smaller=True).alias("p"))
     both = ps.groupBy("nest", "observed").agg(*[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(v) for k, v in (("cyclic", "p"), ("uniform", "p_uniform"))])
