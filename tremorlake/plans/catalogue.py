@@ -110,9 +110,11 @@ def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("n"), F.sum((F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).cast("long")).alias("finite"))
 
 
-@query("f15_near_resonant", "SELECT k::INTEGER AS offset_days, (abs(round(k / 27.555::DOUBLE) * 27.555::DOUBLE - k) < 2 OR abs(round(k / 29.531::DOUBLE) * 29.531::DOUBLE - k) < 2) AS resonant FROM range(30, 4000) t(k)")
+@query("f15_near_resonant", f"WITH {QUAKE_SQL}, o AS (SELECT event_idx, floor(day)::INTEGER + 2221 AS k FROM quake) SELECT event_idx, k AS offset_days, (abs(round(k / 27.555::DOUBLE) * 27.555::DOUBLE - k) < 2 OR abs(round(k / 29.531::DOUBLE) * 29.531::DOUBLE - k) < 2) AS resonant FROM o")
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(30, 4000).select(F.col("id").cast("int").alias("offset_days"), labels.near_resonant(F.col("id").cast("double")).alias("resonant"))
+    """Whole days between each event and a month before the span: near a multiple of a lunar month?"""
+    days = (F.floor("day") + 2221).cast("int")
+    return quake(spark, sf_dir).select("event_idx", days.alias("offset_days"), labels.near_resonant(days.cast("double")).alias("resonant"))
 
 
 @query("a1_span", f"WITH {QUAKE_SQL} SELECT min(day) AS first_day, max(day) AS last_day FROM quake")
@@ -155,8 +157,12 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d4_grid_bands")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's bands, their cells' area, and the events in each."""
     g = Grid(100.0)
-    return g.table(spark).withColumn("area_km2", F.round(g.area_km2(F.col("band"), F.col("n_lon")), 3))
+    cells = g.cell_of(quake(spark, sf_dir)).groupBy("cell").agg(F.count("*").alias("c"))
+    bands = g.table(spark).withColumn("area_km2", F.round(g.area_km2(F.col("band"), F.col("n_lon")), 3))
+    held = cells.join(F.broadcast(bands), (F.col("cell") >= F.col("first")) & (F.col("cell") < F.col("first") + F.col("n_lon"))).groupBy("band").agg(F.sum("c").alias("events"))
+    return bands.join(held, "band", "left").withColumn("events", F.coalesce("events", F.lit(0)).cast("long"))
 
 
 @query("d5_cells", f"WITH {QUAKE_SQL}, {cell_sql(100.0)} SELECT event_idx, cell, round(cell_lat, 6) AS cell_lat, round(cell_lon, 6) AS cell_lon FROM celled")
@@ -196,18 +202,20 @@ def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quake(spark, sf_dir).agg(F.sum((labels.depth_class(d) == "shallow").cast("long")).alias("under"), F.sum((labels.depth_class(d, inclusive=True) == "shallow").cast("long")).alias("at_most"))
 
 
-@query("d24_wrap", "SELECT k::INTEGER AS angle, (CASE WHEN w > 180 THEN w - 360 ELSE w END)::DOUBLE AS wrapped, (CASE WHEN k % 360 > 180 THEN k % 360 - 360 WHEN k % 360 < -180 THEN k % 360 + 360 ELSE k % 360 END)::DOUBLE AS norm FROM (SELECT k, ((k % 360) + 360) % 360 AS w FROM range(-720, 721, 15) t(k))")
+@query("d24_wrap", f"WITH {CMT_SQL}, a AS (SELECT event_idx, (2 * (rake1 - strike1))::INTEGER AS k FROM cmt), w AS (SELECT *, ((k % 360) + 360) % 360 AS w FROM a) SELECT event_idx, k AS angle, (CASE WHEN w > 180 THEN w - 360 ELSE w END)::DOUBLE AS wrapped, (CASE WHEN k % 360 > 180 THEN k % 360 - 360 WHEN k % 360 < -180 THEN k % 360 + 360 ELSE k % 360 END)::DOUBLE AS norm FROM w")
 def d24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both edge rules, on twice the difference of a plane's rake and strike."""
     from tremorlake.operators.circular import norm180
 
-    x = F.col("id").cast("double")
-    return spark.range(-720, 721, 15).select(F.col("id").cast("int").alias("angle"), labels.wrap180(x).alias("wrapped"), norm180(x).alias("norm"))
+    p = F.col("planes")[0]
+    x = 2 * (p["rake"] - p["strike"])
+    return cmt(spark, sf_dir).select("event_idx", x.cast("int").alias("angle"), labels.wrap180(x).alias("wrapped"), norm180(x).alias("norm"))
 
 
-@query("d25_beats", "SELECT a::INTEGER AS a, b::INTEGER AS b, round(1 / abs(1.0::DOUBLE / a - 1.0::DOUBLE / b), 6) AS beat FROM range(10, 30) x(a), range(30, 40) y(b)")
+@query("d25_beats", f"WITH {QUAKE_SQL} SELECT event_idx, round(1 / abs(1.0::DOUBLE / (10 + event_idx % 20) - 1.0::DOUBLE / (30 + event_idx % 7)), 6) AS beat FROM quake")
 def d25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = spark.range(10, 30).select(F.col("id").cast("int").alias("a")), spark.range(30, 40).select(F.col("id").cast("int").alias("b"))
-    return a.crossJoin(F.broadcast(b)).withColumn("beat", F.round(labels.beat_period(F.col("a").cast("double"), F.col("b").cast("double")), 6))
+    k = F.col("event_idx")
+    return quake(spark, sf_dir).select("event_idx", F.round(labels.beat_period((10 + k % 20).cast("double"), (30 + k % 7).cast("double")), 6).alias("beat"))
 
 
 @query("w3_equal_count_bins", f"""WITH {TREMOR_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY magnitude, event_idx) AS rn, count(*) OVER () AS n FROM tremor WHERE magnitude IS NOT NULL)
@@ -249,14 +257,18 @@ def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tremor(spark, sf_dir).agg(F.round(F.corr("magnitude", "lat_deg"), 6).alias("r"))
 
 
-@query("a16_ensemble_sigma", "SELECT k::INTEGER AS hits, round((k - 0.05 * 74) / sqrt(74 * 0.05 * 0.95), 6) AS sigma FROM range(0, 20) t(k)")
+@query("a16_ensemble_sigma", f"WITH {TREMOR_SQL} SELECT family, count(*) FILTER (magnitude > 100) AS hits, count(*) AS n, round((count(*) FILTER (magnitude > 100) - 0.05::DOUBLE * count(*)) / sqrt(count(*) * 0.05::DOUBLE * 0.95::DOUBLE), 6) AS sigma FROM tremor GROUP BY family")
 def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(20).select(F.col("id").cast("int").alias("hits"), F.round(ensemble_sigma(F.col("id"), F.lit(74.0)), 6).alias("sigma"))
+    """Strong events of each family against a share of 5 %."""
+    x = tremor(spark, sf_dir).groupBy("family").agg(F.count_if(F.col("magnitude") > 100).alias("hits"), F.count("*").alias("n"))
+    return x.withColumn("sigma", F.round(ensemble_sigma(F.col("hits"), F.col("n").cast("double")), 6))
 
 
-@query("a21_sign_test", "SELECT k::INTEGER AS hits, round((SELECT sum(c) FROM (VALUES (0, 1), (1, 6), (2, 15), (3, 20), (4, 15), (5, 6), (6, 1)) b(i, c) WHERE i >= k) / 64.0, 6)::DOUBLE AS tail FROM range(0, 7) t(k)")
+@query("a21_sign_test", f"WITH {TREMOR_SQL}, g AS (SELECT event_idx // 6 AS six, count(*) FILTER (magnitude > 30) AS hits FROM tremor GROUP BY 1 HAVING count(*) = 6) SELECT six, hits, round((SELECT sum(c) FROM (VALUES (0, 1), (1, 6), (2, 15), (3, 20), (4, 15), (5, 6), (6, 1)) b(i, c) WHERE i >= hits) / 64.0, 6)::DOUBLE AS tail FROM g")
 def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(7).select(F.col("id").cast("int").alias("hits"), F.round(binomial_tail(F.col("id"), 6), 6).alias("tail"))
+    """Sixes of events in a row: how many exceed a strength, and the chance of as many."""
+    x = tremor(spark, sf_dir).groupBy(F.floor(F.col("event_idx") / 6).alias("six")).agg(F.count_if(F.col("magnitude") > 30).alias("hits"), F.count("*").alias("n")).where("n = 6")
+    return x.select("six", "hits", F.round(binomial_tail(F.col("hits"), 6), 6).alias("tail"))
 
 
 def binomial_tail(k: F.Column, n: int) -> F.Column:

@@ -46,13 +46,16 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s2_iso_times",
-    """SELECT * FROM (VALUES ('2000-01-01T00:00:00Z', 0.0::DOUBLE), ('1999-12-31T00:00:00Z', -1.0), ('1976-01-01T00:00', -8766.0), ('2010-06-15T12:30:00', 3818.0::DOUBLE + 12.5::DOUBLE / 24), ('2010-02-31T00:00:00Z', 3714.0), ('2016-12-31T23:59:60Z', 6210.0), ('2010-13-01T00:00:00Z', NULL), ('nonsense', NULL)) t(text, day)""",
+    """SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 THEN NULL ELSE date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) + (hour(ts) * 3600.0::DOUBLE + minute(ts) * 60 + CASE WHEN event_id % 5 = 0 THEN 0 ELSE second(ts) END) / 86400 END AS day FROM events""",
 )
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as text, some without seconds, some with a thirteenth month, some no time at all."""
     from tremorlake.functions.time import iso_day
 
-    texts = ["2000-01-01T00:00:00Z", "1999-12-31T00:00:00Z", "1976-01-01T00:00", "2010-06-15T12:30:00", "2010-02-31T00:00:00Z", "2016-12-31T23:59:60Z", "2010-13-01T00:00:00Z", "nonsense"]
-    return spark.createDataFrame([(t,) for t in texts], "text string").withColumn("day", iso_day(F.col("text")))
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    text = F.when(k % 11 == 0, "nonsense").when(k % 7 == 0, F.concat(F.date_format("ts", "yyyy"), F.lit("-13-01T00:00:00Z"))).otherwise(text)
+    return load(spark, sf_dir, "events").select("event_id", iso_day(text).alias("day"))
 
 
 @query(
@@ -129,10 +132,14 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogues.apollo(raw)
 
 
-@query("s9_nests", "SELECT * FROM (VALUES (1, -15.7::DOUBLE, -36.6::DOUBLE, 867.0::DOUBLE, FALSE), (6, 43.5, 55.5, 844.0, TRUE)) t(nest, lat_deg, lon_deg, depth_km, assumed)")
+@query("s9_nests", f"WITH r AS ({_RAW}) SELECT (c % 300)::INTEGER AS nest, ((c % 180) - 90)::DOUBLE + 0.25::DOUBLE AS lat_deg, ((c % 360) - 180)::DOUBLE AS lon_deg, (k % 1000)::DOUBLE AS depth_km, k % 3 <> 0 AS assumed FROM r WHERE k % 13 <> 0")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("1", "-15.7", "-36.6", "867", "N"), ("6", "43.5", "55.5", "844", "y"), ("x", "1", "2", "3", "N")]
-    return catalogues.nests(spark.createDataFrame(rows, "A string, Lat string, Long string, Depth string, Assumed string"))
+    """Nest rows as text; an id that is no number drops the row, Y and y mean assumed."""
+    k, c = F.col("k"), F.col("c")
+    text = lambda x: x.cast("string")
+    assumed = F.when(k % 3 == 0, "N").when(k % 3 == 1, "y").otherwise(" Y")
+    raw = _raw(spark, sf_dir).select(F.when(k % 13 == 0, "x").otherwise(text(c % 300)).alias("A"), text((c % 180 - 90).cast("double") + 0.25).alias("Lat"), text(c % 360 - 180).alias("Long"), text(k % 1000).alias("Depth"), assumed.alias("Assumed"))
+    return catalogues.nests(raw)
 
 
 @query(

@@ -339,8 +339,10 @@ def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a24_effective_tests")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent tests for medians of the largest |z|; the SQL integrates the normal tail."""
-    return spark.range(20, 45).select((F.col("id") / 10).alias("median_max"), F.round(scores.effective_tests(F.col("id") / 10), 1).alias("tests"))
+    """Independent tests that the permutations of the design's features amount to; the SQL integrates the normal tail."""
+    m = score_matrix(spark, sf_dir)
+    null = matrix.null(m, matrix.scan_sums(m, 40)).groupBy("perm").agg(F.max(F.abs("z")).alias("m")).agg(F.median("m").alias("median_max"))
+    return null.select(F.round("median_max", 5).alias("median_max"), F.round(scores.effective_tests(F.col("median_max")), 2).alias("tests"))
 
 
 @query("d20_calendar_diagnostics", f"""WITH {_INDEXED}, long AS (SELECT stratum, row_idx, is_case, f AS feature, CASE f WHEN 'date' THEN day WHEN 'date2' THEN pow(day / 1000, 2) WHEN 'slow_cos' THEN cos(2 * 3.141592653589793::DOUBLE * day / 181000) WHEN 'slow_sin' THEN sin(2 * 3.141592653589793::DOUBLE * day / 181000) ELSE day - floor(day / 30.44::DOUBLE) * 30.44::DOUBLE END AS x FROM indexed, (VALUES ('date'), ('date2'), ('slow_cos'), ('slow_sin'), ('day_of_month')) v(f)),
@@ -407,10 +409,12 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stratum", "declustered", "thinned", F.round(beta, 6).alias("beta_min"), verdict.alias("verdict"))
 
 
-@query("a30_verdict", "SELECT n::INTEGER AS n, round(0.04 * sqrt(10813.0::DOUBLE / n), 6) AS beta_min, CASE WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.05 THEN 'fit for small effects' WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.12 THEN 'weak for small effects' ELSE 'unfit for tests' END AS verdict FROM range(500, 12000, 500) t(n)")
+@query("a30_verdict", f"WITH {CMT_SQL}, g AS (SELECT (strike1::INTEGER // 5) AS sector, count(*) * 25 AS n FROM cmt GROUP BY 1) SELECT sector, n, round(0.04 * sqrt(10813.0::DOUBLE / n), 6) AS beta_min, CASE WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.05 THEN 'fit for small effects' WHEN 0.04 * sqrt(10813.0::DOUBLE / n) <= 0.12 THEN 'weak for small effects' ELSE 'unfit for tests' END AS verdict FROM g")
 def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta = 0.04 * F.sqrt(10813.0 / F.col("id"))
-    return spark.range(500, 12000, 500).select(F.col("id").cast("int").alias("n"), F.round(beta, 6).alias("beta_min"), F.when(beta <= 0.05, "fit for small effects").when(beta <= 0.12, "weak for small effects").otherwise("unfit for tests").alias("verdict"))
+    """The census verdict on 25 times the events of each sector of strike."""
+    beta = 0.04 * F.sqrt(10813.0 / F.col("n"))
+    x = cmt(spark, sf_dir).groupBy(F.floor(F.col("planes")[0]["strike"] / 5).cast("int").alias("sector")).agg((F.count("*") * 25).alias("n"))
+    return x.withColumns({"beta_min": F.round(beta, 6), "verdict": F.when(beta <= 0.05, "fit for small effects").when(beta <= 0.12, "weak for small effects").otherwise("unfit for tests")})
 
 
 @query("inspect")

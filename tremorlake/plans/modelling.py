@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremorlake.functions.random import M, mix2, uniform
 from tremorlake.operators import decluster, design, joins, models, physics, scores
 from tremorlake.operators.tables import materialize
-from tremorlake.plans.fixtures import SPAN, quake
+from tremorlake.plans.fixtures import QUAKE_SQL, SPAN, quake
 from tremorlake.plans.matched import _INDEXED, indexed, mainshocks, time_design
 from tremorlake.plans.registry import query
 
@@ -90,10 +90,11 @@ def train_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.crossJoin(F.broadcast(summary))
 
 
-@query("a32_best_of_grid", "WITH g(ridge, bits) AS (VALUES (0.001::DOUBLE, 0.02::DOUBLE), (0.01, 0.05), (0.1, 0.04), (1.0, 0.01)) SELECT arg_max(ridge, bits) AS best_ridge, median(bits) AS median_bits FROM g")
+@query("a32_best_of_grid", f"WITH {QUAKE_SQL}, g AS (SELECT event_idx % 7 AS config, avg(magnitude) AS bits FROM quake GROUP BY 1) SELECT arg_max(config, bits) AS best_config, round(median(bits), 9) AS median_bits FROM g")
 def a32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(0.001, 0.02), (0.01, 0.05), (0.1, 0.04), (1.0, 0.01)], "ridge double, bits double")
-    return g.agg(F.max_by("ridge", "bits").alias("best_ridge"), F.median("bits").alias("median_bits"))
+    """The best and the median of seven groups of events, by their mean magnitude."""
+    g = quake(spark, sf_dir).groupBy((F.col("event_idx") % 7).alias("config")).agg(F.avg("magnitude").alias("bits"))
+    return g.agg(F.max_by("config", "bits").alias("best_config"), F.round(F.median("bits"), 9).alias("median_bits"))
 
 
 @query("train_gbt_stream")

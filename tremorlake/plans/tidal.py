@@ -13,7 +13,7 @@ from tremorlake.functions.random import M, mix_sql
 from tremorlake.operators import circular, joins, physics, shifts, tides
 from tremorlake.operators.tables import equal_count_bins, materialize, numbered
 from tremorlake.plans.catalogue import binomial_tail, select_events
-from tremorlake.plans.fixtures import CMT_SQL, QUAKE_SQL, TREMOR_SQL, cmt, quake, tremor
+from tremorlake.plans.fixtures import CMT_SQL, QUAKE_SQL, TREMOR_SQL, cmt, load, quake, tremor
 from tremorlake.plans.registry import query
 
 BANDS = ["M2", "S2", "N2", "K1", "O1", "Q1", "Mf", "Mm", "Ssa"]
@@ -28,7 +28,10 @@ def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 @query("c1_constituents")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tides.table(spark, BANDS).select("band", "species", F.round("period", 6).alias("period"))
+    """Constituents, and the whole cycles of each between the epoch and the first and last event."""
+    span = quake(spark, sf_dir).agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    cycles = lambda c: F.floor(F.col(c) / F.col("period")).cast("long")
+    return span.crossJoin(F.broadcast(tides.table(spark, BANDS))).select("band", "species", F.round("period", 6).alias("period"), cycles("low").alias("first_cycle"), cycles("high").alias("last_cycle"))
 
 
 _PHASED = f"{QUAKE_SQL}, {_BANDS}, ph AS (SELECT *, radians(start + rate * day + species * lon_deg) AS phase FROM quake, bands)"
@@ -61,9 +64,11 @@ def forcing(spark: SparkSession) -> DataFrame:
     return spark.range(20000).select(F.col("id").alias("k")).select("k", (t - 300).alias("day"), (F.cos(t * 12.1) + 0.3 * F.sin(t * 5.8)).alias("value"))
 
 
-@query("a10_harmonic_amplitude", f"WITH {_BANDS}, {_FORCING}, f AS (SELECT band, sum(value * cos(radians(start + rate * day))) AS a, sum(value * sin(radians(start + rate * day))) AS b, count(*) AS n FROM series, bands GROUP BY band) SELECT band, round(2 * sqrt(a * a + b * b) / n, 6) AS amplitude FROM f")
+@query("a10_harmonic_amplitude", f"WITH {QUAKE_SQL}, {_BANDS}, f AS (SELECT band, sum(magnitude * cos(radians(start + rate * day))) AS a, sum(magnitude * sin(radians(start + rate * day))) AS b, count(*) AS n FROM quake, bands GROUP BY band) SELECT band, round(2 * sqrt(a * a + b * b) / n, 6) AS amplitude FROM f")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return circular.harmonic_fit(forcing(spark), tides.table(spark, BANDS)).select("band", F.round("amplitude", 6).alias("amplitude"))
+    """Amplitude of the events' magnitudes at each constituent."""
+    samples = quake(spark, sf_dir).select("day", F.col("magnitude").alias("value"))
+    return circular.harmonic_fit(samples, tides.table(spark, BANDS)).select("band", F.round("amplitude", 6).alias("amplitude"))
 
 
 @query("a11_phase_lag", f"""WITH {_PHASED}, {_FORCING}, o AS (SELECT band, degrees(atan2(sum(sin(phase)), sum(cos(phase)))) AS obs FROM ph GROUP BY band),
@@ -85,9 +90,10 @@ def phase_lag_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(circular.band_spread(circular.phase_lag(seen, circular.harmonic_fit(forcing(spark), bands))), 3, "semi_mean", "semi_sd", "diurnal_mean", "diurnal_sd", "difference")
 
 
-@query("a33_band_spread", "WITH l(period, lag) AS (VALUES (0.5175::DOUBLE, 10.0::DOUBLE), (0.5274, 14.0), (1.0758, 40.0), (1.1195, 47.0), (0.9973, 36.0)) SELECT round(avg(lag) FILTER (period < 0.75), 6) AS semi_mean, round(stddev_pop(lag) FILTER (period < 0.75), 6) AS semi_sd, round(avg(lag) FILTER (period >= 0.75), 6) AS diurnal_mean, round(stddev_pop(lag) FILTER (period >= 0.75), 6) AS diurnal_sd, round(avg(lag) FILTER (period >= 0.75) - avg(lag) FILTER (period < 0.75), 6) AS difference FROM l")
+@query("a33_band_spread", f"WITH {CMT_SQL}, l AS (SELECT (40 + event_idx % 80)::DOUBLE / 100 AS period, strike1 AS lag FROM cmt) SELECT round(avg(lag) FILTER (period < 0.75), 6) AS semi_mean, round(stddev_pop(lag) FILTER (period < 0.75), 6) AS semi_sd, round(avg(lag) FILTER (period >= 0.75), 6) AS diurnal_mean, round(stddev_pop(lag) FILTER (period >= 0.75), 6) AS diurnal_sd, round(avg(lag) FILTER (period >= 0.75) - avg(lag) FILTER (period < 0.75), 6) AS difference FROM l")
 def a33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0.5175, 10.0), (0.5274, 14.0), (1.0758, 40.0), (1.1195, 47.0), (0.9973, 36.0)], "period double, lag double")
+    """Strikes in the place of lags, at periods by event."""
+    rows = cmt(spark, sf_dir).select(((40 + F.col("event_idx") % 80).cast("double") / 100).alias("period"), F.col("planes")[0]["strike"].alias("lag"))
     return _r(circular.band_spread(rows), 6, "semi_mean", "semi_sd", "diurnal_mean", "diurnal_sd", "difference")
 
 
@@ -205,11 +211,10 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = "p AS (SELECT k, {u} / {m}::DOUBLE AS p FROM range(1, 501) r(k))".format(u=mix_sql("k", 3), m=float(M))
 
 
-@query("a17_ks_uniform", f"WITH {_P}, r AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM p) SELECT count(*) AS n, round(max(greatest(abs(i / 500.0::DOUBLE - p), abs(p - (i - 1) / 500.0::DOUBLE))), 6) AS ks, round(1.36 / sqrt(500), 6) AS critical, round(avg((p < 0.01)::INTEGER), 6) AS below_01, round(avg((p < 0.05)::INTEGER), 6) AS below_05, round(avg((p < 0.1)::INTEGER), 6) AS below_10 FROM r")
+@query("a17_ks_uniform", f"WITH {TREMOR_SQL}, p AS (SELECT day - floor(day) AS p FROM tremor), r AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p) SELECT count(*) AS n, round(max(greatest(abs(i / m::DOUBLE - p), abs(p - (i - 1) / m::DOUBLE))), 6) AS ks, round(1.36 / sqrt(any_value(m)), 6) AS critical, round(avg((p < 0.01)::INTEGER), 6) AS below_01, round(avg((p < 0.05)::INTEGER), 6) AS below_05, round(avg((p < 0.1)::INTEGER), 6) AS below_10 FROM r")
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tremorlake.functions.random import mix, uniform
-
-    p = spark.range(1, 501).select(uniform(mix(F.col("id"), 3)).alias("p"))
+    """Are the events spread evenly over the day?"""
+    p = tremor(spark, sf_dir).select((F.col("day") - F.floor("day")).alias("p"))
     return _r(circular.ks_uniform(numbered(p, F.asc("p"))), 6, "ks", "critical", "below_01", "below_05", "below_10")
 
 
@@ -299,11 +304,12 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmt(spark, sf_dir).select("event_idx", F.posexplode("planes").alias("which", "p")).select("event_idx", "which", "p.strike", "p.dip", "p.rake")
 
 
-@query("j14_nearest_period", "WITH f(period, power) AS (VALUES (0.5001::DOUBLE, 9.0::DOUBLE), (0.4985, 5.0), (1.02, 3.0), (6.95, 8.0)), k(name, known_period) AS (VALUES ('half', 0.5::DOUBLE), ('one', 1.0), ('seven', 7.0), ('nine', 9.0)) SELECT name, known_period, period, power FROM (SELECT k.*, f.*, row_number() OVER (PARTITION BY name ORDER BY abs(period / known_period - 1)) AS r FROM k LEFT JOIN f ON abs(period / known_period - 1) <= 0.01) WHERE r = 1")
+@query("j14_nearest_period", f"WITH {QUAKE_SQL}, f AS (SELECT 0.4::DOUBLE + event_idx::DOUBLE / 10000 AS period, magnitude AS power FROM quake), k(name, known_period) AS (VALUES ('half', 0.51753::DOUBLE), ('one', 1.002738::DOUBLE), ('two', 1.934713::DOUBLE), ('far', 99.0::DOUBLE)) SELECT name, known_period, round(period, 6) AS period, round(power, 6) AS power FROM (SELECT k.*, f.*, row_number() OVER (PARTITION BY name ORDER BY abs(period / known_period - 1)) AS r FROM k LEFT JOIN f ON abs(period / known_period - 1) <= 0.01) WHERE r = 1")
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame([(0.5001, 9.0), (0.4985, 5.0), (1.02, 3.0), (6.95, 8.0)], "period double, power double")
-    known = spark.createDataFrame([("half", 0.5), ("one", 1.0), ("seven", 7.0), ("nine", 9.0)], "name string, known_period double")
-    return circular.nearest_known(found, known, 0.01)
+    """The event nearest to each known period, on a scale of periods by event."""
+    found = quake(spark, sf_dir).select((0.4 + F.col("event_idx").cast("double") / 10000).alias("period"), F.col("magnitude").alias("power"))
+    known = spark.createDataFrame([("half", 0.51753), ("one", 1.002738), ("two", 1.934713), ("far", 99.0)], "name string, known_period double")
+    return _r(circular.nearest_known(found, known, 0.01), 6, "period", "power")
 
 
 # Physics. The SQL twins take a tensor of exact numbers; the ephemeris itself is checked by the tests.
@@ -340,9 +346,12 @@ def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tensor(spark, sf_dir).select("event_idx", (F.round(physics.coulomb(p["strike"], p["dip"], p["rake"], 0.4), 4) + 0.0).alias("cfs"))
 
 
-@query("j12_plane_grid", "SELECT (i * 6 + j) * 12 + k AS plane, (i * 15)::DOUBLE AS strike, ((j + 1) * 15)::DOUBLE AS dip, (k * 30 - 180)::DOUBLE AS rake FROM range(0, 24) a(i), range(0, 6) b(j), range(0, 12) c(k)")
+@query("j12_plane_grid", f"WITH {TREMOR_SQL}, n AS (SELECT family, count(*) AS n FROM tremor GROUP BY family) SELECT family, n, (i * 6 + j) * 12 + k AS plane, (i * 15)::DOUBLE AS strike, ((j + 1) * 15)::DOUBLE AS dip, (k * 30 - 180)::DOUBLE AS rake FROM n, range(0, 24) a(i), range(0, 6) b(j), range(0, 12) c(k)")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return physics.plane_grid(spark).select("plane", F.col("strike").cast("double").alias("strike"), F.col("dip").cast("double").alias("dip"), F.col("rake").cast("double").alias("rake"))
+    """Every family with every plane to be tried."""
+    families = tremor(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"))
+    planes = physics.plane_grid(spark).select("plane", *[F.col(c).cast("double").alias(c) for c in ("strike", "dip", "rake")])
+    return families.crossJoin(F.broadcast(planes))  # the planes are a parameter
 
 
 @query("a22_covariance", f"WITH {CMT_SQL}, {_TENSOR}, {_ROT}, {_LOCAL} SELECT round(covar_pop(nn, nn), 4) AS nn_nn, round(covar_pop(nn, ee), 4) AS nn_ee, round(covar_pop(ed, dd), 4) AS ed_dd, count(*) AS n FROM local")
@@ -475,14 +484,18 @@ def ta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("a_sigma_pa", F.round(physics.stressing_rate(F.col("a_sigma_pa"), F.lit(1.0)), 2).alias("rate_pa_year"), F.round(physics.critical_period_days(F.col("a_sigma_pa"), F.lit(3000.0)), 4).alias("critical_days"))
 
 
-@query("demodulation", f"WITH {_FORCING}, g AS (SELECT floor(day / 50)::BIGINT AS \"window\", avg(value * cos({2 * math.pi!r}::DOUBLE * day / 0.52)) AS a, avg(value * sin({2 * math.pi!r}::DOUBLE * day / 0.52)) AS b FROM series GROUP BY 1) SELECT \"window\", round(2 * sqrt(a * a + b * b), 6) AS amplitude FROM g")
+@query("demodulation", f"WITH {QUAKE_SQL}, g AS (SELECT floor(day / 50)::BIGINT AS \"window\", avg(magnitude * cos({2 * math.pi!r}::DOUBLE * day / 0.52)) AS a, avg(magnitude * sin({2 * math.pi!r}::DOUBLE * day / 0.52)) AS b FROM quake GROUP BY 1) SELECT \"window\", round(2 * sqrt(a * a + b * b), 6) AS amplitude FROM g")
 def demodulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return physics.demodulate(forcing(spark), 0.52, 50.0).select("window", F.round("amplitude", 6).alias("amplitude"))
+    """The magnitudes' half-day signal in windows of 50 days."""
+    samples = quake(spark, sf_dir).select("day", F.col("magnitude").alias("value"))
+    return physics.demodulate(samples, 0.52, 50.0).select("window", F.round("amplitude", 6).alias("amplitude"))
 
 
-@query("forcing_maxima", f"WITH {_FORCING}, n AS (SELECT *, lag(value) OVER (ORDER BY k) AS a, lead(value) OVER (ORDER BY k) AS c FROM series) SELECT round(day + 0.5 * (a - c) / (a - 2 * value + c) * 0.05, 4) AS day, round(value - 0.25 * (a - c) * (0.5 * (a - c) / (a - 2 * value + c)), 5) AS height FROM n WHERE value > a AND value >= c")
+@query("forcing_maxima", "WITH series AS (SELECT event_id AS k, event_id * 0.05::DOUBLE AS day, value FROM events), n AS (SELECT *, lag(value) OVER (ORDER BY k) AS a, lead(value) OVER (ORDER BY k) AS c FROM series) SELECT round(day + 0.5 * (a - c) / (a - 2 * value + c) * 0.05, 4) AS day, round(value - 0.25 * (a - c) * (0.5 * (a - c) / (a - 2 * value + c)), 5) AS height FROM n WHERE value > a AND value >= c")
 def forcing_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return physics.maxima(forcing(spark), per=4096).select(F.round("day", 4).alias("day"), F.round("height", 5).alias("height"))
+    """Maxima of the events' values as a sampled series."""
+    samples = load(spark, sf_dir, "events").select(F.col("event_id").alias("k"), (F.col("event_id") * 0.05).alias("day"), "value")
+    return physics.maxima(samples, per=4096).select(F.round("day", 4).alias("day"), F.round("height", 5).alias("height"))
 
 
 # Loading strain amplitudes (nanostrain) and phases (degrees) of two sites, east-east component.
@@ -494,12 +507,12 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(LOADING), "site string, lon double, band string, amplitude double, phase_deg double")
 
 
-@query("d23_loading_strain", f"WITH b(band, species, start, rate, period) AS (VALUES {tides.values_sql(['M2', 'O1'])}), l(site, lon, band, amplitude, phase_deg) AS (VALUES " + ", ".join(f"('{s}', {lon}::DOUBLE, '{b}', {a}::DOUBLE, {p}::DOUBLE)" for s, lon, b, a, p in LOADING) + ") SELECT site, k::BIGINT AS k, round(sum(amplitude * cos(radians(start + rate * (7305 + k / 24.0::DOUBLE) + species * lon + phase_deg + 10.97))), 5) AS strain FROM l JOIN b USING (band), range(0, 48) r(k) GROUP BY site, k")
+@query("d23_loading_strain", f"WITH {QUAKE_SQL}, days AS (SELECT DISTINCT day FROM quake), b(band, species, start, rate, period) AS (VALUES {tides.values_sql(['M2', 'O1'])}), l(site, lon, band, amplitude, phase_deg) AS (VALUES " + ", ".join(f"('{s}', {lon}::DOUBLE, '{b}', {a}::DOUBLE, {p}::DOUBLE)" for s, lon, b, a, p in LOADING) + ") SELECT site, round(day, 8) AS day, round(sum(amplitude * cos(radians(start + rate * day + species * lon + phase_deg + 10.97))), 5) AS strain FROM l JOIN b USING (band), days GROUP BY site, day")
 def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loading strain of both sites at the times of the events."""
     coefficients = s17(spark, sf_dir).join(F.broadcast(tides.table(spark, ["M2", "O1"])), "band")
-    days = spark.range(48).select((7305 + F.col("id") / 24.0).alias("day"))
-    x = physics.loading_strain(coefficients, days)
-    return x.select("site", F.round((F.col("day") - 7305) * 24).cast("long").alias("k"), F.round("strain", 5).alias("strain"))
+    x = physics.loading_strain(coefficients, quake(spark, sf_dir).select("day").distinct())
+    return x.select("site", F.round("day", 8).alias("day"), F.round("strain", 5).alias("strain"))
 
 
 # Hourly strain from day 7305 at longitude -120.150, computed outside, and the M2 amplitude and phase it stands for.

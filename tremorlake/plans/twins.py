@@ -8,7 +8,7 @@ from tremorlake.functions.random import M, mix_sql
 from tremorlake.operators import tides
 from tremorlake.plans.catalogue import cell_sql
 from tremorlake.plans.fixtures import CMT_SQL, QUAKE_SQL, SPAN, TREMOR_SQL
-from tremorlake.plans.matched import _INDEXED, _LABEL, CENSUS, SWEEP, _cases_sql, claims_sql, fixpoint_sql, near_sql, perm_sql
+from tremorlake.plans.matched import _INDEXED, _LABEL, _PERM, CENSUS, SWEEP, _cases_sql, claims_sql, fixpoint_sql, near_sql, perm_sql
 from tremorlake.plans.registry import SQL
 from tremorlake.plans.tidal import _FORCING, _null_sql
 
@@ -77,12 +77,14 @@ SQL["moonquake_validation"] = f"WITH {_peaks_sql(1000, 0.5)}, " + _nearest_sql("
 
 # Constants and tables, computed here from their own definitions.
 _RATES = "13.17639648::DOUBLE AS s, 0.98564736::DOUBLE AS h, 0.11140353::DOUBLE AS p, 0.05295377::DOUBLE AS n, 0.00004707::DOUBLE AS ps"
-SQL["c1_constituents"] = f"""WITH rates AS (SELECT {_RATES}), d(band, species, cs, ch, cp, cn, cps) AS (VALUES ('M2', 2, 0, 0, 0, 0, 0), ('S2', 2, 2, -2, 0, 0, 0), ('N2', 2, -1, 0, 1, 0, 0), ('K1', 1, 1, 0, 0, 0, 0), ('O1', 1, -1, 0, 0, 0, 0), ('Q1', 1, -2, 0, 1, 0, 0), ('Mf', 0, 2, 0, 0, 0, 0), ('Mm', 0, 1, 0, -1, 0, 0), ('Ssa', 0, 0, 2, 0, 0, 0))
-SELECT band, species, round(360 / (species * (360 + h - s) + cs * s + ch * h + cp * p + cn * n + cps * ps), 6) AS period FROM d, rates"""
-SQL["d4_grid_bands"] = """WITH g AS (SELECT greatest(1, round(pi() / (100.0::DOUBLE / 6371.0::DOUBLE)))::INTEGER AS bands), b AS (SELECT k::INTEGER AS band, pi() / bands AS h, sin(-pi() / 2 + (k + 1) * (pi() / bands)) - sin(-pi() / 2 + k * (pi() / bands)) AS rise FROM g, range(0, 1000) r(k) WHERE k < bands),
+SQL["c1_constituents"] = f"""WITH {QUAKE_SQL}, rates AS (SELECT {_RATES}), d(band, species, cs, ch, cp, cn, cps) AS (VALUES ('M2', 2, 0, 0, 0, 0, 0), ('S2', 2, 2, -2, 0, 0, 0), ('N2', 2, -1, 0, 1, 0, 0), ('K1', 1, 1, 0, 0, 0, 0), ('O1', 1, -1, 0, 0, 0, 0), ('Q1', 1, -2, 0, 1, 0, 0), ('Mf', 0, 2, 0, 0, 0, 0), ('Mm', 0, 1, 0, -1, 0, 0), ('Ssa', 0, 0, 2, 0, 0, 0))
+, x AS (SELECT band, species, 360 / (species * (360 + h - s) + cs * s + ch * h + cp * p + cn * n + cps * ps) AS period FROM d, rates), e AS (SELECT min(day) AS low, max(day) AS high FROM quake)
+SELECT band, species, round(period, 6) AS period, floor(low / period)::BIGINT AS first_cycle, floor(high / period)::BIGINT AS last_cycle FROM x, e"""
+SQL["d4_grid_bands"] = f"""WITH {QUAKE_SQL}, {cell_sql(100.0)}, g AS (SELECT greatest(1, round(pi() / (100.0::DOUBLE / 6371.0::DOUBLE)))::INTEGER AS bands), b AS (SELECT k::INTEGER AS band, pi() / bands AS h, sin(-pi() / 2 + (k + 1) * (pi() / bands)) - sin(-pi() / 2 + k * (pi() / bands)) AS rise FROM g, range(0, 1000) r(k) WHERE k < bands),
 c AS (SELECT band, rise, greatest(1, floor(2 * pi() * rise / (h * h) + 0.5))::INTEGER AS n_lon FROM b)
-SELECT band, n_lon, (sum(n_lon) OVER (ORDER BY band) - n_lon)::BIGINT AS first, round(2 * pi() * 6371.0::DOUBLE * 6371.0::DOUBLE * rise / n_lon, 3) AS area_km2 FROM c"""
-SQL["a24_effective_tests"] = f"SELECT (k / 10.0)::DOUBLE AS median_max, round(ln(0.5::DOUBLE) / ln(1 - 2 * {tail_sql('k / 10.0::DOUBLE')}), 1) AS tests FROM range(20, 45) r(k)"
+, f AS (SELECT band, n_lon, (sum(n_lon) OVER (ORDER BY band) - n_lon)::BIGINT AS first, round(2 * pi() * 6371.0::DOUBLE * 6371.0::DOUBLE * rise / n_lon, 3) AS area_km2 FROM c)
+SELECT f.*, (SELECT count(*) FROM celled WHERE cell >= f.first AND cell < f.first + f.n_lon) AS events FROM f"""
+SQL["a24_effective_tests"] = f"WITH {_PERM}, t AS (SELECT median(m) AS x FROM maxes) SELECT round(x, 5) AS median_max, round(ln(0.5::DOUBLE) / ln(1 - 2 * {tail_sql('x')}), 2) AS tests FROM t"
 SQL["d22_timing_span"] = f"WITH {QUAKE_SQL}, t AS (SELECT event_idx, day - {SPAN[0]}::DOUBLE AS since, {SPAN[1]}::DOUBLE - day AS until FROM quake) SELECT event_idx, round(since, 8) AS since, round(until, 8) AS until, round(least(since, until), 8) AS nearest, round(CASE WHEN since + until > 0 THEN since / (since + until) ELSE 0 END, 8) AS fraction FROM t"
 SQL["s15_synthetic_design"] = f"""WITH base AS (SELECT (k // 11)::BIGINT AS stratum, (k % 11)::BIGINT AS row_idx FROM range(0, {3000 * 11}) r(k)), seeds AS (SELECT i, w, (200 + 2 * i + w)::BIGINT AS seed FROM range(0, 4) a(i), range(0, 2) b(w)), keyed AS (SELECT * FROM base, seeds),
 d AS ({_two_levels(f'stratum % {M}', 'row_idx', 'seed', 'keyed', 'stratum, row_idx, i, w')}),
