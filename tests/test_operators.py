@@ -225,6 +225,25 @@ def test_readers_take_what_is_missing(spark):
     assert [tuple(p) for p in got[0].planes] == [(200, 26, 95), (14, 64, 88)] and abs(got[0].day - (6465 + (21 * 3600 + 4 * 60 + 34.5) / 86400)) < 1e-9
 
 
+def test_principal_axes(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = [tuple(map(float, r.normal(size=6))) for _ in range(50)] + [(1.0, 0.0, 0.0, 1.0, 0.0, 1.0), (0.0,) * 6, (3.0, 0.0, 0.0, 1.0, 0.0, 1.0), (1.0, 0.0, 0.0, 1.0, 0.0, 3.0), (2.0, 0.0, 0.0, 2.0, 0.0, -1.0), (3e-14, 1e-14, 0.0, -1e-14, 2e-14, -2e-14)]
+    a = tuple(F.col(c) for c in physics.COMPONENTS)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in physics.COMPONENTS))
+    got = df.select(*a, F.array(*physics.eigenvalues(a)).alias("e")).withColumn("axis", physics.axis_of(a, F.col("e")[0])).collect()
+    for g in got:
+        m = np.array([[g.xx, g.xy, g.xz], [g.xy, g.yy, g.yz], [g.xz, g.yz, g.zz]])
+        size = max(np.abs(m).max(), 1e-300)
+        values, vectors = np.linalg.eigh(m)
+        assert np.allclose(np.array(g.e) / size, values[::-1] / size, atol=1e-7)
+        if values[2] - values[1] > 1e-3 * size:
+            assert abs(abs(np.dot(g.axis, vectors[:, 2])) - 1) < 1e-6 and g.axis[2] >= 0
+        elif values[2] - values[1] < 1e-9 * size:
+            assert g.axis is None
+
+
 def test_sky_of_known_dates():
     """Longitudes on 2024-04-08 (a solar eclipse, 18:20 UTC) and at the equinox of 2024."""
     import numpy as np

@@ -72,6 +72,33 @@ def to_local(df: DataFrame, lat: str, lon: str, prefix: str = "") -> DataFrame:
     return df.withColumns(out)
 
 
+def eigenvalues(a: tuple[Column, ...]) -> tuple[Column, Column, Column]:
+    """Of a symmetric tensor (six columns in the order of COMPONENTS), largest first: the trigonometric solution of the cubic."""
+    xx, xy, xz, yy, yz, zz = a
+    q = (xx + yy + zz) / 3
+    off = xy * xy + xz * xz + yz * yz
+    p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6)
+    bx, by, bz = xx - q, yy - q, zz - q
+    det = bx * (by * bz - yz * yz) - xy * (xy * bz - yz * xz) + xz * (xy * yz - by * xz)
+    turn = F.when(p > 0, F.acos(F.least(F.greatest(det / (2 * p * p * p), F.lit(-1.0)), F.lit(1.0))) / 3).otherwise(0.0)
+    top, low = q + 2 * p * F.cos(turn), q + 2 * p * F.cos(turn + 2 * math.pi / 3)
+    return top, 3 * q - top - low, low
+
+
+def axis_of(a: tuple[Column, ...], value: Column) -> Column:
+    """Unit vector [x, y, z] of an eigenvalue, z not negative: the longest cross product of two rows of the tensor less the value.
+
+    Null where the eigenvalue is not a single one."""
+    xx, xy, xz, yy, yz, zz = a
+    rows = ((xx - value, xy, xz), (xy, yy - value, yz), (xz, yz, zz - value))
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    each = [F.struct((c[0] * c[0] + c[1] * c[1] + c[2] * c[2]).alias("n"), F.array(*c).alias("v")) for c in (cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2]))]
+    best = F.array_max(F.array(*each))
+    scale = xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)
+    sign = F.when(F.get(best["v"], F.lit(2)) < 0, -1.0).otherwise(1.0)
+    return F.when(best["n"] > 1e-18 * scale * scale, F.transform(best["v"], lambda x: x * sign / F.sqrt(best["n"])))
+
+
 def plane_vectors(strike: Column, dip: Column, rake: Column) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
     """Normal and slip vector of a fault plane in north, east, down (Aki and Richards)."""
     f, d, r = F.radians(strike), F.radians(dip), F.radians(rake)

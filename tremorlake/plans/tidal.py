@@ -346,6 +346,26 @@ def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tensor(spark, sf_dir).select("event_idx", (F.round(physics.coulomb(p["strike"], p["dip"], p["rake"], 0.4), 4) + 0.0).alias("cfs"))
 
 
+_EIGEN = """q AS (SELECT *, (xx + yy + zz) / 3 AS third FROM t), s AS (SELECT *, sqrt((pow(xx - third, 2) + pow(yy - third, 2) + pow(zz - third, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM q),
+u AS (SELECT *, CASE WHEN s > 0 THEN acos(least(greatest(((xx - third) * ((yy - third) * (zz - third) - yz * yz) - xy * (xy * (zz - third) - yz * xz) + xz * (xy * yz - (yy - third) * xz)) / (2 * s * s * s), -1.0::DOUBLE), 1.0::DOUBLE)) / 3 ELSE 0 END AS turn FROM s),
+v AS (SELECT *, third + 2 * s * cos(turn) AS l1, third + 2 * s * cos(turn + 2 * pi() / 3) AS l3 FROM u)"""
+
+
+@query("p3_principal_axes", f"WITH {CMT_SQL}, {_TENSOR}, {_EIGEN} SELECT event_idx, round(l1, 5) + 0.0 AS top, round(3 * third - l1 - l3, 5) + 0.0 AS middle, round(l3, 5) + 0.0 AS low, 0.0::DOUBLE AS off, round(xx * yy * zz + 2 * xy * yz * xz - xx * yz * yz - yy * xz * xz - zz * xy * xy, 3) + 0.0 AS determinant FROM v")
+def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues of each event's tensor; by how much its principal axis misses being an eigenvector; the product of the eigenvalues,
+    which the SQL takes from the tensor itself."""
+    a = tuple(F.col(c) for c in physics.COMPONENTS)
+    top, middle, low = physics.eigenvalues(a)
+    x = _tensor(spark, sf_dir).select("event_idx", *physics.COMPONENTS, top.alias("top"), middle.alias("middle"), low.alias("low"))
+    x = x.withColumn("axis", physics.axis_of(a, F.col("top")))
+    v = [F.get("axis", F.lit(i)) for i in range(3)]
+    xx, xy, xz, yy, yz, zz = a
+    miss = [xx * v[0] + xy * v[1] + xz * v[2] - F.col("top") * v[0], xy * v[0] + yy * v[1] + yz * v[2] - F.col("top") * v[1], xz * v[0] + yz * v[1] + zz * v[2] - F.col("top") * v[2]]
+    off = F.coalesce(F.greatest(*map(F.abs, miss)), F.lit(0.0))
+    return x.select("event_idx", *[(F.round(c, 5) + 0.0).alias(c) for c in ("top", "middle", "low")], (F.round(off, 5) + 0.0).alias("off"), (F.round(F.col("top") * F.col("middle") * F.col("low"), 3) + 0.0).alias("determinant"))
+
+
 @query("j12_plane_grid", f"WITH {TREMOR_SQL}, n AS (SELECT family, count(*) AS n FROM tremor GROUP BY family) SELECT family, n, (i * 6 + j) * 12 + k AS plane, (i * 15)::DOUBLE AS strike, ((j + 1) * 15)::DOUBLE AS dip, (k * 30 - 180)::DOUBLE AS rake FROM n, range(0, 24) a(i), range(0, 6) b(j), range(0, 12) c(k)")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every family with every plane to be tried."""
