@@ -225,6 +225,25 @@ def test_readers_take_what_is_missing(spark):
     assert [tuple(p) for p in got[0].planes] == [(200, 26, 95), (14, 64, 88)] and abs(got[0].day - (6465 + (21 * 3600 + 4 * 60 + 34.5) / 86400)) < 1e-9
 
 
+def test_periodogram_by_grid_equals_the_direct_sums(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    day = r.uniform(-50, 4000, 3000)
+    grp = r.integers(2, size=3000)
+    df = spark.createDataFrame([(float(d), "ab"[g]) for d, g in zip(day, grp, strict=True)], "day double, grp string").repartition(5)
+    n, order = 2000, 2
+    got = {(x.grp, x.k): x for x in circular.periodogram(df, 0.2, 900.0, n, order, ["grp"]).collect()}
+    assert len(got) == 2 * n
+    period = 0.2 * np.exp(math.log(900 / 0.2) / (n - 1) * np.arange(n))
+    for g in range(2):
+        z = np.exp(2j * np.pi * order * day[grp == g][:, None] / period).sum(axis=0)
+        want = np.abs(z) ** 2 / (grp == g).sum()
+        assert max(abs(got["ab"[g], k].power - want[k]) for k in range(n)) < 1e-6
+    assert circular.periodogram(df.where("false"), 1.0, 2.0, 5).count() == 0
+    assert circular.periodogram(df, 1.0, 2.0, 5).count() == 5
+
+
 def test_principal_axes(spark):
     import numpy as np
 

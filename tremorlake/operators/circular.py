@@ -7,9 +7,14 @@ few rows instead of on the events."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tremorlake.functions.random import M, mix2, uniform
 from tremorlake.operators import tides
@@ -126,13 +131,55 @@ def loglog_slope(bins: DataFrame, x: str, y: str) -> DataFrame:
     return bins.agg(F.regr_slope(F.log(y), F.log(x)).alias("slope"))
 
 
+MOMENTS = 9  # of the events' times within a cell, the number of events included
+
+
 def periodogram(events: DataFrame, shortest: float, longest: float, n: int, order: int = 1, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Schuster power at n log-spaced periods. Every event meets every period, in a map-side sum: n rows a partition are shuffled."""
+    """Schuster power at n log-spaced periods, from events folded once on a grid of time.
+
+    A cell is half a radian of the shortest period wide and keeps the moments of its events' times about its middle; an event's phase is a
+    Taylor series in them, off by (1/4)^9 / 9! at most, 1e-11. So the work after one aggregation is cells x periods, whatever the number of
+    events; a task gives one row a group."""
+    width = 0.5 * shortest / (2 * math.pi * order)
     step = math.log(longest / shortest) / max(1, n - 1)
-    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = events.select(*by, "day", k.alias("k")).withColumn("period", shortest * F.exp(step * F.col("k")))
-    g = x.groupBy(*by, "k", "period").agg(F.count("*").alias("n"), F.sum(F.cos(2 * math.pi * order * F.col("day") / F.col("period"))).alias("c"), F.sum(F.sin(2 * math.pi * order * F.col("day") / F.col("period"))).alias("s"))
-    return g.select(*by, "k", "period", power(F.col("c"), F.col("s"), F.col("n")).alias("power"))
+    periods = shortest * np.exp(step * np.arange(n))
+    turn = 2 * math.pi * order / periods
+    off = F.col("day") - (F.col("cell") + 0.5) * width
+    cells = events.select(*by, "day", F.floor(F.col("day") / width).alias("cell")).withColumn("off", off)
+    power_of = lambda m: F.sum(F.pow("off", F.lit(m)) if m else F.lit(1.0))
+    cells = cells.where("day is not null").groupBy(*by, "cell").agg(F.array(*[power_of(m) for m in range(MOMENTS)]).alias("moments"))
+    keys = T.StructType([events.schema[c] for c in by])
+    schema = T.StructType([*keys, T.StructField("n", T.DoubleType()), T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True)) or [()] * batch.num_rows
+            cell = batch.column(len(by)).to_numpy()
+            moments = batch.column(len(by) + 1).flatten().to_numpy().reshape(-1, MOMENTS)
+            rows: dict[tuple, list[int]] = {}
+            for i, name in enumerate(names):
+                rows.setdefault(name, []).append(i)
+            for name, own in rows.items():
+                t, m = (cell[own] + 0.5) * width, moments[own]
+                got = sums.setdefault(name, [0.0, np.zeros(n, complex)])
+                got[0] += m[:, 0].sum()
+                for a in range(0, n, 256):
+                    w = turn[a : a + 256]
+                    folded = m.T @ np.exp(1j * np.outer(t, w))  # (moment, period)
+                    term = np.ones(len(w), complex)
+                    for k in range(MOMENTS):
+                        got[1][a : a + 256] += term * folded[k]
+                        term = term * 1j * w / (k + 1)
+        if sums:
+            made = [*[[name[i] for name in sums] for i in range(len(by))], [v[0] for v in sums.values()], [v[1].real for v in sums.values()], [v[1].imag for v in sums.values()]]
+            kinds = to_arrow_schema(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, kinds, strict=True)], kinds.names)
+
+    parts = cells.select(*by, "cell", "moments").mapInArrow(run, schema)
+    each = parts.select(*by, "n", F.posexplode(F.arrays_zip("c", "s")).alias("k", "z"))
+    g = each.groupBy(*by, "k").agg(F.sum("n").alias("n"), F.sum("z.c").alias("c"), F.sum("z.s").alias("s"))
+    return g.select(*by, "k", (shortest * F.exp(step * F.col("k"))).alias("period"), power(F.col("c"), F.col("s"), F.col("n")).alias("power"))
 
 
 def peaks(spectrum: DataFrame, least: float, by: list[str] = []) -> DataFrame:  # noqa: B006
