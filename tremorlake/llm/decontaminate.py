@@ -15,7 +15,8 @@ Only the benchmark is sent to the executors, in blocks of at most about BLOCK_IT
 texts for each block; nothing is shuffled.
 
 Nulls, empties: null texts and texts without words hold nothing; items that are null or without words are never
-held. Null and repeated ids keep their rows; equal items match each.
+held. Null and repeated ids keep their rows; equal items match each. Texts of any length are read whole, window by window. Ties: every
+item that reaches `least` is found, in no order. An empty table of texts or items gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ programming over all segmentations chooses boundaries and kinds together. The we
 the likelihood of synthetic sentences made here, with misleading numbers, versions, dates, keys and hex strings among them.
 Entities that overlap no base span are added; base spans always stay.
 
-Nulls, empties: a null text counts as empty and has no spans; null and repeated ids keep a row each. Offsets are code points.
+Nulls, empties: a null text counts as empty and has no spans; null and repeated ids keep a row each. Offsets are code points. Ties between
+segmentations go to the first. An empty table gives an empty table. Texts of any length are read whole; a stretch that is all figures is
+segmented at once and takes some 1.5 kB of memory a character, so a table of figures of several MB in one text may exceed a worker.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ XXH64 only says which bucket they go to and in which order; words are compared a
 
 Nulls, empties: a null text counts as empty (one token, the end). Null ids count as the empty text for the crc32 and
 stay null; repeated ids give a row each. No training text: c = N = V = 0, the base then is log10(0.1 / 0.1) = 0 a token, and
-every symbol has probability 1/257.
+every symbol has probability 1/257. Texts of any length are read whole, a block being one text at least. An empty table gives an
+empty table. A bucket holds contexts that end in the same two symbols, so a common pair of symbols is one task, which grows with the corpus.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Segmentations of a unigram model whose scores are equal but for the rounding of
 in double precision) are the one case in which ids may differ.
 
 Nulls, empties: a null text counts as empty and has no ids; null and repeated ids keep a row each. Control symbols inside
-a text are ordinary characters, as SentencePiece has it.
+a text are ordinary characters, as SentencePiece has it. Texts of any length are encoded whole; where no cut is possible, as one piece of
+work. Ties between segmentations go as in the libraries. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ still in different components: members outside a bucket's largest component agai
 copies neither meets pairwise nor stands in one task, and no link between different components is lost.
 
 Nulls, empties: a null text counts as empty; a null id is kept, never chosen as component id unless alone (then the
-component id is null). Repeated ids keep a row each. An empty table gives an empty result.
+component id is null). Repeated ids keep a row each. Texts of any length are hashed whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ within these, sets meet through the |S| - ceil(t |S|) + 1 rarest signatures (a p
 these), and the length ratio prunes pairs before the exact test.
 
 Nulls, empties: null texts count as empty (n_chars 0, edited text empty); null ids sort before all others; rows
-with equal ids are ordered by their text and all of them kept.
+with equal ids are ordered by their text and all of them kept. Texts of any length are read whole, as one row of arrays. An empty table gives
+an empty table. The next document is found by a window over blocks of ids (id >> 24): ids that are spread over all 64 bits make many
+blocks, whose heads one task orders.
 """
 
 from __future__ import annotations
