@@ -1,6 +1,6 @@
 """Keeps an event catalogue and its counts by month, cell and family up to date with files that arrive in a folder.
 
-    spark-submit -m jobs.catalogue_ingest --input DIR --output DIR --checkpoint DIR --config jobs/catalogue_ingest.json
+    PYTHONPATH=. spark-submit jobs/catalogue_ingest.py --input DIR --output DIR --checkpoint DIR --config jobs/catalogue_ingest.json
 
 A file stream takes what its checkpoint has not seen, runs until no file is left (availableNow) and ends. Each micro-batch
 - brings the rows into the common event shape by the expressions in the config; rows without an id, a time or a place go to `rejected`,

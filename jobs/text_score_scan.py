@@ -1,6 +1,6 @@
 """A matched case-control score scan over labelled texts: which measurable properties set the labelled ones apart?
 
-    spark-submit -m jobs.text_score_scan --documents DIR --labels DIR --output DIR --config jobs/text_score_scan.json
+    PYTHONPATH=. spark-submit jobs/text_score_scan.py --documents DIR --labels DIR --output DIR --config jobs/text_score_scan.json
 
 Each document with the label is a case; its controls are the documents without it that are nearest in length among those of the
 same language and source, found by rank: all labelled documents are numbered once over ranges, and a case asks for the controls just
