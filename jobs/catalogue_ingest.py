@@ -87,8 +87,14 @@ def take(raw: DataFrame, batch: int, output: str, config: Mapping[str, Any]) ->
     return done
 
 
+def pattern(path: str) -> str:
+    """The path as a pattern that only it meets: a stream takes a single file by a pattern only, and a folder either way."""
+    path = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
 def ingest(spark: SparkSession, source: str, output: str, checkpoint: str, config: Mapping[str, Any]) -> dict[str, int]:
-    """Takes all files of `source` that the checkpoint has not seen; -> batches, and rows read, added and rejected in this run."""
+    """Takes all files of `source` (a folder, a file or a pattern) that the checkpoint has not seen; -> batches, and rows read, added and rejected in this run."""
     total = {"batches": 0, "read": 0, "added": 0, "rejected": 0}
 
     def each(raw: DataFrame, batch: int) -> None:
@@ -97,7 +103,7 @@ def ingest(spark: SparkSession, source: str, output: str, checkpoint: str, confi
         total["batches"] += 1
 
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(config["files_per_batch"])).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(config["files_per_batch"])).parquet(pattern(source))
     run = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     log.info("%s -> %s: %s", source, output, total)
