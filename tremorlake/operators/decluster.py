@@ -147,15 +147,19 @@ def sure_mains(day: np.ndarray, lat: np.ndarray, lon: np.ndarray, inner: np.ndar
         on = np.arange(start, min(start + BATCH, len(day)))
         gone, blocked = claims(mains, reach, on).any(axis=0), claims(undecided, wide, on).any(axis=0)
         look = np.flatnonzero(~gone | many[on])
-        hits, reaches = claims(on[look], reach, on), claims(on[look], wide, on)
+        hits = claims(on[look], reach, on)
+        reaches = claims(on[look], wide, on) if many[on[look]].any() else hits
+        meets = reaches.sum(axis=1) > 1  # more than itself: wide windows hold the others
         new_mains, new_undecided = [], []
         for i, at in enumerate(look):
             if not gone[at] and inner[on[at]] and not blocked[at]:
                 new_mains.append(on[at])
-                gone[at + 1 :] |= hits[i, at + 1 :]
+                if meets[i]:
+                    gone[at + 1 :] |= hits[i, at + 1 :]
             elif not gone[at] or many[on[at]]:
                 new_undecided.append(on[at])
-                blocked[at + 1 :] |= reaches[i, at + 1 :]
+                if meets[i]:
+                    blocked[at + 1 :] |= reaches[i, at + 1 :]
         mains, undecided = np.append(mains, new_mains).astype(np.int64), np.append(undecided, new_undecided).astype(np.int64)
     out = np.zeros(len(day), bool)
     out[mains] = True
