@@ -206,6 +206,41 @@ def test_ppm_keeps_rare_contexts_of_large_corpora(spark):
         assert abs(got[i] - brute_ppm(learned, rows[i][1].encode(), ppm.ORDER, 0.0)) < 1e-3 * (1 + len(rows[i][1]))
 
 
+@pytest.mark.parametrize("order", [3, 5])
+def test_ppm_hot_endings_against_brute_force(spark, monkeypatch, order):
+    """Endings of two and more symbols are taken apart into tasks; the scores stay those of the whole trie."""
+    monkeypatch.setattr(ppm, "HOT", 0.05)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 300)
+    r = random.Random(5)
+    rows = [(i, "".join("th" + r.choice("eaionr ") for _ in range(r.randint(0, 25))) + r.choice(["", "e cat", "Ä."])) for i in range(60)] + [(60, None), (61, "the" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = ppm._hot_endings
+    seen = []
+    monkeypatch.setattr(ppm, "_hot_endings", lambda *a: seen.append(found(*a)) or seen[-1])
+    got = {x.doc_id: x.score for x in ppm.score(df, common.crc_mod(F.col("doc_id"), 10) != 0, order=order).collect()}
+    assert len(seen[0]) == order - 2 and (ord("t") << 9) + ord("h") in seen[0][0].endings.tolist()
+    learned = [(t or "").encode() for i, t in rows if common.crc_mod_py(i, 10)]
+    for i, t in rows:
+        b = (t or "").encode()
+        assert abs(got[i] - brute_ppm(learned, b, order, 0.0)) < 1e-3 * (1 + len(b))
+
+
+def test_ppm_hot_ending_is_shared_out(spark):
+    """A fifth of all windows end in the same two symbols: no task has more than a few times its even share."""
+    r = random.Random(6)
+    text = "".join("".join(r.choices("abcdefghijklmnop", k=3)) + "zz" for _ in range(60_000))
+    buckets = 64
+    passed = common.table(ppm._block_pass(spark.createDataFrame([(1, text, True)], "id long, text string, train boolean"), 5, buckets), "counts")
+    short = np.zeros(1 << 18, np.int64)
+    for x in passed.where("kind = 3").collect():
+        short[x.gram] = x.n
+    hot = ppm._hot_endings(passed.where("kind = 0"), 5, buckets, short)
+    keys = np.unique(ppm.windows([text.encode()], 5))
+    before, after = np.bincount(ppm.bucket_of(keys, buckets)), np.bincount(ppm.place_of(keys, buckets, hot) % (2 * buckets))
+    share = len(keys) / buckets
+    assert before.max() > 10 * share and after.max() < 4 * share and after.sum() == len(keys)
+
+
 def test_ppm_probabilities_sum_to_one():
     model = ppm.Model({(): {97: 5, 98: 2, ppm.END: 1}, (97,): {98: 2}, (98,): {ppm.END: 1, 97: 1}}, 1)
     for s in range(model.cost.shape[0]):

@@ -7,20 +7,25 @@ share of all training symbols. Escapes are estimated by method C (as many escape
 symbol seen in a longer context is excluded in the shorter one. As every symbol of a context was also seen in its
 suffix, one level of exclusion is all that is needed. Below the empty context all unseen symbols are equally likely.
 
-Scoring. The model never is in one place. Texts are dealt to blocks of about 2.5 MB; a block's distinct windows (context
+Scoring. The model never is in one place. Texts are dealt to blocks of about 3.5 MB; a block's distinct windows (context
 and symbol) with their training counts go, sorted and packed, to buckets of contexts that end in the same two symbols.
 A bucket sums the counts of all blocks, holds the whole of every node of two or more symbols in it, and returns the
 log probability of each block's windows in their order; nodes of no and one symbol are a broadcast table of at most
 257 x 257 counts. A second pass over the blocks' texts looks their windows up. What is shuffled are the distinct windows
 of blocks. `Model` is the same as an automaton for training texts that fit in memory; tests hold the two together.
 
+Hot endings. An ending that holds more than HOT times a bucket's even share of the windows is taken apart: its windows are
+dealt by the ending of three symbols, where that is hot as well by four, and so on up to the whole context, which has 257
+windows a block at most. A part no longer holds the whole nodes of the hot endings themselves; their counts are summed
+level by level and broadcast. Of each length at most buckets / HOT endings can be hot, each with 257 symbols at most.
+
 Base. Exact counts of all training words, found the same way: a block asks once for each of its distinct words. Their
 XXH64 only says which bucket they go to and in which order; words are compared as they stand.
 
 Nulls, empties: a null text counts as empty (one token, the end). Null ids count as the empty text for the crc32 and
 stay null; repeated ids give a row each. No training text: c = N = V = 0, the base then is log10(0.1 / 0.1) = 0 a token, and
 every symbol has probability 1/257. Texts of any length are read whole, a block being one text at least. An empty table gives an
-empty table. A bucket holds contexts that end in the same two symbols, so a common pair of symbols is one task, which grows with the corpus.
+empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ END, START = 256, 257
 ORDER, SHARE = 5, 0.0
 BLOCK = 512
 BLOCK_BYTES = 7 << 19  # of text whose distinct windows are asked for together
+HOT = 2  # times a bucket's even share of the windows: an ending with more is dealt by longer endings
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,22 +72,66 @@ def windows(texts: list[bytes], order: int) -> np.ndarray:
     return key[s[order:] != START]
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket for each window, by the last two symbols of its context."""
+def ending(keys: np.ndarray, k: int) -> np.ndarray:
+    """The last k symbols of each window's context."""
+    return (keys >> 9) & ((1 << 9 * k) - 1)
+
+
+def bucket_of(keys: np.ndarray, buckets: int, k: int = 2) -> np.ndarray:
+    """A bucket for each window, by the last k symbols of its context."""
     with np.errstate(over="ignore"):
-        return (((keys >> 9) & ((1 << 18) - 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+        return (ending(keys, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of x stand in the sorted array `held`."""
+    at = np.searchsorted(held, x)
+    return held[np.minimum(at, len(held) - 1)] == x if len(held) else np.zeros(len(x), bool)
+
+
+def place_of(keys: np.ndarray, buckets: int, hot: list[Ending]) -> np.ndarray:
+    """The place of each window: bucket * 2 * buckets + task, where tasks from `buckets` on take the windows of hot endings.
+
+    A row of a block holds the windows of one place, so that its keys keep their order."""
+    own = bucket_of(keys, buckets)
+    task, at = own.copy(), np.arange(len(keys))
+    for k, level in enumerate(hot, 2):
+        at = at[among(ending(keys[at], k), level.endings)]
+        task[at] = buckets + bucket_of(keys[at], buckets, k + 1)
+    return own * (2 * buckets) + task
+
+
+def by_place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of sorted distinct keys -> the keys' order by place, the distinct places, and where each begins in the order."""
+    by = np.argsort(at, kind="stable")
+    places, starts = np.unique(at[by], return_index=True)
+    return by, places, np.append(starts, len(by))
+
+
+class Ending:
+    """The whole nodes of the hot endings of one length: sorted endings and (ending, symbol) with training counts above 0.
+
+    shorter: (keys, counts) of the same endings less their first symbol, and more."""
 
+    def __init__(self, endings: np.ndarray, keys: np.ndarray, counts: np.ndarray, k: int, shorter: tuple[np.ndarray, np.ndarray]) -> None:
+        self.endings, self.keys, self.counts = endings, keys, counts.astype(np.float64)
+        node = np.searchsorted(endings, keys >> 9)
+        above = shorter[1][np.searchsorted(shorter[0], keys & ((1 << 9 * k) - 1))] if len(keys) else np.zeros(0)
+        self.total, self.kinds, self.under = (np.bincount(node, w, len(endings)) for w in (self.counts, np.ones(len(keys)), above))
 
-def by_bucket(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of sorted distinct keys -> the keys' order by bucket, and where each bucket begins in it."""
-    return np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(buckets + 1))
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
 
 
-def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray, least: float) -> np.ndarray:
+def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray, least: float, hot: list[Ending] = ()) -> np.ndarray:
     """log10 probability of each of the sorted distinct windows, n being their training counts.
 
-    All windows whose contexts end in the same two symbols must be here; short[context, symbol] counts all windows by
-    contexts of one symbol (row 0 if the order is 0). Contexts with fewer than `least` counts have no node."""
+    All windows whose contexts end in the same two symbols must be here, or in the same longer ending where shorter ones are
+    hot; short[context, symbol] counts all windows by contexts of one symbol (row 0 if the order is 0). Contexts with fewer
+    than `least` counts have no node."""
     entries, up, counts = [keys] * (order + 1), [keys] * (order + 1), [n.astype(np.float64)] * (order + 1)
     for j in range(order, 0, -1):
         entries[j - 1], up[j] = np.unique(entries[j] & ((1 << 9 * j) - 1), return_inverse=True)
@@ -99,9 +149,17 @@ def window_costs(keys: np.ndarray, n: np.ndarray, order: int, short: np.ndarray,
             c = counts[1] = short[context, entries[1] & 511].astype(np.float64)
             n_all, n_seen, under = short.sum(1)[context].astype(np.float64), (short > 0).sum(1)[context].astype(np.float64), np.where(short > 0, single, 0.0).sum(1)[context]
         else:
+            if 0 <= j - 2 < len(hot) and len(context):
+                level = hot[j - 2]
+                split = np.flatnonzero(among(context, level.endings))
+                c = counts[j] = c.copy()
+                c[split] = level.count(entries[j][split])
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(first, len(context)))
             n_all, n_seen, under = (np.repeat(np.add.reduceat(x, first), sizes) if len(first) else x for x in (c, (c > 0).astype(np.float64), np.where(c > 0, counts[j - 1][up[j]], 0.0)))
+            if 0 <= j - 2 < len(hot) and len(context):
+                node = np.searchsorted(level.endings, context[split])
+                n_all[split], n_seen[split], under[split] = level.total[node], level.kinds[node], level.under[node]
         above = counts[j - 1][up[j]]
         left_n, left_d = sums[up[j]] - under, seen[up[j]] - n_seen
         whole = np.maximum(left_n + left_d, 1)
@@ -186,6 +244,7 @@ class Model:
 
 
 PASS = "kind int, block long, bucket int, gram long, n long, keys binary, counts binary, texts binary"
+ASK = "block long, place long, n long, keys binary, counts binary"
 
 
 def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -209,8 +268,8 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         short = np.zeros(1 << 18)
 
         def emit(kind, keys, n, at):
-            by, starts = by_bucket(at, buckets)
-            parts = [(b, keys[x], n[x]) for b in range(buckets) if len(x := by[starts[b] : starts[b + 1]])]
+            by, held_in, starts = by_place(at)
+            parts = [(b, keys[x], n[x]) for b, x in zip(held_in.tolist(), np.split(by, starts[1:-1]), strict=True)]
             return rows(kind, len(parts), block=np.full(len(parts), block), bucket=np.array([b for b, _, _ in parts], np.int32), n=np.array([len(k) for _, k, _ in parts], np.int64), keys=[common.pack(k, True) for _, k, _ in parts], counts=[common.pack(m) for _, _, m in parts])
 
         def emit_words():
@@ -249,6 +308,89 @@ def _block_pass(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PASS)
 
 
+def _hot_endings(asks: DataFrame, order: int, buckets: int, short: np.ndarray) -> list[Ending]:
+    """The endings of 2, 3 .. symbols that hold more than HOT times a bucket's even share of all blocks' windows.
+
+    Only buckets with more than that are read, and a level only below the hot endings of the one before."""
+    import pyarrow as pa
+
+    sizes = asks.groupBy("bucket").agg(F.sum("n").alias("n"))
+    whole = sizes.agg(F.sum("n")).first()[0] or 0
+    most = HOT * whole / buckets
+    full = np.array(sorted(r.bucket for r in sizes.where(F.col("n") > most).collect()), np.int64)  # buckets / HOT at most
+    out: list[Ending] = []
+    grams = np.flatnonzero(short)
+    shorter = grams.astype(np.int64), short.ravel()[grams].astype(np.float64)
+    for k in range(2, order):
+        if not len(full):
+            break
+        above = out[-1].endings if out else None
+
+        def counted(batches, k=k, above=above):
+            def summed(held):
+                grams, at = np.unique(np.concatenate([g for g, _, _ in held]), return_inverse=True)
+                return grams, *(np.bincount(at, np.concatenate([h[j] for h in held]), len(grams)).astype(np.int64) for j in (1, 2))
+
+            held, waiting = [], 0
+            emit = lambda x: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in x], ["gram", "windows", "n"])
+            for batch in batches:
+                for b, n, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "keys", "counts")), strict=True):
+                    keys, counts = unpack_keys(keys, n), common.unpack(counts, n, np.int64)
+                    if above is not None:
+                        under = among(ending(keys, k - 1), above)
+                        keys, counts = keys[under], counts[under]
+                    held.append((keys & ((1 << 9 * (k + 1)) - 1), np.ones(len(keys), np.int64), counts))
+                    waiting += len(keys)
+                    if waiting > 1_000_000:
+                        held = [summed(held)]
+                        waiting = len(held[0][0])
+                        if waiting > 500_000:
+                            yield emit(held[0])
+                            held, waiting = [], 0
+            if waiting:
+                yield emit(summed(held))
+
+        rows = asks.where(F.col("bucket").isin(full.tolist())).select("bucket", "n", "keys", "counts")
+        level = common.table(rows.mapInArrow(counted, "gram long, windows long, n long").groupBy("gram").agg(F.sum("windows").alias("windows"), F.sum("n").alias("n")), "endings")
+        found = level.groupBy(F.shiftright("gram", 9).alias("ending")).agg(F.sum("windows").alias("windows")).where(F.col("windows") > most).select("ending")
+        endings = np.sort(found.toArrow().column(0).to_numpy()).astype(np.int64)
+        if not len(endings):
+            break
+        nodes = level.join(F.broadcast(found), F.shiftright("gram", 9) == F.col("ending")).where("n > 0").select("gram", "n").toArrow()
+        by = np.argsort(nodes.column(0).to_numpy())
+        out.append(Ending(endings, nodes.column(0).to_numpy()[by], nodes.column(1).to_numpy()[by], k, shorter))
+        shorter = out[-1].keys, out[-1].counts
+    return out
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    return common.unpack(data, n, np.int64, True)
+
+
+def _dealt(asks: DataFrame, hot, buckets: int) -> DataFrame:
+    """(block, bucket, n, keys, counts) -> (block, place, n, keys, counts): rows with windows of hot endings are cut by place."""
+    import pyarrow as pa
+
+    if hot is None:
+        return asks.select("block", (F.col("bucket") * F.lit(2 * buckets).cast("long") + F.col("bucket")).alias("place"), "n", "keys", "counts")
+
+    def run(batches):
+        full = np.unique(bucket_of(hot.value[0].endings << 9, buckets))
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy().astype(np.int64)
+            cut = among(bucket, full)
+            rest = batch.filter(pa.array(~cut))
+            yield pa.RecordBatch.from_arrays([rest.column("block"), pa.array(bucket[~cut] * (2 * buckets + 1)), *(rest.column(c) for c in ("n", "keys", "counts"))], ["block", "place", "n", "keys", "counts"])
+            for row in batch.filter(pa.array(cut)).to_pylist():
+                keys, counts = unpack_keys(row["keys"], row["n"]), common.unpack(row["counts"], row["n"], np.int64)
+                by, places, starts = by_place(place_of(keys, buckets, hot.value))
+                parts = np.split(by, starts[1:-1])
+                arrays = pa.array([row["block"]] * len(parts), pa.int64()), pa.array(places, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([common.pack(keys[x], True) for x in parts], pa.binary()), pa.array([common.pack(counts[x]) for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(arrays), ["block", "place", "n", "keys", "counts"])
+
+    return asks.mapInArrow(run, ASK)
+
+
 def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) -> DataFrame:
     """What _block_pass made -> (doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
     import pyarrow as pa
@@ -258,7 +400,11 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
     short = np.zeros(1 << 18, np.int64)
     short[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     least = share * int(short.sum())
-    table = passed.sparkSession.sparkContext.broadcast(short.reshape(512, 512))
+    sc, windows_asked = passed.sparkSession.sparkContext, passed.where("kind = 0").select("block", "bucket", "n", "keys", "counts")
+    table = sc.broadcast(short.reshape(512, 512))
+    endings = _hot_endings(windows_asked, order, buckets, short)
+    hot = sc.broadcast(endings) if endings else None
+    nodes = lambda: hot.value if hot else []
 
     def merged(keys, n):
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
@@ -269,7 +415,7 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         asked = list(zip(part.column("keys").to_pylist(), part.column("n").to_pylist(), strict=True))
         keys, n, waiting = [], [], 0
         for (k, size), c in zip(asked, part.column("counts").to_pylist(), strict=True):
-            keys.append(common.unpack(k, size, np.int64, True))
+            keys.append(unpack_keys(k, size))
             n.append(common.unpack(c, size, np.int64))
             waiting += size
             if waiting > 2_000_000:
@@ -279,11 +425,11 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         return keys, n, asked
 
     def answers(part: pa.Table, keys: np.ndarray, values: np.ndarray, asked: list) -> list:
-        return [part.column("block"), part.column("bucket"), part.column("n"), pa.array([common.pack(values[np.searchsorted(keys, common.unpack(k, size, np.int64, True))]) for k, size in asked], pa.binary())]
+        return [part.column("block"), part.column("place"), part.column("n"), pa.array([common.pack(values[np.searchsorted(keys, unpack_keys(k, size))]) for k, size in asked], pa.binary())]
 
     def price(part: pa.Table) -> pa.Table:
         keys, n, asked = summed(part)
-        return pa.table(answers(part, keys, window_costs(keys, n, order, table.value, least), asked), ["block", "bucket", "n", "found"])
+        return pa.table(answers(part, keys, window_costs(keys, n, order, table.value, least, nodes()), asked), ["block", "place", "n", "found"])
 
     def count(part: pa.Table) -> pa.Table:
         words = pa.chunked_array([c for x in part.column("keys").to_pylist() for c in pa.ipc.open_stream(x).read_all().column(0).chunks], pa.binary())
@@ -292,29 +438,34 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
         n = np.bincount(which, np.concatenate([common.unpack(c, size, np.int64) for c, size in zip(part.column("counts").to_pylist(), sizes, strict=True)])).astype(np.int64)
         found = [common.pack(x) for x in np.split(n[which], np.cumsum(sizes)[:-1])]
         once = np.arange(len(sizes)) == 0  # a bucket's sums stand in one of its rows
-        return pa.table([part.column("block"), part.column("bucket"), part.column("n"), pa.array(found, pa.binary()), pa.array(once * n.sum()), pa.array(once * np.count_nonzero(n))], ["block", "bucket", "n", "found", "total", "kinds"])
+        return pa.table([part.column("block"), part.column("place"), part.column("n"), pa.array(found, pa.binary()), pa.array(once * n.sum()), pa.array(once * np.count_nonzero(n))], ["block", "place", "n", "found", "total", "kinds"])
 
-    asks = "block", "bucket", "n", "keys", "counts"
-    answer = "block long, bucket int, n long, found binary"
-    words = common.table(passed.where("kind = 1").select(*asks).groupBy("bucket").applyInArrow(count, answer + ", total long, kinds long"), "words")
+    answer = "block long, place long, n long, found binary"
+    asked_words = passed.where("kind = 1").select("block", F.col("bucket").cast("long").alias("place"), "n", "keys", "counts")
+    words = common.table(asked_words.groupBy("place").applyInArrow(count, answer + ", total long, kinds long"), "words")
     n_words, v_words = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n_train = int(short[np.arange(len(short)) & 511 == END].sum())
     n_all = n_words + n_train
     scale = n_all + 0.1 * (v_words + (n_train > 0) + 1)
 
-    def read(found: pa.Table, by: np.ndarray, starts: np.ndarray, kind: type) -> np.ndarray:
-        """The answers to a block's keys, which stand in the buckets in the order `by`."""
+    def read(found: pa.Table, by: np.ndarray, places: np.ndarray, starts: np.ndarray, kind: type) -> np.ndarray:
+        """The answers to a block's keys, which stand in the places in the order `by`."""
         out = np.zeros(len(by), kind)
-        for b, n, x in zip(*(found.column(c).to_pylist() for c in ("bucket", "n", "found")), strict=True):
+        at = np.searchsorted(places, found.column("place").to_numpy()).tolist()
+        for b, n, x in zip(at, found.column("n").to_pylist(), found.column("found").to_pylist(), strict=True):
             out[by[starts[b] : starts[b + 1]]] = common.unpack(x, n, kind)
         return out
 
+    def words_at(owned: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by, starts = common.by_word(owned, buckets)
+        return by, np.arange(buckets), starts
+
     def look_up(docs: pa.Table, found: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(x).read_all() for x in docs.column("texts").to_pylist()]
         ids = [i for p in parts for i in p.column(0).to_pylist()]
         texts = [t for p in parts for t in p.column(1).to_pylist()]
         owned = list({w: 0 for t in texts for w in t.lower().split()})
-        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), *common.by_word(owned, buckets), np.int64).tolist(), strict=True))
+        held = dict(zip(owned, read(found.filter(pc.equal(found.column("kind"), 1)), *words_at(owned), np.int64).tolist(), strict=True))
         tokens, known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, t in enumerate(texts):
             own = t.lower().split()
@@ -322,12 +473,13 @@ def _look_up_pass(passed: DataFrame, order: int, share: float, buckets: int) ->
             tokens[i], known[i] = len(own) + 1, np.count_nonzero(c) + (n_train > 0)
             base[i] = (np.log10(c + 0.1).sum() + math.log10(n_train + 0.1)) - (len(own) + 1) * math.log10(scale)
         distinct, where = np.unique(windows(texts, order), return_inverse=True)
-        cost = read(found.filter(pc.equal(found.column("kind"), 0)), *by_bucket(bucket_of(distinct, buckets), buckets), np.float32)
+        cost = read(found.filter(pc.equal(found.column("kind"), 0)), *by_place(place_of(distinct, buckets, nodes())), np.float32)
         sizes = np.array([len(t) for t in texts], np.int64)
         scores = np.add.reduceat(cost[where].astype(np.float64), np.cumsum(sizes + 1) - sizes - 1)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(texts), n_all), "base_score": base, "score": scores, "n_bytes": sizes})
 
-    priced = passed.where("kind = 0").select(*asks).groupBy("bucket").applyInArrow(price, answer).withColumn("kind", F.lit(0))
+    dealt = _dealt(windows_asked, hot, buckets)
+    priced = dealt.groupBy(F.pmod("place", F.lit(2 * buckets)).alias("task")).applyInArrow(price, answer).withColumn("kind", F.lit(0))
     found = priced.unionByName(words.drop("total", "kinds").withColumn("kind", F.lit(1)))
     texts = passed.where("kind = 2").select("block", "texts")
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(look_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
