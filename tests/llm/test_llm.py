@@ -414,6 +414,29 @@ def test_spotsigs_against_brute_force(spark):
     assert got[0].fingerprint != got[700].fingerprint
 
 
+@pytest.mark.parametrize("kind", ["dense", "spread", "null", "equal"])
+def test_spotsigs_next_row(spark, monkeypatch, kind):
+    """Dense ids, random 64-bit ids, null ids and equal rows: each row has one successor, and blocks are full whatever the ids."""
+    monkeypatch.setattr(spotsigs, "BLOCK_BITS", 3)
+    r = random.Random(8)
+    ids = {"dense": range(300), "spread": [r.getrandbits(64) - 2**63 for _ in range(300)], "null": [None] * 200 + list(range(100)), "equal": [5] * 300}[kind]
+    rows = [(i, "same" if kind == "equal" else f"text {k}") for k, i in enumerate(ids)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    got = spotsigs.with_next(df, {"size": F.length("text")}).collect()
+    assert sorted(((x.id is not None, x.id or 0), x.text) for x in got) == sorted(((i is not None, i or 0), t) for i, t in rows)
+    assert Counter(x.next_text for x in got) == Counter(t for _, t in rows) and all(x.next_size == len(x.next_text) for x in got)
+    if kind in ("dense", "spread"):
+        by = sorted(rows)
+        follows = {t: by[(k + 1) % len(by)][1] for k, (_, t) in enumerate(by)}
+        assert all(x.next_text == follows[x.text] for x in got)
+    elif kind == "null":
+        order, at = {x.text: x.next_text for x in got}, rows[0][1]
+        for n in range(1, len(rows) + 1):  # one ring through all rows
+            at = order[at]
+            assert (at == rows[0][1]) == (n == len(rows))
+
+
 def test_spotsigs_pairs(spark):
     r = random.Random(6)
     base = words(r, "en", 400)

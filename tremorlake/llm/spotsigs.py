@@ -11,9 +11,8 @@ within these, sets meet through the |S| - ceil(t |S|) + 1 rarest signatures (a p
 these), and the length ratio prunes pairs before the exact test.
 
 Nulls, empties: null texts count as empty (n_chars 0, edited text empty); null ids sort before all others; rows
-with equal ids are ordered by their text and all of them kept. Texts of any length are read whole, as one row of arrays. An empty table gives
-an empty table. The next document is found by a window over blocks of ids (id >> 24): ids that are spread over all 64 bits make many
-blocks, whose heads one task orders.
+with equal ids are ordered by their text's XXH64 and all of them kept. Texts of any length are read whole, as one row of arrays.
+An empty table gives an empty table. Ids of any spread are ordered by range partitions.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ ANCHORS = (
     "el los las en por con una su se no es para y del"
 ).split()
 CHAIN = 2
-BLOCK_BITS = 10  # 1024 ids are looked at together for a row's successor
+BLOCK_BITS = 10  # 1024 rows are looked at together for a row's successor
+PART_BITS = 33  # monotonically_increasing_id() numbers rows below, partitions above
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -63,26 +63,28 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
-    """docs (id, text) with columns made of each row, and all of these (next_<name>, next_text) from the next row by id.
-
-    Rows are dealt by blocks of ids and ordered inside their block; a block's last row takes the first of the next block
-    that has rows (after the last, the first). Block heads are ranked on their ids alone, in blocks of blocks, so no
-    task sees all rows; `extra` is made once for each row, and again for the heads."""
-    block = F.coalesce(F.shiftright("id", BLOCK_BITS), F.lit(-(2**62)))
-    order = (F.col("id").asc_nulls_first(), F.col("text"))
+    """docs (id, text) with columns made of each row, and all of these (next_<name>, next_text) from the next row.
+
+    Rows are ordered by id (nulls first) and the text's XXH64, in range partitions that count their rows, so a row's number tells
+    its partition, its place there and thus its block. Rows of a block are looked at together; a block's last row takes the head
+    of the next block (after the last, the first), which numbers alone find. Only the partitions' counts meet in one task. Equal
+    rows stay in the order they are read in, so that many of them are shared out, too. `extra` is made once for each row, after
+    the shuffle, and again for the heads."""
+    order = (F.col("id").asc_nulls_first(), F.col("h"), F.col("at"))
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    rows = common.table(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text", F.monotonically_increasing_id().alias("seq")), "rows")
+    part = F.shiftright("seq", PART_BITS)
+    counts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("p")  # a row a partition
+    ends = counts.select("p", (F.shiftleft("p", PART_BITS) + F.col("n") - 1).alias("end"))
+    before = F.broadcast(ends.select("p", F.coalesce(F.lag("end").over(w), F.last("end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before")))
+    block = F.shiftright("seq", BLOCK_BITS)
     names = ["text", *extra]
-    w = Window.partitionBy("b").orderBy(*order)
-    led = docs.withColumns(extra | {"b": block}).withColumns({f"lead_{c}": F.lead(c).over(w) for c in names} | {"last": F.lead(F.lit(1)).over(w).isNull()})
-    tops = docs.withColumn("b", block).withColumn("r", F.row_number().over(w)).where("r = 1").select("b", "id", "text")
-    heads = common.table(tops.withColumns(extra).select("b", *[F.col(c).alias(f"head_{c}") for c in names]), "heads")
-    b = heads.select("b")
-    sup = b.select("b", F.shiftright("b", 14).alias("s"))
-    ws = Window.partitionBy("s").orderBy("b")
-    ranked = sup.select("b", "s", F.lead("b").over(ws).alias("n"))
-    firsts = sup.groupBy("s").agg(F.min("b").alias("f"))  # one row for 16 million ids
-    wrap = firsts.select("s", F.coalesce(F.lead("f").over(Window.orderBy("s")), F.first("f").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
-    following = ranked.join(wrap, "s").select("b", F.coalesce("n", "f").alias("nb"))
-    tails = following.join(heads.withColumnRenamed("b", "nb"), "nb").drop("nb")
+    heads = rows.where(F.col("seq") % (1 << BLOCK_BITS) == 0).withColumn("p", part).join(before, "p")
+    ahead = F.when(F.col("seq") == F.shiftleft("p", PART_BITS), F.shiftright("before", BLOCK_BITS)).otherwise(block - 1)
+    tails = heads.withColumns(extra).select(ahead.alias("b"), *[F.col(c).alias(f"head_{c}") for c in names])
+    own = Window.partitionBy("b").orderBy("seq")
+    led = rows.withColumn("b", block).repartition("b").withColumns(extra).withColumns({f"lead_{c}": F.lead(c).over(own) for c in names} | {"last": F.lead(F.lit(1)).over(own).isNull()})
     both = led.join(tails, "b")
     return both.select("id", *names, *[F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in names])
 
