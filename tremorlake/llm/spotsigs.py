@@ -11,8 +11,9 @@ within these, sets meet through the |S| - ceil(t |S|) + 1 rarest signatures (a p
 these), and the length ratio prunes pairs before the exact test.
 
 Nulls, empties: null texts count as empty (n_chars 0, edited text empty); null ids sort before all others; rows
-with equal ids are ordered by their text's XXH64 and all of them kept. Texts of any length are read whole, as one row of arrays.
-An empty table gives an empty table. Ids of any spread are ordered by range partitions.
+with equal ids are ordered by their text's XXH64 and all of them kept; rows equal in id and that hash count as repeats of one row,
+are computed once and written as often as they stand there. Texts of any length are read whole, as one row of arrays. An empty
+table gives an empty table. Ids of any spread are ordered by range partitions.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlake.operators.tables import numbered
+
 from . import common
 
 # Common words of English, German, French and Spanish.
@@ -33,7 +36,6 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 BLOCK_BITS = 10  # 1024 rows are looked at together for a row's successor
-PART_BITS = 33  # monotonically_increasing_id() numbers rows below, partitions above
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -63,30 +65,27 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
-    """docs (id, text) with columns made of each row, and all of these (next_<name>, next_text) from the next row.
-
-    Rows are ordered by id (nulls first) and the text's XXH64, in range partitions that count their rows, so a row's number tells
-    its partition, its place there and thus its block. Rows of a block are looked at together; a block's last row takes the head
-    of the next block (after the last, the first), which numbers alone find. Only the partitions' counts meet in one task. Equal
-    rows stay in the order they are read in, so that many of them are shared out, too. `extra` is made once for each row, after
-    the shuffle, and again for the heads."""
-    order = (F.col("id").asc_nulls_first(), F.col("h"), F.col("at"))
-    keyed = docs.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
-    rows = common.table(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text", F.monotonically_increasing_id().alias("seq")), "rows")
-    part = F.shiftright("seq", PART_BITS)
-    counts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("p")  # a row a partition
-    ends = counts.select("p", (F.shiftleft("p", PART_BITS) + F.col("n") - 1).alias("end"))
-    before = F.broadcast(ends.select("p", F.coalesce(F.lag("end").over(w), F.last("end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before")))
-    block = F.shiftright("seq", BLOCK_BITS)
+    """docs (id, text) with columns made of each row, all of these (next_<name>, next_text) from the next row, and n.
+
+    Rows are ordered by id (nulls first) and the text's XXH64. Equal rows are one row here until the end: the last of them is
+    followed by the next other row (n = 1), the n others by their like. Numbers come from range partitions of (id, hash) alone and
+    are dense whatever the ids, so blocks of numbers are full; a block's last row takes the head of the next block (after the
+    last, the first). Texts are shuffled to their number and to their block; `extra` is made after that, again for heads."""
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("h"))
+    numbers = common.table(numbered(keyed.groupBy("id", "h").agg(F.count("*").alias("n")), F.col("id").asc_nulls_first(), F.col("h"), name="r").withColumn("r", F.col("r") - 1), "numbers")
+    # A null id is joined as 0 beside its flag, so that the join finds it in the partitions of the aggregation.
+    flat = lambda x: x.withColumns({"void": F.col("id").isNull(), "key": F.coalesce("id", F.lit(0))})
+    texts = flat(keyed).groupBy("void", "key", "h").agg(F.first("text").alias("text"))
+    rows = texts.join(flat(numbers), ["void", "key", "h"]).select("id", "text", "n", "r", F.shiftright("r", BLOCK_BITS).alias("b"))
+    last = numbers.agg(F.shiftright(F.max("r"), BLOCK_BITS)).first()[0] or 0
     names = ["text", *extra]
-    heads = rows.where(F.col("seq") % (1 << BLOCK_BITS) == 0).withColumn("p", part).join(before, "p")
-    ahead = F.when(F.col("seq") == F.shiftleft("p", PART_BITS), F.shiftright("before", BLOCK_BITS)).otherwise(block - 1)
-    tails = heads.withColumns(extra).select(ahead.alias("b"), *[F.col(c).alias(f"head_{c}") for c in names])
-    own = Window.partitionBy("b").orderBy("seq")
-    led = rows.withColumn("b", block).repartition("b").withColumns(extra).withColumns({f"lead_{c}": F.lead(c).over(own) for c in names} | {"last": F.lead(F.lit(1)).over(own).isNull()})
-    both = led.join(tails, "b")
-    return both.select("id", *names, *[F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in names])
+    heads = rows.where(F.col("r") % (1 << BLOCK_BITS) == 0).withColumns(extra)
+    tails = heads.select(F.when(F.col("b") == 0, F.lit(last)).otherwise(F.col("b") - 1).alias("b"), *[F.col(c).alias(f"head_{c}") for c in names])
+    own = Window.partitionBy("b").orderBy("r")
+    led = rows.repartition("b").withColumns(extra).withColumns({f"lead_{c}": F.lead(c).over(own) for c in names} | {"last": F.lead(F.lit(1)).over(own).isNull()})
+    both = led.join(tails, "b").withColumn("like", F.explode(F.when(F.col("n") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    after = lambda c: F.when(F.col("like"), F.col(c)).when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"lead_{c}"))
+    return both.select("id", *names, *[after(c).alias(f"next_{c}") for c in names], F.when(F.col("like"), F.col("n") - 1).otherwise(1).alias("n"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,8 +94,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     half = F.floor(F.col("n_chars") / 2).cast("int")
     x = with_next(source, {"sigs": signatures(F.col("text"))}).withColumn("n_chars", F.length("text").cast("long"))
     x = x.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    x = x.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
-    return x.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    x = x.select("id", "n", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("a"), signatures(F.col("edited")).alias("b"), F.col("next_sigs").alias("c"))
+    x = x.select("n", F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    thousands = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))).alias("k")
+    x = x.select("*", thousands)
+    return x.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("n") - 1000 * F.col("k"))))).drop("n", "k")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
