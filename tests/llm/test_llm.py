@@ -575,6 +575,18 @@ def brute_decode(model, text):
     return max(best(n, False), best(n, True), key=lambda x: x[0])[1]
 
 
+def test_long_tables_of_figures_are_decoded_in_bounded_memory():
+    import tracemalloc
+
+    model, r = pii.trained(), random.Random(4)
+    text = "\n".join(" ".join(f"{r.randrange(10**4)}.{r.randrange(100)}" for _ in range(8)) for _ in range(1500))
+    tracemalloc.start()
+    pii.find(text, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 80_000 and peak < 100 * len(text)
+
+
 def test_span_model():
     model = pii.trained()
     data = pii.sentences(300, seed=77)

@@ -12,8 +12,8 @@ the likelihood of synthetic sentences made here, with misleading numbers, versio
 Entities that overlap no base span are added; base spans always stay.
 
 Nulls, empties: a null text counts as empty and has no spans; null and repeated ids keep a row each. Offsets are code points. Ties between
-segmentations go to the first. An empty table gives an empty table. Texts of any length are read whole; a stretch that is all figures is
-segmented at once and takes some 1.5 kB of memory a character, so a table of figures of several MB in one text may exceed a worker.
+segmentations go to the first. An empty table gives an empty table. Texts of any length are read whole; a stretch that is all figures
+is segmented as a stream that holds the segments of MOST_TOKENS tokens, and a few tens of bytes for each token.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -111,10 +114,10 @@ def features(text: str, start: int, end: int) -> tuple[list[str], tuple[int, ...
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches of whole tokens around cues, so wide that every segment of MOST_TOKENS tokens with a cue in it lies in one."""
-    cues = [m.start() for m in _cue.finditer(text)]
+    cues = array("q", (m.start() for m in _cue.finditer(text)))
     if not cues:
         return []
-    places = [m.start() for m in _token(text)] + [len(text)]
+    places = token_places(text, 0, len(text))
     out: list[list[int]] = []
     for c in cues:
         i = bisect_right(places, c) - 1
@@ -126,29 +129,39 @@ def windows(text: str) -> list[tuple[int, int]]:
     return [(places[a], places[b]) for a, b in out]
 
 
+def token_places(text: str, a: int, b: int) -> array:
+    """Where the tokens of a stretch begin, and its end."""
+    return array("q", chain((m.start() + a for m in _token(text[a:b])), (b,)))
+
+
+def segments_from(text: str, places: array, i: int) -> Iterator[tuple[int, list[str], tuple[int, ...]]]:
+    """The possible entity segments that begin with token i: (end, features, kinds), ends rising."""
+    c = text[places[i]]
+    if not (c.isalnum() or c in "+("):
+        return
+    digits = letters = 0
+    for j in range(i + 1, min(len(places) - 1, i + MOST_TOKENS) + 1):
+        t = text[places[j - 1]]
+        digits += (places[j] - places[j - 1]) * t.isdigit()
+        letters += t.isalpha()
+        if t == "\n" or (digits > 20 and not letters):
+            return
+        if not t.isspace() and (digits >= 4 or letters >= 2):
+            f, kinds = features(text, places[i], places[j])
+            if kinds:
+                yield j, f, kinds
+
+
 class Lattice:
-    """Tokens of a stretch, and its possible entity segments with their features."""
+    """Tokens of a stretch, and all its possible entity segments with their features; for training."""
 
     def __init__(self, text: str, a: int, b: int) -> None:
-        places = [m.start() + a for m in _token(text[a:b])] + [b]
-        self.places, n = places, len(places) - 1
+        self.places = token_places(text, a, b)
+        n = len(self.places) - 1
         self.ends: list[list[tuple[int, list[str], tuple[int, ...]]]] = [[] for _ in range(n + 1)]  # by end: (begin, features, kinds)
-        solid = [not text[p].isspace() for p in places[:-1]]
         for i in range(n):
-            c = text[places[i]]
-            if not (c.isalnum() or c in "+("):
-                continue
-            digits = letters = 0
-            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-                t = text[places[j - 1]]
-                digits += (places[j] - places[j - 1]) * t.isdigit()
-                letters += t.isalpha()
-                if t == "\n" or (digits > 20 and not letters):
-                    break
-                if solid[j - 1] and (digits >= 4 or letters >= 2):
-                    f, kinds = features(text, places[i], places[j])
-                    if kinds:
-                        self.ends[j].append((i, f, kinds))
+            for j, f, kinds in segments_from(text, self.places, i):
+                self.ends[j].append((i, f, kinds))
 
 
 class Model:
@@ -160,30 +173,37 @@ class Model:
         return w.get(("bias", kind), 0.0) + sum(w.get((x, kind), 0.0) for x in f)
 
     def decode(self, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities (start, kind, end). States: 0 after an outside token, 1 after an entity."""
-        lattice = Lattice(text, a, b)
-        n = len(lattice.places) - 1
-        if not any(lattice.ends):
-            return []
-        best, back = [[0.0, -math.inf]], [[None, None]]
+        """The best segmentation's entities (start, kind, end). States: 0 after an outside token, 1 after an entity.
+
+        A segment has MOST_TOKENS tokens at most, so only the segments and values of as many tokens are held; what stays for
+        every token is its place and four bytes of the way back."""
+        places = token_places(text, a, b)
+        n, ring = len(places) - 1, MOST_TOKENS + 1
+        best = [[0.0, -math.inf]] + [[-math.inf, -math.inf]] * (ring - 1)  # token j's values stand at j % ring
+        open_: list[list[tuple[int, int, float]]] = [[] for _ in range(ring)]  # by end: (begin, kind, score)
+        outside, length, kinds_at, before_at = bytearray(n + 1), bytearray(n + 1), bytearray(n + 1), bytearray(n + 1)
+        after = [self.weights.get(("after", k), 0.0) for k in range(len(KINDS))]
         for j in range(1, n + 1):
-            state = 0 if best[j - 1][0] >= best[j - 1][1] else 1
-            value, link, after = -math.inf, None, None
-            for i, f, kinds in lattice.ends[j]:
-                for kind in kinds:
-                    s = self.score(f, kind)
-                    for before in (0, 1):
-                        x = best[i][before] + s + (self.weights.get(("after", kind), 0.0) if before else 0.0)
-                        if x > value:
-                            value, link, after = x, (i, kind), before
-            best.append([best[j - 1][state], value])
-            back.append([(j - 1, None, state), link and (*link, after)])
-        out, j, state = [], n, 0 if best[n][0] >= best[n][1] else 1
+            for end, f, kinds in segments_from(text, places, j - 1):
+                open_[end % ring].extend((j - 1, kind, self.score(f, kind)) for kind in kinds)
+            last = best[(j - 1) % ring]
+            outside[j] = state = 0 if last[0] >= last[1] else 1
+            value = -math.inf
+            for i, kind, s in open_[j % ring]:
+                for before in (0, 1):
+                    x = best[i % ring][before] + s + (after[kind] if before else 0.0)
+                    if x > value:
+                        value, length[j], kinds_at[j], before_at[j] = x, j - i, kind, before
+            open_[j % ring] = []
+            best[j % ring] = [last[state], value]
+        out, j, state = [], n, 0 if best[n % ring][0] >= best[n % ring][1] else 1
         while j > 0:
-            i, kind, before = back[j][state]
-            if kind is not None:
-                out.append((lattice.places[i], kind, lattice.places[j]))
-            j, state = i, before
+            if state:
+                i = j - length[j]
+                out.append((places[i], kinds_at[j], places[j]))
+                j, state = i, before_at[j]
+            else:
+                j, state = j - 1, outside[j]
         return out[::-1]
 
     def gradient(self, lattice: Lattice, gold: set[tuple[int, int, int]]) -> dict[tuple[str, int], float]:
