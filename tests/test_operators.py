@@ -178,6 +178,35 @@ def test_designs(spark):
     assert len(d) == 30 and all(abs((r.day * 4) % 1) < 1e-9 for r in d)
 
 
+def test_draws_equal_a_loop_and_many_are_quick(spark):
+    """The first draws inside the span that differ, tried in order; tens of thousands of cases in one task within seconds."""
+    import time
+
+    from tremorlake.operators.shifts import mix_int
+
+    M = 2147483647
+    u = lambda s, j, seed: mix_int((mix_int(s, seed) + j) % M, seed + 1) / M
+    at = {
+        "offset": lambda s, d, j: d + (1 + math.floor(u(s, j, 7) * 6)) * (-1 if u(s, j, 9) < 0.5 else 1),
+        "window": lambda s, d, j: d + (u(s, j, 7) * 2 - 1) * 6,
+        "uniform": lambda s, d, j: 0.0 + u(s, j, 7) * 9.5,
+    }
+    schema = "stratum long, day double, cell long, lat_deg double, lon_deg double, is_case boolean, magnitude double"
+    rows = [(s * 7919, s % 10 * 0.95, 1, 0.0, 0.0, True, 5.0) for s in range(60)] + [(None, 3.0, 1, 0.0, 0.0, True, 5.0), (8, None, 1, 0.0, 0.0, True, 5.0)]
+    for scheme, t in at.items():
+        want = set()
+        for s, d, *_ in rows:
+            if s is not None and d is not None:
+                tried = [x for x in (t(s, d, j) for j in range(1, 57)) if 0 <= x <= 9.5]
+                want |= {(s, x) for x in list(dict.fromkeys(tried))[:6]}
+        got = design.drawn(spark.createDataFrame(rows, schema), (0.0, 9.5), scheme, 6, 6, 7).where("not is_case").select("stratum", "day").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    cases = spark.range(30000).coalesce(1).select(F.col("id").alias("stratum"), (F.col("id") % 900).cast("double").alias("day"), F.lit(1).cast("long").alias("cell"), F.lit(0.0).alias("lat_deg"), F.lit(0.0).alias("lon_deg"), F.lit(True).alias("is_case"), F.lit(5.0).alias("magnitude"))
+    began = time.perf_counter()
+    assert design.drawn(cases, (0.0, 900.0), "window", 10, 30.0).where("not is_case").count() == 300000
+    assert time.perf_counter() - began < 15
+
+
 def test_scores_find_what_is_planted(spark):
     base = spark.range(400 * 6).select(F.floor(F.col("id") / 6).alias("stratum"), (F.col("id") % 6).alias("row_idx")).withColumns({"is_case": F.col("row_idx") == 0, "x": ((F.col("stratum") * 31 + F.col("row_idx") * 17) % 23).cast("double")})
     z = lambda d: scores.conditional_score(scores.melt(d, {"x": F.col("x")})).first().z

@@ -5,11 +5,13 @@ magnitude). Strata are keyed; no step relies on the order of rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions.geo import Grid
-from tremorlake.functions.random import M, gumbel, mix, mix2, uniform
+from tremorlake.functions.random import ROUNDS, M, gumbel, mix, mix2
 from tremorlake.functions.time import checked_day, date_of
 
 TRAIN_END, TEST_START = 3652.0, 6210.0
@@ -54,18 +56,47 @@ def year_stratified(case_rows: DataFrame, span: tuple[float, float], block_years
 def drawn(case_rows: DataFrame, span: tuple[float, float], scheme: str, k: int, reach: float = 0.0, seed: int = 20260822) -> DataFrame:
     """k controls a case by a counter hash. scheme: `offset` (whole days, 1 to reach, either sign, no repeats),
     `window` (uniform within reach days) or `uniform` (over the span). Draws outside the span are replaced; 4 k + 32 are tried."""
-    tries = F.sequence(F.lit(1), F.lit(4 * k + 32))
-    u = lambda j, s: uniform(mix2(F.col("stratum"), j, seed + s))
-    if scheme == "offset":
-        at = lambda j: F.col("day") + (1 + F.floor(u(j, 0) * reach)) * F.when(u(j, 2) < 0.5, -1).otherwise(1)
-    elif scheme == "window":
-        at = lambda j: F.col("day") + (u(j, 0) * 2 - 1) * reach
-    elif scheme == "uniform":
-        at = lambda j: span[0] + u(j, 0) * (span[1] - span[0])
-    else:
+    if scheme not in ("offset", "window", "uniform"):
         raise ValueError(f"unknown scheme: {scheme}")
-    inside = F.filter(F.transform(tries, at), lambda t: (t >= span[0]) & (t <= span[1]))
-    return _with_controls(case_rows, F.slice(F.array_distinct(inside), 1, k))
+    keys = [mix(F.col("stratum"), seed + s) for s in (0, 2)]
+    times = _draws(scheme, span, k, reach, seed)(F.col("day").cast("double"), *[F.coalesce(key, F.lit(0).cast("long")) for key in keys])
+    return _with_controls(case_rows, F.when(F.col("stratum").isNotNull() & F.col("day").isNotNull(), times).otherwise(F.array().cast("array<double>")))
+
+
+def _draws(scheme: str, span: tuple[float, float], k: int, reach: float, seed: int):
+    """A function of (day, two keys of the stratum): the first k draws inside the span that differ, tried one by one for rows that lack some."""
+
+    def draw(key: np.ndarray, j: int, seed: int) -> np.ndarray:
+        """uniform(mix2(stratum, j, seed)), key being mix(stratum, seed); fmod has the sign of SQL's %."""
+        v = np.fmod(np.fmod(key + j, M) * 48271 + seed + 1, M)
+        for c in ROUNDS:
+            v = np.fmod(v * (np.fmod(v, 65521) + c), M)
+        return v / float(M)
+
+    @F.arrow_udf("array<double>")
+    def made(day: pa.Array, key: pa.Array, turn: pa.Array) -> pa.Array:
+        day, key, turn = (x.to_numpy(zero_copy_only=False) for x in (day, key, turn))
+        out, n = np.full((len(day), k), np.nan), np.zeros(len(day), np.int64)
+        open_ = np.arange(len(day))
+        for j in range(1, 4 * k + 33):
+            u = draw(key[open_], j, seed)
+            if scheme == "offset":
+                t = day[open_] + (1 + np.floor(u * reach)) * np.where(draw(turn[open_], j, seed + 2) < 0.5, -1, 1)
+            elif scheme == "window":
+                t = day[open_] + (u * 2 - 1) * reach
+            else:
+                t = span[0] + u * (span[1] - span[0])
+            new = (t >= span[0]) & (t <= span[1]) & ~(out[open_] == t[:, None]).any(axis=1)
+            at = open_[new]
+            out[at, n[at]] = t[new]
+            n[at] += 1
+            open_ = open_[n[open_] < k]
+            if not len(open_):
+                break
+        held = np.arange(k) < n[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(out[held]))
+
+    return made
 
 
 def usable(design: DataFrame, before: float = TEST_START) -> DataFrame:
