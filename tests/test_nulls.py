@@ -126,3 +126,15 @@ def test_nest_scores(spark):
             if trial:
                 assert got["uniform", nest, trial] == pytest.approx(score(shifts.uniform_draws(nest, trial, len(own), n)))
     assert not np.array_equal(shifts.uniform_draws(64, 1, 50, 1000), shifts.uniform_draws(0, 2, 50, 1000))
+
+
+def test_nests_are_many_tasks_and_draws_come_in_pieces(spark, monkeypatch):
+    """A few nests are dealt with their trials to more tasks than there are shuffle partitions; draws in pieces are the same draws."""
+    want = np.bincount(shifts.uniform_draws(3, 7, 1000, 64), minlength=64)
+    monkeypatch.setattr(shifts, "DRAWS", 37)
+    assert (shifts.uniform_counts(3, 7, 1000, 64) == want).all()
+    nests = spark.createDataFrame([(i, 10.0 * i, 20.0, [1, 5, 9], [4, 3, 2]) for i in range(4)], "nest int, lat double, lon double, places array<int>, counts array<long>")
+    series = np.random.default_rng(1).normal(size=(64, 6))
+    got = shifts.nest_scores(nests, series, np.eye(6), list(range(1, 201)))
+    assert got.select(F.spark_partition_id()).distinct().count() > 6
+    assert got.count() == 4 * (201 + 200)

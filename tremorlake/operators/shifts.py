@@ -95,12 +95,23 @@ def _moments(sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def uniform_draws(nest: int, trial: int, n_events: int, n: int, seed: int = 81) -> np.ndarray:
-    """A sample of the grid for each event of a nest in a trial: keyed by nest, then trial, then event."""
+DRAWS = 1 << 18  # draws of a trial that are held at once
+
+
+def uniform_draws(nest: int, trial: int, n_events: int, n: int, seed: int = 81, first: int = 0) -> np.ndarray:
+    """A sample of the grid for each event of a nest in a trial: keyed by nest, then trial, then event; first: events left out before."""
     from tremorlake.operators.matrix import mix_array
 
     key = mix_int((mix_int(nest % M, seed) + trial) % M, seed + 1)
-    return mix_array((key + np.arange(1, n_events + 1)) % M, seed + 2) % n
+    return mix_array((key + np.arange(first + 1, n_events + 1)) % M, seed + 2) % n
+
+
+def uniform_counts(nest: int, trial: int, n_events: int, n: int) -> np.ndarray:
+    """How often uniform_draws gives each sample, from DRAWS of them at once."""
+    count = np.zeros(n, np.int64)
+    for first in range(0, n_events, DRAWS):
+        count += np.bincount(uniform_draws(nest, trial, min(n_events, first + DRAWS), n, first=first), minlength=n)
+    return count
 
 
 def nest_scores(nests: DataFrame, series: np.ndarray, weights: np.ndarray, offsets: list[int], chunk: int = 20) -> DataFrame:
@@ -132,10 +143,11 @@ def nest_scores(nests: DataFrame, series: np.ndarray, weights: np.ndarray, offse
                 else:
                     names = list(range(r["first"], min(r["first"] + chunk, trials + 1)))
                     total = int(count.sum())
-                    sums = np.stack([np.bincount(uniform_draws(r["nest"], t, total, n), minlength=n) @ flat for t in names])
+                    sums = np.stack([uniform_counts(r["nest"], t, total, n) @ flat for t in names])
                     kind = "uniform"
                 score = (sd(_moments(sums))[:, ok] / ref[ok]).min(axis=1, initial=np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names)), pa.array([r["nest"]] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(score)], ["kind", "nest", "trial", "score"])
 
     items = nests.withColumn("first", F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(trials), F.lit(chunk)))))
-    return items.repartition("nest", "first").mapInArrow(run, "kind string, nest int, trial int, score double")
+    # With a number of its own: these few rows are hours of work, and would else be put together in a task or two.
+    return items.repartition(trials // chunk + 2, "nest", "first").mapInArrow(run, "kind string, nest int, trial int, score double")
