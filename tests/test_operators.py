@@ -158,6 +158,21 @@ def test_chains_end_sooner_in_growing_cells(spark, monkeypatch):
     assert found[1] < found[0], found
 
 
+def test_edges_equal_all_pairs_and_events_stand_in_few_cells(spark):
+    """Dense and lonely places, the date line and poles: the pairs of a double loop; an event meets the cells of its window only."""
+    r = random.Random(21)
+    spots = [(0.0, 0.0, 3.0), (0.0, 179.9, 3.0), (88.0, 0.0, 1.9), (-60.0, -179.0, 4.0)]
+    rows = [(i, r.uniform(-100, 100), max(-90.0, min(90.0, a + r.uniform(-w, w))), (b + r.uniform(-w, w) * (30 if a > 80 else 1) + 180) % 360 - 180, r.uniform(3, 30), r.uniform(20, 200)) for i, (a, b, w) in ((i, spots[i % 4]) for i in range(400))]
+    df = spark.createDataFrame(rows, "event_idx long, day double, lat_deg double, lon_deg double, days double, km double")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    near = b("day").between(a("day") - a("__days"), a("day") + a("__days")) & (decluster.distance_km(a("lat_deg"), a("lon_deg"), b("lat_deg"), b("lon_deg")) <= a("__km"))
+    got = [tuple(x) for x in decluster.window_edges(df, F.col("days"), F.col("km"), a("event_idx") < b("event_idx"), near).collect()]
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] - x[4] <= y[1] <= x[1] + x[4] and km(x[2:4], y[2:4]) <= x[5]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    line = spark.createDataFrame([(i, 64.0 * i + 8, 0.1, 0.1) for i in range(20)], "event_idx long, day double, lat_deg double, lon_deg double")
+    assert decluster.window_edges(line, F.lit(17.0), F.lit(9.0), F.lit(True), F.lit(True)).count() < 20
+
+
 def test_windows_end_as_in_sql(spark):
     """Days whose difference rounds to 365, though the later one is past the first one's day + 365: BETWEEN says no."""
     a, b = -366 + 1 / 86400, -1 + 1 / 86400
