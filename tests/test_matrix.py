@@ -114,3 +114,23 @@ def test_concatenation(spark):
         matrix.concatenated([(a, ["p", "q"]), (b, ["p"])], ["k"])
     with pytest.raises(Exception, match="frame 1 must have 2"):
         matrix.concatenated([(a, ["p", "q"]), (b, ["r", "s"])], ["k"])[0].collect()
+
+
+def test_scans_deal_rows_before_they_have_features(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(matrix, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or df.localCheckpoint())
+    monkeypatch.setattr(matrix, "TASK", 500)  # several files a block
+    d = design(spark).cache()
+    want = matrix.of(d, names(), 2)
+    got = matrix.made(d, [F.col(c) for c in ("a", "b", "c")], ["a", "b", "c"], lambda a, b, c: np.stack((a, b, c), axis=1), 2)
+    assert got.names == want.names and sorted(map(str, got.blocks.collect())) == sorted(map(str, want.blocks.collect()))
+    at = f"file://{tmp_path}/m"
+    matrix.write(got, at)
+    stored = matrix.load(spark, at)
+    assert stored.n_strata == 60 and len(list((tmp_path / "m/blocks/block=0").glob("*.parquet"))) > 5
+    scans = [rounded(matrix.null(m, sums)) | rounded(matrix.observed(m, sums)) for m in (want, got, stored) for sums in [matrix.scan_sums(m, 7)]]
+    assert scans[0] == scans[1] == scans[2] and len(plans) == 3
+    assert not any("rangepartitioning" in p for p in plans)
+    split = matrix.Matrix(stored.blocks, stored.names, stored.n_rows, 59)  # as if a stratum had been split
+    assert rounded(matrix.observed(split, matrix.scan_sums(split))) == rounded(matrix.observed(got, matrix.scan_sums(got)))
+    assert "rangepartitioning" in plans[-2]

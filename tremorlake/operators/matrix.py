@@ -4,12 +4,15 @@ A matrix of many features over a design's rows is kept as blocks: (block, stratu
 Stored, a block is a partition of a Parquet table, sorted by stratum and row; `names` says which block and place a feature has, and
 `size` how many rows and features there must be, which a load checks. Readers prune to the blocks and strata they need.
 
-A scan deals (block, stratum) by ranges, so a stratum's rows of a block meet in a task. There they are an Arrow batch: a matrix X of centred
-values, and a sparse matrix W of 0 and 1 that says which row each permutation draws from each stratum. W @ X gives the permuted sums of all
-features at once; only sums by block leave a task, one row for each block that it met."""
+A scan deals the design's rows by stratum, before they have their features, so a stratum's rows meet in a task. There they are Arrow batches: a
+matrix X of centred values, and a sparse matrix W of 0 and 1 that says which row each permutation draws from each stratum. W @ X gives the permuted
+sums of all features at once; only sums by block leave a task, one row for each block that it met. A matrix is written in the same way, in files that
+no reader splits, so a scan of a stored one shuffles nothing; should a stratum be split nevertheless, its count tells, and the rows are shuffled.
+Blocks without a design (arrays from elsewhere) are shuffled as they are."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,11 +31,18 @@ BLOCKS = "block int, stratum long, row_idx int, is_case boolean, x array<double>
 
 @dataclass(frozen=True)
 class Matrix:
-    """blocks (see BLOCKS) and the features by block and place; n_rows: the design's rows, where known."""
+    """blocks (see BLOCKS) and the features by block and place; n_rows: the design's rows, where known.
+
+    design, spread, pieces: what the blocks are made of, a row at a time: pieces(batches of spread(design)) are batches of the blocks.
+    n_strata: of a stored matrix whose files hold whole strata, one after the other."""
 
     blocks: DataFrame
     names: tuple[tuple[str, int, int], ...]
     n_rows: int | None = None
+    n_strata: int | None = None
+    design: DataFrame | None = None
+    spread: Callable[[DataFrame], DataFrame] | None = None
+    pieces: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None
 
     def names_table(self) -> DataFrame:
         return self.blocks.sparkSession.createDataFrame([*self.names], "feature string, block int, at int")
@@ -40,11 +50,44 @@ class Matrix:
 
 def of(design: DataFrame, features: dict[str, Column], width: int = WIDTH) -> Matrix:
     """design (stratum, row_idx, is_case, ...) and its features -> a matrix, not stored yet."""
-    names = tuple((name, i // width, i % width) for i, name in enumerate(features))
+    names = _placed(list(features), width)
     columns = [c.cast("double") for c in features.values()]
     parts = [F.struct(F.lit(i // width).alias("block"), F.array(*columns[i : i + width]).alias("x")) for i in range(0, len(columns), width)]
-    rows = design.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", F.explode(F.array(*parts)).alias("p"))
-    return Matrix(rows.select("p.block", "stratum", "row_idx", "is_case", "p.x"), names)
+
+    def spread(rows: DataFrame) -> DataFrame:
+        # A projection of its own: many features are too much code for one method, which a projection splits, and a generator would interpret.
+        rows = rows.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", F.array(*parts).alias("p"))
+        return rows.withColumn("p", F.explode("p")).select("p.block", "stratum", "row_idx", "is_case", "p.x")
+
+    return Matrix(spread(design), names, design=design, spread=spread, pieces=iter)
+
+
+def made(design: DataFrame, inputs: list[Column], names: list[str], make: Callable[..., np.ndarray], width: int = WIDTH) -> Matrix:
+    """design (stratum, row_idx, is_case, ...) and make(arrays of inputs) -> (row, feature), called in tasks for some ROWS at once -> a matrix."""
+    n = len(names)
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", *[c.cast("double").alias(f"i{i}") for i, c in enumerate(inputs)])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield from _cut(part, make(*[c.to_numpy(zero_copy_only=False) for c in part.columns[3:]]), n, width)
+
+    return Matrix(spread(design).mapInArrow(pieces, BLOCKS), _placed(names, width), design=design, spread=spread, pieces=pieces)
+
+
+def _placed(names: list[str], width: int) -> tuple[tuple[str, int, int], ...]:
+    return tuple((name, i // width, i % width) for i, name in enumerate(names))
+
+
+def _cut(rows: pa.RecordBatch, x: np.ndarray, n: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (stratum, row_idx, is_case, ...) and their n values as batches of BLOCKS."""
+    for at in range(0, n, width):
+        own = np.ascontiguousarray(x[:, at : at + width], np.float64)
+        lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel(), from_pandas=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at // width, np.int32)), *rows.columns[:3], lists], ["block", "stratum", "row_idx", "is_case", "x"])
 
 
 def of_arrays(rows: DataFrame, names: list[str], width: int = WIDTH, column: str = "features") -> Matrix:
@@ -55,29 +98,44 @@ def of_arrays(rows: DataFrame, names: list[str], width: int = WIDTH, column: str
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                x = values(part.column(3), n)
-                for at in range(0, n, width):
-                    own = np.ascontiguousarray(x[:, at : at + width])
-                    lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel(), from_pandas=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at // width, np.int32)), *part.columns[:3], lists], ["block", "stratum", "row_idx", "is_case", "x"])
+                yield from _cut(part, values(part.column(3), n), n, width)
 
     rows = rows.select(F.col("stratum").cast("long"), F.col("row_idx").cast("int"), "is_case", F.col(column).cast("array<double>").alias("x"))
-    return Matrix(rows.mapInArrow(run, BLOCKS), tuple((name, i // width, i % width) for i, name in enumerate(names)))
+    return Matrix(rows.mapInArrow(run, BLOCKS), _placed(names, width))
+
+
+TASK = 128 << 20  # bytes of values that a task sorts and writes
+GROUP = 1 << 30  # a row group takes a file of such a task whole, and no reader splits a row group
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(design: DataFrame, tasks: int) -> DataFrame:
+    """The design's rows, those of a stratum in one partition, in order."""
+    return design.repartition(tasks, "stratum").sortWithinPartitions("stratum", "row_idx")
 
 
 def write(matrix: Matrix, path: str) -> None:
     """Stores a matrix, in place of what stood there; the size is written last."""
-    spark = matrix.blocks.sparkSession
-    dealt = matrix.blocks.repartitionByRange("block", "stratum").sortWithinPartitions("block", "stratum", "row_idx")
-    dealt.write.mode("overwrite").partitionBy("block").parquet(f"{path}/blocks")
+    spark, design, strata = matrix.blocks.sparkSession, matrix.design, None
+    if design is None:
+        blocks, group = matrix.blocks.repartitionByRange("block", "stratum"), {}
+    else:
+        size = design.groupBy("stratum").count().agg(F.count("*").alias("strata"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+        strata, group = size.strata, {"parquet.block.size": str(GROUP)}
+        rows = matrix.spread(design.repartition(max(_tasks(spark), math.ceil(size.rows * len(matrix.names) * 8 / TASK)), "stratum"))
+        blocks = rows if matrix.pieces is iter else rows.mapInArrow(matrix.pieces, BLOCKS)
+    blocks.sortWithinPartitions("block", "stratum", "row_idx").write.mode("overwrite").options(**group).partitionBy("block").parquet(f"{path}/blocks")
     matrix.names_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
     rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where("block = 0").count()
-    spark.createDataFrame([(rows, len(matrix.names))], "n_rows long, n_features long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+    spark.createDataFrame([(rows, len(matrix.names), strata)], "n_rows long, n_features long, n_strata long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def load(spark: SparkSession, path: str) -> Matrix:
     """The stored matrix; a ValueError if a block has not as many rows or features as it must have."""
-    size = spark.read.parquet(f"{path}/size").first()
+    size = spark.read.schema("n_rows long, n_features long, n_strata long").parquet(f"{path}/size").first()
     names = tuple((r.feature, r.block, r["at"]) for r in spark.read.parquet(f"{path}/names").collect())  # one row a feature
     if len(names) != size.n_features:
         raise ValueError(f"{path}: {len(names)} names for {size.n_features} features")
@@ -92,7 +150,7 @@ def load(spark: SparkSession, path: str) -> Matrix:
             raise ValueError(f"{path}: block {block} must have {size.n_rows} rows of {width} values, and has {r}")
     if set(got) - set(widths):
         raise ValueError(f"{path}: blocks without names: {sorted(set(got) - set(widths))}")
-    return Matrix(blocks, names, size.n_rows)
+    return Matrix(blocks, names, size.n_rows, size.n_strata)
 
 
 def select(matrix: Matrix, features: list[str], strata: tuple[int, int] | None = None) -> Matrix:
@@ -111,7 +169,7 @@ def select(matrix: Matrix, features: list[str], strata: tuple[int, int] | None =
         x = F.array(*[F.get("x", F.lit(place[f][1])) for f in names])
         cut = F.when(F.col("block") == block, x) if cut is None else cut.when(F.col("block") == block, x)
     names = tuple((f, block, i) for block, fs in sorted(by.items()) for i, f in enumerate(fs))
-    return Matrix(rows.withColumn("x", cut), names, matrix.n_rows if strata is None else None)
+    return Matrix(rows.withColumn("x", cut), names, *((matrix.n_rows, matrix.n_strata) if strata is None else ()))
 
 
 def map_batches(matrix: Matrix, work: Callable[[int, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -207,14 +265,15 @@ def scan_sums(matrix: Matrix, permutations: int = 0, seed: int = 20260822) -> Da
 
     Missing values count as the stratum's mean. Every stratum has its rows once, and one case at most counts once."""
 
+    pieces = matrix.pieces or iter
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: _Sums | None = None
-        held: list[tuple] = []  # rows of one block: under ROWS and a batch, or one stratum
+        sums: dict[int, _Sums] = {}
+        held: dict[int, list[tuple]] = {}  # rows of each block: under ROWS in all and a batch, or one stratum
 
-        def settle(to_end: bool) -> None:
-            nonlocal own, held
-            stratum, case, x = (np.concatenate([h[i] for h in held]) for i in range(3))
-            own = own or _Sums(x.shape[1], permutations, seed)
+        def settle(block: int, to_end: bool) -> None:
+            stratum, case, x = (np.concatenate([h[i] for h in held[block]]) for i in range(3))
+            own = sums.setdefault(block, _Sums(x.shape[1], permutations, seed))
             cuts = np.flatnonzero(stratum[1:] != stratum[:-1]) + 1
             end = len(stratum) if to_end else int(cuts[-1]) if len(cuts) else 0
             start = 0
@@ -223,33 +282,23 @@ def scan_sums(matrix: Matrix, permutations: int = 0, seed: int = 20260822) -> Da
                 stop = end if end - start <= ROWS or not len(fit) else int(max(fit[0], fit[fit <= start + ROWS].max(initial=0)))
                 own.add(stratum[start:stop], case[start:stop], x[start:stop])
                 start = stop
-            held = [(stratum[end:], case[end:], x[end:])] if end < len(stratum) else []
-
-        def row(block: int) -> pa.RecordBatch:
+            held[block] = [(stratum[end:], case[end:], x[end:])] if end < len(stratum) else []
+
+        for batch in pieces(batches):
+            of = batch.column(0).to_numpy()
+            found = np.unique(of)
+            for block in found.tolist():
+                part = batch if len(found) == 1 else batch.take(pa.array(np.flatnonzero(of == block)))
+                own = held.setdefault(block, [])
+                own.append((part.column(1).to_numpy(), part.column(3).fill_null(False).to_numpy(zero_copy_only=False), values(part.column(4))))
+                if sum(len(h[0]) for h in own) * len(held) >= ROWS:
+                    settle(block, False)
+        for block in list(held):
+            if held[block]:
+                settle(block, True)
+            own = sums[block]
             made = [block, own.strata, own.rows, own.u, own.v, own.t1, own.t2, own.drawn.ravel()]
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, TYPES, strict=True)], NAMES)
-
-        last = None
-        for batch in batches:
-            block, case = batch.column(0).to_numpy(), batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if last is not None and last != block[a]:
-                    settle(True)
-                    yield row(last)
-                    own = None
-                last = int(block[a])
-                held.append((batch.column(1).to_numpy()[a:b], case[a:b], values(batch.column(4).slice(a, b - a))))
-                if sum(len(h[0]) for h in held) >= ROWS:
-                    settle(False)
-        if last is not None:
-            settle(True)
-            yield row(last)
-
-    dealt = matrix.blocks.select("block", "stratum", "row_idx", "is_case", "x").repartitionByRange("block", "stratum").sortWithinPartitions("block", "stratum", "row_idx")
-    parts = dealt.mapInArrow(run, SUMS)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, TYPES, strict=True)], NAMES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list | None = None
@@ -259,7 +308,17 @@ def scan_sums(matrix: Matrix, permutations: int = 0, seed: int = 20260822) -> Da
                 total = own if total is None else [own[0], *[a + b for a, b in zip(total[1:], own[1:], strict=True)]]
         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(total, TYPES, strict=True)], NAMES)
 
-    return materialize(parts.groupBy("block").applyInArrow(merge, SUMS), "scan-sums")
+    def summed(rows: DataFrame) -> DataFrame:
+        return materialize(rows.mapInArrow(run, SUMS).groupBy("block").applyInArrow(merge, SUMS), "scan-sums")
+
+    if matrix.design is not None:
+        return summed(matrix.spread(_dealt(matrix.design, _tasks(matrix.blocks.sparkSession))))
+    blocks = matrix.blocks.select("block", "stratum", "row_idx", "is_case", "x")
+    if matrix.n_strata is not None:
+        out = summed(blocks)
+        if out.where(F.col("n_strata") != matrix.n_strata).isEmpty():
+            return out
+    return summed(blocks.repartitionByRange("block", "stratum").sortWithinPartitions("block", "stratum", "row_idx"))
 
 
 def observed(matrix: Matrix, sums: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.operators import matrix
@@ -19,14 +19,17 @@ MANY, WIDTH = 300, 64
 _EXACT = "((stratum * 7 + row_idx * 13 + j * (j + 3)) % (50 + j % 47))::DOUBLE"
 
 
-def exact_features(n: int = MANY) -> dict[str, Column]:
-    return {f"f{j}": ((F.col("stratum") * 7 + F.col("row_idx") * 13 + j * (j + 3)) % (50 + j % 47)).cast("double") for j in range(n)}
+def exact_features(stratum: np.ndarray, row_idx: np.ndarray) -> np.ndarray:
+    """(row, feature), by the formula of _EXACT."""
+    j = np.arange(MANY)
+    return np.fmod((stratum * 7 + row_idx * 13)[:, None] + j * (j + 3), 50 + j % 47)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> matrix.Matrix:
     """The design's matrix, written and loaded again with its checks."""
     path = shared_path(spark, "matrix")
-    matrix.write(matrix.of(indexed(time_design(spark, sf_dir)), exact_features(), WIDTH), path)
+    inputs = [F.col("stratum"), F.col("row_idx")]
+    matrix.write(matrix.made(indexed(time_design(spark, sf_dir)), inputs, [f"f{j}" for j in range(MANY)], exact_features, WIDTH), path)
     return matrix.load(spark, path)
 
 

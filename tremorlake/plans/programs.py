@@ -36,9 +36,8 @@ def chart_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chart_score_scan")
 def chart_score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional scores of all chart features over the matched design: features stay in arrays until they are summed by block."""
-    rows, names = charts.chart_features(indexed(time_design(spark, sf_dir)), "day", None, None, 2)
-    m = matrix.of_arrays(rows, names)
+    """Conditional scores of all chart features over the matched design: features are made and summed in the tasks that strata were dealt to."""
+    m = matrix.made(indexed(time_design(spark, sf_dir)), [F.col("day")], charts.names(2), lambda day: charts.values(day, 2))
     return matrix.observed(m, matrix.scan_sums(m))
 
 
