@@ -138,3 +138,13 @@ def test_nests_are_many_tasks_and_draws_come_in_pieces(spark, monkeypatch):
     got = shifts.nest_scores(nests, series, np.eye(6), list(range(1, 201)))
     assert got.select(F.spark_partition_id()).distinct().count() > 6
     assert got.count() == 4 * (201 + 200)
+
+
+def test_uplift_counts_equal_those_of_shifted_rows(spark):
+    r = np.random.default_rng(6)
+    rows = [(float(d), float(a), float(o), int(c)) for d, a, o, c in zip(r.uniform(-2190, 700, 300), r.uniform(-80, 80, 300), r.uniform(-180, 180, 300), r.integers(0, 3, 300), strict=True)]
+    e = spark.createDataFrame([*rows, (None, 1.0, 1.0, 0), (5.0, None, 1.0, 2)], "day double, lat_deg double, lon_deg double, cell int").repartition(3)
+    grid, start, step, _ = tidal._tensor_grid(spark)
+    got = {(x.cell, x.trial): (x.n, x.known, x.up) for x in shifts.uplift_counts(e, grid, start, step, 4, 5, 30, 1.03505, -2191.0).collect()}
+    want = tidal._shifted_tensors(e, 5).groupBy("cell", "trial").agg(F.count("*").alias("n"), F.count("dd").alias("known"), F.count_if(F.col("dd") > 0).alias("up"))
+    assert len(got) == 18 and got == {(x.cell, x.trial): (x.n, x.known, x.up) for x in want.collect()}

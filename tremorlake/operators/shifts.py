@@ -95,6 +95,59 @@ def _moments(sums: np.ndarray) -> np.ndarray:
     return out
 
 
+def uplift_counts(events: DataFrame, grid: DataFrame, start: float, step: float, cells: int, trials: int, block_days: float, reach: float, origin: float, seed: int = 4) -> DataFrame:
+    """events (day, lat_deg, lon_deg, cell 0..cells-1) and a grid of tensors (k, xx ... zz) -> (cell, trial, n, known, up): events, those with
+    a time and a place, and those at uplift then; trial 0 is not shifted, the others move blocks of days as joins.block_offsets.
+
+    The grid is a parameter and is sent out. A task's events meet all trials as arrays, and a row for each cell and trial leaves it."""
+    import pyarrow as pa
+
+    from tremorlake.operators.physics import COMPONENTS
+
+    found = grid.select(*COMPONENTS).orderBy("k").toArrow()
+    tensors = np.stack([c.to_numpy() for c in found.columns], axis=1)
+    sent = events.sparkSession.sparkContext.broadcast(np.concatenate((tensors[:-1], tensors[1:]), axis=1))
+    doubled = np.array([1.0, 2.0, 2.0, 1.0, 2.0, 1.0])
+
+    def mixed(key: np.ndarray, seed: int) -> np.ndarray:
+        v = np.fmod(key * 48271 + seed, M)  # the sign of SQL's %
+        for c in ROUNDS:
+            v = np.fmod(v * (np.fmod(v, 65521) + c), M)
+        return v
+
+    def run(batches):
+        pairs, total = sent.value, np.zeros((3, trials + 1, cells), np.int64)
+        own = mixed(np.arange(trials + 1), seed)
+        for batch in batches:
+            day, lat, lon = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cell = batch.column(3).to_numpy(zero_copy_only=False)
+            total[0] += np.bincount(cell, minlength=cells)
+            order = np.argsort(day)  # neighbours in time share the grid's rows
+            order = order[~np.isnan(day + lat + lon)[order]]
+            day, p, q, cell = day[order], np.radians(lat[order]), np.radians(lon[order]), cell[order]
+            total[1] += np.bincount(cell, minlength=cells)
+            down = np.stack((-np.cos(p) * np.cos(q), -np.cos(p) * np.sin(q), -np.sin(p)), axis=1)
+            weight = np.stack([down[:, i] * down[:, j] for i in range(3) for j in range(i, 3)], axis=1) * doubled
+            block, at = np.unique(np.floor((day - origin) / block_days).astype(np.int64), return_inverse=True)
+            offset = mixed(np.fmod(own[:, None] + np.fmod(block, M), M), seed + 1) / float(M) * reach
+            offset[0] = 0.0
+            for trial in range(trials + 1):
+                x = (day + offset[trial][at] - start) / step
+                k = np.clip(np.floor(x), 0, len(pairs) - 1).astype(np.int64)
+                x -= k
+                both = pairs[k]
+                down_down = np.einsum("ij,ij->i", both[:, :6], weight) * (1 - x) + np.einsum("ij,ij->i", both[:, 6:], weight) * x
+                total[2, trial] += np.bincount(cell[down_down > 0], minlength=cells)
+        trial, cell = np.divmod(np.arange((trials + 1) * cells), cells)
+        columns = [cell, trial, *total.reshape(3, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["cell", "trial", "n", "known", "up"])
+
+    rows = events.select(*[F.col(c).cast("double") for c in ("day", "lat_deg", "lon_deg")], F.col("cell").cast("int")).where("cell is not null")
+    # Dealt anew: a few megabytes of events are minutes of work, and would else be put together in a few tasks.
+    part = rows.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "cell int, trial int, n long, known long, up long")
+    return part.groupBy("cell", "trial").agg(*[F.sum(c).alias(c) for c in ("n", "known", "up")]).where("n > 0")
+
+
 DRAWS = 1 << 18  # draws of a trial that are held at once
 
 

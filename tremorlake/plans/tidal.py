@@ -414,23 +414,30 @@ def _shifted_tensors(e: DataFrame, trials: int) -> DataFrame:
     """Events of the fixtures' span with their local tidal tensor at their own time (trial 0) and at times that move by blocks of 30
     days, 0 to 1.03505 days each. The tensor is interpolated in a grid of 0.02 days: within 1 % of its semidiurnal part."""
     moved = joins.block_offsets(e, 30, 1.03505, trials, -2191.0).unionByName(e.withColumns({"trial": F.lit(0), "block": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
-    spark, start, step, n = e.sparkSession, -2195.0, 0.02, 151_250
-    grid = materialize(physics.tidal_tensor(physics.series(spark, start, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid")
+    grid, start, step, n = _tensor_grid(e.sparkSession)
     return physics.to_local(joins.interpolated(moved, grid, start, step, n, F.col("day") + F.col("offset"), list(physics.COMPONENTS)), "lat_deg", "lon_deg")
 
 
+def _tensor_grid(spark: SparkSession) -> tuple[DataFrame, float, float, int]:
+    """Tensors over the fixtures' span, with start, step and number."""
+    start, step, n = -2195.0, 0.02, 151_250
+    return materialize(physics.tidal_tensor(physics.series(spark, start, step, n), F.col("day")).select("k", *physics.COMPONENTS), "grid"), start, step, n
+
+
 @query("metivier_reproduction")
 def metivier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of events at uplift overall and by quartiles of depth and magnitude, from a tensor grid that is interpolated, with
-    the p of each share among 400 block shifts of the tensors."""
+    the p of each share among 400 block shifts of the tensors. Events are counted by both quartiles at once, as they meet the shifts."""
     trials = 400
     q = quake(spark, sf_dir)
     for key in ("depth_km", "magnitude"):
         q = equal_count_bins(q, F.col(key), 4, F.col("event_idx"), name=f"{key}_bin")
-    x = _shifted_tensors(materialize(q.select("day", "lat_deg", "lon_deg", "depth_km_bin", "magnitude_bin"), "binned"), trials)
-    up = (F.col("dd") > 0).cast("double")
-    bins = F.array(F.struct(F.lit("all").alias("by"), F.lit(0).alias("bin")), *[F.struct(F.lit(k).alias("by"), F.col(f"{k}_bin").alias("bin")) for k in ("depth_km", "magnitude")])
-    s = materialize(x.select("trial", up.alias("up"), F.explode(bins).alias("b")).groupBy("b.by", "b.bin", "trial").agg(F.count("*").alias("n"), F.avg("up").alias("up")), "uplift")
+    q = q.select("day", "lat_deg", "lon_deg", (F.col("depth_km_bin") * 4 + F.col("magnitude_bin")).alias("cell"))
+    grid, start, step, _ = _tensor_grid(spark)
+    x = shifts.uplift_counts(q, grid, start, step, 16, trials, 30, 1.03505, -2191.0)
+    names = {"all": F.lit(0), "depth_km": F.floor(F.col("cell") / 4).cast("int"), "magnitude": F.col("cell") % 4}
+    bins = F.array(*[F.struct(F.lit(k).alias("by"), b.alias("bin")) for k, b in names.items()])
+    s = materialize(x.withColumn("b", F.explode(bins)).groupBy("b.by", "b.bin", "trial").agg(F.sum("n").alias("n"), (F.sum("up") / F.sum("known")).alias("up")), "uplift")
     own = s.where("trial = 0").select("by", "bin", "n", F.col("up").alias("uplift"))
     return s.where("trial > 0").select("by", "bin", "up").join(own, ["by", "bin"]).groupBy("by", "bin", "n", "uplift").agg(circular.empirical_p(F.col("up"), F.col("uplift"), trials).alias("p"))
 
