@@ -148,3 +148,20 @@ def test_uplift_counts_equal_those_of_shifted_rows(spark):
     got = {(x.cell, x.trial): (x.n, x.known, x.up) for x in shifts.uplift_counts(e, grid, start, step, 4, 5, 30, 1.03505, -2191.0).collect()}
     want = tidal._shifted_tensors(e, 5).groupBy("cell", "trial").agg(F.count("*").alias("n"), F.count("dd").alias("known"), F.count_if(F.col("dd") > 0).alias("up"))
     assert len(got) == 18 and got == {(x.cell, x.trial): (x.n, x.known, x.up) for x in want.collect()}
+
+
+def test_ways_to_bin_share_their_phases(spark, forcing):
+    marks, heights = forcing
+    r = np.random.default_rng(9)
+    rows = [(g, b, d) for g, b, d in [(str(r.choice(["a", "b"])), int(r.integers(2)), float(r.uniform(-5, 460))) for _ in range(60)] for _ in range(3)]
+    e = spark.createDataFrame(rows, "grp string, bin int, day double").repartition(3)
+    tops = spark.createDataFrame(list(zip(marks.tolist(), heights.tolist(), strict=True)), "day double, height double")
+    offsets, edges = shifts.whole_days(5, 3, 60), [3.0, 6.0]
+    got = {(x.which, x.grp, x.bin, x.trial): (x.n, x.c, x.s, x.a) for x in shifts.shifted_sums_of(e, tops, offsets, [None, edges]).collect()}
+    want = {}
+    for trial, shift in enumerate([0.0, *offsets]):
+        for (grp, b, _), (ok, phase, height) in zip(rows, phases(np.array([x[2] for x in rows]), marks, heights, shift), strict=True):
+            for which, at in enumerate((b, sum(x <= height for x in edges)) if ok else ()):
+                own = want.get((which, grp, at, trial), (0, 0.0, 0.0, 0.0))
+                want[which, grp, at, trial] = (own[0] + 1, own[1] + math.cos(phase), own[2] + math.sin(phase), own[3] + height)
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)

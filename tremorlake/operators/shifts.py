@@ -39,13 +39,20 @@ def shifted_sums(events: DataFrame, tops: DataFrame, offsets: list[float], edges
     sine of k times the phase between maxima, and of the height before them. Trial 0 is not shifted.
 
     With edges, an event's bin is the number of edges at or under the height at its shifted time. Events outside the maxima drop out."""
+    return shifted_sums_of(events, tops, offsets, [edges], orders).drop("which")
+
+
+def shifted_sums_of(events: DataFrame, tops: DataFrame, offsets: list[float], ways: list[list[float] | None], orders: int = 1) -> DataFrame:
+    """shifted_sums for each of some edges (or None), with `which`, its place among them; phases are made once for all.
+
+    Events of a group and bin with the same time are one row with its number."""
     import pyarrow as pa
 
     found = tops.select("day", "height").orderBy("day").limit(MOST_TOPS + 1).toArrow()
     if found.num_rows > MOST_TOPS:
         raise ValueError("the forcing has too many maxima to be sent to the executors; cut its span")
     sent = events.sparkSession.sparkContext.broadcast((found.column(0).to_numpy(), found.column(1).to_numpy()))
-    shifts, cuts = [0.0, *offsets], None if edges is None else np.array(edges)
+    shifts, cuts = [0.0, *offsets], [None if e is None else np.array(e) for e in ways]
 
     def run(batches):
         marks, heights = sent.value
@@ -53,29 +60,36 @@ def shifted_sums(events: DataFrame, tops: DataFrame, offsets: list[float], edges
             if not batch.num_rows or len(marks) < 2:
                 continue
             names, code = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            own, day = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False)
-            bins = int(own.max()) + 1 if cuts is None else len(cuts) + 1
-            size = len(names) * bins
-            columns = [[] for _ in range(8)]
+            own, day, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            order = np.argsort(day)  # neighbours in time are found at neighbouring maxima
+            code, own, day, many = code[order], own[order].astype(np.int64), day[order], many[order].astype(np.float64)
+            columns = [[] for _ in range(9)]
             for trial, shift in enumerate(shifts):
                 t = day + shift
                 i = np.searchsorted(marks, t, side="right") - 1
-                ok = (i >= 0) & (i < len(marks) - 1)
-                i, t = i[ok], t[ok]
+                first, last = np.searchsorted(i, (0, len(marks) - 1))  # i rises with the day
+                ok = slice(int(first), int(last))
+                i, t, m = i[ok], t[ok], many[ok]
                 phase = 2 * np.pi * (t - marks[i]) / (marks[i + 1] - marks[i])
-                b = own[ok] if cuts is None else np.searchsorted(cuts, heights[i], side="right")
-                key = code[ok] * bins + b
-                n, a = np.bincount(key, minlength=size), np.bincount(key, heights[i], size)
-                some = np.flatnonzero(n)
-                for k in range(1, orders + 1):
-                    made = (names[some // bins], some % bins, np.full(len(some), k), np.full(len(some), trial), n[some], np.bincount(key, np.cos(k * phase), size)[some], np.bincount(key, np.sin(k * phase), size)[some], a[some])
-                    for column, x in zip(columns, made, strict=True):
-                        column.append(x)
-            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(columns, types, strict=True)], ["grp", "bin", "k", "trial", "n", "c", "s", "a"])
-
-    part = events.select(F.col("grp").cast("string"), F.col("bin").cast("int"), F.col("day").cast("double")).where("grp is not null and bin is not null and day is not null").mapInArrow(run, "grp string, bin int, k int, trial int, n long, c double, s double, a double")
-    return part.groupBy("grp", "bin", "k", "trial").agg(*[F.sum(c).alias(c) for c in ("n", "c", "s", "a")])
+                waves = [(m * np.cos(k * phase), m * np.sin(k * phase)) for k in range(1, orders + 1)]
+                height = heights[i]
+                for which, cut in enumerate(cuts):
+                    bins = int(own.max()) + 1 if cut is None else len(cut) + 1
+                    size = len(names) * bins
+                    key = code[ok] * bins + (own[ok] if cut is None else np.searchsorted(cut, height, side="right"))
+                    n, a = np.bincount(key, m, size), np.bincount(key, m * height, size)
+                    some = np.flatnonzero(n)
+                    for k, (c, s) in enumerate(waves, 1):
+                        made = (names[some // bins], some % bins, np.full(len(some), k), np.full(len(some), trial), np.full(len(some), which), n[some].astype(np.int64), np.bincount(key, c, size)[some], np.bincount(key, s, size)[some], a[some])
+                        for column, x in zip(columns, made, strict=True):
+                            column.append(x)
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(columns, types, strict=True)], ["grp", "bin", "k", "trial", "which", "n", "c", "s", "a"])
+
+    rows = events.select(F.col("grp").cast("string"), F.col("bin").cast("int"), F.col("day").cast("double")).where("grp is not null and bin is not null and day is not null")
+    rows = rows.groupBy("grp", "bin", "day").agg(F.count("*").alias("many")).repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = rows.mapInArrow(run, "grp string, bin int, k int, trial int, which int, n long, c double, s double, a double")
+    return part.groupBy("grp", "bin", "k", "trial", "which").agg(*[F.sum(c).alias(c) for c in ("n", "c", "s", "a")])
 
 
 def local_map(lat: float, lon: float) -> np.ndarray:

@@ -483,8 +483,8 @@ def amplitude_law_of(events: DataFrame, tops: DataFrame, bins: int, trials: int,
     offsets = shifts.whole_days(trials)
     e = b.select(F.lit("").alias("grp"), "bin", "day")
     power, height = circular.power(F.col("c"), F.col("s"), F.col("n")), F.abs(F.col("a") / F.col("n"))
-    fixed = materialize(shifts.shifted_sums(e, tops, offsets).select("bin", "trial", "n", power.alias("power"), height.alias("amplitude")), "fixed")
-    binned = shifts.shifted_sums(e, tops, offsets, edges).select("bin", "trial", "n", power.alias("power"), height.alias("amplitude"))
+    both = materialize(shifts.shifted_sums_of(e, tops, offsets, [None, edges]).select("which", "bin", "trial", "n", power.alias("power"), height.alias("amplitude")), "shifted")
+    fixed, binned = both.where("which = 0").drop("which"), both.where("which = 1").drop("which")
     slopes = materialize(binned.groupBy("trial").agg(F.min("n").alias("least"), F.count("*").alias("bins"), F.regr_slope(F.log("power"), F.log("amplitude")).alias("slope")).where((F.col("least") >= least) & (F.col("bins") == bins)), "slopes")
     own = fixed.where("trial = 0").select("bin", "n", "amplitude", F.col("power").alias("observed"))
     ps = fixed.where("trial > 0").select("bin", "power").join(own, "bin").groupBy("bin", "n", "amplitude", "observed").agg(F.max("power").alias("null_max"), circular.empirical_p(F.col("power"), F.col("observed"), trials).alias("p"))
