@@ -152,3 +152,14 @@ def test_no_strata_and_odd_values(spark):
     odd = df.withColumn("a", F.when(F.col("a") > 0, F.col("a"))).withColumn("b", F.when(F.col("b") > 0, F.col("b")).otherwise(float("nan")))
     m = models.BoostedTrees(trees=2, min_leaf=1, bins=4).fit(odd, names)
     assert m.scores(odd).where("score is null or isnan(score)").count() == 0
+
+
+def test_halves_are_split_once(spark):
+    from tremorlake.plans.modelling import _halves
+
+    rows = [(s, i, i == 0, -1500.0 + 7 * s + i) for s in range(300) for i in range(3)]
+    d = spark.createDataFrame(rows, "stratum long, row_idx long, is_case boolean, day double")
+    train, check = _halves(d)
+    assert sorted(r.stratum for r in train.select("stratum").distinct().collect()) == [s for s in range(300) if -1500 + 7 * s < -500]
+    assert sorted(r.stratum for r in check.select("stratum").distinct().collect()) == [s for s in range(300) if -500 <= -1500 + 7 * s < 731]
+    assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in (train, check))
