@@ -32,14 +32,19 @@ from tremorlake.sources.sinks import scan_report, write_design, write_json
 
 log = logging.getLogger("jobs.text_score_scan")
 
+MOST_LABELLED = 4_000_000  # ids that are broadcast, to measure no other text (some 100 MB); with more, every text is measured before the join
+
 
 def measured(documents: DataFrame, labels: DataFrame, config: Mapping[str, Any]) -> DataFrame:
     """(doc_id, is_case, the columns to match by, a column for each feature) of labelled documents; texts go no further."""
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(config["label"]).alias("label")).where("label is not null")
+    documents = documents.where("doc_id is not null")
+    if marked.count() <= MOST_LABELLED:
+        documents = documents.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     match = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in config["match"]]
-    rows = documents.where("doc_id is not null").select("doc_id", *match, text.alias("text"), words.alias("words"))
+    rows = documents.select("doc_id", *match, text.alias("text"), words.alias("words"))
     rows = rows.select("doc_id", *config["match"], *[F.expr(f["sql"]).cast("double").alias(name) for name, f in config["features"].items()])
     rest = [c for c in rows.columns if c != "doc_id"]
     rows = rows.join(marked, "doc_id").groupBy("doc_id", (F.col("label") > 0).alias("is_case")).agg(F.min(F.struct(*rest)).alias("f"))

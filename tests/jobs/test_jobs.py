@@ -172,6 +172,18 @@ def test_scan_with_odd_rows(spark, tmp_path):
         assert design == {} and found == []
 
 
+def test_only_labelled_texts_are_measured(spark, monkeypatch):
+    rows, labels = corpus(20)
+    docs = spark.createDataFrame([*rows, (500, "unlabelled", "en", "a", 1), (501, "of null label", "en", "a", 1)], DOCS)
+    marks = spark.createDataFrame([*labels, (501, 1, None)], "doc_id long, quality long, toxic long")
+    size = {"n_chars": {"family": "size", "sql": "length(text)"}}
+    careful = {"n_chars": {"family": "size", "sql": "if(text in ('unlabelled', 'of null label'), raise_error('measured'), length(text))"}}
+    few = sorted(T.measured(docs, marks, SCAN | {"features": careful}).collect())
+    assert few == sorted(T.measured(docs, marks, SCAN | {"features": size}).collect())
+    monkeypatch.setattr(T, "MOST_LABELLED", 0)
+    assert few == sorted(T.measured(docs, marks, SCAN | {"features": size}).collect())
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries(spark, name):
     assert oracle.difference(Q.QUERIES[name](spark, SF), oracle.connect(SF), Q.SQL[name]) is None
