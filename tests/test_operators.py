@@ -140,6 +140,22 @@ def test_dense_chains_over_cells(spark):
     assert {x.event_idx for x in got.where("is_main").collect()} == _greedy(rows, 40, 300, False)
 
 
+@pytest.mark.parametrize("few", [0, 300, None])
+def test_a_sweep_shares_its_rounds(spark, monkeypatch, few):
+    """Each setting's own greedy choice, in cells, in one task, or some in each; events are written once for all settings."""
+    written, keep = [], decluster.materialize
+    monkeypatch.setattr(decluster, "materialize", lambda df, name: (written.append(name), keep(df, name))[1])
+    r = random.Random(17)
+    rows = [(i, r.uniform(0, 900), r.uniform(-20, 20), r.uniform(-20, 20)) for i in range(400)]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0)], "event_idx long, day double, lat_deg double, lon_deg double")
+    settings = [(0, 0), (200, 40), (500, 90), (1500, 30)]
+    got = [tuple(x) for x in decluster.thin_sweep(df, settings, flat=True, few=few).collect()]
+    want = {(0, e[0]) for e in rows} | {(i, e) for i, (km_, days) in enumerate(settings) if km_ for e in _greedy(rows, days, km_, True)} | {(i, 900) for i in range(4)}
+    assert len(got) == len(want) and set(got) == want
+    assert written.count("events") == 1 and written.count("found") < 15
+    assert decluster.thin_sweep(df, [(0, 0)]).count() == 401 and decluster.thin_sweep(df.where("false"), settings).count() == 0
+
+
 def test_edges_equal_all_pairs_and_events_stand_in_few_cells(spark):
     """Dense and lonely places, the date line and poles: the pairs of a double loop; an event meets the cells of its window only."""
     r = random.Random(21)

@@ -367,12 +367,13 @@ def calendar_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d19_thinning_sweep")
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z of the date after thinning cases at seven settings; thinning and score have SQL twins of their own."""
+    """z of the date after thinning cases at seven settings at once; thinning and score have SQL twins of their own."""
     base = materialize(indexed(time_design(spark, sf_dir)), "design")
     cases = base.where("is_case").select(F.col("stratum").alias("event_idx"), "day", "lat_deg", "lon_deg")
+    kept = materialize(decluster.thin_sweep(cases, SWEEP, flat=True).withColumnRenamed("event_idx", "stratum"), "kept")
     out = None
-    for km, days in SWEEP:
-        keep = decluster.thin(cases, km, days, flat=True).where("is_main").select(F.col("event_idx").alias("stratum"))
+    for i, (km, days) in enumerate(SWEEP):
+        keep = kept.where(F.col("setting") == i).select("stratum")
         part = scores.conditional_score(scores.melt(base.join(keep, "stratum", "left_semi"), {"date": F.col("day")})).select(F.lit(km).alias("km"), F.lit(days).alias("days"), "n_strata", F.round("z", 4).alias("z"))
         out = part if out is None else out.unionByName(part)
     return out
