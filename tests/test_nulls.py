@@ -128,6 +128,22 @@ def test_nest_scores(spark):
     assert not np.array_equal(shifts.uniform_draws(64, 1, 50, 1000), shifts.uniform_draws(0, 2, 50, 1000))
 
 
+def test_nests_search_the_whole_grid(spark, monkeypatch):
+    """Strikes and dips every 15 degrees, rakes every 30, five frictions; trials in pieces have the same scores."""
+    seen, keep = {}, shifts.nest_scores
+    monkeypatch.setattr(tidal.shifts, "nest_scores", lambda nests, series, planes, offsets: seen.update(planes=planes, offsets=offsets) or keep(nests.limit(1), series, planes, offsets[:3]))
+    tidal.nest_coulomb(spark, "/root/testdata/sf0.001")
+    assert seen["planes"].shape == (24 * 6 * 12 * 5, 6) and len(seen["offsets"]) == 2000
+    assert len(np.unique(seen["planes"].round(9), axis=0)) > 24 * 6 * 12
+    series = np.random.default_rng(5).normal(size=(64, 6))
+    nests = spark.createDataFrame([(3, 40.0, -120.0, [1, 5, 60], [4, 1, 2])], "nest int, lat double, lon double, places array<int>, counts array<long>")
+    scores = lambda: sorted((x.kind, x.trial, x.score) for x in keep(nests, series, seen["planes"], list(range(1, 20))).collect())
+    one = scores()
+    monkeypatch.setattr(shifts, "PART", 3)
+    two = scores()
+    assert [x[:2] for x in one] == [x[:2] for x in two] and [x[2] for x in one] == pytest.approx([x[2] for x in two])
+
+
 def test_nests_are_many_tasks_and_draws_come_in_pieces(spark, monkeypatch):
     """A few nests are dealt with their trials to more tasks than there are shuffle partitions; draws in pieces are the same draws."""
     want = np.bincount(shifts.uniform_draws(3, 7, 1000, 64), minlength=64)

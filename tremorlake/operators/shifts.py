@@ -163,6 +163,7 @@ def uplift_counts(events: DataFrame, grid: DataFrame, start: float, step: float,
 
 
 DRAWS = 1 << 18  # draws of a trial that are held at once
+PART = 256  # trials whose scores at all planes are held at once
 
 
 def uniform_draws(nest: int, trial: int, n_events: int, n: int, seed: int = 81, first: int = 0) -> np.ndarray:
@@ -194,13 +195,14 @@ def nest_scores(nests: DataFrame, series: np.ndarray, weights: np.ndarray, offse
 
     def run(batches):
         spectrum = np.fft.rfft(flat, axis=0)
-        everything = _moments(flat.sum(axis=0))
+        upper = np.triu_indices(6)
+        everything = _moments(flat.sum(axis=0))[upper]
         for batch in batches:
             for r in batch.to_pylist():
                 w = weights @ local_map(r["lat"], r["lon"])
-                sd = lambda cov: np.sqrt(np.maximum(np.einsum("pi,...ij,pj->...p", w, cov, w), 0))  # noqa: B023,E731
-                ref = sd(everything)
-                ok = ref > 0
+                squares = w[:, upper[0]] * w[:, upper[1]] * np.where(upper[0] == upper[1], 1.0, 2.0)  # a variance is their product with a covariance's upper half
+                ref = squares @ everything
+                relative = (squares[ref > 0] / ref[ref > 0, None]).T
                 count = np.bincount(r["places"], weights=r["counts"], minlength=n)
                 if r["first"] == 0:
                     # sum over i of count[i] * flat[i + shift], for all shifts at once
@@ -212,7 +214,9 @@ def nest_scores(nests: DataFrame, series: np.ndarray, weights: np.ndarray, offse
                     total = int(count.sum())
                     sums = np.stack([uniform_counts(r["nest"], t, total, n) @ flat for t in names])
                     kind = "uniform"
-                score = (sd(_moments(sums))[:, ok] / ref[ok]).min(axis=1, initial=np.inf)
+                cov = _moments(sums)[:, upper[0], upper[1]]
+                least = [(cov[i : i + PART] @ relative).min(axis=1, initial=np.inf) for i in range(0, len(cov), PART)]
+                score = np.sqrt(np.maximum(np.concatenate(least), 0))
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names)), pa.array([r["nest"]] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(score)], ["kind", "nest", "trial", "score"])
 
     items = nests.withColumn("first", F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(trials), F.lit(chunk)))))
