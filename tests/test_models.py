@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.operators import models
+from tremorlake.operators import models, scores
 from tremorlake.operators.matrix import mix_array
 from tremorlake.operators.shifts import mix_int
 
@@ -144,6 +144,42 @@ def test_fitting_ends_when_the_check_gets_no_better(spark):
     assert len(m.gains) == at + 4 < 30 and len(m.trees) == at + 1 and m.gains[at] > 0
 
 
+def test_a_grid_is_the_same_in_one_task_and_in_scans(spark, monkeypatch):
+    """Each model of a grid as fitted by itself, whether strata stand in one task or are scanned; scores of hundreds of trees."""
+    rows, held = strata(60, 3), strata(40, 4)
+    (df, names), (check, _) = frame(spark, rows), frame(spark, held)
+    made = lambda: [models.BoostedTrees(depth=d, rate=r, trees=4, min_leaf=4, bins=8, bagging=0.8, features=0.5, patience=2) for d, r in ((2, 0.3), (3, 0.1))]
+    here = models.fit_grid(made(), df, names, check)
+    alone = [m.fit(df, names, check) for m in made()]
+    monkeypatch.setattr(models.BoostedTrees, "ALONE", 0)
+    monkeypatch.setattr(models.BoostedTrees, "FOLD", 2)
+    scanned = models.fit_grid(made(), df, names, check)
+    for group in (alone, scanned):
+        for a, b in zip(here, group, strict=True):
+            assert a.gains == pytest.approx(b.gains) and len(a.trees) == len(b.trees)
+            for s, t in zip(a.trees, b.trees, strict=True):
+                assert s.keys() == t.keys() and all(s[n][0] == t[n][0] and s[n][1:] == pytest.approx(t[n][1:]) for n in s)
+    with pytest.raises(ValueError):
+        models.fit_grid([models.BoostedTrees(bins=8), models.BoostedTrees(bins=9)], df, names)
+    m = here[1]
+    best = max(m.gains)
+    assert scores.information_gain(m.scores(check)).first()["bits_per_event"] == pytest.approx(best)
+    m.trees = m.trees * 300
+    assert m.scores(check).where("score is null").count() == 0
+
+
+@pytest.mark.parametrize("program", ["train_gbt"])
+def test_programs_boost_until_validation_stops_them(spark, monkeypatch, program):
+    """Three depths at two rates, a thousand trees at most, and fifty without a better gain end a fit."""
+    from tremorlake.plans import QUERIES
+
+    seen, keep = [], models.fit_grid
+    monkeypatch.setattr(models, "fit_grid", lambda grid, *x: (seen.extend(keep(grid, *x)), seen)[1])
+    got = QUERIES[program](spark, "/root/testdata/sf0.001")
+    assert {(r.depth, r.rate) for r in got.collect()} == {(d, r) for d in (2, 3, 4) for r in (0.01, 0.05)}
+    assert {(m.n_trees, m.patience) for m in seen} == {(1000, 50)} and all(len(m.gains) == min(1000, len(m.trees) + 50) for m in seen)
+
+
 def test_no_strata_and_odd_values(spark):
     df, names = frame(spark, strata(5, 3))
     none = df.where("false")
