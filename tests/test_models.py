@@ -168,7 +168,7 @@ def test_a_grid_is_the_same_in_one_task_and_in_scans(spark, monkeypatch):
     assert m.scores(check).where("score is null").count() == 0
 
 
-@pytest.mark.parametrize("program", ["train_gbt"])
+@pytest.mark.parametrize("program", ["train_gbt", "train_gbt_stream"])
 def test_programs_boost_until_validation_stops_them(spark, monkeypatch, program):
     """Three depths at two rates, a thousand trees at most, and fifty without a better gain end a fit."""
     from tremorlake.plans import QUERIES
